@@ -122,7 +122,7 @@ def write_warc(
     return map_batches(with_revisits(rows, min_revisit_bytes), write, "path string, bytes bigint, records bigint")
 
 
-def inflate(fs_file: pa.NativeFile, at: int, first: bytes) -> bytes | None:
+def inflate(fs_file: pa.NativeFile, at: int, first: bytes | memoryview) -> bytes | None:
     """The member at offset at, or None if there is no WARC record. first: bytes known from there."""
     unpack, out, data, pos = zlib.decompressobj(31), [], first, at
     try:
@@ -184,9 +184,10 @@ def members(path: str, start: int, end: int) -> Iterator[tuple[int, dict]]:
             window = f.read(CHUNK)
             if not window:
                 return
+            view = memoryview(window)
             where, moved = window.find(MAGIC), False
             while where >= 0 and at + where < end:
-                data = inflate(f, at + where, window[where:])
+                data = inflate(f, at + where, view[where:])
                 found = parse(data) if data else None
                 if found:
                     yield at + where, found
@@ -221,7 +222,8 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 4 <<
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return map_batches(ranges.repartition(F.col("path"), F.col("start")), read, RECORD)
+    # a stated number of partitions, as ranges are too few bytes for Spark to keep them apart
+    return map_batches(ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start"), read, RECORD)
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
