@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, pii, secrets, warc
+from attesta.llm import bpe, chat, pii, secrets, warc
 from attesta.llm.common import read_table
 
 
@@ -19,6 +20,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.digest(bpe.decode(encoded, path, pattern))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.roundtrip(read_table(spark, sf_dir, "pages"), min_revisit_bytes=0))
 
@@ -45,6 +52,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op9_chat": op9_chat,
