@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, pii, secrets, warc
+from attesta.llm import bpe, chat, decontam, pii, secrets, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -50,12 +50,31 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.withColumn("parts", parts)))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
+
+
+CATEGORIES = ["quality", "toxic"]
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the chain's probabilities and whether the document is toxic."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    models = toxicity.train(docs, labels, CATEGORIES)
+    scored = toxicity.score(docs, models, CATEGORIES)
+    return scored.select(
+        F.col("id").alias("doc_id"), F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= 0.5).alias("toxic")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
+    "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,6 +94,23 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM d
     """,
+    "op8_decontam": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), i AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+        ), s AS (
+            SELECT item_id, len(list_distinct(g)) AS size, unnest(list_distinct(g)) AS gram
+            FROM (SELECT item_id, list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: array_to_string(w[k : k + least(len(w), 5) - 1], ' ')) AS g FROM i WHERE len(w) > 0)
+        ), g AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k : k + n - 1], ' ') AS gram
+            FROM d, (SELECT DISTINCT least(len(w), 5) AS n FROM i WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS u(k)
+        ), hit AS (
+            SELECT doc_id, item_id FROM g JOIN s USING (gram) GROUP BY doc_id, item_id, size HAVING 100 * count(*) >= 75 * size
+        )
+        SELECT doc_id, count(item_id) AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items, count(item_id) > 0 AS contaminated
+        FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id
+    """,
     "op9_chat": r"""
         WITH own(conv_id, turn, role, text) AS (
             VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
