@@ -16,7 +16,7 @@ the same order of merges.
 Edge cases: null or empty text has no tokens and decodes to nothing; repeated
 rows are encoded row by row; whole texts are encoded; special tokens do not
 exist, their strings are ordinary text; other columns are not read. Memory: a
-worker keeps at most CACHE_WORDS words, and a query handles at most QUERY_BYTES
+worker keeps about two times CACHE_WORDS words, and a query handles at most QUERY_BYTES
 of pre-tokens. There is no shuffle.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import Batches, map_batches
 
 LONG_PIECE = 1024
-CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS = 400_000, 500_000, 500_000
+CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 250_000, 400_000, 500_000, 3 << 20
 
 #: Positions count on over all pieces of a query; a key holds a rank and a position.
 MERGE = """
@@ -99,6 +99,7 @@ class Engine:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.whole = {k: np.int32(v).tobytes() for k, v in self.ranks.items()}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian int32 ids of each piece, by the recursive query."""
@@ -138,11 +139,17 @@ class Engine:
         return np.array([t for t in tok if t is not None], "<i4").tobytes()
 
     def learn(self, found: Iterable[str]) -> dict[str, bytes]:
-        """Ids of every piece in found; the worker's cache takes them, or begins anew when full."""
-        out, fresh = self.words, [w for w in found if w not in self.words]
-        if len(out) + len(fresh) > CACHE_WORDS:
-            out = self.words = {}
-            fresh = list(found)
+        """Ids of every piece in found. The cache has two generations: a full one becomes
+        the old one, and words of the old one that are met again move to the new."""
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.old = {}, self.words
+        out, old, fresh = self.words, self.old, []
+        for w in found:
+            if w not in out:
+                if (known := old.get(w)) is not None:
+                    out[w] = known
+                else:
+                    fresh.append(w)
         todo: list[tuple[str, bytes]] = []
         size = 0
 
@@ -222,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Batches) -> Batches:
         own = engine(path, pattern)
         for whole in batches:
-            for b in slices(whole, 1, 8 << 20):
+            for b in slices(whole, 1, SLICE_BYTES):
                 ids = own.encode([t or "" for t in b.column(1).to_pylist()])
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -247,6 +254,29 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_batches(encoded.select("id", "ids"), run, "id bigint, ids array<int>, decoded binary")
 
 
+def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode() and decode() in one worker: id, ids and the bytes decoded from ids."""
+
+    def run(batches: Batches) -> Batches:
+        own = engine(path, pattern)
+        for whole in batches:
+            for b in slices(whole, 1, SLICE_BYTES):
+                packed = own.encode([t or "" for t in b.column(1).to_pylist()])
+                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                ids = np.frombuffer(b"".join(packed), "<i4")
+                raw: list[bytes] = []
+                at = 0
+                while at < len(packed):
+                    end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_TOKENS, side="right")) - 1)
+                    raw += own.decode(offsets[at : end + 1] - offsets[at], ids[offsets[at] : offsets[end]])
+                    at = end
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "id bigint, ids array<int>, decoded binary")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         F.col("id").alias("doc_id"),

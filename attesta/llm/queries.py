@@ -22,8 +22,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.digest(bpe.decode(encoded, path, pattern))
+    return bpe.digest(bpe.roundtrip(read_table(spark, sf_dir, "documents"), path, pattern))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
