@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, pii, secrets, toxicity, warc
+from attesta.llm import bpe, chat, decontam, embed_join, pii, secrets, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -49,6 +49,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.withColumn("parts", parts)))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.link_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
+    "op7_embeddings": op7_embeddings,
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
@@ -93,6 +98,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM d
     """,
+    "op7_embeddings": """
+        WITH RECURSIVE g AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach(a, b) AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        ), c AS (SELECT a, min(b) AS least FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+               vec_id <= coalesce(least, vec_id) AS kept
+        FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+    """,
     "op8_decontam": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
