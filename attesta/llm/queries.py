@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, embed_join, pii, secrets, toxicity, warc
+from attesta.llm import bpe, chat, decontam, embed_join, ngram_join, pii, secrets, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.roundtrip(read_table(spark, sf_dir, "documents"), path, pattern))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(ngram_join.link_documents(read_table(spark, sf_dir, "documents")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.roundtrip(read_table(spark, sf_dir, "pages"), min_revisit_bytes=0))
 
@@ -73,6 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_embeddings": op7_embeddings,
@@ -82,6 +87,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda k: array_to_string(w[k : k + least(len(w), 5) - 1], ' '))) AS g
+            FROM d WHERE len(w) > 0
+        ), n AS (SELECT doc_id, len(g) AS n FROM s), u AS (SELECT doc_id, unnest(g) AS gram FROM s),
+        l AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM u x JOIN u y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+        ), reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON doc_id = a
+    """,
     "op5_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload FROM pages
