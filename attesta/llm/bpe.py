@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, map_batches
+from attesta.llm.common import Batches, map_batches, slices
 
 LONG_PIECE = 1024
 CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 250_000, 400_000, 500_000, 3 << 20
@@ -210,19 +210,6 @@ def engine(path: str, pattern: str) -> Engine:
     return _engines[path, pattern]
 
 
-def slices(b: pa.RecordBatch, column: int, most: int):
-    """The batch in runs of rows whose texts or lists hold about `most` values."""
-    size = pa.compute.coalesce(pa.compute.binary_length(b.column(column)), 0).to_pylist() if not pa.types.is_list(b.column(column).type) else pa.compute.coalesce(pa.compute.list_value_length(b.column(column)), 0).to_pylist()
-    at = held = 0
-    for i, n in enumerate(size):
-        held += n
-        if held >= most:
-            yield b.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < b.num_rows:
-        yield b.slice(at)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of token ids) of every document."""
 

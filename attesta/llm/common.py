@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -91,3 +93,22 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema) -> Data
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system and path of a folder that executors share."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+
+
+def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (bytes) or lists (items) come to about `most`."""
+    values = b.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    at = held = 0
+    for i, n in enumerate(pc.coalesce(length(values), 0).to_pylist()):
+        held += n
+        if held >= most:
+            yield b.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+    if at < b.num_rows:
+        yield b.slice(at)

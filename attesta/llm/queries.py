@@ -12,10 +12,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, embed_join, ngram_join, pii, secrets, toxicity, warc
+from attesta.llm import bpe, chat, decontam, embed_join, ngram_join, pii, secrets, suffix_dedup, toxicity, warc
 from attesta.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(read_table(spark, sf_dir, "documents")))
 
@@ -75,6 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_ngram_join": op4_ngram_join,
@@ -87,6 +92,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM d),
+        p AS (SELECT doc_id, u.i AS i, hash(substr(h, 2 * u.i + 1, 200)) AS x FROM n, unnest(range(0, n_bytes - 99)) AS u(i)),
+        r AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM p) WHERE k > 1
+        ), g AS (
+            SELECT doc_id, i, sum(CASE WHEN i <= last + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM r)
+        ), s AS (
+            SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run
+        ), k AS (
+            SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM s
+        ), t AS (
+            SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS tail FROM s GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) AS head FROM k JOIN n USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+        FROM n LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op4_ngram_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -37,7 +37,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, map_batches, prepare, shared_path
+from attesta.llm.common import Batches, filesystem, map_batches, prepare, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
@@ -52,10 +52,6 @@ RECORD = (
 GZIP_LEVEL = 1
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
-
-
 def record(page_id: int | None, url: bytes, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC record, not compressed. A revisit has the HTTP head but no payload."""
     name = b"null" if page_id is None else str(page_id).encode()
