@@ -24,7 +24,7 @@ Signatures are shuffled in packed blocks. One that at most HOT sets share gives
 candidate pairs at once. One that more sets share (a common line, a large group of
 near copies) gives none; its sets lose that unit. A set that thereby falls to
 U <= H is set aside: such sets are compared with the set that most of their hot
-signatures have as smallest, and what is not yet in the largest component of
+signatures have as smallest member, and what is not yet in the largest component of
 its family (the sets that hot signatures connect) is compared with the whole
 family, in blocks against a stream, reporting forests of links, never pairs.
 So no link is lost and no group is expanded into its pairs.
@@ -171,11 +171,11 @@ def indexed(docs: DataFrame, n: int, t: Fraction, buckets: int) -> DataFrame:
     return map_batches(docs.select("text"), run, "bucket int, nodes binary, sigs binary")
 
 
-CANDIDATES = "a bigint, b bigint, scheme int, shared bigint, n_a int, n_b int, units_a int, units_b int, sig bigint, spare int"
+CANDIDATES = "a bigint, b bigint, scheme int, shared bigint, n_a int, n_b int, units_a int, units_b int, spare int"
 
 
 def met(nodes: np.ndarray, sigs: np.ndarray, t: Fraction):
-    """Candidate pairs with their number of shared signatures, and the members of hot signatures."""
+    """Candidate pairs with their number of shared signatures, and memberships in hot signatures."""
     owner = np.repeat(np.arange(len(nodes)), nodes["count"])
     order = np.argsort(sigs, kind="stable")
     sigs, owner = sigs[order], owner[order]
@@ -212,15 +212,22 @@ def met(nodes: np.ndarray, sigs: np.ndarray, t: Fraction):
         [
             pa.array(nodes["key"][i]), pa.array(nodes["key"][j]), pa.array(nodes["scheme"][i]), pa.array(count.astype(np.int64)),
             pa.array(nodes["n"][i]), pa.array(nodes["n"][j]), pa.array(nodes["units"][i]), pa.array(nodes["units"][j]),
-            pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int32()),
+            pa.nulls(len(i), pa.int32()),
         ],
         NAMES,
     )
+    # of a hot signature, each member's smallest fellow; members are summed up by that
     hot = np.repeat(size > HOT, size)
-    sigs, owner = sigs[hot], owner[hot]
-    none, void = pa.nulls(len(owner), pa.int32()), pa.nulls(len(owner), pa.int64())
+    centre = nodes["key"][owner[np.repeat(start, size)[hot]]] if len(sigs) else np.zeros(0, np.int64)
+    owner = owner[hot]
+    order = np.lexsort((centre, nodes["scheme"][owner], nodes["key"][owner]))
+    owner, centre = owner[order], centre[order]
+    key, scheme = nodes["key"][owner], nodes["scheme"][owner]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (scheme[1:] != scheme[:-1]) | (centre[1:] != centre[:-1])))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(key))).astype(np.int64)
+    none = pa.nulls(len(new), pa.int32())
     members = pa.RecordBatch.from_arrays(
-        [pa.array(nodes["key"][owner]), void, pa.array(nodes["scheme"][owner]), void, none, none, none, none, pa.array(sigs.astype(np.int64)), pa.array(nodes["spare"][owner])],
+        [pa.array(key[new]), pa.array(centre[new]), pa.array(scheme[new]), pa.array(count), none, none, none, none, pa.array(nodes["spare"][owner[new]])],
         NAMES,
     )
     return pairs, members
@@ -356,16 +363,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(8, min(1 << 15, math.ceil(total * 0.7 / BUCKET_SIGNATURES)))
     found = written(meet(indexed(docs, n, t, buckets), buckets, t), "candidates")
 
-    hot = found.filter("sig IS NOT NULL").select(F.col("a").alias("node"), "scheme", "sig", "spare")
-    lost = hot.groupBy("node", "scheme").agg(F.count("*").alias("lost"), F.min("spare").alias("spare"))
+    # rows with spare are memberships in hot signatures: a of them shared with centre b
+    hot = found.filter("spare IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("centre"), "scheme", "shared", "spare")
+    lost = hot.groupBy("node", "scheme").agg(F.sum("shared").alias("lost"), F.min("spare").alias("spare"))
     low = written(lost.filter(F.col("lost") >= F.col("spare")).select("node").distinct(), "aside")
-    members = hot.join(low, "node").select("node", "scheme", "sig")
-    centre = members.groupBy("sig", "scheme").agg(F.min("node").alias("centre"))
-    star = members.join(centre, ["sig", "scheme"]).filter(F.col("node") != F.col("centre")).groupBy("node", "centre").agg(F.count("*").alias("n"))
+    star = hot.groupBy("node", "centre").agg(F.sum("shared").alias("n")).join(low, "node").filter(F.col("node") != F.col("centre"))
     star = written(star, "stars")
     modal = star.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
 
-    pairs = found.filter("sig IS NULL").groupBy("a", "b", "scheme").agg(
+    pairs = found.filter("spare IS NULL").groupBy("a", "b", "scheme").agg(
         F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "units_a", "units_b")]
     )
     taken = lost.select("node", F.col("scheme").alias("s"), "lost")
@@ -392,8 +398,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         label = components(links)
         family = components(star.select(F.col("node").alias("a"), F.col("centre").alias("b")))
         aside = (
-            low.join(family, "node")
-            .withColumnRenamed("component", "family")
+            low.join(family, "node", "left")
+            .withColumn("family", F.coalesce("component", "node"))
+            .drop("component")
             .join(label, "node", "left")
             .select("node", "family", F.coalesce("component", "node").alias("label"))
         )
