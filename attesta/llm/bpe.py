@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, map_batches, slices
+from attesta.llm.common import Batches, map_batches, slices, texts
 
 LONG_PIECE = 1024
 CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 250_000, 400_000, 500_000, 3 << 20
@@ -198,6 +198,19 @@ class Engine:
         self.db.unregister("tokens")
         return out
 
+    def both_ways(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(offsets, ids, bytes decoded from the ids) of the texts."""
+        packed = self.encode(documents)
+        offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+        ids = np.frombuffer(b"".join(packed), "<i4")
+        raw: list[bytes] = []
+        at = 0
+        while at < len(packed):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_TOKENS, side="right")) - 1)
+            raw += self.decode(offsets[at : end + 1] - offsets[at], ids[offsets[at] : offsets[end]])
+            at = end
+        return offsets, ids, raw
+
 
 _engines: dict[tuple[str, str], Engine] = {}
 
@@ -248,15 +261,7 @@ def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         own = engine(path, pattern)
         for whole in batches:
             for b in slices(whole, 1, SLICE_BYTES):
-                packed = own.encode([t or "" for t in b.column(1).to_pylist()])
-                offsets = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-                ids = np.frombuffer(b"".join(packed), "<i4")
-                raw: list[bytes] = []
-                at = 0
-                while at < len(packed):
-                    end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODE_TOKENS, side="right")) - 1)
-                    raw += own.decode(offsets[at : end + 1] - offsets[at], ids[offsets[at] : offsets[end]])
-                    at = end
+                offsets, ids, raw = own.both_ways([t or "" for t in b.column(1).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
 
@@ -264,6 +269,22 @@ def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return map_batches(rows, run, "id bigint, ids array<int>, decoded binary")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decodes (whether the ids decode to the text's bytes)."""
+
+    def run(batches: Batches) -> Batches:
+        own = engine(path, pattern)
+        for whole in batches:
+            for b in slices(whole, 1, SLICE_BYTES):
+                offsets, ids, raw = own.both_ways([t or "" for t in b.column(1).to_pylist()])
+                same = [x == y for x, y in zip(raw, texts(b.column(1)), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "decodes"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_batches(rows, run, "doc_id bigint, n_tokens bigint, ids array<int>, decodes boolean")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     return decoded.select(
         F.col("id").alias("doc_id"),

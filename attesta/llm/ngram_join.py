@@ -118,17 +118,18 @@ def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarr
 
 
 def node_sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, n_shingles and node (null for an empty set) of every row."""
+    """id, digest (of the text), n_shingles and node (null for an empty set) of every row."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            sets = list(shingle_sets(texts(b.column(1)), n))
+            sets = list(shingle_sets(texts(b.column(2)), n))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                ["id", "n_shingles", "node"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
+                ["id", "digest", "n_shingles", "node"],
             )
 
-    return map_batches(docs, run, "id bigint, n_shingles bigint, node bigint")
+    rows = docs.select("id", F.xxhash64("text").alias("digest"), "text")
+    return map_batches(rows, run, "id bigint, digest bigint, n_shingles bigint, node bigint")
 
 
 def indexed(docs: DataFrame, n: int, t: Fraction, buckets: int) -> DataFrame:
@@ -355,7 +356,8 @@ def family_links(aside: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """id, n_shingles and component (the smallest id reachable by links) of every row."""
+    """id, n_shingles and component (the smallest id reachable by links) of every row; also
+    digest (of the text) and root (a name of the component, null for an empty set)."""
     t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(node_sets(docs, n), "sets")
@@ -408,20 +410,26 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = components(links)
     by_node = classes.join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     by_root = by_node.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = by_node.join(by_root, "root").select("node", "component")
+    by_node = by_node.join(by_root, "root").select("node", "root", "component")
     return rows.join(by_node, "node", "left").select(
-        F.col("id"), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")
+        F.col("id"), "digest", "root", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (of rows that share
-    it, the first by text and the other columns)."""
-    joined = link_documents(docs, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
+    """docs with one row of each component: the one with the smallest id, null ids last; of
+    rows with that id the first by text digest, and of equal ones the first by all columns.
+    Rows without words are in no component and stay."""
     names = docs.columns
-    first = docs.join(joined, docs[id_col].eqNullSafe(joined["__id"]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_last() for c in names])
-    return first.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(names)
+    linked = link_documents(docs, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("digest"))
+    kept = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.digest", F.lit(False).alias("__empty"))
+    blank = linked.filter("root IS NULL").select("id", "digest", F.lit(True).alias("__empty")).distinct()
+    keys = kept.unionByName(blank).select(F.coalesce("id", F.lit(-(2**63))).alias("__id"), F.col("digest").alias("__digest"), "__empty")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__digest": F.xxhash64(text_col)})
+    first = Window.partitionBy("__id", "__digest").orderBy(*[F.col(c).asc_nulls_last() for c in names])
+    found = keyed.join(keys, ["__id", "__digest"]).withColumn("__row", F.row_number().over(first))
+    return found.filter("__empty OR __row = 1").select(names)
 
 
 def digest(found: DataFrame) -> DataFrame:
