@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import sys
 import tempfile
@@ -17,8 +18,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
-#: Documents of one Arrow batch; long texts make a batch large, so it is kept small.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch, which both the executor and its Python worker hold.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -31,6 +32,8 @@ def prepare(spark: SparkSession) -> None:
     """Make this package importable on executors and bound Arrow batches."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64MB") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if os.getcwd() == str(ROOT) or str(ROOT) in on_path:
         return
@@ -85,9 +88,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean() -> None:
+    """Let the C library return large blocks to the system (where it is glibc), as a
+    worker lives on from task to task."""
+    try:
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 16 << 20), (-1, 16 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema) -> DataFrame:
+    """fn over the Arrow batches of each partition."""
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Batches) -> Batches:
+        lean()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[bytes]:

@@ -244,7 +244,8 @@ def parsed(docs: DataFrame, folder: str, blocks: int) -> DataFrame:
                 if len(places):
                     out.append((-1, chunk, REMOVE, None, places.tobytes()))
                 kept = found[np.sort(order[~again])]
-                block = ((kept["seed"] >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+                # a trigger's hash is the least of many, so it is mixed again to be even
+                block = (mixed(kept["seed"]) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
                 order = np.argsort(block, kind="stable")
                 cuts = np.searchsorted(block[order], np.arange(blocks + 1))
                 for k in range(blocks):
