@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from attesta.plans import activity, content, sites
+
 
 def queries() -> dict:
-    return {}
+    return {**content.QUERIES, **activity.QUERIES, **sites.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**content.ORACLES, **activity.ORACLES, **sites.ORACLES}
