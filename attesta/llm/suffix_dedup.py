@@ -301,6 +301,12 @@ def streamed(batches: Batches, key: str):
         yield value, rows
 
 
+def by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """Each block in a partition of its own; rows of no block are dealt by chunk, to pass through."""
+    part = F.when(F.col("block") >= 0, F.col("block")).otherwise(F.pmod("chunk", F.lit(blocks))).cast("int")
+    return rows.repartitionById(blocks, part).sortWithinPartitions("block")
+
+
 def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFrame:
     """Of equal phrases the first stays; unequal ones with one trigger are asked for."""
 
@@ -349,7 +355,7 @@ def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFra
             out += by_chunk(chunk_of[asked], chunks, ASK, rows_out)
             yield from emitted(out)
 
-    return map_batches(blocked.repartition(blocks, "block").sortWithinPartitions("block"), run, ROWS)
+    return map_batches(by_block(blocked, blocks), run, ROWS)
 
 
 def answered(asked: DataFrame, folder: str, blocks: int, chunks: int) -> DataFrame:
@@ -517,7 +523,7 @@ def settled(answers: DataFrame, blocks: int) -> DataFrame:
                         out.append((-1, chunks[c], REMOVE, None, strings_removed(strings[order[cuts[c] : cuts[c + 1]]]).tobytes()))
             yield from emitted(out)
 
-    return map_batches(answers.repartition(blocks, "block").sortWithinPartitions("block"), run, ROWS)
+    return map_batches(by_block(answers, blocks), run, ROWS)
 
 
 def spans_of(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
