@@ -261,7 +261,7 @@ def meet(blocks: DataFrame, buckets: int, t: Fraction) -> DataFrame:
                 sigs.append(s)
         yield from flush()
 
-    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     return map_batches(dealt, run, CANDIDATES)
 
 
