@@ -34,21 +34,21 @@ from pyspark.sql import functions as F
 from attesta.llm.common import Batches, map_batches, texts
 from attesta.llm.words import NOT_ALNUM, buffers, word_hashes
 
-BITS = 17
+BITS = 19
 MAX_LABELLED = 8000
-FOLDS, STEPS, RATE, L2 = 3, 150, 0.1, 0.3
-PREFIX = 5
+FOLDS, STEPS, RATE, L2 = 3, 300, 0.1, 0.03
+PREFIXES = (5, 4)
 
 
 def features(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(indices, offsets): the distinct hashed features of each text, one after another."""
     parts, counts = [], []
     for _, some in buffers(documents):
-        words, n, starts = word_hashes(some, NOT_ALNUM, PREFIX)
+        words, n, *heads = word_hashes(some, NOT_ALNUM, PREFIXES)
         doc = np.repeat(np.arange(len(some), dtype=np.uint64), n)
-        half = np.uint64((1 << BITS) // 2 - 1)
-        both = np.concatenate([(words & half) * np.uint64(2), (starts & half) * np.uint64(2) + np.uint64(1)])
-        key = np.unique((np.concatenate([doc, doc]) << np.uint64(BITS)) | both)
+        kinds = (words, *heads)
+        size = np.uint64((1 << BITS) // 4)
+        key = np.unique(np.concatenate([(doc << np.uint64(BITS)) | (h % size + np.uint64(k) * size) for k, h in enumerate(kinds)]))
         parts.append((key & np.uint64((1 << BITS) - 1)).astype(np.int32))
         counts.append(np.bincount((key >> np.uint64(BITS)).astype(np.int64), minlength=len(some)))
     if not parts:

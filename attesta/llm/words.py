@@ -53,9 +53,9 @@ def buffers(texts: list[bytes], size: int = BUFFER) -> Iterator[tuple[int, list[
         yield at, texts[at:]
 
 
-def word_hashes(texts: list[bytes], ends_word: np.ndarray = BLANK, prefix: int = 0) -> tuple[np.ndarray, ...]:
-    """(hash of each word, number of words of each text), and the hash of each word's
-    first `prefix` bytes if that is asked for."""
+def word_hashes(texts: list[bytes], ends_word: np.ndarray = BLANK, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash of each word, number of words of each text), and for each of prefixes the hash
+    of each word's first bytes, so many at most (from the longest prefix to the shortest)."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     inside = ~ends_word[raw]
@@ -65,17 +65,18 @@ def word_hashes(texts: list[bytes], ends_word: np.ndarray = BLANK, prefix: int =
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
     if not len(starts):
         empty = np.zeros(0, np.uint64)
-        return (empty, counts, empty) if prefix else (empty, counts)
+        return empty, counts, *[empty] * len(prefixes)
     size = ends - starts
     values = raw[inside].astype(np.uint64) + np.uint64(1)
     first = np.cumsum(size) - size
     place = np.arange(len(values)) - np.repeat(first, size)
     values *= powers(int(size.max()))[place]
     whole = mixed(np.add.reduceat(values, first))
-    if not prefix:
-        return whole, counts
-    values[place >= prefix] = 0
-    return whole, counts, mixed(np.add.reduceat(values, first) ^ np.uint64(0x5851F42D4C957F2D))
+    heads = []
+    for n in sorted(prefixes, reverse=True):
+        values[place >= n] = 0
+        heads.append(mixed(np.add.reduceat(values, first) ^ np.uint64(0x5851F42D4C957F2D * n % 2**64)))
+    return whole, counts, *heads
 
 
 def shingle_sets(texts: list[bytes], n: int = 5, short_whole: bool = True) -> Iterator[np.ndarray]:
