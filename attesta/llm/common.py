@@ -133,3 +133,13 @@ def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch
             at, held = i + 1, 0
     if at < b.num_rows:
         yield b.slice(at)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until none is among the columns (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -189,8 +189,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     bound = items.select(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0)).cast("long").alias("n")).first()["n"]
     if bound > MAX_INDEX:
         keyed = docs.select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))
-        bad = _by_shuffle(keyed, items, threshold).filter(F.size("items") > 0).select(F.col("id").alias("__bad")).distinct()
-        return docs.join(bad, F.xxhash64(docs[text_col]) == bad["__bad"], "left_anti")
+        bad = _by_shuffle(keyed, items, threshold).filter(F.size("items") > 0).select(F.col("id").alias("bad")).distinct()
+        return docs.join(bad, F.xxhash64(docs[text_col]) == bad["bad"], "left_anti")
     index = Index([(r["item_id"], r["text"].encode()) for r in items.orderBy("item_id", "text").collect()], N, threshold)
     place = docs.columns.index(text_col)
 

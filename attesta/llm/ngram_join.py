@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.llm.common import Batches, map_batches, texts, written
+from attesta.llm.common import Batches, fresh, map_batches, texts, written
 from attesta.llm.components import components
 from attesta.llm.embed_join import forest
 from attesta.llm.words import mixed, shingle_sets
@@ -421,15 +421,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows with that id the first by text digest, and of equal ones the first by all columns.
     Rows without words are in no component and stay."""
     names = docs.columns
+    key, mark, empty, row = fresh(names, "__id", "__digest", "__empty", "__row")
     linked = link_documents(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("digest"))
-    kept = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.digest", F.lit(False).alias("__empty"))
-    blank = linked.filter("root IS NULL").select("id", "digest", F.lit(True).alias("__empty")).distinct()
-    keys = kept.unionByName(blank).select(F.coalesce("id", F.lit(-(2**63))).alias("__id"), F.col("digest").alias("__digest"), "__empty")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__digest": F.xxhash64(text_col)})
-    first = Window.partitionBy("__id", "__digest").orderBy(*[F.col(c).asc_nulls_last() for c in names])
-    found = keyed.join(keys, ["__id", "__digest"]).withColumn("__row", F.row_number().over(first))
-    return found.filter("__empty OR __row = 1").select(names)
+    kept = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.digest", F.lit(False).alias(empty))
+    blank = linked.filter("root IS NULL").select("id", "digest", F.lit(True).alias(empty)).distinct()
+    keys = kept.unionByName(blank).select(F.coalesce("id", F.lit(-(2**63))).alias(key), F.col("digest").alias(mark), empty)
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), mark: F.xxhash64(text_col)})
+    first = Window.partitionBy(key, mark).orderBy(*[F.col(c).asc_nulls_last() for c in names])
+    found = keyed.join(keys, [key, mark]).withColumn(row, F.row_number().over(first))
+    return found.filter(F.col(empty) | (F.col(row) == 1)).select(names)
 
 
 def digest(found: DataFrame) -> DataFrame:
