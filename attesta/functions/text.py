@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,19 +66,26 @@ def significant_tokens(c: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Col
     return F.filter(F.split(normalize(c), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*stopwords))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once; an expression that a lambda uses is
+    otherwise evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def terms_missing(passage_norm: Column, terms: Column) -> Column:
     """Terms, as spelled, whose normal form is not empty and not within the passage."""
-    return F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: (normalize(t) != "") & ~F.contains(passage_norm, normalize(t)))
+    listed = F.coalesce(terms, F.array().cast("array<string>"))
+    return let(passage_norm, lambda p: F.filter(listed, lambda t: let(normalize(t), lambda n: (n != "") & ~F.contains(p, n))))
 
 
 def conflicts(passage_norm: Column, distractors: Column) -> Column:
     """Distractors with significant tokens, all of which are within the passage."""
+    listed = F.coalesce(distractors, F.array().cast("array<string>"))
 
-    def hit(d: Column) -> Column:
-        tokens = significant_tokens(d)
-        return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(passage_norm, t))
+    def hit(p: Column, d: Column) -> Column:
+        return let(significant_tokens(d), lambda tokens: (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(p, t)))
 
-    return F.filter(F.coalesce(distractors, F.array().cast("array<string>")), hit)
+    return let(passage_norm, lambda p: F.filter(listed, lambda d: hit(p, d)))
 
 
 def trailing_int(c: Column, needs_separator: bool = False) -> Column:

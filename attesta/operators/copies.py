@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
@@ -26,18 +26,15 @@ def verbatim_copies(texts: DataFrame, sources: DataFrame, text_key: str, source_
     right = right.withColumn("__w", F.split("__s", " "))
     anchored = right.filter(F.size("__w") >= ANCHOR + 2).select(source_key, "__s", F.xxhash64(F.array_join(F.slice("__w", 2, ANCHOR), " ")).alias("__k"))
     rest = right.filter(F.size("__w") < ANCHOR + 2).select(source_key, "__s")
-    words = left.select(text_key, "__t", F.split("__t", " ").alias("__w"))
-    triples = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - ANCHOR + 1)), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, ANCHOR), " ")))
-    )
-    size = anchored.agg(F.coalesce(F.sum(F.octet_length("__s") + 16), F.lit(0))).first()[0]
-    if size <= SMALL:
-        anchored = F.broadcast(anchored)
-        keys = words.select(text_key, "__t", F.explode(triples).alias("__k"))
-        found = keys.join(anchored, "__k").filter(F.contains("__t", "__s")).select(text_key, source_key)
-    else:  # the long columns stay out of the shuffle of triples
-        keys = words.select(text_key, F.explode(triples).alias("__k"))
-        pairs = keys.join(anchored.select(source_key, "__k"), "__k").select(text_key, source_key).distinct()
-        found = pairs.join(left, text_key).join(right.select(source_key, "__s"), source_key).filter(F.contains("__t", "__s")).select(text_key, source_key)
+    def triples(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - ANCHOR + 1))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, ANCHOR), " "))))
+
+    keys = left.select(text_key, F.explode(tx.let(F.split("__t", " "), triples)).alias("__k"))
+    anchors = anchored.select(source_key, "__k")
+    size = anchored.agg(F.count("*") * 24).first()[0]
+    # texts meet only those sources whose anchor they hold; the long columns stay out of the first join
+    pairs = keys.join(F.broadcast(anchors) if size <= SMALL else anchors, "__k").select(text_key, source_key).distinct()
+    found = pairs.join(left, text_key).join(right.select(source_key, "__s"), source_key).filter(F.contains("__t", "__s")).select(text_key, source_key)
     loose = left.join(rest, F.contains("__t", "__s")).select(text_key, source_key)
     return found.unionByName(loose).distinct()
