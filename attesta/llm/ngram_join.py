@@ -10,15 +10,12 @@ signature. Sets of the band, and smaller ones that may have partners in it, put
 all their signatures in the index. If two sets agree in none of U segments that
 are not empty in one of them, they differ in at least U elements; so a pair
 within the limit shares a signature if either set has U > H (and shares at least
-U - H of them, by which candidates are filtered). This is the allocation of one
-unit to each segment that is not empty and none to the others; M is the least
-that leaves nearly all sets of a band some slack. A set that still falls short
-also indexes the s - ceil(3/4 s) + 1 smallest of its elements, which two such
-sets within the limit must share. (A one-deletion neighbourhood gives a segment
-a second unit at the price of a signature for each element of it. With segments
-of about three elements, an exact segment gives the unit for one signature, so
-the cost-based choice is exact segments throughout; small sets whose segments
-would be too few are the ones that index single elements.)
+U - H of them, by which candidates are filtered). Allocation by cost: an exact
+segment gives one unit for one signature, its one-deletion neighbourhood a second
+unit for as many as it has elements. M is the least that leaves nearly all sets
+of a band enough by exact segments; a set that falls short indexes the one-deletion
+neighbourhoods of its segments, too, and if that is too little, the s - ceil(3/4 s)
++ 1 smallest of its elements, which two such sets within the limit must share.
 
 Signatures are shuffled in packed blocks. One that at most HOT sets share gives
 candidate pairs at once. One that more sets share (a common line, a large group of
@@ -92,8 +89,13 @@ def segments_of(top: int, t: Fraction) -> int:
 
 
 def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarray]]:
-    """(scheme, units, spare units, signatures) of one set, in its own scheme, in the next
-    one if it may have partners there, and by single elements if it has none to spare."""
+    """(scheme, units, spare units, signatures) of one set, in its own scheme and in the next
+    one if it may have partners there.
+
+    A segment that is not empty costs one signature for one unit. A set that has no unit to
+    spare that way buys a second one for each segment of two elements or more, by the
+    segment's one-deletion neighbourhood; and if that is too little, indexes single elements.
+    """
     n = len(s)
     band = int(np.searchsorted(EDGES, n, side="right")) - 1
     out, short = [], False
@@ -107,10 +109,22 @@ def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarr
         segment = segment[order]
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
         salt = np.uint64((scheme * 0x9E3779B97F4A7C15) % 2**64)
-        found = mixed(np.add.reduceat(mixed(s[order] ^ salt), first) ^ mixed(segment[first] + salt))
-        spare = len(found) - limit(n, min(math.floor(n / t), top), t)
-        short |= spare < 1
-        out.append((scheme, len(found), spare, found))
+        # a segment's signature is made from the sum of its elements' hashes, so that of a
+        # neighbour is the sum without one of them
+        element = mixed(s[order] ^ salt)
+        total, place = np.add.reduceat(element, first), mixed(segment[first] + salt)
+        found = mixed(total ^ place)
+        most = limit(n, min(math.floor(n / t), top), t)
+        spare = len(found) - most
+        if spare < 1:
+            size = np.diff(np.append(first, n))
+            of = np.repeat(np.arange(len(first)), size)
+            deep = (size > 1)[of]
+            near = mixed((total[of] - element) ^ place[of])[deep]
+            short |= len(first) + int((size > 1).sum()) - most < 1
+            out.append((scheme, len(found), spare, np.concatenate([found, near])))
+        else:
+            out.append((scheme, len(found), spare, found))
     if short:
         keep = n - math.ceil(t * n) + 1
         out.append((PREFIX_SCHEME, 0, 0, mixed(s[:keep] ^ np.uint64(0xD6E8FEB86659FD93))))
