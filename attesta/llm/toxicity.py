@@ -36,7 +36,7 @@ from attesta.llm.words import NOT_ALNUM, buffers, word_hashes
 
 BITS = 19
 MAX_LABELLED = 8000
-FOLDS, STEPS, RATE, L2 = 3, 300, 0.1, 0.03
+FOLDS, STEPS, RATE, L2 = 3, 200, 0.1, 0.1
 PREFIXES = (5, 4)
 
 
@@ -76,7 +76,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def rows_of(indices: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(offsets)[keep]
-    take = np.repeat(offsets[:-1][keep] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    take = np.repeat((offsets[:-1][keep] - (np.cumsum(size) - size)).astype(np.int32), size)
+    take += np.arange(len(take), dtype=np.int32)
     return indices[take], np.concatenate([[0], np.cumsum(size)])
 
 
@@ -84,8 +85,8 @@ def telling(indices: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarr
     """The features whose presence depends on the label beyond chance: their likelihood
     ratio (G) exceeds twice the logarithm of the number of features seen."""
     n, pos = len(y), float(y.sum())
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    df, hit = np.bincount(indices, minlength=1 << BITS), np.bincount(indices, y[doc], 1 << BITS)
+    df = np.bincount(indices, minlength=1 << BITS)
+    hit = np.bincount(indices[np.repeat(y > 0, np.diff(offsets))], minlength=1 << BITS).astype(float)
 
     def part(seen: np.ndarray, total: np.ndarray | float, share: float) -> np.ndarray:
         return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(total * share, 1e-12))
@@ -102,10 +103,10 @@ def fit(indices: np.ndarray, offsets: np.ndarray, before: np.ndarray, y: np.ndar
     if n == 0 or share in (0.0, 1.0):
         return Linear(w.astype(np.float32), c, 30.0 if n and share == 1 else -30.0)
     kept = telling(indices, offsets, y)
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     local = place[indices]
-    doc = np.repeat(np.arange(n), np.diff(offsets))[local >= 0]
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[local >= 0]
     local = local[local >= 0]
     v = np.zeros(len(kept) + before.shape[1] + 1)
     v[-1] = np.log(share / (1 - share))
@@ -155,14 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     names = [f"label_{i}" for i in range(len(categories))]
     rows = map_batches(found.select("id", "text", *names), extract, "id bigint, features array<int>, " + ", ".join(f"{n} double" for n in names))
     table = rows.toArrow().combine_chunks()
-    order = np.lexsort([np.nan_to_num(table.column(n).to_numpy()) for n in names] + [table.column("id").to_numpy()]) if table.num_rows else np.zeros(0, np.int64)
-    table = table.take(pa.array(order))
-    lists = [np.asarray(x, np.int32) for x in table.column("features").to_pylist()]
-    offsets = np.cumsum([0, *map(len, lists)])
-    indices = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+    if not table.num_rows:
+        return fit_chain(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, len(names))))
     ids = table.column("id").to_numpy()
+    y = np.column_stack([table.column(n).to_numpy().astype(float) for n in names])
+    lists = table.column("features").combine_chunks()
+    indices, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
+    # rows come in any order: by id, label and length they make the same model each time
+    order = np.lexsort((np.diff(offsets), *np.nan_to_num(y.T), ids))
+    indices, offsets = rows_of(indices, offsets, order)
+    ids, y = ids[order], y[order]
+    del rows, table, lists
     fold = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
-    y = np.column_stack([table.column(n).to_numpy().astype(float) for n in names]) if len(names) else np.zeros((len(ids), 0))
     return fit_chain(indices, offsets, fold, y)
 
 
