@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +41,37 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
 
 
+def listed_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(URI, path from root) of all files under root, hidden and empty ones included, which
+    Spark's own file sources pass over."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString().rstrip("/") + "/"
+    files, found = fs.listFiles(base, True), []
+    while files.hasNext():
+        uri = files.next().getPath().toString()
+        found.append((uri, uri.removeprefix(top)))
+    return found
+
+
 def repository_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> DataFrame:
     """path (from root), content, text (null if not UTF-8) and suffix of files under root, but
-    for those with a skipped folder anywhere in their path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    clean = root.rstrip("/").removeprefix("file://")
-    rel = F.regexp_replace(F.col("path"), "^.*?" + "\\Q" + clean + "/\\E", "")
-    rows = files.select(rel.alias("path"), "content").filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skip))))
+    for those with a skipped folder anywhere in their path. Executors read the contents."""
+
+    def read(batches):
+        for b in batches:
+            for uri, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs, name = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                with fs.open_input_stream(name, compression=None) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    kept = [(u, p) for u, p in listed_files(spark, root) if not set(p.split("/")) & set(skip)]
+    rows = spark.createDataFrame(kept, "uri string, path string").mapInArrow(read, "path string, content binary")
     return rows.select(
         "path",
         "content",
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "utf-8")).alias("text"),
-        F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"),
+        F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text"),
+        F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).alias("suffix"),
     )
 
 
