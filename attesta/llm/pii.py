@@ -43,7 +43,7 @@ PATTERNS = {
     "ipv4": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\w]|[./-]\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+1[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=sep)').replace('([./-])', '(?P<sep>[./-])')})" for k, v in PATTERNS.items()), re.ASCII)
@@ -174,15 +174,19 @@ def pseudonymised(text: str, secret: str = DEFAULT_KEY) -> tuple[str, list[tuple
         return text, []
     out, spans, last, at = [], [], 0, 0
     while m := FIND.search(text, at):
-        new = pseudonym(m.lastgroup if m.lastgroup != "sep" else "date", m[0], secret)
+        kind, found = m.lastgroup if m.lastgroup != "sep" else "date", m[0]
+        new = pseudonym(kind, found, secret)
+        while new is None and kind == "card" and (cut := max(found.rfind(" "), found.rfind("-"))) > 0:
+            found = found[:cut]  # a number may follow a card
+            new = pseudonym(kind, found, secret)
         if new is None:
             at = m.start() + 1
             while at < m.end() and text[at - 1].isdigit() and text[at].isdigit():
                 at += 1  # the rest of a number is no finding of its own
             continue
         out += [text[last : m.start()], new]
-        spans.append((m.start(), m.end(), "date" if m.lastgroup == "sep" else m.lastgroup))
-        last = at = m.end()
+        last = at = m.start() + len(found)
+        spans.append((m.start(), at, kind))
     return "".join([*out, text[last:]]), spans
 
 

@@ -39,6 +39,16 @@ def test_invalid_values_stay():
         assert pii.pseudonymised(text) == (text, [])
 
 
+def test_numbers_side_by_side():
+    card, other, phone = "4757965300669737", "4845168114407329", "+1 (017) 555-7713"
+    for text, kinds in ((f"{card} {other}", ["card", "card"]), (f"12 {card} 345", ["card"]), (f"{card}-1", ["card"]), (f"{phone} 12", ["phone"]), (f"7 {phone} {card}", ["phone", "card"])):
+        new, spans = pii.pseudonymised(text, KEY)
+        assert [k for *_, k in spans] == kinds
+        assert card not in new and other not in new and phone not in new
+        for s, e, k in spans:
+            assert pii.pseudonym(k, text[s:e], KEY) in new and text[s:e] in (card, other, phone)
+
+
 def test_ssn_walks_to_valid_ones():
     for n in range(100):
         assert pii.valid_ssn(int(pii.pseudonym("ssn", f"123-45-{n + 1:04d}", KEY).replace("-", "")))
