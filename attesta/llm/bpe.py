@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import Batches, map_batches, slices, texts
 
 LONG_PIECE = 1024
-CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 250_000, 400_000, 500_000, 3 << 20
+CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 600_000, 400_000, 500_000, 3 << 20
 
 #: Positions count on over all pieces of a query; a key holds a rank and a position.
 MERGE = """
