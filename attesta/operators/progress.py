@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 CATEGORY_NAMES = {"eventos": "Eventos", "personajes": "Personajes", "lugares": "Lugares", "evangelios": "Evangelios"}
 DIFFICULTY_NAMES = {"beginner": "Inicial", "intermediate": "Intermedia", "advanced": "Avanzada"}
 BOTH, RIGHT, WRONG = "Respuesta correcta y seleccionada.", "Respuesta correcta.", "Tu respuesta, incorrecta."
+RESTORED = "Progreso restaurado. "
+PRAISE = "Correcto. Revisa el contexto y la referencia antes de continuar."
+REPLY_HEAD, REPLY_TAIL = "No es correcto. La respuesta es ", ". Revisa el contexto y la referencia."
 VERSION = 1
 
 
@@ -57,9 +60,8 @@ def option_state(option: Column, correct: Column, selected: Column) -> Column:
 
 
 def feedback(correct_text: Column, is_correct: Column, restored: Column) -> Column:
-    head = F.when(restored, "Progreso restaurado. ").otherwise("")
-    wrong = F.concat(F.lit("No es correcto. La respuesta es "), correct_text, F.lit(". Revisa el contexto y la referencia."))
-    return F.concat(head, F.when(is_correct, "Correcto. Revisa el contexto y la referencia antes de continuar.").otherwise(wrong))
+    wrong = F.concat(F.lit(REPLY_HEAD), correct_text, F.lit(REPLY_TAIL))
+    return F.concat(F.when(restored, RESTORED).otherwise(""), F.when(is_correct, PRAISE).otherwise(wrong))
 
 
 def stored_progress(raw: Column) -> Column:

@@ -105,7 +105,7 @@ def q26(spark, sf):
 def q27(spark, sf):
     c = F.col("event_type")
     return table(spark, sf, "events").select(
-        "event_id", F.concat(tx.label(c, {"view": "Eventos", "click": "Personajes"}), F.lit(" · Dificultad "), F.lower(tx.label(c, {"error": "Inicial"}))).alias("caption")
+        "event_id", F.concat(tx.label(c, {"view": progress.CATEGORY_NAMES["eventos"], "click": progress.CATEGORY_NAMES["personajes"]}), F.lit(" · Dificultad "), F.lower(tx.label(c, {"error": progress.DIFFICULTY_NAMES["beginner"]}))).alias("caption")
     )
 
 
