@@ -33,10 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, map_batches, slices, texts
+from attesta.llm.common import Batches, holding, map_batches, slices, texts
 
 LONG_PIECE = 1024
-CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 600_000, 400_000, 500_000, 3 << 20
+CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 400_000, 150_000, 250_000, 2 << 20
 
 #: Positions count on over all pieces of a query; a key holds a rank and a position.
 MERGE = """
@@ -80,14 +80,14 @@ class Engine:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs = [
             (self.ranks[k[:i]], self.ranks[k[i:]], v)
             for k, v in self.ranks.items()
             for i in range(1, len(k))
             if k[:i] in self.ranks and k[i:] in self.ranks
         ]
-        self.pairs = {(a, b): m for a, b, m in pairs}
+        self._pairs: dict[tuple[int, int], int] | None = None
         table = pa.table({n: pa.array([x[i] for x in pairs], pa.int32()) for i, n in enumerate(("left_token", "right_token", "merged"))})
         vocabulary = pa.table(
             {"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([k.decode("latin-1") for k in self.ranks])}
@@ -118,6 +118,14 @@ class Engine:
         ends = np.searchsorted(word, np.arange(len(pieces)), side="right").tolist()
         return [ids[4 * a : 4 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
+    @property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The merge table as a dictionary, made when a long piece first needs it."""
+        if self._pairs is None:
+            rows = self.db.execute("SELECT left_token, right_token, merged FROM merges").fetchall()
+            self._pairs = {(a, b): m for a, b, m in rows}
+        return self._pairs
+
     def merge_long(self, piece: bytes) -> bytes:
         """The same merges, for one very long piece, by a heap."""
         tok: list[int | None] = self.single[np.frombuffer(piece, np.uint8)].tolist()
@@ -213,6 +221,7 @@ class Engine:
 
 
 _engines: dict[tuple[str, str], Engine] = {}
+holding("bpe", _engines.clear)
 
 
 def engine(path: str, pattern: str) -> Engine:
@@ -235,7 +244,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "ids"])
 
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id bigint, ids array<int>")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id bigint, ids array<int>", keep="bpe")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -251,7 +260,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 raw = own.decode(offsets - offsets[0], ids)
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
 
-    return map_batches(encoded.select("id", "ids"), run, "id bigint, ids array<int>, decoded binary")
+    return map_batches(encoded.select("id", "ids"), run, "id bigint, ids array<int>, decoded binary", keep="bpe")
 
 
 def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,7 +275,7 @@ def roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "id bigint, ids array<int>, decoded binary")
+    return map_batches(rows, run, "id bigint, ids array<int>, decoded binary", keep="bpe")
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,7 +291,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same)], ["doc_id", "n_tokens", "ids", "decodes"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, run, "doc_id bigint, n_tokens bigint, ids array<int>, decodes boolean")
+    return map_batches(rows, run, "doc_id bigint, n_tokens bigint, ids array<int>, decodes boolean", keep="bpe")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

@@ -88,9 +88,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean() -> None:
-    """Let the C library return large blocks to the system (where it is glibc), as a
-    worker lives on from task to task."""
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, drop: Callable[[], None]) -> None:
+    """Say that this module keeps things in a worker; drop() is called before other modules' tasks."""
+    _held[name] = drop
+
+
+def lean(keep: str | None = None) -> None:
+    """A worker lives on from task to task: drop what other modules keep in it, and let the
+    C library return large blocks to the system (where it is glibc)."""
+    for name, drop in _held.items():
+        if name != keep:
+            drop()
     try:
         libc = ctypes.CDLL(None)
         for option, value in ((-3, 16 << 20), (-1, 16 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
@@ -100,12 +111,12 @@ def lean() -> None:
         pass
 
 
-def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema) -> DataFrame:
-    """fn over the Arrow batches of each partition."""
+def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema, keep: str | None = None) -> DataFrame:
+    """fn over the Arrow batches of each partition; what the module `keep` holds stays."""
     prepare(df.sparkSession)
 
     def run(batches: Batches) -> Batches:
-        lean()
+        lean(keep)
         yield from fn(batches)
 
     return df.mapInArrow(run, schema)
