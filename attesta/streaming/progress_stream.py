@@ -8,6 +8,7 @@ progress.first_answers; tests hold one against the other.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -50,23 +51,38 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Progress(), outputStructType=OUTPUT, outputMode="update", timeMode="none")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that executors share: under spark.checkpoint.dir, or a temporary one where the
+    session has none (a local master)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or f"file://{tempfile.mkdtemp(prefix='attesta-stream-')}"
+    return f"{base.rstrip('/')}/progress-{uuid.uuid4().hex}"
+
+
 def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over a folder or file to its end, in one batch; the last state of each user."""
-    name = f"progress_{uuid.uuid4().hex}"
+    """Run the stream over a folder or file to its end; the last state of each user. States go
+    to a table in the shared folder, by batch; a batch that is run again replaces its own."""
+    folder = scratch(spark)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
         schema = spark.read.parquet(path).schema
-        folder, _, file = path.rstrip("/").rpartition("/")
-        stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder) if not is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-        query = progress(stream).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
+        parent, _, file = path.rstrip("/").rpartition("/")
+        source = spark.readStream.schema(schema)
+        stream = source.parquet(path) if is_folder(spark, path) else source.option("pathGlobFilter", file).parquet(parent)
+
+        def keep(states: DataFrame, batch: int) -> None:
+            states.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
+
+        query = progress(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    last = spark.table(name).groupBy("user_id").agg(F.max_by(F.struct("run", "n_events", "answers"), F.struct("run", "n_events")).alias("s"))
+    states = spark.read.schema(f"{OUTPUT}, batch bigint").parquet(f"{folder}/states")
+    last = states.groupBy("user_id").agg(F.max_by(F.struct("run", "n_events", "answers"), "batch").alias("s"))
     return last.select("user_id", "s.run", "s.n_events", "s.answers")
 
 
