@@ -235,7 +235,9 @@ def parsed(docs: DataFrame, folder: str, blocks: int) -> DataFrame:
                 chunk = write_chunk(folder, b.column(0), documents)
                 ids = known_ids(b.column(0))
                 found = phrases(documents)
-                rank = (found["doc"].astype(np.int64) << 32) | found["lo"]
+                place = np.lexsort((found["lo"], ids[found["doc"]]))
+                rank = np.empty(len(place), np.int64)
+                rank[place] = np.arange(len(place))
                 # by phrase alone, as within the corpus: the trigger's hash is part of the phrase
                 order, first = firsts(rank, found["phrase"], found["seed"])
                 again = (ids[found["doc"][order]] != ids[found["doc"][first]]) | (found["lo"][order] != found["lo"][first])

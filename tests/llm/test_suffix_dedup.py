@@ -55,6 +55,14 @@ def test_spread_triggers_give_the_same(spark):
     assert found(df, spread=2) == brute(rows)
 
 
+def test_rows_of_one_id_are_ordered_by_start(spark):
+    rnd = random.Random(9)
+    a, b = ("".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (70, 400))
+    rows = [(5, a + b), (5, b), (4, a), (6, b[:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert found(df) == brute(rows) and found(df.repartition(4), spread=1) == brute(rows)
+
+
 def test_odd_rows(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert found(odd) == brute(rows)
