@@ -23,8 +23,8 @@ what exactness costs.
 Edge cases: null vectors, null or non-finite components, zero vectors and empty
 arrays link with nothing and are their own component; vectors of different
 length never link; repeated ids are separate rows that count as vectors of
-their own; a null id keeps its row, without being anyone's component unless all
-are null; other columns are not read.
+their own, also with different vectors; a null id counts as a vector and names a
+component only if no other id is in it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,39 +88,34 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
-    good = rows.filter(fit & F.col("vec_id").isNotNull())
-    # copies of a vector are one class, named by its smallest id
-    classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.min("rep").alias("any")).collect()
+    # copies of a vector are one class; written, so that its number stays the same
+    grouped = rows.filter(fit).groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()
     counted = None
     for size in sizes:  # vectors of different length never link; one length is the rule
         part = _link_classes(classes.filter(F.size("v") == size["dim"]), size["dim"], size["n"], threshold, block)
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
-        counted = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
+        counted = spark.createDataFrame([], "node bigint, links bigint, root bigint")
     found = written(counted, "found")
-    edges = found.filter("root IS NOT NULL").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    named = components(edges)
-    links = found.filter("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = (
-        classes.join(links, "rep", "left")
-        .join(named, F.col("rep") == F.col("node"), "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    joined = rows.withColumn("fit", fit & F.col("vec_id").isNotNull()).withColumn("key", F.when(F.col("fit"), F.col("v"))).join(by_class.withColumnRenamed("v", "key"), "key", "left")
+    named = components(found.filter("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.filter("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    by_class = classes.join(links, "node", "left").join(named, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    by_root = by_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_class = by_class.join(by_root, "root").select(F.col("v").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    joined = rows.withColumn("fit", fit).withColumn("key", F.when(F.col("fit"), F.col("v"))).join(by_class, "key", "left")
+    own = F.when(F.col("fit"), F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept")
     )
 
 
 def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block: int) -> DataFrame:
-    """rep, links (a count in one block) or root (a link of a block's forest)."""
+    """node, links (a count in one block) or root (a link of a block's forest)."""
     r = math.acos(min(1.0, max(-1.0, threshold)))
     k = max(1, min(MAX_PIVOTS, math.ceil(n / block)))
-    chosen = classes.orderBy(F.xxhash64("v"), "rep").limit(k).select("v").toArrow().column("v").combine_chunks()
+    chosen = classes.orderBy(F.xxhash64("v"), "node").limit(k).select("v").toArrow().column("v").combine_chunks()
     pivots = unit(matrix(chosen, dim))  # at most MAX_PIVOTS rows: bounded
 
     def angles(x: np.ndarray) -> np.ndarray:
@@ -134,11 +129,11 @@ def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block:
             flat = pa.array(x.ravel())
             unit_lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), b.column("copies"), unit_lists, pa.array(cell.astype(np.int32)), pa.array(t[np.arange(len(cell)), cell])],
-                ["rep", "copies", "x", "cell", "angle"],
+                [b.column("node"), b.column("copies"), unit_lists, pa.array(cell.astype(np.int32)), pa.array(t[np.arange(len(cell)), cell])],
+                ["node", "copies", "x", "cell", "angle"],
             )
 
-    placed = written(map_batches(classes.select("rep", "copies", "v"), assign, "rep bigint, copies bigint, x array<double>, cell int, angle double"), "cells")
+    placed = written(map_batches(classes.select("node", "copies", "v"), assign, "node bigint, copies bigint, x array<double>, cell int, angle double"), "cells")
     cells = {row["cell"]: (row["radius"], row["n"]) for row in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
     radius = np.array([cells.get(j, (-10.0, 0))[0] for j in range(len(pivots))])
     blocks = np.array([math.ceil(cells.get(j, (0, 0))[1] / block) for j in range(len(pivots))])
@@ -149,7 +144,7 @@ def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block:
         for b in batches:
             x = matrix(b.column("x"), dim)
             t, own, angle = angles(x), b.column("cell").to_numpy(), b.column("angle").to_numpy()
-            mine = b.column("rep").to_numpy()
+            mine = b.column("node").to_numpy()
             home = ((mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.maximum(blocks[own], 1).astype(np.uint64)
             row, cell, part, role = [], [], [], []
             near = (t <= radius[None, :] + r + slack) & (t <= angle[:, None] + 2 * r + slack)
@@ -171,9 +166,9 @@ def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block:
                         pa.array(np.concatenate(cell)[s : s + STREAM * 8].astype(np.int32)),
                         pa.array(np.concatenate(part)[s : s + STREAM * 8].astype(np.int32)),
                         pa.array(np.concatenate(role)[s : s + STREAM * 8].astype(np.int32)),
-                        b.column("rep").take(take), b.column("copies").take(take), b.column("x").take(take),
+                        b.column("node").take(take), b.column("copies").take(take), b.column("x").take(take),
                     ],
-                    ["cell", "part", "role", "rep", "copies", "x"],
+                    ["cell", "part", "role", "node", "copies", "x"],
                 )
 
     def compare(batches: Batches) -> Batches:
@@ -186,7 +181,7 @@ def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block:
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if a == z:
                     continue
-                rep, copies, x = b.column("rep").to_numpy()[a:z], b.column("copies").to_numpy()[a:z], matrix(b.column("x").slice(a, z - a), dim)
+                rep, copies, x = b.column("node").to_numpy()[a:z], b.column("copies").to_numpy()[a:z], matrix(b.column("x").slice(a, z - a), dim)
                 if key != tuple(ids[a, :2]):
                     key, base, total = tuple(ids[a, :2]), [], np.zeros(0)
                 if ids[a, 2] == 0:
@@ -218,11 +213,11 @@ def _link_classes(classes: DataFrame, dim: int, n: int, threshold: float, block:
             some = np.flatnonzero(count)
             node, root = forest(rep_a[i], rep_b[j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(count[some]), pa.nulls(len(some), pa.int64())], ["rep", "links", "root"]
+                [pa.array(ids[some]), pa.array(count[some]), pa.nulls(len(some), pa.int64())], ["node", "links", "root"]
             )
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(root)], ["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(root)], ["node", "links", "root"])
 
-    sent = map_batches(placed, replicate, "cell int, part int, role int, rep bigint, copies bigint, x array<double>")
+    sent = map_batches(placed, replicate, "cell int, part int, role int, node bigint, copies bigint, x array<double>")
     tasks = max(1, int(blocks.sum()))
     dealt = sent.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "role")
-    return map_batches(dealt, compare, "rep bigint, links bigint, root bigint")
+    return map_batches(dealt, compare, "node bigint, links bigint, root bigint")

@@ -4,7 +4,7 @@ from attesta.llm import embed_join as ej
 
 
 def brute(rows, threshold=0.95):
-    ok = [i is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v in rows]
+    ok = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
     root = list(range(len(rows)))
     links = [0] * len(rows)
 
@@ -42,7 +42,7 @@ def vectors(seed=0):
     hot = rng.normal(size=8)
     rows += [(len(rows) + k, (hot + rng.normal(size=8) * 0.15).astype(np.float32).tolist()) for k in range(80)]
     rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [None] + [1.0] * 7), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (907, [float("inf")] + [1.0] * 7)]
-    return rows + [(0, rows[0][1]), (908, rows[0][1])]
+    return rows + [(0, rows[0][1]), (908, rows[0][1]), (1, rows[200][1]), (None, rows[3][1]), (None, [0.5] * 4 + [-9.0] * 4), (None, None)]
 
 
 def test_against_brute_force(spark):
