@@ -49,6 +49,14 @@ IDENTIFIERS = (
     b"secret_key service session signature string timeout token username version webhook "
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
 )
+#: Parts of names, and the pairs of letters that are common in words.
+WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch "
+    "ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po "
+    "we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui fr oo ag "
+    "av bo ap gr ef if sp qu eq ue".split()
+)
 CONTEXT_BEFORE, SURROUNDING, NOVELTY = 32, 1024, 0.7
 
 
@@ -61,16 +69,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def novelty(token: str, before: str, after: str) -> float:
-    """Marginal compressed bytes of token, per byte, given its surroundings."""
-    around = f"{before}\n{after}"
-    names = " ".join(dict.fromkeys(x for x in IDENTIFIER.findall(around)))
-    prime = IDENTIFIERS + names.encode() + b" " + around.encode()
+def wordlike(letters: str) -> bool:
+    """Whether most pairs of letters are common ones in words; few pairs of random letters are."""
+    pairs = [letters[i : i + 2].lower() for i in range(len(letters) - 1)]
+    return sum(x in PAIRS for x in pairs) >= 0.6 * len(pairs)
+
+
+def around(text: str, token: str, a: int, z: int) -> str:
+    """The surroundings of text[a:z] without other occurrences of token, also without those that their ends cut."""
+    n, start, end = len(token), max(0, a - SURROUNDING), min(len(text), z + SURROUNDING)
+    if (p := text.find(token, max(0, start - n + 1), min(a, start + n - 1))) >= 0:
+        start = p + n
+    if (p := text.rfind(token, max(z, end - n + 1), end + n - 1)) >= 0:
+        end = p
+    return f"{text[start:a]}\n{text[z:end]}".replace(token, " ")
+
+
+def novelty(token: str, surroundings: str) -> float:
+    """Marginal compressed bytes of token, per byte, given its surroundings; its words cost nothing."""
+    names = " ".join(dict.fromkeys(x for x in IDENTIFIER.findall(surroundings)))
+    prime = IDENTIFIERS + names.encode() + b" " + surroundings.encode()
     packer = zstandard.ZstdCompressor(
         level=3, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False
     )
-    raw = token.encode()
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    raw = WORD.sub(lambda m: "" if wordlike(m[0]) else m[0], token).encode()
+    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(token)
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
@@ -85,7 +108,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVE
             continue
         if not SENSITIVE.search(text[max(0, a - CONTEXT_BEFORE) : a]):
             continue
-        if novelty(token, text[max(0, a - SURROUNDING) : a], text[z : z + SURROUNDING]) >= least:
+        if novelty(token, around(text, token, a, z)) >= least:
             out.append((a, z, "novel"))
     return out
 

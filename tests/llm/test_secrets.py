@@ -40,6 +40,13 @@ def test_words_repeated_nearby_are_not_novel():
     assert secrets.novel_spans(text, []) == []
 
 
+def test_a_copy_nearby_hides_no_key():
+    key = "q8Zt4LmW0xKp2VnB7sRdYc3HfJ9gTa5NeU1iQo6P"
+    for between in (" ", "\n", " x" * 200, " y" * 490, " z" * 505, " w" * 600):
+        text = f"Authorization: bearer {key}{between} bearer {key}\nbearer {key}"
+        assert [text[a:z] for a, z, _ in secrets.novel_spans(text, [])] == [key] * 3
+
+
 def test_tables(odd, empty, sf, spark):
     rows = secrets.digest(secrets.scan_secrets(odd)).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows if r.doc_id in (1, 2, 3)} == {""}
