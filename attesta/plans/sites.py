@@ -103,6 +103,23 @@ def q37(spark, sf):
     return out
 
 
+@query(
+    "q65_scan_all_with_line",
+    f"""WITH p(kind, pattern) AS (VALUES ('ipv4', '{IPV4}'), ('email', '{EMAIL}')),
+        m AS (SELECT doc_id, kind, string_split_regex(text, pattern) AS parts, regexp_extract_all(text, pattern) AS found FROM documents, p WHERE regexp_matches(text, pattern)),
+        k AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)
+        SELECT doc_id, kind, len(string_split(array_to_string(parts[1:i], ''), chr(10))) AS line, found[i] AS detail FROM k""",
+)
+def q65(spark, sf):
+    """Every finding of each kind in a document, with its line; q37 has the first only."""
+    out = None
+    for kind, pattern in (("ipv4", IPV4), ("email", EMAIL)):
+        hits = table(spark, sf, "documents").select("doc_id", "text", F.explode(scan.places(F.col("text"), pattern)).alias("m"))
+        found = hits.select("doc_id", F.lit(kind).alias("kind"), tx.line_of(F.col("text"), F.col("m.at")).cast("bigint").alias("line"), F.col("m.found").alias("detail"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "q38_error_union",
     f"""SELECT check_name, count(*) AS n FROM (
