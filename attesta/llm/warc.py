@@ -123,6 +123,12 @@ def inflate(fs_file: pa.NativeFile, at: int, first: bytes | memoryview) -> bytes
     unpack, out, data, pos = zlib.decompressobj(31), [], first, at
     try:
         head = unpack.decompress(data, 16)
+        while len(head) < 5 and not unpack.eof:  # the bytes at hand end before the head does
+            pos += len(data)
+            fs_file.seek(pos)
+            if not (data := fs_file.read(CHUNK)):
+                return None
+            head += unpack.decompress(data, 16)
     except zlib.error:
         return None
     if not head.startswith(b"WARC/"):

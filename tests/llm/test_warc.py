@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 from attesta.llm import warc
 
@@ -62,3 +63,14 @@ def test_magic_inside_a_member_is_no_record(spark, tmp_path):
     path = tmp_path / "x.warc.gz"
     path.write_bytes(b"junk" + inner + warc.member(warc.record(7, b"u", b"p", b"D", None, False)))
     assert [r["page_id"] for _, r in warc.members(str(path), 0, path.stat().st_size)] == [7]
+
+
+def test_a_member_at_the_end_of_a_window(tmp_path):
+    long = warc.member(warc.record(1, b"u", random.Random(5).randbytes(warc.CHUNK + 5000), b"D", None, False))
+    after = warc.member(warc.record(2, b"u", b"p", b"D", None, False))
+    assert warc.MAGIC not in long[1:] and len(long) > warc.CHUNK
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(long + after)
+    for left in (*range(3, 80), 200, 1 << 14):
+        start = len(long) + left - warc.CHUNK  # a range's window that ends so many bytes into the second member
+        assert [r["page_id"] for _, r in warc.members(str(path), start, path.stat().st_size)] == [2]
