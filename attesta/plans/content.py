@@ -284,6 +284,45 @@ def q16(spark, sf):
     return bank.validated(items, ["bank"], "doc_id").select("doc_id", "error")
 
 
+WHOLE_ITEMS_SQL = """
+    SELECT doc_id, lang, source, left(text, half) AS question, substr(text, half + 1) AS explanation, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS category,
+           [left(text, quarter), substr(text, quarter + 1, quarter), substr(text, 2 * quarter + 1, quarter), substr(text, 3 * quarter + 1)] AS options,
+           CASE WHEN doc_id % 7 = 0 THEN 'zz' ELSE left(text, quarter) END AS correct, CASE doc_id % 5 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' WHEN 3 THEN ' easy ' ELSE 'x' END AS difficulty,
+           CASE doc_id % 3 WHEN 0 THEN substr(text, 3 * quarter + 1) WHEN 1 THEN substr(text, quarter + 1, 2 * quarter) ELSE text END AS verse
+    FROM (SELECT *, length(text) // 2 AS half, length(text) // 4 AS quarter FROM documents)
+"""
+
+
+@query(
+    "q66_validate_whole_text",
+    f"""WITH i AS ({WHOLE_ITEMS_SQL}), n AS (SELECT *, {norm_ws("question")} AS qn, {norm_ws("explanation")} AS en, {norm_ws("verse")} AS vn FROM i),
+        d AS (SELECT *, row_number() OVER (PARTITION BY source, qn ORDER BY doc_id) > 1 AS again FROM n)
+        SELECT doc_id, CASE
+            WHEN qn = '' OR en = '' OR trim(category) = '' THEN 'missing_field'
+            WHEN regexp_matches(question, '\\d+\\s*:\\s*\\d+') THEN 'citation_in_question'
+            WHEN again THEN 'duplicate_question'
+            WHEN len(list_distinct(list_transform(options, lambda x: {norm_ws("x")}))) <> 4 THEN 'duplicate_option'
+            WHEN NOT list_contains(list_transform(options, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), regexp_replace(correct, '^\\s+|\\s+$', '', 'g')) THEN 'answer_not_in_options'
+            WHEN trim(difficulty) NOT IN ('easy', 'medium', 'hard') THEN 'unknown_difficulty'
+            WHEN length(vn) >= 40 AND (contains(qn, vn) OR contains(en, vn)) THEN 'source_copied' END AS error
+        FROM d""",
+)
+def q66(spark, sf):
+    """q16 on whole texts: question and explanation are the halves, the options the quarters."""
+    t, d = F.col("text"), F.col("doc_id")
+    half, quarter = F.floor(F.length(t) / 2).cast("int"), F.floor(F.length(t) / 4).cast("int")
+    rest, one = F.length(t), F.lit(1)
+    items = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("bank"), F.substring(t, one, half).alias("question"), F.substring(t, half + 1, rest).alias("explanation"),
+        F.when(d % 11 == 0, " ").otherwise(F.col("lang")).alias("category"),
+        F.array(*[F.substring(t, quarter * i + 1, quarter if i < 3 else rest) for i in range(4)]).alias("options"),
+        F.when(d % 7 == 0, "zz").otherwise(F.substring(t, one, quarter)).alias("correct_answer"),
+        F.when(d % 5 == 0, "easy").when(d % 5 == 1, "medium").when(d % 5 == 2, "hard").when(d % 5 == 3, " easy ").otherwise("x").alias("difficulty"),
+        F.when(d % 3 == 0, F.substring(t, quarter * 3 + 1, rest)).when(d % 3 == 1, F.substring(t, quarter + 1, quarter * 2)).otherwise(t).alias("source"),
+    )
+    return bank.validated(items, ["bank"], "doc_id").select("doc_id", "error")
+
+
 @query("q17_duplicate_question", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {norm_ws('text')} ORDER BY doc_id) > 1")
 def q17(spark, sf):
     keyed = table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalize_spaces(F.col("text")), 256).alias("k"))
