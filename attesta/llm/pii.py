@@ -1,16 +1,21 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Found and validated: payment card numbers (13 to 19 digits, Luhn), phone numbers
-(+CC (AAA) EEE-NNNN and like groupings, 10 to 15 digits), IPv4 addresses (octets
-up to 255), US social security numbers, dates (ISO, and day/month/year with
-. / or -; real calendar days of 1900 to 2099 only) and e-mail addresses. Each is
+(+CC (AAA) EEE-NNNN and like groupings with spaces, dots or dashes or none, 10 to 15
+digits; without +, US numbers with the area code in brackets or joined by dashes or
+dots), IPv4 addresses (octets up to 255), US social security numbers, dates (ISO, also
+before a time, and with / or .; day/month/year with . / or -; day/month/year of two
+digits, for 1950 to 2049, with /; English month names; real calendar days of 1900 to
+2099 only) and e-mail addresses. Each is
 replaced by a keyed permutation of itself within its own format, so equal values
 get equal pseudonyms in every document, and distinct ones stay distinct:
 
 * digits of a card but the last go through a Feistel network over numbers of that
   length; the check digit is made anew, so that Luhn still holds;
 * digits of phones and SSNs likewise, walking the cycle until the value is valid
-  in its format again; separators and the country code stay;
+  in its format again; separators and the country code stay. The country code is
+  told by the digits and is 1 where there is none, so that all spellings of a number
+  have one pseudonym;
 * an address is permuted among 32-bit numbers; a date among the days of its range;
 * the local part of an e-mail is permuted letter for letter and digit for digit,
   its domain stays.
@@ -38,18 +43,26 @@ from attesta.llm.common import Batches, map_batches
 DEFAULT_KEY = "attesta-pseudonym-key"
 ROUNDS = 8
 KINDS = ("email", "ipv4", "ssn", "date", "phone", "card")
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(?i:" + "|".join(MONTHS + [m[:3] for m in MONTHS]) + ")"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\1\d{4})(?![\w]|[./-]\d)",
-    "phone": r"(?<![\w+])\+1[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}(?::?\d{2}|Z|[^\w]|$))|(?:\d{4}(?:-\d{2}-\d{2}|/\d{1,2}/\d{1,2}|\.\d{2}\.\d{2})|\d{1,2}([./-])\d{1,2}\1\d{4}|\d{1,2}/\d{1,2}/\d{2}"
+    rf"|\d{{1,2}} {MONTH} \d{{4}}|{MONTH} \d{{1,2}},? \d{{4}})(?![\w]|[./-]\d))",
+    "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w.+-])(?:1[ .-])?\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?!\w|[.-]\d)",
     "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=sep)').replace('([./-])', '(?P<sep>[./-])')})" for k, v in PATTERNS.items()), re.ASCII)
+#: Calling codes of one and two digits; all others have three.
+COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Every finding has a digit with one of these beside it, or an @; texts without are skipped quickly.
 HINT = re.compile(r"\d[\d@./ ()-]|@", re.ASCII)
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: The years that two digits stand for.
+SHORT_YEARS = range(1950, 2050)
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -96,19 +109,45 @@ def filled(pattern: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in pattern)
 
 
+def spelled_date(text: str) -> tuple[datetime.date, Callable[[datetime.date], str]]:
+    """A date with the month's name, before or after the day."""
+    name = re.search(r"[A-Za-z]+", text)[0]
+    names = MONTHS if name.title() in MONTHS else [m[:3] for m in MONTHS]
+    case = str.upper if name.isupper() else str.lower if name.islower() else str
+    day, year = re.findall(r"\d+", text)
+    shape = re.sub(r"\d+", "{}", text.replace(name, "{}"))
+    first = text[0].isdigit()
+    width = 2 if day[0] == "0" else 1
+
+    def form(x: datetime.date) -> str:
+        d, m = f"{x.day:0{width}d}", case(names[x.month - 1])
+        return shape.format(*((d, m) if first else (m, d)), x.year)
+
+    return datetime.date(int(year), names.index(name.title()) + 1, int(day)), form
+
+
 def parsed_date(text: str) -> tuple[datetime.date, Callable[[datetime.date], str]] | None:
     parts = re.split(r"[./-]", text)
-    sep = re.search(r"[./-]", text)[0]
     try:
-        if len(parts[0]) == 4:
+        if len(parts) == 1:
+            d, form = spelled_date(text)
+        elif len(parts[0]) == 4:
             d = datetime.date(*map(int, parts))
-            form = lambda x: x.isoformat()
+            sep, width = text[4], 1 if "0" not in (parts[1][0], parts[2][0]) and 1 in (len(parts[1]), len(parts[2])) else 2
+            form = lambda x: f"{x.year}{sep}{x.month:0{width}d}{sep}{x.day:0{width}d}"
         else:
+            sep = re.search(r"[./-]", text)[0]
             day, month, year = map(int, parts)
+            short = len(parts[2]) == 2
+            if short:
+                year += 2000 if year + 2000 in SHORT_YEARS else 1900
             swapped = month > 12
             d = datetime.date(year, day, month) if swapped else datetime.date(year, month, day)
             width = 1 if "0" != parts[0][0] and (len(parts[0]) == 1 or len(parts[1]) == 1) else 2
-            form = lambda x: sep.join([f"{x.month:0{width}d}", f"{x.day:0{width}d}", str(x.year)] if swapped else [f"{x.day:0{width}d}", f"{x.month:0{width}d}", str(x.year)])
+
+            def form(x: datetime.date) -> str:
+                a, b = (x.month, x.day) if swapped else (x.day, x.month)
+                return sep.join([f"{a:0{width}d}", f"{b:0{width}d}", f"{x.year % 100:02d}" if short else str(x.year)])
     except ValueError:
         return None
     return (d, form) if FIRST_DAY <= d.toordinal() <= LAST_DAY else None
@@ -141,17 +180,21 @@ def pseudonym(kind: str, found: str, secret: str) -> str | None:
     if kind == "ssn":
         return filled(found, f"{walk(int(digits), 10**9, key, tweak, valid_ssn):09d}") if valid_ssn(int(digits)) else None
     if kind == "phone":
-        country = re.match(r"\+(\d{1,3})[ (-]", found)
-        lead = country[1] if country else ""
+        if found[0] == "+":
+            lead = next((digits[:n] for n in (1, 2) if digits[:n] in COUNTRIES), digits[:3])
+        else:
+            lead = digits[:-10]  # a number of country 1, with or without it
         rest = digits[len(lead) :]
         if not 10 <= len(digits) <= 15 or not rest:
             return None
-        new = f"{feistel(int(rest), 10 ** len(rest), key, tweak + lead.encode() + b'%d' % len(rest)):0{len(rest)}d}"
+        new = f"{feistel(int(rest), 10 ** len(rest), key, tweak + (lead or '1').encode() + b'%d' % len(rest)):0{len(rest)}d}"
         return filled(found, lead + new)
     if kind == "date":
         if not (d := parsed_date(found)):
             return None
-        new = feistel(d[0].toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak)
+        short = re.fullmatch(r"\d+/\d+/\d\d", found)
+        valid = lambda n: not short or datetime.date.fromordinal(FIRST_DAY + n).year in SHORT_YEARS
+        new = walk(d[0].toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak, valid)
         return d[1](datetime.date.fromordinal(FIRST_DAY + new))
     local, _, domain = found.rpartition("@")
     value, size = 0, 1

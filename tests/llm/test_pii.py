@@ -71,3 +71,25 @@ def test_tables(odd, empty, spark):
     a, b, c = sorted(pii.digest(pii.pseudonymise(df)).collect())
     assert a.text.split("call ")[1][:17] == b.text.split("or ")[1]
     assert c.n_card == 1 and c.spans == "card:400000:400016" and "4757965300669737" not in c.text
+
+
+def test_other_spellings():
+    phones = ("415-555-2671", "415.555.2671", "1-415-555-2671", "1.415.555.2671", "+1.415.555.2671", "(415) 555 2671", "(415) 555-2671", "1 (415) 555-2671", "+14155552671", "+1 415 555 2671")
+    dates = ("2021/03/04", "2021/3/4", "2021.03.04", "03/04/21", "3/4/21", "12/31/99", "4 March 2021", "04 Mar 2021", "MARCH 4, 2021", "dec 31 1999")
+    for kind, values in (("phone", phones), ("date", dates)):
+        for v in values:
+            new, spans = pii.pseudonymised(f"on {v}, at", KEY)
+            assert spans == [(3, 3 + len(v), kind)] and v not in new
+            again = new[3 : -len(", at")]
+            assert pii.pseudonymised(f"on {again}, at", KEY)[1] == [(3, 3 + len(again), kind)]
+    assert len({"".join(c for c in pii.pseudonym("phone", v, KEY) if c.isdigit())[-10:] for v in phones}) == 1
+    assert pii.pseudonym("phone", "+14155552671", KEY).startswith("+1") and pii.pseudonym("phone", "+442071838750", KEY).startswith("+44")
+    new, spans = pii.pseudonymised("at 2021-03-04T10:00:00Z", KEY)
+    assert spans == [(3, 13, "date")] and new.endswith("T10:00:00Z") and "2021-03-04" not in new
+    for text in ("1.2.3", "31/02/21", "30 February 2021", "415-555-26711", "1415-555-2671", "2021/13/01", "2021-03-04Tx", "12 maybe 2021"):
+        assert pii.pseudonymised(text, KEY) == (text, [])
+
+
+def test_two_digit_years_stay_distinct():
+    days = [datetime.date(1950, 1, 1) + datetime.timedelta(days=7 * n) for n in range(5000)]
+    assert len({pii.pseudonym("date", f"{d:%d/%m/%y}", KEY) for d in days}) == 5000
