@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 Base findings come from three patterns. The method adds spans of kind ``novel``:
-a token that stands in a sensitive context (a word such as ``credential`` or
-``bearer`` shortly before it) is compressed by zstandard primed with a raw
+a private key block as a whole, and a token in a sensitive context (a word such as
+``credential`` or ``bearer`` before it in the line or the lines up to a blank one)
+whose novelty is near that of random characters of its alphabet. It is compressed by zstandard primed with a raw
 dictionary made of the surrounding text, the document's own identifiers and a
 list of common code identifiers. The bytes that the token adds to the empty
 frame, divided by its length, are its novelty; ordinary words and names that
@@ -16,7 +17,9 @@ have any name. The scan is a map over rows: nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -57,7 +60,17 @@ PAIRS = frozenset(
     "we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui fr oo ag "
     "av bo ap gr ef if sp qu eq ue".split()
 )
-CONTEXT_BEFORE, SURROUNDING, NOVELTY = 32, 1024, 0.7
+SURROUNDING, NOVELTY = 1024, 0.7
+BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
+#: Alphabets of keys and their bits a character, narrow ones first; all else counts as 64 characters.
+ALPHABETS = tuple(
+    (re.compile(x), math.log2(n))
+    for x, n in (("[0-9]+", 10), ("[0-9a-f]+|[0-9A-F]+", 16), ("[a-z]+|[A-Z]+", 26), ("[A-Z2-7]+|[a-z2-7]+", 32), ("[0-9a-z]+|[0-9A-Z]+", 36), ("[A-Za-z]+", 52))
+)
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
+PEM_END = re.compile(r"-----(?:END|BEGIN) [A-Z0-9 ]+-----")
+#: Header lines and base64 lines of a block without an end.
+PEM_LINES = re.compile(r"(?:(?:\s|\\r|\\n)+(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]+))*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -96,21 +109,45 @@ def novelty(token: str, surroundings: str) -> float:
     return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(token)
 
 
+def bits(token: str) -> float:
+    """Bits a character of a random token over the token's alphabet."""
+    body = token.replace("-", "").replace("_", "").rstrip("=")
+    return next((b for x, b in ALPHABETS if x.fullmatch(body)), 6.0)
+
+
+def private_keys(text: str) -> list[tuple[int, int, str]]:
+    """Private key blocks, as a whole; one without an end goes as far as its lines do."""
+    out, at = [], 0
+    while m := PEM_BEGIN.search(text, at):
+        end = PEM_END.search(text, m.end())
+        at = end.end() if end and end[0].startswith("-----END") else PEM_LINES.match(text, m.end()).end()
+        out.append((m.start(), at, "novel"))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Tokens in a sensitive context that do not compress, apart from those in base spans."""
-    out = []
+    """Private key blocks, and tokens in a sensitive context (a word earlier in the line or in
+    the lines before it, as far as a blank one) that do not compress, apart from those in
+    base spans or blocks.
+    least is in bytes a character for 64 characters, and less for narrower alphabets."""
+    out = private_keys(text)
+    taken = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, _ in out])
+    ends = blanks = None
     for m in TOKEN.finditer(text):
         a, z = m.span()
         token = m[0].strip(".-=")
-        if len(token) < 16 or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+        if len(token) < 16 or not any(c.isalpha() for c in token):
             continue
-        if any(s < z and a < e for s, e, _ in base):
+        if ends is None:  # many texts have no such token
+            ends, blanks = [m.end() for m in SENSITIVE.finditer(text)], [m.start() for m in BLANK.finditer(text)]
+        last = bisect.bisect_right(ends, a)
+        if not last or bisect.bisect_left(blanks, ends[last - 1]) < bisect.bisect_left(blanks, a):
             continue
-        if not SENSITIVE.search(text[max(0, a - CONTEXT_BEFORE) : a]):
+        if any(s < z and a < e for s, e in taken):
             continue
-        if novelty(token, around(text, token, a, z)) >= least:
+        if novelty(token, around(text, token, a, z)) >= least * bits(token) / 6:
             out.append((a, z, "novel"))
-    return out
+    return sorted(out)
 
 
 def told(spans: list[tuple[int, int, str]]) -> str:

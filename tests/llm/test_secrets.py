@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from attesta.llm import secrets
 
@@ -47,6 +49,28 @@ def test_a_copy_nearby_hides_no_key():
         assert [text[a:z] for a, z, _ in secrets.novel_spans(text, [])] == [key] * 3
 
 
+def test_keys_of_narrow_alphabets_and_far_from_the_word():
+    r = random.Random(3)
+    for letters in (string.hexdigits[:16].upper(), string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits):
+        for n in (24, 40, 100, 128, 300):
+            key = "".join(r.choices(letters, k=n))
+            for before in ("bearer ", "the signing key is " + "x " * 40, "credential:\n  ", "client " + "of no use\n" * 9 + "\tvalue "):
+                text = f"first\n{before}{key} end"
+                assert [text[a:z] for a, z, _ in secrets.novel_spans(text, [])] == [key]
+    assert secrets.novel_spans("credential\n\n\n" + key, []) == []
+    assert secrets.novel_spans("the authentication_configuration_manager keeps internationalisation-settings", []) == []
+
+
+def test_private_keys_are_found_whole():
+    r = random.Random(4)
+    lines = "\n".join("".join(r.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(20))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    for body in (f"{begin}\n{lines}\n{end}", f"{begin}\n{lines}"):
+        text = f"a\n{body}\n\n- b"
+        (span,) = secrets.novel_spans(text, [])
+        assert text[span[0] : span[1]] == body
+
+
 def test_tables(odd, empty, sf, spark):
     rows = secrets.digest(secrets.scan_secrets(odd)).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows if r.doc_id in (1, 2, 3)} == {""}
