@@ -18,7 +18,7 @@ beyond that, documents' shingles are joined to the index by a shuffle
 (`_by_shuffle`), with the same results.
 
 Edge cases: null and empty texts match nothing; an item without words is held by
-no document; repeated items count by id; repeated rows are searched row by row;
+no document; an id with several texts is held if one of them is, and counts once; repeated rows are searched row by row;
 an empty benchmark leaves all documents clean; other columns are not read.
 """
 
@@ -106,12 +106,14 @@ class Index:
             shared = int((mine[at] == item).sum())
             if shared >= least_shared(len(item), self.threshold):
                 out.append({"item_id": self.ids[i], "shared": shared, "size": len(item)})
-        return sorted(out, key=lambda x: x["item_id"])
+        # of the texts of one id, the one that shares most
+        best = {x["item_id"]: x for x in sorted(out, key=lambda x: (x["shared"], x["size"]))}
+        return sorted(best.values(), key=lambda x: x["item_id"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, max_index: int = MAX_INDEX) -> DataFrame:
     """id and the items (item_id, shared, size) held by every document."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # an upper bound of the shingles: one for each run of blanks and one more for each item
     bound = items.select(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0)).cast("long").alias("n")).first()["n"]
@@ -134,7 +136,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The same search for an index of any size: all of it by joins on hashes.
 
-    Rows are told apart by the digest of their text besides their id."""
+    Rows, and items, are told apart by the digest of their text besides their id."""
 
     def sets(batches: Batches) -> Batches:
         for b in batches:
@@ -146,11 +148,11 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
             owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             length = np.repeat([n for n, _ in every], sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(owner), pa.array(flat.view(np.int64)), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(sketch), pa.array(length, pa.int32())],
-                ["item_id", "hash", "size", "sketch", "length"],
+                [b.column(0).take(owner), b.column(2).take(owner), pa.array(flat.view(np.int64)), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(sketch), pa.array(length, pa.int32())],
+                ["item_id", "item_key", "hash", "size", "sketch", "length"],
             )
 
-    index = map_batches(items.select("item_id", "text"), sets, "item_id bigint, hash bigint, size bigint, sketch boolean, length int").distinct()
+    index = map_batches(items.select("item_id", "text", F.xxhash64("text").alias("item_key")), sets, "item_id bigint, item_key bigint, hash bigint, size bigint, sketch boolean, length int").distinct()
 
     def shingles(batches: Batches) -> Batches:
         for b in batches:
@@ -166,8 +168,9 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
 
     keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
     mine = map_batches(keyed, shingles, "id bigint, key bigint, hash bigint").dropDuplicates(["id", "key", "hash"])
-    shared = mine.join(index, "hash").groupBy("id", "key", "item_id", "size").agg(F.count("*").alias("shared"), F.max("sketch").alias("candidate"))
+    shared = mine.join(index, "hash").groupBy("id", "key", "item_id", "item_key", "size").agg(F.count("*").alias("shared"), F.max("sketch").alias("candidate"))
     held = shared.filter(F.col("candidate") & (F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * threshold, 9)))))
+    held = held.groupBy("id", "key", "item_id").agg(F.max(F.struct("shared", "size")).alias("most")).select("id", "key", "item_id", "most.*")
     by_row = held.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("shared"), "size"))).alias("items"))
     joined = keyed.select("id", "key").alias("k").join(by_row.alias("f"), F.col("k.id").eqNullSafe(F.col("f.id")) & F.col("k.key").eqNullSafe(F.col("f.key")), "left")
     return joined.select("k.id", F.coalesce("f.items", F.array().cast("array<struct<item_id:bigint,shared:bigint,size:bigint>>")).alias("items"))
@@ -185,7 +188,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that hold a test item; all columns stay."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).distinct()
     bound = items.select(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0)).cast("long").alias("n")).first()["n"]
     if bound > MAX_INDEX:
         keyed = docs.select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("text"))

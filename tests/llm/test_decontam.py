@@ -55,3 +55,15 @@ def test_stage_drops_what_is_found(odd, spark, sf, monkeypatch):
         kept = dc.drop_contaminated(odd, items)
         assert kept.columns == odd.columns
         assert kept.count() == odd.count() - 2 and {i for i, _ in bad} == {4}
+
+
+def test_repeated_ids_both_ways(spark):
+    a = [f"a{i}" for i in range(12)]
+    b = [f"b{i}" for i in range(12)]
+    rows = [(5, a), (5, a), (6, a), (6, b), (7, [*a[:6], *b[:6]]), (7, [*b[6:], *a[6:]])]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join([*a[:9], "x", *b[:9]])), (3, " ".join(a + b))], "doc_id long, text string")
+    want = [(1, 2, "5,6", True), (2, 0, "", False), (3, 2, "5,6", True)]
+    assert found(docs, items) == want and found(docs, items, max_index=0) == want
+    both = [sorted(dc.find_items(docs, items, max_index=m).collect()) for m in (dc.MAX_INDEX, 0)]
+    assert both[0] == both[1]
