@@ -14,7 +14,7 @@ to the driver. Scoring is a map over all rows with the weights (a fixed size) in
 the closure; nothing is shuffled.
 
 Edge cases: null and empty texts have no features and get the prior's
-probability, bounded to be no rejection; a row whose label is null trains no
+probability, and are never rejected, whatever the prior; a row whose label is null trains no
 model of that category; repeated rows are scored row by row; repeated labels
 train as often as they occur; without labels, or with labels of one class only,
 the probability is that class's share and nothing is rejected unless labelled so
@@ -173,11 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
 def probabilities(models: list[Linear], documents: list[bytes]) -> np.ndarray:
     """rows x categories."""
+    return scored(models, documents)[0]
+
+
+def scored(models: list[Linear], documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (rows x categories), and whether a row has features."""
     indices, offsets = features(documents)
     before = np.zeros((len(documents), 0))
     for m in models:
         before = np.column_stack([before, sigmoid(m.margins(indices, offsets, before))])
-    return before
+    return before, np.diff(offsets) > 0
 
 
 def score(docs: DataFrame, models: list[Linear], categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,13 +199,14 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], id_col:
 
 
 def reject_toxic(docs: DataFrame, models: list[Linear], toxic: int, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose probability of category number `toxic` is at least threshold."""
+    """docs without the rows whose probability of category number `toxic` is at least threshold;
+    rows without features stay."""
     names = docs.columns
     place = names.index(text_col)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            keep = probabilities(models, texts(b.column(place)))[:, toxic] < threshold
-            yield b.filter(pa.array(keep))
+            p, known = scored(models, texts(b.column(place)))
+            yield b.filter(pa.array((p[:, toxic] < threshold) | ~known))
 
     return map_batches(docs, run, docs.schema)

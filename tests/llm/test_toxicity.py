@@ -69,3 +69,13 @@ def test_odd_rows(spark, odd, empty):
     assert tox.reject_toxic(odd, models, 1).count() == odd.count()
     assert tox.score(empty, models, ["quality", "toxic"]).collect() == []
     assert tox.train(empty, labels, ["quality", "toxic"]) is not None
+
+
+def test_texts_without_features_stay_where_most_labels_are_toxic(spark):
+    docs = spark.createDataFrame([(i, f"some word{i % 7}") for i in range(84)] + [(90, None), (91, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 > 0)) for i in range(84)], "doc_id long, quality int, toxic int")
+    models = tox.train(docs, labels, ["quality", "toxic"])
+    p = {r.id: r.p_toxic for r in tox.score(docs, models, ["quality", "toxic"]).collect()}
+    assert p[90] == p[91] >= 0.5 and p[0] >= 0.5
+    kept = {r.doc_id for r in tox.reject_toxic(docs, models, 1).collect()}
+    assert {90, 91} <= kept and 0 not in kept
