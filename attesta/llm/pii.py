@@ -15,10 +15,16 @@ get equal pseudonyms in every document, and distinct ones stay distinct:
 * digits of phones and SSNs likewise, walking the cycle until the value is valid
   in its format again; separators and the country code stay. The country code is
   told by the digits and is 1 where there is none, so that all spellings of a number
-  have one pseudonym;
+  have one pseudonym. Numbers of country 1 whose area and exchange codes exist become
+  such numbers, the other ones (as in invented examples) stay apart from them;
 * an address is permuted among 32-bit numbers; a date among the days of its range;
 * the local part of an e-mail is permuted letter for letter and digit for digit,
-  its domain stays.
+  its domain stays. One of over PIECE characters is permuted in pieces: the last one
+  under the others, then those under the last.
+
+The key is a secret: pseudonyms can be inverted with it. `session_key` reads it from
+the session's setting KEY_SETTING; where that is unset it makes a random key, which
+lasts as long as the session.
 
 Edge cases: null text stays null, with no spans; empty text stays empty; texts
 of any length are handled whole; repeated rows give equal results; the other
@@ -29,24 +35,27 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
+import secrets
 from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from attesta.llm.common import Batches, map_batches
 
-DEFAULT_KEY = "attesta-pseudonym-key"
-ROUNDS = 8
+#: Spark hides settings of such names in its pages and logs.
+KEY_SETTING = "spark.attesta.pii.secret"
+ROUNDS, PIECE = 8, 512
 KINDS = ("email", "ipv4", "ssn", "date", "phone", "card")
 MONTHS = "January February March April May June July August September October November December".split()
 MONTH = "(?i:" + "|".join(MONTHS + [m[:3] for m in MONTHS]) + ")"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}(?::?\d{2}|Z|[^\w]|$))|(?:\d{4}(?:-\d{2}-\d{2}|/\d{1,2}/\d{1,2}|\.\d{2}\.\d{2})|\d{1,2}([./-])\d{1,2}\1\d{4}|\d{1,2}/\d{1,2}/\d{2}"
@@ -65,23 +74,37 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 SHORT_YEARS = range(1950, 2050)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; a new random one, kept in the session's settings, where it has none."""
+    if not (found := spark.conf.get(KEY_SETTING, None)):
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, found)
+    return found
+
+
+def keyed_number(data: bytes, key: bytes, size: int) -> int:
+    """A number that depends on data and key, of at least 64 bits more than size has."""
+    need = (size.bit_length() + 71) // 8
+    raw = b"".join(
+        hashlib.blake2b(data, key=key, salt=b"%d" % i, digest_size=min(64, max(16, need - 64 * i))).digest() for i in range(-(-need // 64))
+    )
+    return int.from_bytes(raw, "big")
+
+
 def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed permutation of range(size): an alternating network over a x b >= size, by cycle walking."""
     if size < 2:
         return value
-    a = int(size**0.5)
-    while a * a < size:
-        a += 1
+    a = math.isqrt(size - 1) + 1
     b = -(-size // a)
+    width = (a.bit_length() + 7) // 8
     while True:
         left, right = divmod(value, b)
         for r in range(ROUNDS):
             if r % 2:
-                f = hashlib.blake2b(b"%d:%d:%b" % (r, left, tweak), key=key, digest_size=16).digest()
-                right = (right + int.from_bytes(f, "big")) % b
+                right = (right + keyed_number(b"%d:" % r + left.to_bytes(width, "big") + tweak, key, b)) % b
             else:
-                f = hashlib.blake2b(b"%d:%d:%b" % (r, right, tweak), key=key, digest_size=16).digest()
-                left = (left + int.from_bytes(f, "big")) % a
+                left = (left + keyed_number(b"%d:" % r + right.to_bytes(width, "big") + tweak, key, a)) % a
         value = left * b + right
         if value < size:
             return value
@@ -153,6 +176,11 @@ def parsed_date(text: str) -> tuple[datetime.date, Callable[[datetime.date], str
     return (d, form) if FIRST_DAY <= d.toordinal() <= LAST_DAY else None
 
 
+def valid_number(digits: str) -> bool:
+    """Whether ten digits of country 1 have an area and an exchange code that can exist."""
+    return digits[0] > "1" and digits[1:3] != "11" and digits[3] > "1" and digits[4:6] != "11"
+
+
 def valid_ssn(n: int) -> bool:
     area, group, serial = n // 10**6, n // 10**4 % 100, n % 10**4
     return area not in (0, 666) and area < 900 and group > 0 and serial > 0
@@ -187,8 +215,9 @@ def pseudonym(kind: str, found: str, secret: str) -> str | None:
         rest = digits[len(lead) :]
         if not 10 <= len(digits) <= 15 or not rest:
             return None
-        new = f"{feistel(int(rest), 10 ** len(rest), key, tweak + (lead or '1').encode() + b'%d' % len(rest)):0{len(rest)}d}"
-        return filled(found, lead + new)
+        n, own, country = len(rest), rest, lead or "1"
+        alike = lambda x: country != "1" or n != 10 or valid_number(f"{x:010d}") == valid_number(own)
+        return filled(found, f"{lead}{walk(int(rest), 10**n, key, tweak + country.encode() + b'%d' % n, alike):0{n}d}")
     if kind == "date":
         if not (d := parsed_date(found)):
             return None
@@ -197,6 +226,16 @@ def pseudonym(kind: str, found: str, secret: str) -> str | None:
         new = walk(d[0].toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, tweak, valid)
         return d[1](datetime.date.fromordinal(FIRST_DAY + new))
     local, _, domain = found.rpartition("@")
+    pieces = [local[i : i + PIECE] for i in range(0, len(local), PIECE)]
+    others = hashlib.sha256("".join(pieces[:-1]).encode()).digest() if pieces[1:] else b""
+    pieces[-1] = permuted_name(pieces[-1], key, tweak + others)
+    for i in range(len(pieces) - 1):
+        pieces[i] = permuted_name(pieces[i], key, tweak + b"%d:" % i + pieces[-1].encode())
+    return "".join(pieces) + "@" + domain
+
+
+def permuted_name(local: str, key: bytes, tweak: bytes) -> str:
+    """A permutation of the names with letters, digits and other characters at the same places."""
     value, size = 0, 1
     for c in local:
         base = 10 if c.isdigit() else 26 if c.isalpha() else 1
@@ -208,10 +247,10 @@ def pseudonym(kind: str, found: str, secret: str) -> str | None:
         base = 10 if c.isdigit() else 26 if c.isalpha() else 1
         value, d = divmod(value, base)
         out.append(str(d) if base == 10 else chr((97 if c.islower() else 65) + d) if base == 26 else c)
-    return "".join(reversed(out)) + "@" + domain
+    return "".join(reversed(out))
 
 
-def pseudonymised(text: str, secret: str = DEFAULT_KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def pseudonymised(text: str, secret: str) -> tuple[str, list[tuple[int, int, str]]]:
     """The new text, and (start, end, kind) of the findings in the old one."""
     if not HINT.search(text):
         return text, []
@@ -233,8 +272,8 @@ def pseudonymised(text: str, secret: str = DEFAULT_KEY) -> tuple[str, list[tuple
     return "".join([*out, text[last:]]), spans
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", secret: str = DEFAULT_KEY, spans_col: str | None = "pii_spans") -> DataFrame:
-    """docs with text_col rewritten; spans_col (if named) holds the findings' places in
+def pseudonymise(docs: DataFrame, secret: str, text_col: str = "text", spans_col: str | None = "pii_spans") -> DataFrame:
+    """docs with text_col rewritten under the key `secret`; spans_col (if named) holds the findings' places in
     the old text. A column of the input called spans_col is replaced."""
     names = [c for c in docs.columns if c != spans_col]
     schema = docs.select(names).schema

@@ -38,7 +38,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.pseudonymise(read_table(spark, sf_dir, "documents")))
+    return pii.digest(pii.pseudonymise(read_table(spark, sf_dir, "documents"), pii.session_key(spark)))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def test_feistel_is_a_permutation():
 def test_formats_stay():
     cases = {
         "card": ["4757965300669737", "4757 9653 0066 9737", "4757-9653-0066-9737"],
-        "phone": ["+1 (017) 555-7713", "(017) 555-7713", "+49 30 1234567"],
+        "phone": ["+1 (415) 555-7713", "+1 (017) 555-7713", "(017) 555-7713", "+49 30 1234567"],
         "ipv4": ["97.51.17.173"],
         "ssn": ["123-45-6789"],
         "email": ["und.34@mail7.example.com"],
@@ -36,7 +36,7 @@ def test_formats_stay():
 
 def test_invalid_values_stay():
     for text in ("1234567890123456", "300.1.1.1", "31.02.2020", "000-12-3456", "1.2.3.4.5", "2021-13-01", "no data"):
-        assert pii.pseudonymised(text) == (text, [])
+        assert pii.pseudonymised(text, KEY) == (text, [])
 
 
 def test_numbers_side_by_side():
@@ -62,13 +62,13 @@ def test_dates_stay_distinct(a, b):
 
 
 def test_tables(odd, empty, spark):
-    done = pii.pseudonymise(odd)
+    done = pii.pseudonymise(odd, KEY)
     assert set(done.columns) == set(odd.columns) and done.count() == odd.count()
     assert {r.text for r in done.collect() if r.doc_id in (1, 2)} == {None, ""}
-    assert pii.pseudonymise(odd, spans_col=None).columns == odd.columns
-    assert pii.digest(pii.pseudonymise(empty.drop("pii_spans"))).collect() == []
+    assert pii.pseudonymise(odd, KEY, spans_col=None).columns == odd.columns
+    assert pii.digest(pii.pseudonymise(empty.drop("pii_spans"), KEY)).collect() == []
     df = spark.createDataFrame([(1, "call +1 (017) 555-7713 now"), (2, "or +1 (017) 555-7713"), (3, "x " * 200_000 + "4757965300669737")], "doc_id long, text string")
-    a, b, c = sorted(pii.digest(pii.pseudonymise(df)).collect())
+    a, b, c = sorted(pii.digest(pii.pseudonymise(df, KEY)).collect())
     assert a.text.split("call ")[1][:17] == b.text.split("or ")[1]
     assert c.n_card == 1 and c.spans == "card:400000:400016" and "4757965300669737" not in c.text
 
@@ -93,3 +93,88 @@ def test_other_spellings():
 def test_two_digit_years_stay_distinct():
     days = [datetime.date(1950, 1, 1) + datetime.timedelta(days=7 * n) for n in range(5000)]
     assert len({pii.pseudonym("date", f"{d:%d/%m/%y}", KEY) for d in days}) == 5000
+
+
+def test_addresses_of_every_length():
+    """Local parts of 1 to 1200 characters end, keep their shape, and change nearly everywhere."""
+    for n in [*range(1, 401), 511, 512, 513, 1024, 1025, 1200]:
+        for letter in "q7":
+            found = letter * n + "@example.com"
+            new, spans = pii.pseudonymised(f"to {found}.", KEY)
+            assert spans == [(3, 3 + len(found), "email")] and len(new) == len(found) + 4
+            if n >= 100:
+                assert sum(c == letter for c in new[3 : 3 + n]) < n / (2 if letter == "q" else 1.5)
+    assert pii.pseudonym("email", "a" * 600 + "@x.com", KEY)[:512] != pii.pseudonym("email", "a" * 599 + "b@x.com", KEY)[:512]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.from_regex(r"[A-Za-z0-9._%+-]{1,80}@[a-z]{1,9}\.[a-z]{2,4}", fullmatch=True))
+def test_random_addresses_end(found):
+    new = pii.pseudonym("email", found, KEY)
+    assert new.rpartition("@")[2] == found.rpartition("@")[2] and len(new) == len(found)
+
+
+def test_long_runs_without_an_address():
+    pii.pseudonymised("a1-" * 300_000 + " 1-2", KEY)
+
+
+def test_short_names_are_permuted():
+    names = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    assert sorted(pii.permuted_name(x, b"k" * 32, b"t") for x in names) == names
+
+
+def test_phones_stay_valid():
+    for n in range(200):
+        new = pii.pseudonym("phone", f"+1 (415) 555-{n:04d}", KEY)
+        assert pii.valid_number("".join(c for c in new if c.isdigit())[1:])
+        assert not pii.valid_number("".join(c for c in pii.pseudonym("phone", f"+1 (017) 555-{n:04d}", KEY) if c.isdigit())[1:])
+
+
+def test_key_of_the_session(spark):
+    old = spark.conf.get(pii.KEY_SETTING, None)
+    spark.conf.unset(pii.KEY_SETTING)
+    made = pii.session_key(spark)
+    assert len(made) == 64 and pii.session_key(spark) == made
+    spark.conf.set(pii.KEY_SETTING, old or made)
+
+
+def independent(text):
+    """Findings by a plain scan: every start, kinds in order, the longest match of each pattern by itself."""
+    out, at, compiled = [], 0, {k: re.compile(p, re.ASCII) for k, p in pii.PATTERNS.items()}
+    while at < len(text):
+        for kind, pattern in compiled.items():
+            if not (m := pattern.match(text, at)):
+                continue
+            found = m[0]
+            while kind == "card" and pii.pseudonym(kind, found, KEY) is None and (cut := max(found.rfind(" "), found.rfind("-"))) > 0:
+                found = found[:cut]
+            if pii.pseudonym(kind, found, KEY) is not None:
+                out.append((at, at + len(found), kind))
+                at += len(found) - 1
+            else:
+                while at + 1 < m.end() and text[at].isdigit() and text[at + 1].isdigit():
+                    at += 1
+            break
+        at += 1
+    return out
+
+
+def test_whole_table_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    linked = {}
+    total = 0
+    for r in pii.pseudonymise(docs, KEY).collect():
+        old, new = texts[r.doc_id], r.text or ""
+        spans = [(s.start, s.end, s.kind) for s in r.pii_spans]
+        assert spans == independent(old)
+        shift, rest = 0, []
+        for s, e, kind in spans:
+            want = pii.pseudonym(kind, old[s:e], KEY)
+            assert new[s + shift : s + shift + len(want)] == want
+            assert linked.setdefault((kind, old[s:e]), want) == want
+            shift += len(want) - (e - s)
+            rest.append(old[s:e])
+        assert len(new) == len(old) + shift
+        total += len(spans)
+    assert total and len(set(linked.values())) == len(linked)
