@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by pseudonyms; n_chars follows the new text."""
-    done = pii.pseudonymise(docs, spans_col=None)
+    done = pii.pseudonymise(docs, pii.session_key(spark), spans_col=None)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
