@@ -6,14 +6,19 @@ returns the archive's path and length; a retried task writes a new archive and
 only the returned ones are read. Of records with equal payloads (by SHA-1) of at
 least ``min_revisit_bytes`` the one with the smallest id is a response, the
 others are revisits that name it; the choice needs one shuffle of (digest, id),
-pre-aggregated, and one of the pages by digest.
+pre-aggregated, and one of the pages by digest and id, so that a very common payload
+is spread over all tasks.
 
 Reader: an archive is cut into byte ranges without looking at it. The task of a
 range looks for the gzip magic from its start on, takes a place for a member only
 if what it inflates to begins with a WARC version line and has its mandatory
 headers, and owns the members that start inside its range; it reads on beyond
-the range's end to finish the last one. Since a member that starts in a range is
-found by its own magic and header, the ranges need not know each other.
+the range's end to finish the last one. After a member it goes on at that member's
+end, so an archive inside a payload gives no records. A range may start inside such a
+payload; then the members found in it do not follow one another up to CHUNK bytes
+beyond the range's end, and that range's members are told by a walk from the
+archive's start. (An inner archive that is stored without compression and goes on for
+longer cannot be told from a real one this way.) Otherwise the ranges need not know each other.
 
 Edge cases: a null payload or url is empty; pages with the same id and payload
 are all responses if theirs is the smallest id; a null id is written as such and
@@ -81,12 +86,14 @@ def member(data: bytes) -> bytes:
 def with_revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     """pages (page_id, url, payload) with refers_to and revisit."""
     pages = pages.withColumn("digest", F.unhex(F.sha1("payload")))
-    firsts = pages.filter(F.length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.lit(True).alias("known"))
-    return pages.join(firsts, "digest", "left").select(
-        "page_id", "url", "payload", "digest",
-        F.when(F.col("known") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
-        (F.coalesce("known", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"),
-    )
+    ids = pages.filter(F.length("payload") >= min_revisit_bytes).select("page_id", "digest")
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = ids.distinct().join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = again.select(F.col("page_id").alias("id"), F.col("digest").alias("of"), "first", F.lit(True).alias("again"))
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
+    return pages.join(again, same, "left").select(
+        "page_id", "url", "payload", "digest", F.col("first").alias("refers_to"), F.coalesce("again", F.lit(False)).alias("revisit")
+    )
 
 
 def write_warc(
@@ -118,37 +125,55 @@ def write_warc(
     return map_batches(with_revisits(rows, min_revisit_bytes), write, "path string, bytes bigint, records bigint")
 
 
-def inflate(fs_file: pa.NativeFile, at: int, first: bytes | memoryview) -> bytes | None:
-    """The member at offset at, or None if there is no WARC record. first: bytes known from there."""
-    unpack, out, data, pos = zlib.decompressobj(31), [], first, at
-    try:
-        head = unpack.decompress(data, 16)
-        while len(head) < 5 and not unpack.eof:  # the bytes at hand end before the head does
-            pos += len(data)
-            fs_file.seek(pos)
-            if not (data := fs_file.read(CHUNK)):
-                return None
-            head += unpack.decompress(data, 16)
-    except zlib.error:
-        return None
-    if not head.startswith(b"WARC/"):
+class Blocks:
+    """An archive read in blocks of CHUNK bytes, of which the last few are kept."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.kept = file, {}
+
+    def block(self, k: int) -> bytes:
+        if k not in self.kept:
+            if len(self.kept) >= 8:
+                self.kept.pop(next(iter(self.kept)))
+            self.file.seek(k * CHUNK)
+            self.kept[k] = self.file.read(CHUNK)
+        return self.kept[k]
+
+    def rest(self, at: int) -> memoryview:
+        """What the block of place `at` holds from there on; nothing at the archive's end."""
+        return memoryview(self.block(at // CHUNK))[at % CHUNK :]
+
+    def magic(self, at: int, end: int) -> int | None:
+        """The first place of the magic in [at, end)."""
+        while at < end:
+            k = at // CHUNK
+            data = self.block(k)
+            if len(data) == CHUNK:  # the magic may go on in the next block
+                data += self.block(k + 1)[: len(MAGIC) - 1]
+            if (found := data.find(MAGIC, at % CHUNK)) >= 0:
+                return k * CHUNK + found if k * CHUNK + found < end else None
+            at = (k + 1) * CHUNK
         return None
-    out.append(head)
+
+
+def inflate(blocks: Blocks, at: int) -> tuple[bytes, int] | None:
+    """The member at a place and where it ends, or None if there is no WARC record."""
+    unpack, out, pos, judged = zlib.decompressobj(31), [], at, False
     try:
-        while True:
-            out.append(unpack.decompress(unpack.unconsumed_tail))
-            if unpack.eof:
-                break
-            pos += len(data)
-            fs_file.seek(pos)
-            if not (data := fs_file.read(CHUNK)):
-                return None
-            out.append(unpack.decompress(data))
-            if unpack.eof:
-                break
+        while not unpack.eof:
+            if not (data := unpack.unconsumed_tail):
+                if not (data := blocks.rest(pos)):
+                    return None
+                pos += len(data)
+            out.append(unpack.decompress(data, 0 if judged else 16))
+            if not judged:
+                head = b"".join(out)
+                if not head.startswith(b"WARC/"[: len(head)]):
+                    return None
+                judged = len(head) >= 5
     except zlib.error:
         return None
-    return b"".join(out)
+    return b"".join(out), pos - len(unpack.unused_data)
 
 
 def parse(data: bytes) -> dict | None:
@@ -176,29 +201,31 @@ def parse(data: bytes) -> dict | None:
     }
 
 
+def walk(blocks: Blocks, at: int, end: int) -> Iterator[tuple[int, int, dict]]:
+    """(offset, end, record) of the members that start in [at, end), each looked for from the end of the one before."""
+    while (at := blocks.magic(at, end)) is not None:
+        member = inflate(blocks, at)
+        if member and (found := parse(member[0])):
+            yield at, member[1], found
+            at = member[1]
+        else:
+            at += 1
+
+
 def members(path: str, start: int, end: int) -> Iterator[tuple[int, dict]]:
     """(offset, record) of the members that start in [start, end)."""
     fs, name = filesystem(path) if "://" in path else (pafs.LocalFileSystem(), path)
     with fs.open_input_file(name) as f:
-        at = start
-        while at < end:
-            f.seek(at)
-            window = f.read(CHUNK)
-            if not window:
+        blocks = Blocks(f)
+        if start:
+            beyond = min(end + CHUNK, f.size())
+            at = [(a, z) for a, z, _ in walk(blocks, start, end)]
+            at += [(a, z) for a, z, _ in walk(blocks, at[-1][1], beyond)] if at else []
+            if any(z != a for (_, z), (a, _) in zip(at, at[1:], strict=False)) or (at and at[-1][1] < beyond):
+                yield from ((a, found) for a, _, found in walk(blocks, 0, end) if a >= start)
                 return
-            view = memoryview(window)
-            where, moved = window.find(MAGIC), False
-            while where >= 0 and at + where < end:
-                data = inflate(f, at + where, view[where:])
-                found = parse(data) if data else None
-                if found:
-                    yield at + where, found
-                where = window.find(MAGIC, where + 1)
-                if where >= 0 and len(window) - where < 1 << 14 and len(window) == CHUNK and where > 0:
-                    at, moved = at + where, True  # look at it again with more bytes after it
-                    break
-            if not moved:
-                at += max(1, len(window) - len(MAGIC) + 1)
+            start = at[0][0] if at else end
+        yield from ((a, found) for a, _, found in walk(blocks, start, end))
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:

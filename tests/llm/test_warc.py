@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 from attesta.llm import warc
 
@@ -74,3 +75,46 @@ def test_a_member_at_the_end_of_a_window(tmp_path):
     for left in (*range(3, 80), 200, 1 << 14):
         start = len(long) + left - warc.CHUNK  # a range's window that ends so many bytes into the second member
         assert [r["page_id"] for _, r in warc.members(str(path), start, path.stat().st_size)] == [2]
+
+
+def test_archives_inside_payloads_give_no_records(tmp_path):
+    """One record in, one out, whatever ranges it is read in; also with junk between members."""
+    rnd = random.Random(3)
+    noise = rnd.randbytes(100_000)
+    inner = b"".join(warc.member(warc.record(k, b"u", rnd.randbytes(500), b"D", None, False)) for k in range(90, 96))
+    first = warc.member(warc.record(1, b"u", b"p", b"D", None, False))
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    nested = stored.compress(warc.record(2, b"u", noise + inner + noise, b"D", None, False)) + stored.flush()
+    last = warc.member(warc.record(3, b"u", noise, b"D", None, False))
+    assert inner in nested and warc.MAGIC in nested[1:]
+    for parts in ((first, nested, last), (nested,), (first, b"junk" + noise[:999], nested, b"more junk", last)):
+        path = tmp_path / "x.warc.gz"
+        path.write_bytes(b"".join(parts))
+        size = path.stat().st_size
+        want = [r["page_id"] for _, r in warc.members(str(path), 0, size)]
+        assert set(want) <= {1, 2, 3} and len(want) == sum(p in (first, nested, last) for p in parts)
+        for split in (1000, 50_000, 101_000, 170_000):
+            got = [r["page_id"] for s in range(0, size, split) for _, r in warc.members(str(path), s, min(size, s + split))]
+            assert got == want, (split, got)
+
+
+def test_magic_across_blocks(tmp_path):
+    small = warc.member(warc.record(2, b"u", b"p", b"D", None, False))
+    path = tmp_path / "x.warc.gz"
+    for shift in range(-4, 4):
+        path.write_bytes(b"x" * (warc.CHUNK + shift) + small + small)
+        assert [r["page_id"] for _, r in warc.members(str(path), 0, path.stat().st_size)] == [2, 2]
+        assert [r["page_id"] for _, r in warc.members(str(path), 5, path.stat().st_size)] == [2, 2]
+
+
+def test_binary_payloads_come_back(spark, tmp_path):
+    payloads = [bytes([k]) * k + random.Random(k).randbytes(3000) for k in range(20)]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(warc.member(warc.record(k, b"u", p, b"D", None, False)) for k, p in enumerate(payloads)))
+    assert [r["payload"] for _, r in warc.members(str(path), 0, path.stat().st_size)] == payloads
+
+
+def test_a_very_common_payload(spark):
+    rows = [(i, "u", "same" if i % 3 else f"page {i}") for i in range(600)] + [(None, "u", "same"), (None, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert found(df) == brute([(r[0], r[2]) for r in rows])
