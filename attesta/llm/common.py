@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -51,13 +53,15 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of
-    our own where the session has none (a local master, as in tests)."""
+    our own where a session with a local master has none (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='attesta-shared-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -85,7 +89,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[id(table)] = (table, path)
+    return table
+
+
+#: Written tables that may be dropped before the interpreter ends, with their paths.
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once what was made from them is written itself."""
+    for table in tables:
+        if entry := _tables.pop(id(table), None):
+            hadoop_delete(table.sparkSession, entry[1])
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -122,6 +139,20 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema, keep: s
     return df.mapInArrow(run, schema)
 
 
+def columns(rows: np.ndarray) -> bytes:
+    """Packed rows, column by column, which compress better."""
+    return b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names)
+
+
+def rows_from(data: bytes, kind: np.dtype) -> np.ndarray:
+    n, at = len(data) // kind.itemsize, 0
+    out = np.zeros(n, kind)
+    for name in kind.names:
+        out[name] = np.frombuffer(data, kind[name], n, at)
+        at += n * kind[name].itemsize
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import written
+from attesta.llm.common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -45,7 +45,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
+        dropped(last)
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before:
             break

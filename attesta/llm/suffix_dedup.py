@@ -21,14 +21,17 @@ its end (the dictionary's suffix order), each with the lengths of the common
 prefixes of neighbours. A string is a length before and a length after the
 trigger; equal strings are those in the same class of both orders at these
 lengths, and the first of a class in corpus order stays. This compares bytes, not
-hashes. A trigger with over SPREAD distinct phrases (the edges of a very common
-line) is settled string by string instead, by 96-bit hashes, which deals it over
-all tasks.
+hashes. A trigger with over SPREAD distinct phrases, or over LOCAL in one chunk (the
+edges of a very common line), is settled string by string instead, by 128-bit hashes,
+which deals it over all tasks. A chunk that has over LOCAL of one trigger sends their
+strings at once, and for the trigger no more than a mark; so a trigger's block gets at
+most LOCAL rows of a chunk, however many documents have it.
 
 Where things are. Texts never pass through a shuffle: the first pass writes them
 in chunks to the shared folder, named by their content so that a retried task
 writes the same; what is shuffled are packed records of phrases, and per chunk
-the places to remove. Each task holds one block or one chunk.
+the places to remove. A task holds one block or one chunk at a time, and sorts the
+ones it has; their numbers grow with the corpus, that of tasks only up to TASKS.
 
 Edge cases: null and empty texts have nothing to remove; texts of fewer than
 WIDTH bytes are kept whole; rows with the same id and start are no repeats of one
@@ -48,14 +51,20 @@ import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, filesystem, map_batches, shared_path, slices, texts, written
+from attesta.llm.common import Batches, columns, filesystem, map_batches, rows_from, shared_path, slices, texts, written
 from attesta.llm.words import mixed
 
 WIDTH, TRIGGER = 100, 32
 CHOICE = WIDTH - TRIGGER + 1
 BUFFER = 1 << 20
 CHUNK_BYTES = 6 << 20
-SPREAD = 128
+SPREAD, LOCAL = 128, 16
+#: Blocks and chunks beyond this number share tasks, one after another.
+TASKS = 20_000
+#: Documents of a chunk are numbered by 16 bits.
+CHUNK_ROWS = 1 << 16
+#: In place of at: the trigger's strings are sent by themselves.
+MARK = 255
 #: Bytes of text whose phrases make a block, of which a task holds one.
 BLOCK_BYTES = 16 << 20
 NULL_ID = -(2**63)
@@ -64,7 +73,7 @@ PHRASE = np.dtype([("seed", "<u8"), ("phrase", "<u8"), ("lo", "<u4"), ("doc", "<
 PLACE = np.dtype([("doc", "<u2"), ("lo", "<u4"), ("more", "u1")])
 ASKED = np.dtype([("seed", "<u8"), ("lo", "<u4"), ("doc", "<u2"), ("more", "u1"), ("at", "u1"), ("spread", "u1")])
 PART = np.dtype([("seed", ">u8"), ("id", "<i8"), ("lo", "<u4"), ("doc", "<u2"), ("more", "u1"), ("at", "u1"), ("right", f"S{WIDTH}"), ("left", f"S{CHOICE}")])
-STRING = np.dtype([("hash", "<u8"), ("check", "<u4"), ("id", "<i8"), ("lo", "<u4"), ("doc", "<u2")])
+STRING = np.dtype([("hash", "<u8"), ("check", "<u8"), ("id", "<i8"), ("lo", "<u4"), ("doc", "<u2")])
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -128,6 +137,8 @@ def parse(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def phrases(documents: list[bytes]) -> np.ndarray:
     """The phrases of the texts, in order (PHRASE rows; at: trigger - lo, more: hi - lo)."""
+    if len(documents) > CHUNK_ROWS:
+        raise ValueError(f"a chunk has {CHUNK_ROWS} documents at most")
     out = []
     i = 0
     while i < len(documents):
@@ -222,13 +233,29 @@ def emitted(rows: list[tuple]):
         yield batch_of(some)
 
 
-def parsed(docs: DataFrame, folder: str, blocks: int) -> DataFrame:
+def cut_up(batch: pa.RecordBatch):
+    """Chunks of a batch: of about CHUNK_BYTES of text, and of CHUNK_ROWS rows at most."""
+    for at in range(0, batch.num_rows, CHUNK_ROWS):
+        yield from slices(batch.slice(at, CHUNK_ROWS), 1, CHUNK_BYTES)
+
+
+def dealt_out(hashes: np.ndarray, blocks: int):
+    """(block, indices) of the blocks that occur."""
+    block = (hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True) if len(first) else ():
+        yield int(block[a]), order[a:z]
+
+
+def parsed(docs: DataFrame, folder: str, blocks: int, local: int = LOCAL) -> DataFrame:
     """First pass: chunks are written; phrases that are the first of their chunk go to the
     block of their trigger, the other ones are repeats already."""
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
-            for b in slices(whole, 1, CHUNK_BYTES):
+            for b in cut_up(whole):
                 order = np.argsort(known_ids(b.column(0)), kind="stable")
                 b = b.take(pa.array(order))
                 documents = texts(b.column(1))
@@ -246,36 +273,27 @@ def parsed(docs: DataFrame, folder: str, blocks: int) -> DataFrame:
                 if len(places):
                     out.append((-1, chunk, REMOVE, None, places.tobytes()))
                 kept = found[np.sort(order[~again])]
+                _, seed, times = np.unique(kept["seed"], return_inverse=True, return_counts=True)
+                if (common := times[seed] > local).any():
+                    marked = kept[common]
+                    start = np.cumsum([0, *map(len, documents)])[marked["doc"]]
+                    raw = np.frombuffer(b"".join(documents), np.uint8)
+                    out += spread_strings(chunk, marked, start + marked["lo"], marked["more"].astype(np.int64), ids, raw, blocks)
+                    marked = marked[np.unique(marked["seed"], return_index=True)[1]]
+                    marked["at"] = MARK
+                    kept = np.concatenate([kept[~common], marked])
                 # a trigger's hash is the least of many, so it is mixed again to be even
-                block = (mixed(kept["seed"]) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-                order = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-                for k in range(blocks):
-                    part = kept[order[cuts[k] : cuts[k + 1]]]
-                    if len(part):
-                        used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-                        table = np.zeros(len(used), [("id", "<i8"), ("doc", "<u2")])
-                        table["id"], table["doc"] = ids[used], used
-                        out.append((k, chunk, ASK, table.tobytes(), columns(part)))
+                for block, at in dealt_out(mixed(kept["seed"]), blocks):
+                    part = kept[at]
+                    used, part["doc"] = np.unique(part["doc"], return_inverse=True)
+                    table = np.zeros(len(used), [("id", "<i8"), ("doc", "<u2")])
+                    table["id"], table["doc"] = ids[used], used
+                    out.append((block, chunk, ASK, table.tobytes(), columns(part)))
                 yield from emitted(out)
 
     return map_batches(docs, run, ROWS)
 
 
-def columns(rows: np.ndarray) -> bytes:
-    """Packed rows, column by column, which compress better."""
-    return b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names)
-
-
-def rows_from(data: bytes, kind: np.dtype) -> np.ndarray:
-    n, at = len(data) // kind.itemsize, 0
-    out = np.zeros(n, kind)
-    for name in kind.names:
-        out[name] = np.frombuffer(data, kind[name], n, at)
-        at += n * kind[name].itemsize
-    return out
-
-
 def removed_places(rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), PLACE)
     for name in PLACE.names:
@@ -304,9 +322,10 @@ def streamed(batches: Batches, key: str):
 
 
 def by_block(rows: DataFrame, blocks: int) -> DataFrame:
-    """Each block in a partition of its own; rows of no block are dealt by chunk, to pass through."""
-    part = F.when(F.col("block") >= 0, F.col("block")).otherwise(F.pmod("chunk", F.lit(blocks))).cast("int")
-    return rows.repartitionById(blocks, part).sortWithinPartitions("block")
+    """Each block in one of at most TASKS partitions, sorted; rows of no block are dealt by chunk, to pass through."""
+    tasks = min(blocks, TASKS)
+    part = F.when(F.col("block") >= 0, F.floor(F.col("block").cast("long") * tasks / blocks)).otherwise(F.pmod("chunk", F.lit(tasks))).cast("int")
+    return rows.repartitionById(tasks, part).sortWithinPartitions("block")
 
 
 def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFrame:
@@ -318,7 +337,13 @@ def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFra
                 yield from emitted([tuple(r[f] for f in FIELDS) for r in rows])
                 continue
             chunks, parts, ids, chunk_of = [], [], [], []
+            later = [tuple(r[f] for f in FIELDS) for r in rows if r["kind"] == STRINGS]
+            yield from emitted(later)
+            if len(later) == len(rows):
+                continue
             for r in rows:
+                if r["kind"] == STRINGS:
+                    continue
                 part = rows_from(r["data"], PHRASE)
                 table = np.frombuffer(r["ids"], [("id", "<i8"), ("doc", "<u2")])
                 ids.append(table["id"][part["doc"]])
@@ -329,12 +354,20 @@ def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFra
             rows = []
             found, ids, chunk_of = np.concatenate(parts), np.concatenate(ids), np.concatenate(chunk_of)
             parts = []
+            mark = found["at"] == MARK
+            marked = np.unique(found["seed"][mark])
+            found, ids, chunk_of = found[~mark], ids[~mark], chunk_of[~mark]
+            if len(marked):  # a chunk's only phrase of such a trigger is asked for, too
+                to = np.minimum(np.searchsorted(marked, found["seed"]), len(marked) - 1)
+                elsewhere = marked[to] == found["seed"]
+            else:
+                elsewhere = np.zeros(len(found), bool)
             # triggers that occur once are done with
             order = np.argsort(found["seed"], kind="stable")
             seed = found["seed"][order]
             same = seed[1:] == seed[:-1]
-            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-            found, ids, chunk_of = found[order], ids[order], chunk_of[order]
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False])) | elsewhere[order]] if len(order) else order
+            found, ids, chunk_of, elsewhere = found[order], ids[order], chunk_of[order], elsewhere[order]
             place = np.lexsort((found["lo"], ids))
             rank = np.empty(len(place), np.int64)
             rank[place] = np.arange(len(place))
@@ -349,11 +382,13 @@ def dictionary(blocked: DataFrame, blocks: int, spread: int = SPREAD) -> DataFra
             step = np.concatenate(([0], (distinct[1:] != distinct[:-1]).astype(np.int64))) if len(seed) else np.zeros(0, np.int64)
             step[new] = 1
             many = np.bincount(group, step, minlength=len(seed)).astype(np.int64)[group] if len(seed) else group
-            asked = head[many > 1]
+            many[elsewhere[head]] = spread + 1
+            wanted = many > 1
+            asked = head[wanted]
             rows_out = np.zeros(len(asked), ASKED)
             for name in ("seed", "lo", "doc", "more", "at"):
                 rows_out[name] = found[name][asked]
-            rows_out["spread"] = many[many > 1] > spread
+            rows_out["spread"] = many[wanted] > spread
             out += by_chunk(chunk_of[asked], chunks, ASK, rows_out)
             yield from emitted(out)
 
@@ -386,16 +421,13 @@ def answered(asked: DataFrame, folder: str, blocks: int, chunks: int) -> DataFra
             k = np.arange(CHOICE)
             left = np.where(k[None, :] < a[:, None], raw[np.maximum(t[:, None] - 1 - k, 0)], 0).astype(np.uint8)
             rows_out["right"], rows_out["left"] = right.view(f"S{WIDTH}").ravel(), left.view(f"S{CHOICE}").ravel()
-            block = (mixed(rows_out["seed"].astype(np.uint64)) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-            order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            out += [(b, chunk, PARTS, None, rows_out[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in range(blocks) if cuts[b + 1] > cuts[b]]
+            out += [(b, chunk, PARTS, None, rows_out[of].tobytes()) for b, of in dealt_out(mixed(rows_out["seed"].astype(np.uint64)), blocks)]
             if not near.all():
                 out += spread_strings(chunk, want[~near], lo[~near], more[~near], known, raw, blocks)
             yield from emitted(out)
 
     asked = asked.filter(F.col("kind") == ASK)
-    return map_batches(asked.repartition(chunks, "chunk").sortWithinPartitions("chunk"), run, ROWS)
+    return map_batches(asked.repartition(min(chunks, TASKS), "chunk").sortWithinPartitions("chunk"), run, ROWS)
 
 
 def spread_strings(chunk: int, want: np.ndarray, lo: np.ndarray, more: np.ndarray, known: np.ndarray, raw: np.ndarray, blocks: int) -> list[tuple]:
@@ -411,7 +443,7 @@ def spread_strings(chunk: int, want: np.ndarray, lo: np.ndarray, more: np.ndarra
         b = raw[start + j].astype(np.uint64) + np.uint64(1)
         h = h * np.uint64(_BASE) + b
         g = (g ^ b) * np.uint64(0x100000001B3)
-    rows["hash"], rows["check"] = mixed(h), (mixed(g) >> np.uint64(32)).astype(np.uint32)
+    rows["hash"], rows["check"] = mixed(h), mixed(g)
     place = np.lexsort((rows["lo"], rows["id"]))
     rank = np.empty(len(place), np.int64)
     rank[place] = np.arange(len(place))
@@ -421,10 +453,7 @@ def spread_strings(chunk: int, want: np.ndarray, lo: np.ndarray, more: np.ndarra
     if again.any():
         out.append((-1, chunk, REMOVE, None, strings_removed(rows[order[again]]).tobytes()))
     rows = rows[order[~again]]
-    block = (rows["hash"] >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-    order = np.argsort(block, kind="stable")
-    cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-    return out + [(b, chunk, STRINGS, None, rows[order[cuts[b] : cuts[b + 1]]].tobytes()) for b in range(blocks) if cuts[b + 1] > cuts[b]]
+    return out + [(b, chunk, STRINGS, None, rows[of].tobytes()) for b, of in dealt_out(rows["hash"], blocks)]
 
 
 def strings_removed(rows: np.ndarray) -> np.ndarray:
@@ -570,11 +599,11 @@ def assembled(places: DataFrame, folder: str, chunks: int) -> DataFrame:
             for _ in range(times):
                 yield whole
 
-    dealt = places.filter(F.col("kind").isin(CHUNK, REMOVE)).repartition(chunks, "chunk").sortWithinPartitions("chunk")
+    dealt = places.filter(F.col("kind").isin(CHUNK, REMOVE)).repartition(min(chunks, TASKS), "chunk").sortWithinPartitions("chunk")
     return map_batches(dealt, run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spread: int = SPREAD, local: int = LOCAL) -> DataFrame:
     """id, n_bytes, spans (maximal removed runs, in bytes) and kept (the remaining bytes)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -583,9 +612,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     folder = shared_path(spark, "chunks")
     fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
-    first = written(dictionary(parsed(docs, folder, blocks), blocks, spread), "phrases")
+    first = written(dictionary(parsed(docs, folder, blocks, local), blocks, spread), "phrases")
     chunks = max(1, first.filter(F.col("kind") == CHUNK).count())
-    second = written(settled(answered(first, folder, blocks, chunks), blocks), "places")
+    answers = answered(first, folder, blocks, chunks).unionByName(first.filter(F.col("kind") == STRINGS))
+    second = written(settled(answers, blocks), "places")
     return assembled(first.unionByName(second), folder, chunks)
 
 

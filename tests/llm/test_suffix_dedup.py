@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,6 +54,40 @@ def test_spread_triggers_give_the_same(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert found(df, spread=2) == brute(rows)
+    assert found(df, local=1) == brute(rows) and found(df, spread=3, local=2) == brute(rows)
+
+
+def test_many_short_texts_in_a_batch(spark):
+    """Over 65,535 rows in one Arrow batch; the long text and its copy are the last ones."""
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(500))
+    rows = [(i, f"t{i}") for i in range(70_000)] + [(70_000, long), (70_001, "x" + long[:300])]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = {r[0]: r[2] for r in found(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 70_002 and {d: n for d, n in got.items() if n} == {70_001: 300}
+    with pytest.raises(ValueError):
+        sd.phrases([b"x"] * 70_000)
+
+
+def test_one_trigger_with_very_many_phrases(spark):
+    """A line that 20,000 texts hold, each between other words: what is sent for its triggers
+    does not grow with the texts of a chunk."""
+    rnd = random.Random(6)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(180))
+    rows = [(i, f"{rnd.getrandbits(200):x} {line} {rnd.getrandbits(200):x}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(df) == brute(rows)
+    folder = sd.shared_path(spark, "chunks-test")
+    fs, base = sd.filesystem(folder)
+    fs.create_dir(base, recursive=True)
+    sent = sd.parsed(df.selectExpr("doc_id AS id", "text"), folder, 8).filter(f"kind = {sd.ASK}").collect()
+    for r in sent:
+        assert np.unique(sd.rows_from(bytes(r.data), sd.PHRASE)["seed"], return_counts=True)[1].max() <= sd.LOCAL
+    assert sent
 
 
 def test_rows_of_one_id_are_ordered_by_start(spark):
