@@ -1,4 +1,4 @@
-"""Text functions as Column expressions, with a general Unicode variant where Spark has none."""
+"""Text functions as Column expressions."""
 
 from __future__ import annotations
 
@@ -6,19 +6,57 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Words that carry no evidence.
 STOPWORDS = (
     "a", "al", "como", "con", "de", "del", "el", "en", "era", "es", "fue", "la", "las", "le", "les",
     "lo", "los", "o", "para", "por", "que", "se", "segun", "su", "sus", "un", "una", "unas", "unos", "y",
 )
-#: Letters with marks and their base letters, made by rule: Latin letters that decompose.
-ACCENTED = [c for c in map(chr, range(0xC0, 0x180)) if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()]
-_FROM, _TO = "".join(ACCENTED), "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+
+
+def _bare(c: str) -> str:
+    """One character case-folded, decomposed and without marks."""
+    return "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if unicodedata.category(x) != "Mn")
+
+
+def _tables() -> tuple[dict[str, str], set[str], dict[str, str]]:
+    """By rule over all characters: those whose bare form has ASCII letters or digits, those that
+    have none (marks), and those that case folding changes."""
+    letters, marks, folds = {}, set(), {}
+    for c in map(chr, (*range(0x41, 0x5B), *range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        if c > "\uffff" and unicodedata.category(c) not in ("Mn", "Lu"):
+            continue
+        folded = c.casefold()
+        if folded != c:
+            folds[c] = folded
+        bare = _bare(c)
+        if not bare:
+            marks.add(c)
+        elif any(x.isascii() and x.isalnum() for x in bare):
+            letters[c] = "".join(x if x.isascii() else " " for x in bare)
+    return letters, marks, folds
+
+
+_LETTERS, _MARKS, _FOLDS = _tables()
+
+
+def _one_to_one(table: dict[str, str], gone: set[str] = frozenset()) -> tuple[str, str]:
+    """Arguments of translate(): characters without a counterpart are deleted."""
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    return "".join(one) + "".join(sorted(gone)), "".join(one.values())
+
+
+def _longer(table: dict[str, str]) -> dict[str, str]:
+    return {k: v for k, v in table.items() if len(v) > 1}
+
+
+def spelled_out(c: Column, longer: dict[str, str]) -> Column:
+    """Characters replaced by several ones; texts without them are not touched."""
+    known = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    replaced = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.when(F.rlike(c, F.lit("[" + "".join(longer) + "]")), replaced).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -31,27 +69,27 @@ def collapse(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Case folding of Latin text: lower case, and sharp s as ss."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding."""
+    longer = _longer(_FOLDS)
+    plain = F.replace(c, F.lit("ß"), F.lit("ss"))  # the only common one
+    return F.translate(spelled_out(plain, {k: v for k, v in longer.items() if k != "ß"}), *_one_to_one(_FOLDS))
 
 
 def normalize(c: Column) -> Column:
-    """Fold, drop marks, runs of other characters than a-z and 0-9 become one space.
-    For Latin text; ``normalize_any`` takes any script."""
-    return F.trim(F.regexp_replace(F.translate(fold(c), _FROM, _TO), "[^a-z0-9]+", " "))
+    """Fold, decompose, drop marks; runs of other characters than a-z and 0-9 become one space.
+    For text of any script, composed or decomposed."""
+    longer = _longer(_LETTERS)
+    plain = F.replace(c, F.lit("ß"), F.lit("ss"))
+    bare = F.translate(spelled_out(plain, {k: v for k, v in longer.items() if k != "ß"}), *_one_to_one(_LETTERS, _MARKS))
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def normalize_one(value: str) -> str:
+    """normalize() of a Python string."""
     bare = "".join(x for x in unicodedata.normalize("NFD", value.casefold()) if unicodedata.category(x) != "Mn")
     return re.sub(r"[^a-z0-9]+", " ", bare).strip()
 
 
-@F.pandas_udf(StringType())
-def normalize_any(values: pd.Series) -> pd.Series:
-    """normalize() for text of any script: full case folding and decomposition."""
-    return values.map(lambda v: None if v is None else normalize_one(v))
-
-
 def normalize_spaces(c: Column) -> Column:
     """Strip, collapse white space and fold; marks stay."""
     return fold(collapse(c))

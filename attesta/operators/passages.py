@@ -154,6 +154,24 @@ def text_nodes(payload: str) -> tuple[int, int]:
     return len(found), sum(map(len, found))
 
 
+def count_text_nodes(payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
+    """key, nodes and chars: the text nodes of each payload; null and unreadable ones have none."""
+
+    def run(batches):
+        for b in batches:
+            counts = []
+            for p in b.column(1).to_pylist():
+                try:
+                    counts.append(text_nodes(p) if p is not None else (0, 0))
+                except ValueError:
+                    counts.append((0, 0))
+            nodes, chars = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(chars, pa.int64())], [key, "nodes", "chars"])
+
+    kind = payloads.schema[key].dataType.simpleString()
+    return payloads.select(key, payload).mapInArrow(run, f"{key} {kind}, nodes bigint, chars bigint")
+
+
 VERSES = "pos bigint, verse_number bigint, text string, reference_from_api string"
 
 

@@ -17,11 +17,11 @@ VERSION = 1
 
 
 def score(questions: DataFrame, answers: DataFrame, users: DataFrame) -> DataFrame:
-    """user_id, score and total over all questions (question_id, correct); no answer counts 0."""
-    joined = users.crossJoin(F.broadcast(questions)).join(answers, ["user_id", "question_id"], "left")
-    return joined.groupBy("user_id").agg(
-        F.coalesce(F.sum(F.when(F.col("answer") == F.col("correct"), 1).otherwise(0)), F.lit(0)).cast("bigint").alias("score"), F.count("*").alias("total")
-    )
+    """user_id, score and total over all questions (question_id, correct); no answer counts 0.
+    Only answers are joined to questions; the total is one number."""
+    right = answers.join(questions, "question_id").filter(F.col("answer") == F.col("correct")).groupBy("user_id").agg(F.count("*").alias("score"))
+    total = questions.agg(F.count("*").alias("total"))  # one row
+    return users.join(right, "user_id", "left").crossJoin(total).select("user_id", F.coalesce("score", F.lit(0)).cast("bigint").alias("score"), "total")
 
 
 def valid_prefix(rows: DataFrame, key: str, pos: str, valid: Column) -> DataFrame:

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
 
-# Kinds, the files they apply to and their patterns (Java syntax).
+# Kinds, the files they apply to and their patterns (Java syntax; a word is ASCII).
 PATTERNS = (
     ("private-key", "any", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----"),
-    ("github-token", "any", r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"),
-    ("insecure-resource", "html", r"(?i)\b(?:src|href)\s*=\s*[\"']http://(?!127\.0\.0\.1|localhost)[^\"']+[\"']"),
+    ("github-token", "any", r"(?<!\w)gh[pousr]_[A-Za-z0-9]{20,}(?!\w)"),
+    ("insecure-resource", "html", r"(?i)(?<!\w)(?:src|href)\s*=\s*[\"']http://(?!127\.0\.0\.1|localhost)[^\"']+[\"']"),
     ("inline-handler", "html", r"(?i)\son[a-z]+\s*=\s*[\"']"),
-    ("blank-target", "html", r"(?i)<a\b[^>]*target\s*=\s*[\"']_blank[\"'][^>]*>"),
-    ("eval", "js", r"\beval\s*\("),
-    ("new-function", "js", r"\bnew\s+Function\s*\("),
-    ("document-write", "js", r"\bdocument\.write\s*\("),
+    ("blank-target", "html", r"(?i)<a(?!\w)[^>]*target\s*=\s*[\"']_blank[\"'][^>]*>"),
+    ("eval", "js", r"(?<!\w)eval\s*\("),
+    ("new-function", "js", r"(?<!\w)new\s+Function\s*\("),
+    ("document-write", "js", r"(?<!\w)document\.write\s*\("),
 )
 SCANNED = ("html", "js", "css")
 REQUIRED_REL = ("noopener", "noreferrer")
@@ -25,21 +25,18 @@ BLOCKING = ("critical", "serious")
 BUDGETS = {"bytes": 3_000_000, "requests": 100, "dom_nodes": 4_000, "dom_ready_ms": 3_000, "load_ms": 5_000}
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<at, found>> of the matches of a pattern: 1-based places.
-
-    Matches come in order, so the place of each is looked for after the one before;
-    an occurrence of the same text before it that is no match (by what surrounds it)
-    would be taken for it.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<at, found>> of the matches of a pattern, in order: 1-based places. A match
+    starts after all pieces that the pattern splits off before it and all matches before it."""
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<at:int,found:string>>").alias("all"))
 
-    def step(acc: Column, m: Column) -> Column:
-        at = F.locate_at(text, m, acc["next"]) if hasattr(F, "locate_at") else F.call_function("locate", m, text, acc["next"])
-        return F.struct((at + F.length(m)).alias("next"), F.array_append(acc["all"], F.struct(at.alias("at"), m.alias("found"))).alias("all"))
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["next"] + F.length(x["piece"])
+        return F.struct((at + F.length(x["found"])).alias("next"), F.array_append(acc["all"], F.struct(at.alias("at"), x["found"].alias("found"))).alias("all"))
 
-    return F.aggregate(found, start, step, lambda a: a["all"])
+    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("found"))
+    return F.aggregate(zipped, start, step, lambda a: a["all"])
 
 
 def lacks_rel(tag: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from attesta.functions import text as tx
 from attesta.operators import progress, scan
 from attesta.plans.content import table
+from attesta.sources.readers import table_stream
 from attesta.streaming.progress_stream import replay
 
 QUERIES: dict = {}
@@ -127,10 +128,44 @@ def q28(spark, sf):
     )
 
 
-@query("q45_progress_stream")
+#: What an event stands for in the quiz of ten questions; the letter of k modulo 4 is the option.
+QUIZ_EVENTS = {"view": "select", "click": "check", "purchase": "next", "signup": "restart", "error": "reload"}
+QUIZ = [(f"q{i}", list("abcd"), "abcd"[i % 4]) for i in range(10)]
+
+
+@query(
+    "q45_progress_stream",
+    """WITH RECURSIVE e AS (
+           SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type, substr('abcd', CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 4 + 1 AS INT), 1) AS option FROM events
+       ), s AS (
+           SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 0 AS run, 0 AS n_events, 0 AS idx, '' AS selected, '' AS given, false AS completed, false AS kept FROM events
+           UNION ALL
+           SELECT s.user_id, e.n, run + CASE WHEN e.event_type = 'signup' THEN 1 ELSE 0 END, CASE WHEN e.event_type = 'signup' THEN 1 ELSE n_events + 1 END,
+                  CASE WHEN e.event_type = 'signup' THEN 0 WHEN e.event_type = 'purchase' AND length(given) > idx AND idx < 9 THEN idx + 1 ELSE idx END,
+                  CASE WHEN e.event_type = 'signup' THEN '' WHEN completed THEN selected WHEN e.event_type = 'view' AND length(given) = idx THEN e.option
+                       WHEN e.event_type = 'error' OR (e.event_type = 'purchase' AND length(given) > idx AND idx < 9) THEN '' ELSE selected END,
+                  CASE WHEN e.event_type = 'signup' THEN '' WHEN e.event_type = 'click' AND NOT completed AND length(given) = idx THEN given || selected ELSE given END,
+                  e.event_type <> 'signup' AND (completed OR (e.event_type = 'purchase' AND idx = 9 AND length(given) = 10)),
+                  e.event_type <> 'signup' AND (kept OR (e.event_type = 'click' AND length(given) = idx AND selected <> '') OR (e.event_type = 'purchase' AND length(given) > idx))
+           FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1
+       ), l AS (
+           SELECT *, list_transform(range(1, length(given) + 1), lambda i: substr(given, i, 1)) AS g FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
+       )
+       SELECT user_id, CAST(run AS BIGINT) AS run, CAST(n_events AS BIGINT) AS n_events, CAST(idx AS BIGINT) AS idx, length(given) > idx AS answered, completed,
+              CAST(len(list_filter(range(1, length(given) + 1), lambda i: substr(given, i, 1) = substr('abcdabcdab', i, 1))) AS BIGINT) AS score,
+              array_to_string(list_transform(g, lambda x, i: 'q' || (i - 1) || ':' || x), ',') AS answers,
+              CASE WHEN kept THEN '{"version":1,"currentQuestionId":"q' || idx || '","answers":{' || array_to_string(list_transform(g, lambda x, i: '"q' || (i - 1) || '":"' || x || '"'), ',')
+                                  || '},"completed":' || completed::VARCHAR || '}' END AS stored
+       FROM l""",
+)
 def q45(spark, sf):
-    """The stateful processor over all events, run to the end: the current run of each user."""
-    return replay(spark, f"{sf}/events.parquet")
+    """The quiz's state machine over all events as a stream, run to the end: the state of each user."""
+    names = F.create_map(*[F.lit(x) for pair in QUIZ_EVENTS.items() for x in pair])
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    events = table_stream(spark, f"{sf}/events.parquet").select(
+        "user_id", "ts", "event_id", F.try_element_at(names, F.col("event_type")).alias("event"), F.element_at(F.array(*map(F.lit, "abcd")), (k % 4 + 1).cast("int")).alias("option")
+    )
+    return replay(spark, events, QUIZ)
 
 
 @query(

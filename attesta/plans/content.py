@@ -257,33 +257,6 @@ ITEMS_SQL = """
 """
 
 
-@query(
-    "q16_validate_first_error",
-    f"""WITH i AS ({ITEMS_SQL}), n AS (SELECT *, {norm_ws("question")} AS qn, {norm_ws("explanation")} AS en, {norm_ws("verse")} AS vn FROM i),
-        d AS (SELECT *, row_number() OVER (PARTITION BY source, qn ORDER BY doc_id) > 1 AS again FROM n)
-        SELECT doc_id, CASE
-            WHEN qn = '' OR en = '' OR trim(category) = '' THEN 'missing_field'
-            WHEN regexp_matches(question, '\\d+\\s*:\\s*\\d+') THEN 'citation_in_question'
-            WHEN again THEN 'duplicate_question'
-            WHEN len(list_distinct(list_transform(options, lambda x: {norm_ws("x")}))) <> 4 THEN 'duplicate_option'
-            WHEN NOT list_contains(list_transform(options, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), regexp_replace(correct, '^\\s+|\\s+$', '', 'g')) THEN 'answer_not_in_options'
-            WHEN trim(difficulty) NOT IN ('easy', 'medium', 'hard') THEN 'unknown_difficulty'
-            WHEN length(vn) >= 40 AND (contains(qn, vn) OR contains(en, vn)) THEN 'source_copied' END AS error
-        FROM d""",
-)
-def q16(spark, sf):
-    t, d = F.col("text"), F.col("doc_id")
-    items = table(spark, sf, "documents").select(
-        "doc_id", F.col("source").alias("bank"), F.substring(t, 1, 60).alias("question"), F.substring(t, 61, 60).alias("explanation"),
-        F.when(d % 11 == 0, " ").otherwise(F.col("lang")).alias("category"),
-        F.array(*[F.substring(t, i, 4) for i in (1, 5, 9, 13)]).alias("options"),
-        F.when(d % 7 == 0, "zz").otherwise(F.substring(t, 1, 4)).alias("correct_answer"),
-        F.when(d % 5 == 0, "easy").when(d % 5 == 1, "medium").when(d % 5 == 2, "hard").when(d % 5 == 3, " easy ").otherwise("x").alias("difficulty"),
-        F.when(d % 3 == 0, F.substring(t, 3, 45)).otherwise("short").alias("source"),
-    )
-    return bank.validated(items, ["bank"], "doc_id").select("doc_id", "error")
-
-
 WHOLE_ITEMS_SQL = """
     SELECT doc_id, lang, source, left(text, half) AS question, substr(text, half + 1) AS explanation, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS category,
            [left(text, quarter), substr(text, quarter + 1, quarter), substr(text, 2 * quarter + 1, quarter), substr(text, 3 * quarter + 1)] AS options,
@@ -294,7 +267,7 @@ WHOLE_ITEMS_SQL = """
 
 
 @query(
-    "q66_validate_whole_text",
+    "q16_validate_first_error",
     f"""WITH i AS ({WHOLE_ITEMS_SQL}), n AS (SELECT *, {norm_ws("question")} AS qn, {norm_ws("explanation")} AS en, {norm_ws("verse")} AS vn FROM i),
         d AS (SELECT *, row_number() OVER (PARTITION BY source, qn ORDER BY doc_id) > 1 AS again FROM n)
         SELECT doc_id, CASE
@@ -307,8 +280,8 @@ WHOLE_ITEMS_SQL = """
             WHEN length(vn) >= 40 AND (contains(qn, vn) OR contains(en, vn)) THEN 'source_copied' END AS error
         FROM d""",
 )
-def q66(spark, sf):
-    """q16 on whole texts: question and explanation are the halves, the options the quarters."""
+def q16(spark, sf):
+    """Items made of whole texts: question and explanation are the halves, the options the quarters."""
     t, d = F.col("text"), F.col("doc_id")
     half, quarter = F.floor(F.length(t) / 2).cast("int"), F.floor(F.length(t) / 4).cast("int")
     rest, one = F.length(t), F.lit(1)
@@ -391,15 +364,89 @@ def q44(spark, sf):
     return au.summary(audited(spark, sf))
 
 
-@query("q46_json_walk")
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+def payloads(spark, sf) -> DataFrame:
+    """A nested JSON payload of each conversation; roles are text nodes deeper down, and a heading comes first."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("ts"))
+    verse = F.transform("ts", lambda t: F.struct(t["turn"].alias("verse"), t["text"].alias("text")))
+    notes = F.transform("ts", lambda t: F.struct(F.array(F.struct(F.struct(F.concat(t["role"], F.lit(" ")).alias("text")).alias("note"))).alias("list")))
+    data = F.struct(F.lit("  ").alias("text"), verse.alias("verses"))
+    return rows.select("conv_id", F.to_json(F.struct(F.lit(True).alias("success"), data.alias("data"))).alias("payload"), F.to_json(F.struct(data.alias("data"), notes.alias("notes"))).alias("noted"))
+
+
+@query(
+    "q46_json_walk",
+    f"""SELECT conv_id, pos, CASE WHEN turn > 0 THEN turn ELSE pos END AS verse_number, sha256(t) AS text_sha256
+        FROM (SELECT conv_id, turn, {STRIPPED} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) AS pos FROM conversations WHERE {STRIPPED} <> '')""",
+)
 def q46(spark, sf):
     """Verses extracted from nested JSON made of the conversations."""
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
-    payloads = rows.select(
-        "conv_id",
-        F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.transform("ts", lambda t: F.struct(t["turn"].alias("verse"), t["text"].alias("text"))).alias("verses")).alias("data"))).alias("payload"),
-    )
-    return passages.extract_verses(payloads.filter(passages.succeeded(F.col("payload"))), "conv_id").select("conv_id", "pos", "verse_number", F.sha2("text", 256).alias("text_sha256"))
+    rows = payloads(spark, sf).filter(passages.succeeded(F.col("payload")))
+    return passages.extract_verses(rows, "conv_id").select("conv_id", "pos", "verse_number", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    "q65_text_nodes",
+    "SELECT conv_id, 1 + count(text) + count(role) AS nodes, CAST(2 + coalesce(sum(length(text)), 0) + coalesce(sum(length(role) + 1), 0) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
+)
+def q65(spark, sf):
+    """Text nodes anywhere in nested JSON, blank ones included, and their characters."""
+    return passages.count_text_nodes(payloads(spark, sf), "conv_id", "noted")
+
+
+QUESTIONS_SQL = """
+    b AS (SELECT p_partkey AS k, ['draft', 'reviewed', 'approved', 'retired', 'lost'] AS statuses, ['beginner', 'intermediate', 'advanced', 'expert'] AS levels FROM part),
+    c AS (
+        SELECT k, CASE WHEN k % 7 = 0 THEN 'QB-1' ELSE 'qb-' || k END AS id, CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END AS version, statuses[k % 5 + 1] AS status,
+               CASE WHEN k % 13 = 0 THEN 'en' ELSE 'es' END AS language, CASE WHEN k % 9 = 0 THEN 'a--b' ELSE 'cat-' || k % 3 END AS category, levels[k % 4 + 1] AS difficulty,
+               repeat('p', k % 30 + 5) AS prompt, k % 6 AS n_options, substr('abcde', CAST(k % 5 + 1 AS INT), 1) AS correct, repeat('e', k % 50) AS explanation, k % 3 AS n_references,
+               k % 4 AS chapter, k % 8 <> 0 AS checked, CASE k % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'possible' END AS sensitivity, repeat('n', k % 700) AS notes FROM b)
+"""
+
+
+@query(
+    "q66_published_rules",
+    f"""WITH {QUESTIONS_SQL}, r AS (SELECT id, k, unnest([
+            CASE WHEN NOT regexp_full_match(id, 'qb-[a-z0-9]+(-[a-z0-9]+)*') THEN 'id_pattern' END, CASE WHEN version <> 1 THEN 'version_is_1' END, CASE WHEN status = 'lost' THEN 'status_known' END,
+            CASE WHEN language <> 'es' THEN 'language_es' END, CASE WHEN category = 'a--b' THEN 'category_slug' END, CASE WHEN difficulty = 'expert' THEN 'difficulty_known' END,
+            CASE WHEN length(prompt) < 10 THEN 'prompt_length' END, CASE WHEN n_options NOT IN (3, 4) THEN 'options_count' END, CASE WHEN n_options = 5 THEN 'option_ids' END,
+            CASE WHEN correct = 'e' THEN 'correct_id' END, CASE WHEN length(explanation) < 20 THEN 'explanation_length' END, CASE WHEN n_references = 0 THEN 'has_reference' END,
+            CASE WHEN n_references > 0 AND chapter = 0 THEN 'reference_fields' END, CASE WHEN NOT checked OR sensitivity IS NULL THEN 'review_fields' END, CASE WHEN length(notes) > 500 THEN 'review_notes' END,
+            CASE WHEN k % 10 = 0 THEN 'tags' END, CASE WHEN k % 12 = 0 THEN 'content_type_known' END,
+            CASE WHEN strpos('abcde', correct) > n_options THEN 'one_correct_option' END, CASE WHEN sensitivity = 'possible' AND status = 'approved' OR sensitivity IS NULL AND status = 'approved' THEN 'sensitive_not_approved' END,
+            CASE WHEN n_options > 0 AND k % 14 = 0 THEN 'no_catch_all_option' END]) AS rule FROM c)
+        SELECT k, id, rule FROM r WHERE rule IS NOT NULL""",
+)
+def q66(spark, sf):
+    """The rules of the published schema and the editorial rules, on questions made of parts' numbers."""
+    k = F.col("p_partkey")
+
+    def nth(values: list, n: int):
+        return F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+
+    letters = F.array(*map(F.lit, "abcde"))
+    text = lambda i: F.when((k % 14 == 0) & (i == 0), "Todas las  ANTERIORES").otherwise(F.concat(F.lit("option "), i.cast("string")))
+    options = F.transform(F.slice(F.sequence(F.lit(0), F.lit(4)), F.lit(1), (k % 6).cast("int")), lambda i: F.struct(F.element_at(letters, i + 1).alias("id"), text(i).alias("text")))
+    reference = F.struct(
+        F.lit("Génesis").alias("book"), (k % 4).cast("int").alias("chapter"), F.lit(1).alias("verseStart"), F.lit(None).cast("int").alias("verseEnd"),
+        F.lit("Génesis 1:1").alias("display"), F.lit("RV").alias("translation"), F.lit(None).cast("string").alias("note"),
+    )
+    rows = table(spark, sf, "part").select(
+        k.alias("k"), F.when(k % 7 == 0, "QB-1").otherwise(F.concat(F.lit("qb-"), k.cast("string"))).alias("id"), F.when(k % 11 == 0, 2).otherwise(1).alias("version"),
+        nth([*bank.STATUSES, "lost"], 5).alias("status"), F.when(k % 13 == 0, "en").otherwise("es").alias("language"),
+        F.when(k % 9 == 0, "a--b").otherwise(F.concat(F.lit("cat-"), (k % 3).cast("string"))).alias("category"), nth([*bank.LEVELS, "expert"], 4).alias("difficulty"),
+        F.when(k % 12 == 0, "rumour").otherwise(F.lit(bank.CONTENT_TYPES[0])).alias("contentType"), F.repeat(F.lit("p"), (k % 30 + 5).cast("int")).alias("prompt"), options.alias("options"),
+        F.element_at(letters, (k % 5 + 1).cast("int")).alias("correctOptionId"), F.repeat(F.lit("e"), (k % 50).cast("int")).alias("explanation"),
+        F.array_repeat(reference, (k % 3).cast("int")).alias("references"), F.when(k % 10 == 0, F.array(F.lit("one"), F.lit("one"))).otherwise(F.array(F.lit("one"), F.lit("two"))).alias("tags"),
+        F.struct(
+            F.when(k % 8 != 0, True).alias("referenceChecked"), F.lit(False).alias("singleCorrectAnswerChecked"), nth(["none", "possible", None], 3).alias("doctrinalSensitivity"),
+            F.repeat(F.lit("n"), (k % 700).cast("int")).alias("notes"),
+        ).alias("review"),
+    )
+    keyed = rows.withColumn("key", F.struct("k", "id"))
+    return bank.violations(keyed, bank.content_rules() | bank.policy_rules(), "key").select("key.k", "key.id", "rule")
 
 
 @query(

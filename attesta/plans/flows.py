@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
 from attesta.operators import audit as au
@@ -14,6 +15,8 @@ from attesta.sources.readers import GENERATED, TEXT_SUFFIXES
 
 # Files that a site must have.
 REQUIRED_FILES = ("index.html", "favicon.svg", "privacy/index.html", "sitemap.xml", "README.md", ".nojekyll")
+#: Codes of outcomes: of the connection, of the response and of what it holds.
+CODES = {"key": 10, "network": 11, "status": 12, "chapter": 20, "chapter_network": 21, "response": 22, "verses": 30}
 CHECKS = ("required", "conflict", "html", "css", "seo", "sitemap")
 
 
@@ -34,16 +37,25 @@ def audit_flow(questions: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def extraction_report(payloads: DataFrame) -> DataFrame:
-    """Per chapter: verses, duplicate numbers, whether they are 1..n, and text nodes with their
-    characters (blank ones, which are no verses, included)."""
+    """Per chapter: verses, duplicate numbers, whether they are 1..n, text nodes with their
+    characters (blank ones, which are no verses, included), the code of the outcome and when it was made."""
     verses = chapter_verses(payloads)
     keys = ["book", "chapter"]
+    tree = payloads.select(F.to_json(F.struct(*keys)).alias("k"), "payload", (~passages.succeeded(F.col("payload"))).alias("failed"))
+    tree = passages.count_text_nodes(tree, "k").join(tree.select("k", "failed").distinct(), "k").groupBy("k").agg(F.sum("nodes").alias("nodes"), F.sum("chars").alias("chars"), F.max("failed").alias("failed"))
+    key = F.from_json("k", "book string, chapter int")
+    tree = tree.select(key["book"].alias("book"), key["chapter"].alias("chapter"), "nodes", "chars", "failed")
     count = verses.groupBy(*keys).agg(F.count("*").alias("verse_count"), F.sum(F.length("text")).cast("bigint").alias("verse_chars"))
     twice = passages.duplicate_numbers(verses, keys, "verse_number")
     ordered = passages.sequential(verses, keys, "verse_number", F.col("pos"))
-    rows = payloads.select(*keys).distinct().join(count, keys, "left").join(twice, keys, "left").join(ordered, keys, "left")
+    rows = payloads.select(*keys).distinct().join(count, keys, "left").join(twice, keys, "left").join(ordered, keys, "left").join(tree, keys, "left")
+    code = F.when(F.col("failed"), CODES["response"]).when(F.col("verse_count").isNull(), CODES["verses"]).otherwise(0)
     return rows.select(
         *keys,
+        F.coalesce("nodes", F.lit(0)).alias("text_nodes_detected"),
+        F.coalesce("chars", F.lit(0)).alias("character_count_detected"),
+        code.alias("code"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("processed_at_utc"),
         F.coalesce("verse_count", F.lit(0)).alias("verse_count"),
         F.coalesce("verse_chars", F.lit(0)).alias("verse_chars"),
         F.coalesce("duplicates", F.array().cast("array<bigint>")).alias("duplicates"),
@@ -77,14 +89,20 @@ def generation_flow(payloads: DataFrame, responses: DataFrame) -> tuple[DataFram
 
 def restore(questions: DataFrame, stored: DataFrame) -> DataFrame:
     """user_id, answered, idx, completed, restored for stored records (user_id, raw) over the
-    playable questions (pos from 1, id, options). A record that can't be used gives index 0."""
+    playable questions (pos from 1, id, options). A record that can't be used gives index 0.
+
+    Only the answers a record has are joined to the questions; a gap shows where the places of
+    the valid ones do not count on from 1."""
+    bank_rows = questions.select("pos", "id", F.transform("options", lambda o: o["id"]).alias("ids"))
+    total = bank_rows.agg(F.count("*").alias("total"))  # one row
     records = stored.select("user_id", progress.stored_progress(F.col("raw")).alias("s"))
-    asked = records.crossJoin(F.broadcast(questions.select("pos", "id", F.transform("options", lambda o: o["id"]).alias("ids"))))
-    mine = F.try_element_at(F.col("s.answers"), F.col("id"))
-    valid = asked.select("user_id", "pos", "id", "s", bank.sure(F.array_contains("ids", mine)).alias("valid"))
-    prefix = progress.valid_prefix(valid, "user_id", "pos", F.col("valid"))
-    at = valid.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("id") == F.col("s.currentQuestionId"), F.col("pos"))) - 1, F.lit(-1)).cast("bigint").alias("stored"))
-    rows = records.join(prefix, "user_id").join(at, "user_id")
+    given = records.select("user_id", F.explode(F.map_entries("s.answers")).alias("a")).select("user_id", F.col("a.key").alias("id"), F.col("a.value").alias("mine"))
+    valid = given.join(bank_rows, "id").filter(bank.sure(F.array_contains("ids", F.col("mine"))))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("pos"))
+    prefix = valid.withColumn("n", place).filter(F.col("n") == F.col("pos")).groupBy("user_id").agg(F.count("*").alias("answered"))
+    at = records.select("user_id", F.col("s.currentQuestionId").alias("id")).join(bank_rows.select("id", "pos"), "id").groupBy("user_id").agg((F.min("pos") - 1).cast("bigint").alias("stored"))
+    rows = records.join(prefix, "user_id", "left").join(at, "user_id", "left").crossJoin(total)
+    rows = rows.withColumns({"answered": F.coalesce("answered", F.lit(0)), "stored": F.coalesce("stored", F.lit(-1))})
     index, done, restored = progress.resume(F.col("answered"), F.col("total"), F.col("stored"), F.col("s.completed"))
     usable = F.col("s").isNotNull()
     return rows.select(
@@ -160,13 +178,43 @@ def site_findings(files: DataFrame) -> DataFrame:
 
 
 def security_report(files: DataFrame) -> DataFrame:
-    """One row: files scanned, number of findings and the findings, for a JSON sink."""
+    """One row: files scanned, number of findings and the findings, for a JSON document."""
     found = scan.security_findings(files.filter("text IS NOT NULL"))
     scanned = files.filter(F.col("suffix").isin(*scan.SCANNED) & ~F.startswith("path", F.lit("scripts/"))).agg(F.count("*").alias("files"))
     rows = found.agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_list(F.struct("subject", "line", "check_name", "detail"))).alias("findings"))
     return scanned.crossJoin(rows)
 
 
+def consolidated_report(files: DataFrame, metrics: DataFrame | None = None, scenarios: DataFrame | None = None) -> DataFrame:
+    """One row for a JSON document: security findings, metrics (one row of them) against their
+    budgets, scenarios (scenario, success, error), and the failures by label in that order. A
+    document is one value, so its lists must fit in one task; the findings themselves are a
+    table of `site_findings` and `scan.security_findings`."""
+    spark = files.sparkSession
+    security = security_report(files)
+    empty = spark.createDataFrame([], "metric string, value bigint, budget bigint, over boolean")
+    measured = scan.over_budget(metrics) if metrics is not None else empty
+    scenarios = scenarios if scenarios is not None else spark.createDataFrame([], "scenario string, success boolean, error string")
+    performance = measured.agg(F.array_sort(F.collect_list(F.struct("metric", "value", "budget", "over"))).alias("performance"))
+    resilience = scenarios.agg(F.array_sort(F.collect_list(F.struct("scenario", "success", "error"))).alias("resilience"))
+    report = security.crossJoin(performance).crossJoin(resilience)  # three rows of one
+    failure = F.concat(
+        F.when(F.col("n_findings") > 0, F.array(F.struct(F.lit("security").alias("label"), F.concat(F.col("n_findings").cast("string"), F.lit(" findings")).alias("message")))).otherwise(F.array().cast(FAILURES)),
+        F.transform(F.filter("performance", lambda x: x["over"]), lambda x: F.struct(F.lit("performance").alias("label"), F.concat_ws(" ", x["metric"], x["value"].cast("string"), F.lit("over"), x["budget"].cast("string")).alias("message"))),
+        F.transform(F.filter("resilience", lambda x: ~x["success"]), lambda x: F.struct(F.concat(F.lit("resilience-"), x["scenario"]).alias("label"), F.coalesce(x["error"], F.lit("")).alias("message"))),
+    )
+    return report.withColumn("failures", failure.cast(FAILURES))
+
+
+FAILURES = "array<struct<label:string,message:string>>"
+
+
 def exit_code(findings: DataFrame) -> int:
     """0 if there are no findings, else 1."""
     return int(not findings.isEmpty())
+
+
+def stage_code(report: DataFrame) -> int:
+    """The code of the first chapter (by book and chapter) that failed in an extraction report, else 0."""
+    failed = report.filter("code <> 0").orderBy("book", "chapter").select("code").first()
+    return failed["code"] if failed else 0

@@ -88,30 +88,13 @@ def q36(spark, sf):
 
 @query(
     "q37_scan_with_line",
-    f"""WITH p(kind, pattern) AS (VALUES ('ipv4', '{IPV4}'), ('email', '{EMAIL}')),
-        m AS (SELECT doc_id, kind, text, regexp_extract(text, pattern) AS detail FROM documents, p WHERE regexp_matches(text, pattern))
-        SELECT doc_id, kind, len(string_split(left(text, strpos(text, detail) - 1), chr(10))) AS line, detail FROM m""",
-)
-def q37(spark, sf):
-    """The first finding of each kind in a document, with its line."""
-    out = None
-    for kind, pattern in (("ipv4", IPV4), ("email", EMAIL)):
-        at = F.regexp_instr("text", F.lit(pattern))
-        rows = table(spark, sf, "documents").filter(F.rlike("text", F.lit(pattern)))
-        found = rows.select("doc_id", F.lit(kind).alias("kind"), tx.line_of(F.col("text"), at).cast("bigint").alias("line"), F.regexp_substr("text", F.lit(pattern)).alias("detail"))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query(
-    "q65_scan_all_with_line",
     f"""WITH p(kind, pattern) AS (VALUES ('ipv4', '{IPV4}'), ('email', '{EMAIL}')),
         m AS (SELECT doc_id, kind, string_split_regex(text, pattern) AS parts, regexp_extract_all(text, pattern) AS found FROM documents, p WHERE regexp_matches(text, pattern)),
         k AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)
         SELECT doc_id, kind, len(string_split(array_to_string(parts[1:i], ''), chr(10))) AS line, found[i] AS detail FROM k""",
 )
-def q65(spark, sf):
-    """Every finding of each kind in a document, with its line; q37 has the first only."""
+def q37(spark, sf):
+    """Every finding of each kind in a document, with its line."""
     out = None
     for kind, pattern in (("ipv4", IPV4), ("email", EMAIL)):
         hits = table(spark, sf, "documents").select("doc_id", "text", F.explode(scan.places(F.col("text"), pattern)).alias("m"))
@@ -166,12 +149,112 @@ def q42(spark, sf):
     return rows.filter(scan.overflows(F.col("left_px"), F.col("right_px"), F.lit(900))).select("l_orderkey", "l_linenumber", "right_px")
 
 
-@query("q47_html_facts")
+@query(
+    "q47_html_facts",
+    r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][a-z0-9]*[^>]*>')) AS tag, generate_subscripts(regexp_extract_all(html, '<[a-z][a-z0-9]*[^>]*>'), 1) AS i FROM pages),
+            f AS (SELECT page_id, i, 1 AS j, 'tag' AS kind, regexp_extract(tag, '^<([a-z0-9]+)', 1) AS key, '' AS value FROM t
+                  UNION ALL SELECT page_id, i, 2, 'ref', 'href', regexp_extract(tag, ' href="([^"]*)"', 1) FROM t WHERE regexp_matches(tag, '^<a [^>]*href="[^"]')
+                  UNION ALL SELECT page_id, 1000000000, 1, 'title', '', trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FROM pages)
+        SELECT page_id, kind, key, value, row_number() OVER (PARTITION BY page_id ORDER BY i, j) AS pos FROM f""",
+)
 def q47(spark, sf):
-    """Facts of every page by the HTML parser."""
+    """Facts of every page by the HTML parser; these pages have no ids, metadata or images (q68 has)."""
     return site.html_facts(table(spark, sf, "pages"), "page_id", "html")
 
 
+#: Markup that is put into pages by their number modulo 8, so that every kind of fact and finding occurs.
+MARKUP = (
+    '<a target="_blank" href="http://x.example/">x</a>\n<a target="_blank" href="http://x.example/">x</a>',
+    '<a target="_blank" rel="noopener noreferrer" href="../y/">y</a>\n<img src="http://localhost/a.png" srcset="a.png 1x, b.png 2x">',
+    '<button id="go" onclick="go()">go</button>\n<div id="go" ONLOAD = "x"></div>',
+    "-----BEGIN RSA PRIVATE KEY-----",
+    "ghp_abcdefghijklmnopqrstuv ghp_short xghp_abcdefghijklmnopqrstuv",
+    '<meta name="Description" content=" about "><meta property="og:title" content="t"><meta name="description" content="again">',
+    '<link rel="canonical icon" href="c.html#top"><video src="v.mp4" poster="p.png"></video>',
+    "<a target='_blank' rel=\"noopener\" href=\"#go\">z</a>",
+)
+SCRIPT = ("eval (x)", "new  Function(1)", "document.write (y)", "evaluate(x); anew Function(z)")
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+FILES_SQL = f"""
+    f AS (
+        SELECT 'p' || page_id || '.html' AS path, html || chr(10) || [{", ".join(map(sql_text, MARKUP))}][page_id % 8 + 1] AS text FROM pages
+        UNION ALL SELECT 'd' || doc_id || '.js', coalesce(text, '') || chr(10) || [{", ".join(map(sql_text, SCRIPT))}][doc_id % 4 + 1] FROM documents
+        UNION ALL SELECT 'scripts/a.js', 'eval(x)')
+"""
+
+
+def site_files(spark, sf) -> DataFrame:
+    """Pages with added markup as HTML files, documents with an added line as scripts."""
+
+    def nth(values: tuple[str, ...], key: str):
+        return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+    pages = table(spark, sf, "pages").select(F.format_string("p%d.html", "page_id").alias("path"), F.concat_ws("\n", "html", nth(MARKUP, "page_id")).alias("text"))
+    docs = table(spark, sf, "documents").select(F.format_string("d%d.js", "doc_id").alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), nth(SCRIPT, "doc_id")).alias("text"))
+    own = spark.range(1).select(F.lit("scripts/a.js").alias("path"), F.lit("eval(x)").alias("text"))
+    return pages.unionByName(docs).unionByName(own)
+
+
+@query(
+    "q67_security_findings",
+    rf"""WITH {FILES_SQL},
+        p(check_name, suffix, pattern) AS (VALUES ('private-key', 'l|js', '-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----'), ('github-token', 'l|js', '\bgh[pousr]_[A-Za-z0-9]{{20,}}\b'),
+            ('insecure-resource', 'l', '(?i)\b(?:src|href)\s*=\s*["'']http://[^"'']+["'']'), ('inline-handler', 'l', '(?i)\son[a-z]+\s*=\s*["'']'),
+            ('blank-target', 'l', '(?i)<a\b[^>]*target\s*=\s*["'']_blank["''][^>]*>'), ('eval', 'js', '\beval\s*\('), ('new-function', 'js', '\bnew\s+Function\s*\('), ('document-write', 'js', '\bdocument\.write\s*\(')),
+        m AS (SELECT path, text, check_name, string_split_regex(text, pattern) AS parts, regexp_extract_all(text, pattern) AS found FROM f, p
+              WHERE regexp_matches(path, '(' || suffix || ')$') AND NOT starts_with(path, 'scripts/') AND regexp_matches(text, pattern)),
+        k AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+        o AS (SELECT path, check_name, found[i] AS detail, CASE check_name WHEN 'blank-target' THEN left(text, strpos(text, found[i]) - 1)
+                     ELSE array_to_string(list_transform(range(1, i + 1), lambda j: parts[j] || CASE WHEN j < i THEN found[j] ELSE '' END), '') END AS head FROM k)
+        SELECT check_name, path AS subject, len(string_split(head, chr(10))) AS line, regexp_replace(detail, '^\s+', '') AS detail FROM o
+        WHERE NOT (check_name = 'insecure-resource' AND regexp_matches(detail, 'http://(127\.0\.0\.1|localhost)'))
+          AND NOT (check_name = 'blank-target' AND list_has_all(string_split_regex(lower(regexp_extract(detail, '(?i)\brel\s*=\s*["'']([^"'']*)["'']', 1)), '\s+'), ['noopener', 'noreferrer']))""",
+)
+def q67(spark, sf):
+    """Every unsafe pattern with its line in the files of a site."""
+    return scan.security_findings(site_files(spark, sf)).withColumn("line", F.col("line").cast("bigint"))
+
+
+@query(
+    "q68_marked_up_facts",
+    rf"""WITH {FILES_SQL}, h AS (SELECT path, string_split(text, chr(10))[-2:] AS tail, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 8 AS k FROM f WHERE ends_with(path, 'l'))
+        SELECT path, kind, key, value, n FROM (
+            SELECT path, 'id' AS kind, 'go' AS key, '' AS value, 2 AS n FROM h WHERE k = 2
+            UNION ALL SELECT path, 'ref', 'href', 'http://x.example/', 2 FROM h WHERE k = 0
+            UNION ALL SELECT path, 'ref', unnest(['href', 'src', 'srcset', 'srcset']), unnest(['../y/', 'http://localhost/a.png', 'a.png', 'b.png']), 1 FROM h WHERE k = 1
+            UNION ALL SELECT path, unnest(['name', 'name', 'property']), unnest(['description', 'description', 'og:title']), unnest(['about', 'again', 't']), 1 FROM h WHERE k = 5
+            UNION ALL SELECT path, unnest(['ref', 'canonical', 'icon', 'ref', 'ref']), unnest(['href', '', '', 'src', 'poster']), unnest(['c.html#top', 'c.html#top', 'c.html#top', 'v.mp4', 'p.png']), 1 FROM h WHERE k = 6
+            UNION ALL SELECT path, 'ref', 'href', '#go', 1 FROM h WHERE k = 7)""",
+)
+def q68(spark, sf):
+    """Facts of the added markup: what pages with it have besides tags, titles and links from the site's root."""
+    facts = site.html_facts(site_files(spark, sf).filter("path LIKE 'p%.html'"), "path", "text")
+    mine = facts.filter("kind NOT IN ('tag', 'title') AND NOT (kind = 'ref' AND value LIKE '/%')")
+    return mine.groupBy("path", "kind", "key", "value").agg(F.count("*").cast("int").alias("n"))
+
+
+REFERENCE_CASES = ("a.html#top", "sub/../b.html", "../out.html", "sub/", "#here", "", "/root", "http://else.example/x", "mailto:x@y", "c%20d.html", "./e.html?q=1", "sub/../../../x")
+
+
+@query(
+    "q69_resolved_links",
+    f"""WITH c AS (SELECT unnest([{", ".join(map(sql_text, REFERENCE_CASES))}]) AS reference,
+                          unnest(['docs/a.html', 'docs/b.html', 'out.html', 'docs/sub/index.html', NULL, NULL, NULL, NULL, NULL, 'docs/c d.html', 'docs/e.html', NULL]) AS path,
+                          unnest(['top', '', '', '', 'here', '', '', '', '', '', '', '']) AS fragment, unnest([NULL, NULL, NULL, NULL, 1, 1, NULL, NULL, NULL, NULL, NULL, NULL]) AS own)
+        SELECT page_id, reference, CASE WHEN own = 1 THEN 'docs/p' || page_id || '.html' ELSE path END AS path, fragment, reference = 'sub/../../../x' AS escapes FROM pages, c""",
+)
+def q69(spark, sf):
+    """Where references of each kind lead to from a page in a folder."""
+    cases = F.explode(F.array(*map(F.lit, REFERENCE_CASES))).alias("reference")
+    edges = table(spark, sf, "pages").select("page_id", F.format_string("docs/p%d.html", "page_id").alias("source"), cases)
+    return edges.withColumn("t", site.resolve("source", "reference")).select("page_id", "reference", "t.path", "t.fragment", "t.escapes")
+
+
 @query(
     "q50_missing_fragments",
     """SELECT page_id, regexp_extract(url, '#(.+)$', 1) AS fragment FROM pages

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ AUDIT_SPEC = (
 GENERATED = (
     "items ARRAY<STRUCT<verse_number: INT, question: STRING, options: ARRAY<STRING>, correct_answer: STRING, explanation: STRING, difficulty: STRING, category: STRING>>"
 )
+EVENT = "user_id bigint, ts timestamp, event_id bigint, event string, option string"
 TEXT_SUFFIXES = ("html", "css", "js", "json", "md", "xml", "yml", "yaml", "py", "txt", "svg")
 
 
@@ -75,6 +77,29 @@ def repository_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> D
     )
 
 
+def event_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """A stream of UI events (EVENT) from JSON lines that arrive in a folder."""
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
+
+
+def stored_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The stored records (user_id, raw) that sinks.store_progress wrote; none before the first time."""
+    try:
+        return spark.read.schema("user_id bigint, raw string").parquet(path)
+    except AnalysisException:  # there is no table yet
+        return spark.createDataFrame([], "user_id bigint, raw string")
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream over a Parquet folder or one file of it."""
+    schema = spark.read.parquet(path).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    parent, _, file = path.rstrip("/").rpartition("/")
+    source = spark.readStream.schema(schema)
+    return source.parquet(path) if folder else source.option("pathGlobFilter", file).parquet(parent)
+
+
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """A row (xml, locs) for a sitemap file."""
     from attesta.operators.site import sitemap_locs

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -11,6 +14,21 @@ from attesta.functions import text as tx
 MIN_COPY = 40
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a
+    session with a local master has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (base or f"file://{tempfile.mkdtemp(prefix='attesta-shared-')}").rstrip("/")
+
+
+def store_progress(states: DataFrame, path: str) -> None:
+    """The stored records (user_id, raw) of users' last states, as a table that replaces the one
+    before; users whose record was cleared have none."""
+    states.filter("stored IS NOT NULL").select("user_id", F.col("stored").alias("raw")).write.mode("overwrite").parquet(path)
+
+
 def json_document(row: DataFrame) -> DataFrame:
     """A one-row frame as one pretty JSON text, explicit nulls kept."""
     return row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))

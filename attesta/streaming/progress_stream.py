@@ -1,14 +1,26 @@
 """The quiz as a keyed state machine over a stream of events, by transformWithStateInPandas.
 
-State of a user: the current run, its events and the first answer of each question.
-An event of kind `restart` opens a new run; a later answer to a question that has
-one changes nothing. The batch counterpart is progress.with_runs with
-progress.first_answers; tests hold one against the other.
+Events (user_id, ts, event_id, event, option): ``select`` an option, ``check`` the
+selected one, go to the ``next`` question, ``restart``, ``reload`` the page (what is
+stored is restored; a selection is lost). What a state does not allow is ignored:
+a selection or a check once the question is answered, a check without a selection
+or of an unknown option, a next before the answer, and all but restart and reload
+once the quiz is completed. A check and a next store the progress, as does a
+completion; a restart clears it. Next after the last question completes the quiz.
+
+The questions are a bank of bounded size (MAX_QUESTIONS) in the closure. A user's
+state is one row, read and written once a micro-batch. The batch's events of one user
+are held and sorted, which the trigger's input bounds.
+
+Edge cases: unknown kinds of events count and do nothing; a null option selects
+nothing; events that tie in time go by event_id; stored progress that is broken, of
+another version or inconsistent is cut to its valid beginning, as by
+``progress.resume``; without questions every event is ignored.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,64 +29,166 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-RESTART = "signup"
+from attesta.operators.progress import VERSION
+from attesta.sources.sinks import shared_folder
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = "user_id bigint, run bigint, n_events bigint, answers string"
+STATE = "run bigint, n_events bigint, idx bigint, selected string, answers string, completed boolean, stored string"
+OUTPUT = "user_id bigint, run bigint, n_events bigint, idx bigint, answered boolean, completed boolean, score bigint, answers string, stored string"
+MAX_QUESTIONS = 100_000
+#: (id, option ids, id of the correct option)
+Question = tuple[str, list[str], str]
+
+
+class Quiz:
+    """One user's run through the questions."""
+
+    def __init__(self, questions: list[Question]):
+        self.questions = questions
+        self.run, self.n_events, self.stored = 0, 0, None
+        self._begin()
+
+    def _begin(self) -> None:
+        self.idx, self.selected, self.answers, self.completed = 0, None, {}, False
+
+    @property
+    def answered(self) -> bool:
+        return bool(self.questions) and self.questions[self.idx][0] in self.answers
+
+    @property
+    def score(self) -> int:
+        return sum(self.answers.get(q) == right for q, _, right in self.questions)
+
+    def apply(self, event: str, option: str | None) -> None:
+        self.n_events += 1
+        step = {"select": lambda: self.select(option), "check": self.check, "next": self.next, "restart": self.restart, "reload": self.reload}.get(event)
+        if step and self.questions:
+            step()
+
+    def select(self, option: str | None) -> None:
+        if not self.answered and not self.completed and option in self.questions[self.idx][1]:
+            self.selected = option
+
+    def check(self) -> None:
+        if self.selected is not None and not self.answered and not self.completed:
+            self.answers[self.questions[self.idx][0]] = self.selected
+            self.keep()
+
+    def next(self) -> None:
+        if not self.answered or self.completed:
+            return
+        if self.idx + 1 < len(self.questions):
+            self.idx, self.selected = self.idx + 1, None
+        else:
+            self.completed = True
+        self.keep()
+
+    def restart(self) -> None:
+        self._begin()
+        self.run, self.n_events, self.stored = self.run + 1, 1, None
+
+    def keep(self) -> None:
+        record = {"version": VERSION, "currentQuestionId": self.questions[self.idx][0], "answers": self.answers, "completed": self.completed}
+        self.stored = json.dumps(record, separators=(",", ":"), ensure_ascii=False)
+
+    def reload(self) -> None:
+        raw, self.stored = self.stored, None
+        self._begin()
+        self.restore(raw)
+
+    def restore(self, raw: str | None) -> None:
+        """Take up what a record allows; the same rules as progress.valid_prefix and progress.resume."""
+        try:
+            record = json.loads(raw or "null")
+        except ValueError:
+            return
+        if not (isinstance(record, dict) and record.get("version") == VERSION and isinstance(record.get("answers"), dict)):
+            return
+        for q, options, _ in self.questions:
+            if record["answers"].get(q) not in options:
+                break
+            self.answers[q] = record["answers"][q]
+        total, done = len(self.questions), len(self.answers)
+        following = min(done, max(total - 1, 0))
+        places = [i for i, (q, _, _) in enumerate(self.questions) if q == record.get("currentQuestionId")]
+        self.completed = record.get("completed") is True and done == total
+        self.idx = max(total - 1, 0) if self.completed else places[0] if places and places[0] in (done - 1, following) else following
+        if self.questions:
+            self.keep()
 
 
 class Progress(StatefulProcessor):
+    def __init__(self, questions: list[Question]):
+        self.questions = questions
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "run bigint, n_events bigint")
-        self.answers = handle.getMapState("answers", "kind string", "event_id bigint")
+        self.state = handle.getValueState("quiz", STATE)
+
+    def load(self) -> Quiz:
+        quiz = Quiz(self.questions)
+        if self.state.exists():
+            run, n, idx, selected, answers, completed, stored = self.state.get()
+            quiz.run, quiz.n_events, quiz.idx, quiz.selected, quiz.answers, quiz.completed, quiz.stored = int(run), int(n), int(idx), selected, json.loads(answers), bool(completed), stored
+        return quiz
+
+    def save(self, quiz: Quiz) -> None:
+        self.state.update((quiz.run, quiz.n_events, quiz.idx, quiz.selected, json.dumps(quiz.answers), quiz.completed, quiz.stored))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timers) -> None:
+        """A user's stored record, before the first event."""
+        quiz = Quiz(self.questions)
+        quiz.restore(initialState["raw"].iloc[0])
+        self.save(quiz)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        run, n = self.counts.get() if self.counts.exists() else (0, 0)
+        quiz = self.load()
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        for kind, event_id in zip(events["event_type"], events["event_id"], strict=True):
-            if kind == RESTART:
-                run, n = run + 1, 0
-                self.answers.clear()
-            n += 1
-            if not self.answers.containsKey((kind,)):
-                self.answers.updateValue((kind,), (int(event_id),))
-        self.counts.update((int(run), int(n)))
-        kept = ",".join(f"{k[0]}:{v[0]}" for k, v in sorted(self.answers.iterator()))
-        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "n_events": [n], "answers": [kept]})
+        for event, option in zip(events["event"], events["option"], strict=True):
+            quiz.apply(event, option)
+        self.save(quiz)
+        answers = ",".join(f"{q}:{quiz.answers[q]}" for q, _, _ in self.questions if q in quiz.answers)
+        yield pd.DataFrame(
+            {
+                "user_id": [key[0]], "run": [quiz.run], "n_events": [quiz.n_events], "idx": [quiz.idx], "answered": [quiz.answered], "completed": [quiz.completed],
+                "score": [quiz.score], "answers": [answers], "stored": [quiz.stored],
+            }
+        )
 
     def close(self) -> None:
         pass
 
 
-def progress(events: DataFrame) -> DataFrame:
-    """A row per user and micro-batch: the state after it. Events of a batch are applied in order of
-    time; batches must follow one another in time, as a queue delivers them."""
-    return events.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Progress(), outputStructType=OUTPUT, outputMode="update", timeMode="none")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or a temporary one where the
-    session has none (a local master)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or f"file://{tempfile.mkdtemp(prefix='attesta-stream-')}"
-    return f"{base.rstrip('/')}/progress-{uuid.uuid4().hex}"
+def bank(questions: DataFrame) -> list[Question]:
+    """The playable questions (pos, id, options, correctOptionId), in order; at most MAX_QUESTIONS."""
+    rows = questions.orderBy("pos").limit(MAX_QUESTIONS + 1).select("id", F.transform("options", lambda o: o["id"]).alias("ids"), "correctOptionId").collect()
+    if len(rows) > MAX_QUESTIONS:
+        raise ValueError(f"a quiz has {MAX_QUESTIONS} questions at most")
+    return [(r["id"], list(r["ids"]), r["correctOptionId"]) for r in rows]
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over a folder or file to its end; the last state of each user. States go
-    to a table in the shared folder, by batch; a batch that is run again replaces its own."""
-    folder = scratch(spark)
+def progress(events: DataFrame, questions: list[Question], stored: DataFrame | None = None) -> DataFrame:
+    """A row per user and micro-batch: the state after it. Events of a batch are applied in order of
+    time; batches must follow one another in time, as a queue delivers them. stored (user_id, raw)
+    are records that users start from, one each."""
+    initial = stored.groupBy("user_id") if stored is not None else None
+    return events.select("user_id", "ts", "event_id", "event", "option").groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Progress(questions), outputStructType=OUTPUT, outputMode="update", timeMode="none", initialState=initial
+    )
+
+
+def replay(spark: SparkSession, events: DataFrame, questions: list[Question], stored: DataFrame | None = None) -> DataFrame:
+    """Run the stream over all that a source (events, a stream) has; the last state of each user.
+    States go to a table in the shared folder, by batch; a batch that is run again replaces its own."""
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        schema = spark.read.parquet(path).schema
-        parent, _, file = path.rstrip("/").rpartition("/")
-        source = spark.readStream.schema(schema)
-        stream = source.parquet(path) if is_folder(spark, path) else source.option("pathGlobFilter", file).parquet(parent)
 
         def keep(states: DataFrame, batch: int) -> None:
             states.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
 
-        query = progress(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        found = progress(events, questions, stored)
+        query = found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         if before is None:
@@ -82,10 +196,6 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     states = spark.read.schema(f"{OUTPUT}, batch bigint").parquet(f"{folder}/states")
-    last = states.groupBy("user_id").agg(F.max_by(F.struct("run", "n_events", "answers"), "batch").alias("s"))
-    return last.select("user_id", "s.run", "s.n_events", "s.answers")
-
-
-def is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    names = [x.split()[0] for x in OUTPUT.split(", ")][1:]
+    last = states.groupBy("user_id").agg(F.max_by(F.struct(*names), "batch").alias("s"))
+    return last.select("user_id", *[f"s.{n}" for n in names])

@@ -1,5 +1,7 @@
 import hashlib
+import unicodedata
 
+from attesta.functions import text as tx
 from attesta.operators import audit as au
 from attesta.operators import passages
 from attesta.sources import sinks
@@ -65,3 +67,21 @@ def test_last_wins_and_numbers(spark):
     assert sorted(map(tuple, passages.last_wins(rows, ["k", "n"], F.col("pos"), "text").collect())) == [(1, 1, "b"), (1, 3, "c"), (2, 1, "d"), (2, 2, "e")]
     assert [(r.k, r.duplicates) for r in passages.duplicate_numbers(rows, ["k"], "n").collect()] == [(1, [1])]
     assert {r.k: r.sequential for r in passages.sequential(rows, ["k"], "n", F.col("pos")).collect()} == {1: False, 2: True}
+
+
+def test_decomposed_and_other_scripts(spark):
+    """Verdicts do not depend on the form of the text, nor on its script."""
+    verses = [("D", 1, 1, unicodedata.normalize("NFD", "la canción según José")), ("D", 1, 2, "ΕΝ ΑΡΧΗ και Йод 12"), ("D", 1, 3, "el ﬁn de la ofﬁcina")]
+    texts = spark.createDataFrame(verses, "book string, chapter int, verse_number int, text string")
+    asked = [
+        ("nfd", "D", 1, 1, 1, ["canción", unicodedata.normalize("NFD", "según")], ["JOSÉ"], [unicodedata.normalize("NFD", "canción")]),
+        ("greek", "D", 1, 2, 2, ["12", "αρχη"], [], ["λογος"]),
+        ("ligature", "D", 1, 3, 3, ["fin", "oﬃcina"], ["officina"], ["ﬁn"]),
+    ]
+    got = {r.id: r for r in au.audit(spark.createDataFrame(asked, QUESTION), texts).collect()}
+    for q in asked:
+        norm = tx.normalize_one(next(v[3] for v in verses if v[2] == q[3]))
+        assert got[q[0]].missing_support_terms == [t for t in q[5] if tx.normalize_one(t) and tx.normalize_one(t) not in norm] == []
+        tokens = {d: [t for t in tx.normalize_one(d).split() if len(t) >= 3 and t not in tx.STOPWORDS] for d in q[7]}
+        assert got[q[0]].distractor_conflicts == [d for d, ts in tokens.items() if ts and all(t in norm for t in ts)]
+    assert got["nfd"].distractor_conflicts and not got["greek"].distractor_conflicts

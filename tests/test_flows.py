@@ -25,6 +25,21 @@ def test_extraction_report(spark):
     rows = {r.chapter: r for r in flows.extraction_report(payloads(spark)).collect()}
     assert (rows[1].verse_count, rows[1].duplicates, rows[1].sequential) == (3, [2], False)
     assert (rows[2].verse_count, rows[2].duplicates, rows[2].sequential) == (0, [], False)
+    assert (rows[1].text_nodes_detected, rows[1].character_count_detected, rows[1].code) == (3, sum(len(v["text"]) for v in json.loads(PAYLOAD)["data"]["verses"]), 0)
+    assert (rows[2].text_nodes_detected, rows[2].code) == (0, 22) and rows[1].processed_at_utc.endswith("+00:00")
+    assert flows.stage_code(flows.extraction_report(payloads(spark))) == 22 and flows.stage_code(flows.extraction_report(payloads(spark).filter("chapter = 1"))) == 0
+    none = spark.createDataFrame([("Gen", 3, '{"data": {"text": "  "}}'), ("Gen", 3, "no JSON")], "book string, chapter int, payload string")
+    assert [(r.code, r.text_nodes_detected, r.character_count_detected) for r in flows.extraction_report(none).collect()] == [(30, 1, 2)]
+
+
+def test_consolidated_report(spark):
+    files = spark.createDataFrame([("a.js", "js", "x\neval (y)"), ("b.css", "css", "a{}")], "path string, suffix string, text string")
+    metrics = spark.createDataFrame([(10, 200)], "bytes long, requests long")
+    scenarios = spark.createDataFrame([("storage", False, "gone"), ("fine", True, None)], "scenario string, success boolean, error string")
+    row = flows.consolidated_report(files, metrics, scenarios).first()
+    assert (row.files, row.n_findings) == (2, 1) and [(f.subject, f.line) for f in row.findings] == [("a.js", 2)]
+    assert [(f.label, f.message) for f in row.failures] == [("security", "1 findings"), ("performance", "requests 200 over 100"), ("resilience-storage", "gone")]
+    assert flows.consolidated_report(files.filter("path = 'b.css'")).first().failures == []
 
 
 def response(*items):

@@ -1,10 +1,14 @@
 import itertools
+import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
 from attesta.operators import progress as pr
-from attesta.streaming.progress_stream import progress as stream
-from attesta.streaming.progress_stream import PROVIDER, replay
+from attesta.plans import flows
+from attesta.sources import readers, sinks
+from attesta.streaming.progress_stream import Quiz, bank, replay
 
 
 def plain_resume(answered, total, stored, completed):
@@ -48,34 +52,84 @@ def test_option_states(spark):
     assert [r.x for r in df.select(pr.option_state(F.col("o"), F.col("c"), F.col("s")).alias("x")).collect()] == [pr.BOTH, pr.RIGHT, pr.WRONG, "", ""]
 
 
-def batch(events):
-    """The state machine's result by batch functions."""
-    runs = pr.with_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "signup")
-    last = runs.groupBy("user_id").agg(F.max("run").alias("run"))
-    mine = runs.join(last, ["user_id", "run"])
-    firsts = pr.first_answers(mine, ["user_id", "event_type"], ["ts", "event_id"]).groupBy("user_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "event_type", F.col("event_id").cast("string")))), ",").alias("answers")
-    )
-    return sorted(map(tuple, mine.groupBy("user_id", "run").agg(F.count("*").alias("n")).join(firsts, "user_id").select("user_id", "run", "n", "answers").collect()))
-
-
-def test_stream_equals_batch(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    assert sorted(map(tuple, replay(spark, f"{sf}/events.parquet").collect())) == batch(events)
-
-
-def test_stream_over_several_batches(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    (a, b), = events.selectExpr("percentile_approx(ts, 0.5) AS m", "max(ts) AS x").collect()
-    for k, part in enumerate((events.filter(F.col("ts") <= a), events.filter(F.col("ts") > a))):
-        part.coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
-        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        query = stream(source).writeStream.format("memory").queryName("two_batches").outputMode("update").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    last = spark.table("two_batches").groupBy("user_id").agg(F.max_by(F.struct("run", "n_events", "answers"), F.struct("run", "n_events")).alias("s"))
-    assert sorted(map(tuple, last.select("user_id", "s.run", "s.n_events", "s.answers").collect())) == batch(events)
+QUIZ = [(f"q{i}", ["a", "b", "c"], "abc"[i]) for i in range(3)]
+
+
+def played(*events, stored=None):
+    quiz = Quiz(QUIZ)
+    quiz.restore(stored)
+    for e in events:
+        quiz.apply(*(e.split(":") + [None])[:2])
+    return quiz
+
+
+def test_quiz_steps():
+    q = played("check", "next", "select:z", "check")
+    assert (q.idx, q.answers, q.stored, q.n_events) == (0, {}, None, 4)
+    q = played("select:b", "select:a", "check", "select:c", "check")
+    assert (q.answers, q.answered, q.score) == ({"q0": "a"}, True, 1)
+    assert json.loads(q.stored) == {"version": 1, "currentQuestionId": "q0", "answers": {"q0": "a"}, "completed": False}
+    q = played("select:a", "check", "next", "next")
+    assert (q.idx, q.answered, q.selected, json.loads(q.stored)["currentQuestionId"]) == (1, False, None, "q1")
+    all_three = ("select:a", "check", "next", "select:b", "check", "next", "select:a", "check")
+    q = played(*all_three)
+    assert not q.completed and q.score == 2
+    q = played(*all_three, "next", "next", "select:b", "check")
+    assert q.completed and (q.idx, q.score) == (2, 2) and json.loads(q.stored)["completed"]
+    q = played(*all_three, "next", "reload")
+    assert q.completed and q.idx == 2 and q.answers == {"q0": "a", "q1": "b", "q2": "a"}
+    q = played(*all_three, "next", "restart", "what")
+    assert (q.run, q.n_events, q.idx, q.answers, q.completed, q.stored) == (1, 2, 0, {}, False, None)
+    q = played("select:a", "reload", "check")
+    assert q.answers == {} and q.stored is None
+    q = played("select:a", "check", "next", "select:b", "reload", "check")
+    assert (q.idx, q.answers) == (1, {"q0": "a"})
+
+
+def test_quiz_restores_like_the_batch_flow(spark):
+    records = {
+        f"{current} {completed} {n}": json.dumps({"version": 1, "currentQuestionId": current, "answers": {f"q{i}": "z" if i == bad else "a" for i in range(n) if i != gap}, "completed": completed})
+        for current in ("q0", "q1", "q2", "q9") for completed in (True, False) for n in range(4) for bad, gap in ((9, 9),)
+    }
+    records |= {"gap": json.dumps({"version": 1, "currentQuestionId": "q2", "answers": {"q0": "a", "q2": "a"}, "completed": True}), "version": '{"version":2,"answers":{}}', "list": '{"version":1,"answers":[]}', "broken": "{"}
+    questions = spark.createDataFrame([(i + 1, q, [(o,) for o in options]) for i, (q, options, _) in enumerate(QUIZ)], "pos int, id string, options array<struct<id:string>>")
+    stored = spark.createDataFrame(list(records.items()), "user_id string, raw string")
+    for r in flows.restore(questions, stored).collect():
+        q = played(stored=records[r.user_id])
+        assert (q.idx, q.completed, len(q.answers)) == (r.idx, r.completed, r.answered), r
+
+
+def rows_of(quizzes):
+    return sorted((u, q.run, q.n_events, q.idx, q.answered, q.completed, q.score, ",".join(f"{k}:{v}" for k, v in sorted(q.answers.items())), q.stored) for u, q in quizzes.items())
+
+
+def test_stream_in_batches_with_stored_progress(spark, tmp_path):
+    """JSON events in two files, one a batch, and records that users start from; then back to a sink."""
+    rnd = random.Random(1)
+    start = {1: played("select:a", "check", "next").stored, 2: "broken", 9: played("select:a", "check").stored}
+    quizzes = {u: played(stored=start.get(u)) for u in (1, 2, 3)}
+    at = 0
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        lines = []
+        for _ in range(80):
+            at += 1
+            u, e = rnd.choice((1, 2, 3)), rnd.choice(["select:a", "select:b", "select:z", "check", "check", "next", "reload", "restart" if rnd.random() < 0.3 else "next", "odd"])
+            quizzes[u].apply(*(e.split(":") + [None])[:2])
+            event, option = (e.split(":") + [None])[:2]
+            lines.append(json.dumps({"user_id": u, "ts": f"2024-01-01T00:{at // 60:02d}:{at % 60:02d}Z", "event_id": at, "event": event, "option": option}))
+        rnd.shuffle(lines)
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{k}.json", (1000 + k, 1000 + k))
+    stored = spark.createDataFrame(list(start.items()), "user_id long, raw string")
+    states = replay(spark, readers.event_stream(spark, str(tmp_path / "in"), 1), QUIZ, stored)
+    assert sorted(map(tuple, states.collect())) == rows_of(quizzes)
+    sinks.store_progress(states, str(tmp_path / "stored"))
+    assert {r.user_id: r.raw for r in readers.stored_progress(spark, str(tmp_path / "stored")).collect()} == {u: q.stored for u, q in quizzes.items() if q.stored}
+    assert readers.stored_progress(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_bank_of_the_quiz(spark):
+    rows = spark.createDataFrame([(2, "b", [("x",)], "x"), (1, "a", [("x",), ("y",)], "y")], "pos int, id string, options array<struct<id:string>>, correctOptionId string")
+    assert bank(rows) == [("a", ["x", "y"], "y"), ("b", ["x"], "x")]
+    assert Quiz([]).answered is False and not Quiz([]).apply("select", "a")

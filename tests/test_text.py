@@ -1,6 +1,7 @@
+import random
+import unicodedata
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
@@ -19,19 +20,28 @@ def test_normal_forms(spark):
     assert one(spark, tx.strip(F.col("v")), v="\t x \n") == "x"
 
 
-def test_native_and_general_agree(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert docs.filter(tx.normalize(F.col("text")) != tx.normalize_any("text")).count() == 0
+def test_native_equals_python_on_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", tx.normalize(F.col("text")).alias("n"), tx.fold(F.col("text")).alias("f")).collect()
+    assert all(r.n == tx.normalize_one(r.text) and r.f == r.text.casefold() for r in docs)
 
 
-@settings(max_examples=10, deadline=None)
-@given(st.text("aeiouáéíóúñçßÀÖ .,-1", max_size=40))
-def test_native_equals_python_on_latin_text(spark, text):
-    assert one(spark, tx.normalize(F.col("v")), v=text) == tx.normalize_one(text)
+def test_native_equals_python_on_any_script(spark):
+    rnd = random.Random(3)
+    scripts = "aeiouáéíóúñçßÀÖ .,-1", "ΑάΐΣςώᾳᾧ\u0345", "ЙйЁёїЖ", "ﬁﬂﬃﬆŉẚǆǅʼ\u212a\u212bİı", "한국어 조선글", "漢字かなガ", "\U00010400\U00010428\U0001d400\U0001f600", "אָ עִבְרִית", "हिन्दी", "éüñ"
+    texts = ["".join(rnd.choice(rnd.choice(scripts)) for _ in range(rnd.randrange(40))) for _ in range(800)]
+    texts += [unicodedata.normalize(form, t) for t in texts[:400] for form in ("NFD", "NFC", "NFKD")]
+    texts += ["la canción según José", unicodedata.normalize("NFD", "la canción según José"), "Ǆ ﬁn", "STRAẞE"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", tx.normalize(F.col("v")).alias("n"), tx.fold(F.col("v")).alias("f")).collect()
+    for r in rows:
+        assert r.n == tx.normalize_one(r.v) and r.f == r.v.casefold(), repr(r.v)
 
 
-def test_general_form_takes_any_script(spark):
-    assert one(spark, tx.normalize_any(F.col("v")), v="Ǆ ﬁn") == tx.normalize_one("Ǆ ﬁn")
+def test_every_character(spark):
+    """Both forms of each character between two letters, over all of Unicode."""
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    texts = ["a" + "b".join(every[i : i + 500]) + "c" for i in range(0, len(every), 500)]
+    for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", tx.normalize(F.col("v")).alias("n"), tx.fold(F.col("v")).alias("f")).collect():
+        assert r.n == tx.normalize_one(r.v) and r.f == r.v.casefold()
 
 
 @pytest.mark.parametrize(
