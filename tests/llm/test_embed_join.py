@@ -52,6 +52,26 @@ def test_against_brute_force(spark):
         assert found(df, block=block) == brute(rows)
 
 
+def test_double_precision_and_extreme_sizes(spark):
+    rows = [(i, [x * 10.0**e for x in v]) for i, (v, e) in enumerate([([1.0, 0.1], 200), ([1.0, 0.1000001], -200), ([0.1, 1.0], 0), ([1.0, 0.2], 300), ([-1.0, 0.0], 0)])]
+    want = [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 2, 0, False), (4, 0, 4, True)]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == want
+
+
+def test_many_vectors_that_are_not_fit(spark):
+    rows = [(i, None if i % 2 else [0.0, 0.0]) for i in range(500)] + [(600, [1.0, 0.0]), (601, [1.0, 0.0])]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert got == brute(rows)
+
+
+def test_clusters_in_many_groups(spark):
+    """Tight clusters in 16 dimensions over dozens of pivots, so that groups and cells are left out."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, (centres[i % 60] + rng.normal(size=16) * rng.choice([0.01, 0.1, 0.3])).astype(np.float32).tolist()) for i in range(900)]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), block=20) == brute(rows)
+
+
 def test_clash_and_empty(spark):
     schema = "vec_id long, embedding array<float>, v int, rep int, key string, fit boolean"
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 1, "k", True), (2, [1.0, 0.1], 1, 1, "k", True)], schema)
