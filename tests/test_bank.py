@@ -114,5 +114,5 @@ def test_items_of_whole_texts(spark, tmp_path):
     words = " ".join(f"word{i}" for i in range(100))
     far = {1: words + " a", 2: words + " 3:16 " + words + " " * 800, 13: words * 2, 16: words * 2, 17: words + words.upper()}
     spark.createDataFrame([(i, t, "en", "s") for i, t in far.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.error for r in content.QUERIES["q66_validate_whole_text"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.error for r in content.QUERIES["q16_validate_first_error"](spark, str(tmp_path)).collect()}
     assert got[2] == "citation_in_question" and got[16] == "duplicate_question" and got[1] is None
