@@ -94,10 +94,14 @@ class Index:
             if length not in hashes:
                 hashes[length] = np.unique(ngrams(words, length))
             mine = hashes[length]
-            # the shorter side is looked up in the longer one
-            at = np.searchsorted(mine, keys)
-            at[at == len(mine)] = 0
-            found += owner[mine[at] == keys].tolist() if len(mine) else []
+            if len(mine) < len(keys):  # the shorter side is looked up in the longer one
+                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                for a, z in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True):
+                    found += owner[a:z].tolist()
+            else:
+                at = np.searchsorted(mine, keys)
+                at[at == len(mine)] = 0
+                found += owner[mine[at] == keys].tolist()
         out = []
         for i in sorted(set(found)):
             mine, item = hashes[self.lengths[i]], self.sets[i]
@@ -154,20 +158,23 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
 
     index = map_batches(items.select("item_id", "text", F.xxhash64("text").alias("item_key")), sets, "item_id bigint, item_key bigint, hash bigint, size bigint, sketch boolean, length int").distinct()
 
+    lengths = sorted(r["length"] for r in index.select("length").distinct().collect())  # N at most
+
     def shingles(batches: Batches) -> Batches:
         for b in batches:
             for at, part in buffers(texts(b.column(2))):
                 words, counts = word_hashes(part)
                 ends = np.cumsum(counts).tolist()
                 for i, (e, c) in enumerate(zip(ends, counts.tolist(), strict=True)):
-                    h = np.concatenate([np.unique(ngrams(words[e - c : e], n)) for n in range(1, N + 1)])
+                    h = np.concatenate([np.zeros(0, np.uint64), *(np.unique(ngrams(words[e - c : e], n)) for n in lengths if n)])
                     for s in range(0, len(h), 1 << 16):
                         some = h[s : s + (1 << 16)]
                         owner = pa.array(np.full(len(some), at + i))
                         yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(some.view(np.int64))], ["id", "key", "hash"])
 
     keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    mine = map_batches(keyed, shingles, "id bigint, key bigint, hash bigint").dropDuplicates(["id", "key", "hash"])
+    # a row has each hash once; repeated rows must not count twice
+    mine = map_batches(keyed.groupBy("id", "key").agg(F.any_value("text").alias("text")), shingles, "id bigint, key bigint, hash bigint")
     shared = mine.join(index, "hash").groupBy("id", "key", "item_id", "item_key", "size").agg(F.count("*").alias("shared"), F.max("sketch").alias("candidate"))
     held = shared.filter(F.col("candidate") & (F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * threshold, 9)))))
     held = held.groupBy("id", "key", "item_id").agg(F.max(F.struct("shared", "size")).alias("most")).select("id", "key", "item_id", "most.*")

@@ -67,3 +67,17 @@ def test_repeated_ids_both_ways(spark):
     assert found(docs, items) == want and found(docs, items, max_index=0) == want
     both = [sorted(dc.find_items(docs, items, max_index=m).collect()) for m in (dc.MAX_INDEX, 0)]
     assert both[0] == both[1]
+
+
+def test_either_side_is_looked_up_in_the_longer(spark):
+    """A short text against a large index and a long text against a small one find the same as brute force."""
+    import random
+
+    rnd = random.Random(5)
+    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(1, 30)))) for i in range(300)]
+    docs = [(i, " ".join([f"x{i}", items[rnd.randrange(300)][1], *(f"w{rnd.randrange(400)}" for _ in range(rnd.choice([0, 3, 4000])))])) for i in range(40)]
+    index = dc.Index([(i, t.encode()) for i, t in items])
+    want = {d: (n, found) for d, n, found, _ in brute(docs, items)}
+    for d, t in docs:
+        got = index.search(dc.word_hashes([t.encode()])[0])
+        assert (len(got), ",".join(str(x["item_id"]) for x in got)) == want[d]
