@@ -9,14 +9,14 @@ hash of their id, and a row's probability comes from a model that has not seen
 its part; in scoring they come from the model of all parts.
 
 Training takes a bounded sample of labelled rows, `max_labelled`, the first by a
-hash of the id, so that it behaves alike at every size; only their features come
-to the driver. Scoring is a map over all rows with the weights (a fixed size) in
+hash of the id and then of the text, so that it behaves alike at every size; only
+their features come to the driver, at most `max_labelled` rows also where ids repeat. Scoring is a map over all rows with the weights (a fixed size) in
 the closure; nothing is shuffled.
 
 Edge cases: null and empty texts have no features and get the prior's
 probability, and are never rejected, whatever the prior; a row whose label is null trains no
-model of that category; repeated rows are scored row by row; repeated labels
-train as often as they occur; without labels, or with labels of one class only,
+model of that category; repeated rows are scored row by row; rows that
+repeat with the same labels train once; without labels, or with labels of one class only,
 the probability is that class's share and nothing is rejected unless labelled so
 throughout; an empty table gives an empty result; other columns are kept by
 `reject_toxic` and not read.
@@ -145,16 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     sample = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"label_{i}") for i, c in enumerate(categories)])
     sample = sample.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), *sample.columns).limit(max_labelled)
     # at most max_labelled rows of a few numbers: a bounded broadcast
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.distinct()), "id")
 
     def extract(batches: Batches) -> Batches:
         for b in batches:
-            indices, offsets = features(texts(b.column(1)))
+            indices, offsets = features(texts(b.column(2)))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(indices))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, *b.columns[2:]], ["id", "features", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, *b.columns[3:]], ["id", "digest", "features", *names])
 
     names = [f"label_{i}" for i in range(len(categories))]
-    rows = map_batches(found.select("id", "text", *names), extract, "id bigint, features array<int>, " + ", ".join(f"{n} double" for n in names))
+    keyed = found.select("id", F.xxhash64("text").alias("digest"), "text", *names)
+    rows = map_batches(keyed, extract, "id bigint, digest bigint, features array<int>, " + ", ".join(f"{n} double" for n in names))
+    rows = rows.dropDuplicates(["id", "digest", *names]).orderBy(F.xxhash64("id"), "digest", *names).limit(max_labelled)
     table = rows.toArrow().combine_chunks()
     if not table.num_rows:
         return fit_chain(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((0, len(names))))

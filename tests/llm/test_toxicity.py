@@ -79,3 +79,18 @@ def test_texts_without_features_stay_where_most_labels_are_toxic(spark):
     assert p[90] == p[91] >= 0.5 and p[0] >= 0.5
     kept = {r.doc_id for r in tox.reject_toxic(docs, models, 1).collect()}
     assert {90, 91} <= kept and 0 not in kept
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """One labelled id with very many rows: no more rows than max_labelled come to the driver."""
+    docs = spark.createDataFrame([(i % 3, f"word{i} common") for i in range(3000)] + [(0, "word0 common")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep = tox.fit_chain
+    tox.fit_chain = lambda indices, offsets, fold, y: seen.append(y) or keep(indices, offsets, fold, y)
+    try:
+        tox.train(docs, labels, ["quality", "toxic"], max_labelled=500)
+        tox.train(docs, labels, ["quality", "toxic"])
+    finally:
+        tox.fit_chain = keep
+    assert [len(y) for y in seen] == [500, 3000]
