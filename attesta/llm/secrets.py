@@ -88,9 +88,9 @@ def wordlike(letters: str) -> bool:
     return sum(x in PAIRS for x in pairs) >= 0.6 * len(pairs)
 
 
-def around(text: str, token: str, a: int, z: int) -> str:
-    """The surroundings of text[a:z] without other occurrences of token, also without those that their ends cut."""
-    n, start, end = len(token), max(0, a - SURROUNDING), min(len(text), z + SURROUNDING)
+def around(text: str, token: str, a: int, z: int, width: int = SURROUNDING) -> str:
+    """The surroundings of text[a:z], of width characters on both sides, without other occurrences of token, also without those that their ends cut."""
+    n, start, end = len(token), max(0, a - width), min(len(text), z + width)
     if (p := text.find(token, max(0, start - n + 1), min(a, start + n - 1))) >= 0:
         start = p + n
     if (p := text.rfind(token, max(z, end - n + 1), end + n - 1)) >= 0:
@@ -125,11 +125,12 @@ def private_keys(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVELTY) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVELTY, width: int = SURROUNDING) -> list[tuple[int, int, str]]:
     """Private key blocks, and tokens in a sensitive context (a word earlier in the line or in
     the lines before it, as far as a blank one) that do not compress, apart from those in
     base spans or blocks.
-    least is in bytes a character for 64 characters, and less for narrower alphabets."""
+    least is in bytes a character for 64 characters, and less for narrower alphabets; width is
+    what a token is compared with on both sides."""
     out = private_keys(text)
     taken = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, _ in out])
     ends = blanks = None
@@ -145,7 +146,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVE
             continue
         if any(s < z and a < e for s, e in taken):
             continue
-        if novelty(token, around(text, token, a, z)) >= least * bits(token) / 6:
+        if novelty(token, around(text, token, a, z, width)) >= least * bits(token) / 6:
             out.append((a, z, "novel"))
     return sorted(out)
 
@@ -154,7 +155,7 @@ def told(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NOVELTY) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NOVELTY, width: int = SURROUNDING) -> DataFrame:
     """A row per document: id, base (array of spans), novel (array of spans)."""
 
     def scan(batches: Batches) -> Batches:
@@ -162,7 +163,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows: tuple[list, list] = ([], [])
             for text in b.column(1).to_pylist():
                 base = base_spans(text or "")
-                novel = novel_spans(text or "", base, least)
+                novel = novel_spans(text or "", base, least, width)
                 for out, spans in zip(rows, (base, novel), strict=True):
                     out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
