@@ -9,9 +9,11 @@ A pre-token that is itself in the vocabulary is that token, as in the public
 library. Decoding joins token-position rows to the vocabulary and concatenates by
 an ordered aggregate.
 
-A pre-token longer than LONG_PIECE bytes (there are none in prose) would take as
-many rounds as it has bytes; it is merged by a heap of pairs instead, which is
-the same order of merges.
+A pre-token longer than LONG_PIECE bytes is first cut at barriers: pairs of bytes that
+stand side by side in no vocabulary entry, which no merge can cross, so that its parts
+go through the query by themselves. What has no barrier for more than LONG_PIECE bytes
+(a run of one letter, for instance) would take as many rounds as it has bytes; that
+alone is merged by a heap of pairs, which is the same order of merges.
 
 Edge cases: null or empty text has no tokens and decodes to nothing; repeated
 rows are encoded row by row; whole texts are encoded; special tokens do not
@@ -97,6 +99,10 @@ class Engine:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.side_by_side = np.zeros((256, 256), bool)
+        for k in self.ranks:
+            b = np.frombuffer(k, np.uint8)
+            self.side_by_side[b[:-1], b[1:]] = True
         self.whole = {k: np.int32(v).tobytes() for k, v in self.ranks.items()}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -146,6 +152,26 @@ class Engine:
                     heapq.heappush(heap, (k, p, tok[p], tok[right[p]]))
         return np.array([t for t in tok if t is not None], "<i4").tobytes()
 
+    def parts(self, piece: bytes) -> list[bytes]:
+        """A piece cut at its barriers."""
+        b = np.frombuffer(piece, np.uint8)
+        cuts = (np.flatnonzero(~self.side_by_side[b[:-1], b[1:]]) + 1).tolist()
+        return [piece[a:z] for a, z in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
+
+    def merge_parts(self, piece: bytes) -> bytes:
+        """The ids of a long piece, part by part."""
+        parts = self.parts(piece)
+        short = list(dict.fromkeys(p for p in parts if len(p) <= LONG_PIECE))
+        ids: dict[bytes, bytes] = {}
+        at = 0
+        while at < len(short):
+            size = np.cumsum([len(p) for p in short[at:]])
+            end = at + max(1, int(np.searchsorted(size, QUERY_BYTES, side="right")))
+            ids.update(zip(short[at:end], self.merge(short[at:end]), strict=True))
+            at = end
+        ids |= {p: self.merge_long(p) for p in set(parts) if len(p) > LONG_PIECE}
+        return b"".join(ids[p] for p in parts)
+
     def learn(self, found: Iterable[str]) -> dict[str, bytes]:
         """Ids of every piece in found. The cache has two generations: a full one becomes
         the old one, and words of the old one that are met again move to the new."""
@@ -172,7 +198,7 @@ class Engine:
             if (known := self.whole.get(b)) is not None:
                 out[w] = known
             elif len(b) > LONG_PIECE:
-                out[w] = self.merge_long(b)
+                out[w] = self.merge_parts(b)
             else:
                 todo.append((w, b))
                 size += len(b)

@@ -35,6 +35,20 @@ def test_long_pieces(library):
         assert own.merge([short])[0] == own.merge_long(short)
 
 
+def test_long_pieces_are_cut_at_barriers(library):
+    """Long words of many scripts: nearly all of them in parts, each merged by the query."""
+    import random
+
+    own = bpe.engine(PATH, P.PATTERN)
+    rnd = random.Random(2)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "漢字日本語文章書読話聞食飲見行来", "йцукенгшщзхъ", "qxzjkwv", "\U0001f600\U0001f601\U0001f602"):
+        text = "".join(rnd.choices(letters, k=6000))
+        assert np.frombuffer(own.encode([text])[0], "<i4").tolist() == library.encode_ordinary(text)
+        parts = own.parts(text.encode())
+        assert b"".join(parts) == text.encode()
+    assert own.parts(b"a" * 3000) == [b"a" * 3000]
+
+
 def test_cache_generations(library, monkeypatch):
     own = bpe.Engine(PATH, P.PATTERN)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
