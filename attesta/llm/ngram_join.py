@@ -17,14 +17,19 @@ of a band enough by exact segments; a set that falls short indexes the one-delet
 neighbourhoods of its segments, too, and if that is too little, the s - ceil(3/4 s)
 + 1 smallest of its elements, which two such sets within the limit must share.
 
-Signatures are shuffled in packed blocks. One that at most HOT sets share gives
-candidate pairs at once. One that more sets share (a common line, a large group of
-near copies) gives none; its sets lose that unit. A set that thereby falls to
-U <= H is set aside: such sets are compared with the set that most of their hot
-signatures have as smallest member, and what is not yet in the largest component of
-its family (the sets that hot signatures connect) is compared with the whole
-family, in blocks against a stream, reporting forests of links, never pairs.
-So no link is lost and no group is expanded into its pairs.
+Signatures are shuffled in packed blocks of a bucket each, the key of a set once a
+block; buckets are sorted within a bounded number of tasks. A signature that at most
+HOT sets share gives candidate pairs at once. One that more sets share (a common
+line, a large group of near copies) gives none; its sets lose that unit. A set that
+thereby falls to U <= H is set aside: such sets are compared with the set that most
+of their hot signatures have as smallest member. Families (the sets that hot
+signatures connect) that are not one component by then are indexed a second time, in
+the finest scheme: each element is a segment. There a set has far more units than a
+linked one can differ in, so it may lose two thirds of them: only texts made mostly of
+common passages are set aside again. They make families in turn, and what is not yet
+in the largest component of such a family is compared with the whole of it, in blocks
+against a stream, reporting forests of links, never pairs. So no link is lost and no
+group is expanded into its pairs.
 
 Equal sets are one node throughout, named by a 63-bit digest of the set.
 
@@ -45,9 +50,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from attesta.llm.common import Batches, fresh, map_batches, texts, written
+from attesta.llm.common import Batches, columns, dropped, fresh, map_batches, rows_from, texts, written
 from attesta.llm.components import components
 from attesta.llm.embed_join import forest
 from attesta.llm.words import mixed, shingle_sets
@@ -55,9 +59,16 @@ from attesta.llm.words import mixed, shingle_sets
 N, THRESHOLD = 5, Fraction(3, 4)
 HOT = 32
 BAND, SEGMENTS = 2.0, 0.36
-BUCKET_SIGNATURES, BLOCK, SALTS = 1_000_000, 256, 16
-PREFIX_SCHEME = 63
-NODE = np.dtype([("key", "<i8"), ("n", "<i4"), ("spare", "<i4"), ("units", "<i4"), ("count", "<i4"), ("scheme", "<i4")])
+BUCKET_SIGNATURES, BLOCK = 1_000_000, 256
+#: Buckets beyond this number share tasks, one after another.
+TASKS = 20_000
+PREFIX_SCHEME, FINEST = 63, 62
+#: The lowest bits of a signature tell its scheme.
+SCHEMES = np.uint64(63)
+#: A set in a block: its name, its size in steps of an eighth of the limit, and its signatures (255: goes on in the next row).
+MEMBER = np.dtype([("key", "<i8"), ("size", "<u2"), ("count", "u1")])
+#: What is known of a set in a scheme; sent once.
+INFO = np.dtype([("key", "<i8"), ("scheme", "<i4"), ("n", "<i8"), ("units", "<i8"), ("spare", "<i8")])
 
 
 def set_key(s: np.ndarray) -> int:
@@ -128,7 +139,19 @@ def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarr
     if short:
         keep = n - math.ceil(t * n) + 1
         out.append((PREFIX_SCHEME, 0, 0, mixed(s[:keep] ^ np.uint64(0xD6E8FEB86659FD93))))
-    return out
+    return [(scheme, units, spare, (found & ~SCHEMES) | np.uint64(scheme)) for scheme, units, spare, found in out]
+
+
+def single_elements(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarray]]:
+    """signatures() in the finest scheme."""
+    n = len(s)
+    found = mixed(s ^ np.uint64(0xA24BAED4963EE407))
+    return [(FINEST, n, n - limit(n, math.floor(n / t), t), (found & ~SCHEMES) | np.uint64(FINEST))]
+
+
+def size_step(n: int, t: Fraction) -> int:
+    """Sizes of linked sets are at most 9 steps apart."""
+    return int(math.log(n) * 8 / -math.log(t))
 
 
 def node_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -146,136 +169,156 @@ def node_sets(docs: DataFrame, n: int) -> DataFrame:
     return map_batches(rows, run, "id bigint, digest bigint, n_shingles bigint, node bigint")
 
 
-def indexed(docs: DataFrame, n: int, t: Fraction, buckets: int) -> DataFrame:
-    """Blocks of signatures: bucket, nodes (packed rows), signatures (six bytes each)."""
+def sets_of_texts(n: int):
+    def read(batch: pa.RecordBatch):
+        for s in shingle_sets(texts(batch.column(0)), n):
+            if len(s):
+                yield set_key(s), s
+
+    return read
+
+
+def sets_of_nodes(batch: pa.RecordBatch):
+    for node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        yield node, np.frombuffer(raw, np.uint64)
+
+
+def indexed(rows: DataFrame, read, sign, t: Fraction, buckets: int, tasks: int) -> DataFrame:
+    """Blocks of signatures: task, bucket, members (packed, column by column), signatures (six
+    bytes each); and in bucket -1 what is known of the sets."""
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             seen: set[int] = set()
-            nodes: list[tuple] = []
+            known: list[tuple] = []
+            steps: list[int] = []
             signed: list[np.ndarray] = []
-            for s in shingle_sets(texts(b.column(0)), n):
-                key = set_key(s) if len(s) else None
-                if key is None or key in seen:
+            for key, s in read(b):
+                if key in seen:
                     continue
                 seen.add(key)
-                for scheme, units, spare, found in signatures(s, t):
-                    nodes.append((key, len(s), spare, units, 0, scheme))
+                for scheme, units, spare, found in sign(s, t):
+                    known.append((key, scheme, len(s), units, spare))
+                    steps.append(size_step(len(s), t))
                     signed.append(found)
-            if not nodes:
+            if not known:
                 continue
-            all_nodes = np.array(nodes, NODE)
+            info = np.array(known, INFO)
             sigs = np.concatenate(signed)
-            owner = np.repeat(np.arange(len(nodes)), [len(x) for x in signed])
-            bucket = ((sigs >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+            owner = np.repeat(np.arange(len(info)), [len(x) for x in signed])
+            bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows: tuple[list, list, list] = ([], [], [])
-            for k in range(buckets):
-                at = order[cuts[k] : cuts[k + 1]]
-                if not len(at):
-                    continue
-                of, count = np.unique(owner[at], return_counts=True)
-                part = all_nodes[of]
-                part["count"] = count
-                rows[0].append(k)
-                rows[1].append(part.tobytes())
-                rows[2].append(sigs[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["bucket", "nodes", "sigs"])
-
-    return map_batches(docs.select("text"), run, "bucket int, nodes binary, sigs binary")
+            bucket, owner, sigs = bucket[order], owner[order], sigs[order]
+            packed = sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            # runs of one set in one bucket, of 255 at most
+            run_of = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))))
+            size = np.diff(np.append(run_of, len(owner)))
+            pieces = -(-size // 255)
+            place = np.repeat(run_of, pieces)
+            nth = np.arange(len(place)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            count = np.minimum(255, np.repeat(size, pieces) - 255 * nth)
+            key, step = info["key"][owner[place]], np.array(steps, "<u2")[owner[place]]
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            cuts = np.append(first, len(bucket)).tolist()
+            member_cuts = np.searchsorted(bucket[place], np.append(bucket[first], np.uint64(buckets))).tolist()
+            rows: tuple[list, list, list, list] = ([int(info["key"][0]) % tasks], [-1], [info.tobytes()], [None])
+            for i, k in enumerate(bucket[first].tolist()):
+                x, z = member_cuts[i], member_cuts[i + 1]
+                part = np.empty(z - x, MEMBER)
+                part["key"], part["size"], part["count"] = key[x:z], step[x:z], count[x:z]
+                rows[0].append(k * tasks // buckets)
+                rows[1].append(k)
+                rows[2].append(columns(part))
+                rows[3].append(packed[cuts[i] : cuts[i + 1]].tobytes())
+            for at in range(0, len(rows[0]), 1 << 14):
+                some = [r[at : at + (1 << 14)] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int32()), pa.array(some[2], pa.binary()), pa.array(some[3], pa.binary())], ["task", "bucket", "members", "sigs"])
+
+    return map_batches(rows, run, "task int, bucket int, members binary, sigs binary")
+
+
+#: kind 0: a and b share so many signatures of a scheme; 1: a is in so many hot ones whose smallest
+#: member is b; 2: what is known of a (shared: its size).
+CANDIDATES = "kind int, a bigint, b bigint, scheme int, shared bigint, units bigint, spare bigint"
+NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
 
 
-CANDIDATES = "a bigint, b bigint, scheme int, shared bigint, n_a int, n_b int, units_a int, units_b int, spare int"
+def counted(kind: int, a: np.ndarray, b: np.ndarray, scheme: np.ndarray) -> pa.RecordBatch:
+    """(a, b, scheme) with how often they occur."""
+    order = np.lexsort((scheme, b, a))
+    a, b, scheme = a[order], b[order], scheme[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (scheme[1:] != scheme[:-1])))) if len(a) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(a))).astype(np.int64)
+    none = pa.nulls(len(new), pa.int64())
+    kinds = pa.array(np.full(len(new), kind, np.int32))
+    return pa.RecordBatch.from_arrays([kinds, pa.array(a[new]), pa.array(b[new]), pa.array(scheme[new].astype(np.int32)), pa.array(count), none, none], NAMES)
 
 
-def met(nodes: np.ndarray, sigs: np.ndarray, t: Fraction):
+def met(members: np.ndarray, sigs: np.ndarray) -> list[pa.RecordBatch]:
     """Candidate pairs with their number of shared signatures, and memberships in hot signatures."""
-    owner = np.repeat(np.arange(len(nodes)), nodes["count"])
+    owner = np.repeat(np.arange(len(members)), members["count"])
     order = np.argsort(sigs, kind="stable")
     sigs, owner = sigs[order], owner[order]
     first = np.concatenate(([True], sigs[1:] != sigs[:-1]))
     more = ~(first & np.concatenate((first[1:], [True])))
     sigs, owner = sigs[more], owner[more]
-    order = np.lexsort((nodes["key"][owner], sigs))
+    order = np.lexsort((members["key"][owner], sigs))
     sigs, owner = sigs[order], owner[order]
-    key = nodes["key"][owner]
+    key = members["key"][owner]
     if len(sigs):  # the same set from several batches
         new = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (key[1:] != key[:-1])))
-        sigs, owner = sigs[new], owner[new]
+        sigs, owner, key = sigs[new], owner[new], key[new]
+    step, scheme = members["size"][owner].astype(np.int64), (sigs & SCHEMES).astype(np.int64)
     start = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1]))) if len(sigs) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(sigs)))
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, HOT + 1):
         rows = start[size == k]
         if len(rows):
             i, j = np.triu_indices(k, 1)
-            left.append(owner[(rows[:, None] + i[None, :]).ravel()])
-            right.append(owner[(rows[:, None] + j[None, :]).ravel()])
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    n_i, n_j = nodes["n"][i].astype(np.int64), nodes["n"][j].astype(np.int64)
-    near = np.minimum(n_i, n_j) * t.denominator >= np.maximum(n_i, n_j) * t.numerator
-    i, j = i[near], j[near]
+            i, j = (rows[:, None] + i[None, :]).ravel(), (rows[:, None] + j[None, :]).ravel()
+            near = np.abs(step[i] - step[j]) <= 9
+            left.append(i[near])
+            right.append(j[near])
+    i, j = np.concatenate(left), np.concatenate(right)
     # keys are sorted within a signature, so a < b always
-    order = np.lexsort((nodes["scheme"][i], nodes["key"][j], nodes["key"][i]))
-    i, j = i[order], j[order]
-    a, b, scheme = nodes["key"][i], nodes["key"][j], nodes["scheme"][i]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (scheme[1:] != scheme[:-1])))) if len(i) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(i)))
-    i, j = i[new], j[new]
-    pairs = pa.RecordBatch.from_arrays(
-        [
-            pa.array(nodes["key"][i]), pa.array(nodes["key"][j]), pa.array(nodes["scheme"][i]), pa.array(count.astype(np.int64)),
-            pa.array(nodes["n"][i]), pa.array(nodes["n"][j]), pa.array(nodes["units"][i]), pa.array(nodes["units"][j]),
-            pa.nulls(len(i), pa.int32()),
-        ],
-        NAMES,
-    )
+    pairs = counted(0, key[i], key[j], scheme[i])
     # of a hot signature, each member's smallest fellow; members are summed up by that
     hot = np.repeat(size > HOT, size)
-    centre = nodes["key"][owner[np.repeat(start, size)[hot]]] if len(sigs) else np.zeros(0, np.int64)
-    owner = owner[hot]
-    order = np.lexsort((centre, nodes["scheme"][owner], nodes["key"][owner]))
-    owner, centre = owner[order], centre[order]
-    key, scheme = nodes["key"][owner], nodes["scheme"][owner]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (scheme[1:] != scheme[:-1]) | (centre[1:] != centre[:-1])))) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(key))).astype(np.int64)
-    none = pa.nulls(len(new), pa.int32())
-    members = pa.RecordBatch.from_arrays(
-        [pa.array(key[new]), pa.array(centre[new]), pa.array(scheme[new]), pa.array(count), none, none, none, none, pa.array(nodes["spare"][owner[new]])],
-        NAMES,
-    )
-    return pairs, members
+    return [pairs, counted(1, key[hot], key[np.repeat(start, size)[hot]], scheme[hot])]
 
 
-NAMES = [x.split()[0] for x in CANDIDATES.split(", ")]
-
-
-def meet(blocks: DataFrame, buckets: int, t: Fraction) -> DataFrame:
+def meet(blocks: DataFrame, tasks: int) -> DataFrame:
     """Candidates and hot members of all buckets; a bucket is what is held at once."""
 
     def run(batches: Batches) -> Batches:
-        bucket, nodes, sigs = None, [], []
+        bucket, members, sigs = None, [], []
 
         def flush():
-            if nodes:
+            if members:
                 packed = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, 6)
                 wide = np.zeros((len(packed), 8), np.uint8)
                 wide[:, :6] = packed
-                for out in met(np.frombuffer(b"".join(nodes), NODE), wide.view("<u8").ravel(), t):
+                for out in met(np.concatenate(members), wide.view("<u8").ravel()):
                     for at in range(0, out.num_rows, 1 << 16):
                         yield out.slice(at, 1 << 16)
 
         for b in batches:
-            for k, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, m, s in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                if k < 0:
+                    x = np.frombuffer(m, INFO)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), 2, np.int32)), pa.array(x["key"]), pa.nulls(len(x), pa.int64()), *(pa.array(np.ascontiguousarray(x[f])) for f in ("scheme", "n", "units", "spare"))], NAMES
+                    )
+                    continue
                 if k != bucket:
                     yield from flush()
-                    bucket, nodes, sigs = k, [], []
-                nodes.append(n)
+                    bucket, members, sigs = k, [], []
+                members.append(rows_from(m, MEMBER))
                 sigs.append(s)
         yield from flush()
 
-    dealt = blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    dealt = blocks.repartitionById(tasks, F.col("task")).sortWithinPartitions("bucket")
     return map_batches(dealt, run, CANDIDATES)
 
 
@@ -344,8 +387,9 @@ def compared(dealt: DataFrame, t: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) that are linked. A node with many partners is dealt over SALTS tasks."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("part"))
+    """The pairs (a, b) that are linked. A node is dealt over tasks by its number of partners."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("parts"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     held = salted.select("a", "part").distinct().join(sets, F.col("a") == F.col("node"))
     stream = salted.join(sets, F.col("b") == F.col("node"))
     rows = held.select(F.col("a").alias("place"), "part", F.lit(0).alias("role"), "node", "elements").unionByName(
@@ -376,75 +420,96 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(node_sets(docs, n), "sets")
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(8, min(1 << 15, math.ceil(total * 0.7 / BUCKET_SIGNATURES)))
-    found = written(meet(indexed(docs, n, t, buckets), buckets, t), "candidates")
-
-    # rows with spare are memberships in hot signatures: a of them shared with centre b
-    hot = found.filter("spare IS NOT NULL").select(F.col("a").alias("node"), F.col("b").alias("centre"), "scheme", "shared", "spare")
-    lost = hot.groupBy("node", "scheme").agg(F.sum("shared").alias("lost"), F.min("spare").alias("spare"))
-    low = written(lost.filter(F.col("lost") >= F.col("spare")).select("node").distinct(), "aside")
-    star = hot.groupBy("node", "centre").agg(F.sum("shared").alias("n")).join(low, "node").filter(F.col("node") != F.col("centre"))
-    star = written(star, "stars")
-    modal = star.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-
-    pairs = found.filter("spare IS NULL").groupBy("a", "b", "scheme").agg(
-        F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "units_a", "units_b")]
-    )
-    taken = lost.select("node", F.col("scheme").alias("s"), "lost")
-    share = float((1 - t) / (1 + t))
-    pairs = (
-        pairs.join(taken.select(F.col("node").alias("a"), F.col("s").alias("scheme"), F.col("lost").alias("lost_a")), ["a", "scheme"], "left")
-        .join(taken.select(F.col("node").alias("b"), F.col("s").alias("scheme"), F.col("lost").alias("lost_b")), ["b", "scheme"], "left")
-        .withColumn("most", F.floor((F.col("n_a") + F.col("n_b")) * share + 1e-9))
-        .filter(
-            F.col("shared")
-            >= F.greatest(F.col("units_a") - F.coalesce("lost_a", F.lit(0)), F.col("units_b") - F.coalesce("lost_b", F.lit(0))) - F.col("most")
-        )
-        .select("a", "b")
-    )
-    pairs = written(pairs.unionByName(modal.select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
-
+    pairs, low, star = candidates(docs.select("text"), sets_of_texts(n), signatures, t, total * 0.7)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(low).distinct()
     classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     needed = classes.join(nodes, "node").select("node", F.coalesce("least", F.lit(-(2**63))).alias("rep"))
     sets = written(needed_sets(docs, needed, n), "elements")
     links = written(verified(pairs, sets, t), "verified")
-
+    dropped(pairs)
     if not low.isEmpty():
-        label = components(links)
-        family = components(star.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-        aside = (
-            low.join(family, "node", "left")
-            .withColumn("family", F.coalesce("component", "node"))
-            .drop("component")
-            .join(label, "node", "left")
-            .select("node", "family", F.coalesce("component", "node").alias("label"))
-        )
-        links = links.unionByName(written(family_links(aside, sets, t), "family"))
+        links = links.unionByName(_links_aside(low, star, links, sets, t))
+    dropped(sets, low, star)
     named = components(links)
     by_node = classes.join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     by_root = by_node.groupBy("root").agg(F.min("least").alias("component"))
     by_node = by_node.join(by_root, "root").select("node", "root", "component")
-    return rows.join(by_node, "node", "left").select(
-        F.col("id"), "digest", "root", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")
+    out = ("id", "digest", "root", "n_shingles", "component")
+    empty = rows.filter("node IS NULL").select("id", "digest", F.lit(None).cast("long").alias("root"), "n_shingles", F.col("id").alias("component"))
+    return rows.filter("node IS NOT NULL").join(by_node, "node").select(*out).unionByName(empty)
+
+
+def candidates(rows: DataFrame, read, sign, t: Fraction, expected: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the sets that read() finds in rows: candidate pairs (a, b), among them those of sets set
+    aside with their centres; the sets set aside (node); and their memberships (node, centre).
+    expected: about how many signatures there will be."""
+    buckets = max(8, math.ceil(expected / BUCKET_SIGNATURES))
+    tasks = min(buckets, TASKS)
+    found = written(meet(indexed(rows, read, sign, t, buckets, tasks), tasks), "candidates")
+    hot = found.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("centre"), "scheme", "shared")
+    known = found.filter("kind = 2").groupBy(F.col("a").alias("node"), "scheme").agg(F.max("shared").alias("n"), F.max("units").alias("units"), F.max("spare").alias("spare"))
+    known = known.join(hot.groupBy("node", "scheme").agg(F.sum("shared").alias("lost")), ["node", "scheme"], "left")
+    known = written(known, "known")
+    low = written(known.filter("lost >= spare").select("node").distinct(), "aside")
+    star = hot.groupBy("node", "centre").agg(F.sum("shared").alias("n")).join(low, "node").filter(F.col("node") != F.col("centre"))
+    star = written(star, "stars")
+    modal = star.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
+
+    pairs = found.filter("kind = 0").groupBy("a", "b", "scheme").agg(F.sum("shared").alias("shared"))
+    left = F.col("units") - F.coalesce("lost", F.lit(0))
+    share = 1 - 2 * t / (1 + t)  # of both sizes: the largest symmetric difference of linked sets
+    most = F.floor((F.col("n_a") + F.col("n_b")) * share.numerator / share.denominator + 1e-9)
+    pairs = (
+        pairs.join(known.select(F.col("node").alias("a"), "scheme", F.col("n").alias("n_a"), left.alias("left_a")), ["a", "scheme"])
+        .join(known.select(F.col("node").alias("b"), "scheme", F.col("n").alias("n_b"), left.alias("left_b")), ["b", "scheme"])
+        .filter(F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator)
+        .filter(F.col("shared") >= F.greatest("left_a", "left_b") - most)
+        .select("a", "b")
     )
+    pairs = written(pairs.unionByName(modal.select(F.col("centre").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
+    dropped(found, known)
+    return pairs, low, star
+
+
+def _links_aside(low: DataFrame, star: DataFrame, links: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """Links between sets that were set aside (low), beyond those to their centres."""
+    rest = written(_unsettled(low, star, components(links)), "unsettled")
+    if rest.isEmpty():
+        return links.limit(0)
+    mine = written(sets.join(rest.select("node"), "node").select("node", "elements"), "elements")
+    size = mine.agg(F.sum(F.octet_length("elements") / 8)).first()[0]
+    pairs, low, star = candidates(mine, sets_of_nodes, single_elements, t, size)
+    more = written(verified(pairs, mine, t), "verified")
+    dropped(pairs)
+    if low.isEmpty():
+        return more
+    stuck = _unsettled(low, star, components(links.unionByName(more)))
+    return more.unionByName(written(family_links(stuck, mine, t), "family"))
+
+
+def _unsettled(nodes: DataFrame, star: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, family, label) of those families that are not one component."""
+    family = components(star.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    marked = nodes.join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
+    marked = marked.join(label, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
+    several = marked.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("family")
+    return marked.join(several, "family").select("node", "family", "label")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest id, null ids last; of
-    rows with that id the first by text digest, and of equal ones the first by all columns.
-    Rows without words are in no component and stay."""
+    rows with that id the first by text digest, and of equal ones the least as a struct of
+    all columns. Rows without words are in no component and stay."""
     names = docs.columns
-    key, mark, empty, row = fresh(names, "__id", "__digest", "__empty", "__row")
+    key, mark, row = fresh(names, "__id", "__digest", "__row")
     linked = link_documents(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("digest"))
-    kept = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.digest", F.lit(False).alias(empty))
-    blank = linked.filter("root IS NULL").select("id", "digest", F.lit(True).alias(empty)).distinct()
-    keys = kept.unionByName(blank).select(F.coalesce("id", F.lit(-(2**63))).alias(key), F.col("digest").alias(mark), empty)
-    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), mark: F.xxhash64(text_col)})
-    first = Window.partitionBy(key, mark).orderBy(*[F.col(c).asc_nulls_last() for c in names])
-    found = keyed.join(keys, [key, mark]).withColumn(row, F.row_number().over(first))
-    return found.filter(F.col(empty) | (F.col(row) == 1)).select(names)
+    kept = linked.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.id", "k.digest")
+    keys = kept.select(F.coalesce("id", F.lit(-(2**63))).alias(key), F.col("digest").alias(mark)).distinct()
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), mark: F.xxhash64(text_col)})
+    found = keyed.join(keys, [key, mark]).groupBy(key, mark).agg(F.min(F.struct(*names)).alias(row)).select(f"{row}.*")
+    return found.unionByName(docs.filter(~worded))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -75,6 +75,35 @@ def test_hot_groups(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
 
 
+def test_templates(spark):
+    """Texts that share most of their passages without being linked, with near copies among them:
+    the first index sets them aside, the finest one finds the copies."""
+    rnd = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    some = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for share in (30, 55, 85):  # words of 100 that a template has; 85: also the finest one sets them aside
+        template = some(share)
+        for _ in range(70):
+            rows.append((len(rows), " ".join(template + some(100 - share))))
+    for i in rnd.sample(range(len(rows)), 40):
+        words = rows[i][1].split()
+        words[rnd.randrange(90, 100)] = "changed"
+        rows.append((len(rows), " ".join(words)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_single_elements_guarantee_a_shared_one():
+    """A set that lost no more than its spare units still shares one with each linked set."""
+    t = Fraction(3, 4)
+    for n in range(1, 200):
+        ((scheme, units, spare, found),) = nj.single_elements(np.arange(n, dtype=np.uint64), t)
+        assert units == n == len(found) and set(found & nj.SCHEMES) == {scheme}
+        for m in range(-(-3 * n // 4), 4 * n // 3 + 1):
+            most = nj.limit(n, m, t)
+            assert units - most >= spare and (most < n or n == 0)
+
+
 def test_odd_rows(odd):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
 
