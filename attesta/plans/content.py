@@ -104,10 +104,10 @@ def q03(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalize_spaces(F.col("text")), 256).alias("norm_sha256"))
 
 
-@query("q04_significant_tokens", f"SELECT doc_id, len(k) AS n_tokens, array_to_string(k[1:10], ' ') AS first_tokens FROM (SELECT doc_id, {tokens(norm('text'))} AS k FROM documents)")
+@query("q04_significant_tokens", f"SELECT doc_id, len(k) AS n_tokens, sha256(array_to_string(k, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {tokens(norm('text'))} AS k FROM documents)")
 def q04(spark, sf):
     k = table(spark, sf, "documents").select("doc_id", tx.significant_tokens(F.col("text")).alias("k"))
-    return k.select("doc_id", F.size("k").cast("bigint").alias("n_tokens"), F.array_join(F.slice("k", 1, 10), " ").alias("first_tokens"))
+    return k.select("doc_id", F.size("k").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("k", " "), 256).alias("tokens_sha256"))
 
 
 def paired(spark, sf) -> DataFrame:
