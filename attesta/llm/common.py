@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 #: Rows and bytes of one Arrow batch, which both the executor and its Python worker hold.
@@ -105,6 +106,17 @@ def dropped(*tables: DataFrame) -> None:
             hadoop_delete(table.sparkSession, entry[1])
 
 
+#: Rows of a few numbers that may be sent to every task: some MB.
+SMALL_ROWS = 200_000
+
+
+def join_small(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """rows joined to a table that is mostly small but has no bound: it is written, counted, and
+    broadcast only up to SMALL_ROWS rows, so that a very common key stays spread."""
+    few = written(few, "few")
+    return rows.join(F.broadcast(few) if few.count() <= SMALL_ROWS else few, on)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 

@@ -1,8 +1,9 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Each round is an aggregate to the smallest neighbour and a join back, so a node
-with a third of all links is pre-aggregated and its links are dealt out by the
-join's skew handling; no neighbourhood is ever gathered. A round's result is
+Each round is an aggregate to the smallest neighbour and a join back; no neighbourhood
+is ever gathered. A node with over a thousandth of all link ends (there are fewer than
+a thousand such nodes) gets its smallest neighbour by a broadcast, so that its links
+stay where they are. A round's result is
 written to the shared folder, which cuts the lineage. The graph shrinks to stars
 whose centres are the smallest ids in a number of rounds that grows like the
 logarithm of the longest path.
@@ -15,7 +16,12 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import dropped, written
 
-MAX_ROUNDS = 60
+MAX_ROUNDS, COMMON = 60, 1000
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """(number of links, a digest of all)."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,17 +31,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     edges = written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
-    before = None
+    state = _state(edges)
     for _ in range(MAX_ROUNDS):
         # large star: each node's larger neighbours are linked to its smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(least, "u")
-            .filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        common = F.col("n") > max(1, 2 * state[0] // COMMON)
+        hubs = F.broadcast(least.filter(common).select("u", F.col("m").alias("hub")))  # fewer than COMMON rows
+        marked = both.join(hubs, "u", "left")
+        met = marked.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m"))
+        met = met.unionByName(marked.filter("hub IS NULL").select("u", "v").join(least.filter(~common).select("u", "m"), "u"))
+        large = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         # small star: each node and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -47,10 +53,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         last, edges = edges, written(small, "links")
         dropped(last)
-        state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        before, state = state, _state(edges)
         if state == before:
             break
-        before = state
     else:
         raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

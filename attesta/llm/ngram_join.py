@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, columns, dropped, fresh, map_batches, rows_from, texts, written
+from attesta.llm.common import Batches, columns, dropped, fresh, join_small, map_batches, rows_from, texts, written
 from attesta.llm.components import components
 from attesta.llm.embed_join import forest
 from attesta.llm.words import mixed, shingle_sets
@@ -403,8 +403,7 @@ def family_links(aside: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     another label: all but the family's largest label are held in blocks, the family streams past."""
     by_label = aside.groupBy("family", "label").agg(F.count("*").alias("n"))
     largest = by_label.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
-    marked = aside.join(largest, "family").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK)).cast("int"))
-    marked = marked.filter("rest > 0")
+    marked = join_small(aside, largest.filter("rest > 0"), "family").withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK)).cast("int"))
     base = marked.filter("label <> largest").select(
         F.col("family").alias("place"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "node"
     )
@@ -493,7 +492,7 @@ def _unsettled(nodes: DataFrame, star: DataFrame, label: DataFrame) -> DataFrame
     marked = nodes.join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
     marked = marked.join(label, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
     several = marked.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("family")
-    return marked.join(several, "family").select("node", "family", "label")
+    return join_small(marked, several, "family").select("node", "family", "label")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
