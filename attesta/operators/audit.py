@@ -62,7 +62,8 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def report(results: DataFrame, **header: str | int) -> DataFrame:
-    """One row: the header, the counts and the results in order of id, for a JSON sink."""
+    """One row: the header, the counts and the results in order of id, for one JSON document, which
+    must fit in one task; sinks.write_report takes results of any number."""
     return results.agg(
         *[F.lit(v).alias(k) for k, v in header.items()],
         F.count("*").alias("questions_audited"),

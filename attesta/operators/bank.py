@@ -86,13 +86,12 @@ def first_error(rows: DataFrame, keys: list[str], order: str = "verse_number") -
 
 
 def number_lists_equal(verses: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether verses and items hold the same numbers in the same order (both have pos, verse_number)."""
-
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "verse_number"))), lambda x: x["verse_number"])
-        return df.groupBy(*keys).agg(ordered.alias(name))
-
-    return listed(verses, "a").join(listed(items, "b"), keys, "full").select(*keys, F.col("a").eqNullSafe(F.col("b")).alias("equal"))
+    """Whether verses and items hold the same numbers in the same order (both have pos, verse_number):
+    whether each place has the same number in both."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("pos", "verse_number"))
+    a, b = (df.select(*keys, place.alias("__place"), F.struct("verse_number").alias(name)) for df, name in ((verses, "a"), (items, "b")))
+    same = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.verse_number").eqNullSafe(F.col("b.verse_number"))
+    return a.join(b, [*keys, "__place"], "full").groupBy(*keys).agg(F.min(same).alias("equal"))
 
 
 def bank_rows(items: DataFrame) -> DataFrame:

@@ -62,9 +62,9 @@ def duplicate_numbers(rows: DataFrame, keys: list[str], number: str) -> DataFram
 
 
 def sequential(rows: DataFrame, keys: list[str], number: str, order: Column) -> DataFrame:
-    """Whether the numbers, in order, are 1..n."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(number).alias("n")))), lambda x: x["n"])
-    return rows.groupBy(*keys).agg(listed.alias("ns")).select(*keys, (F.col("ns").cast("array<bigint>") == F.sequence(F.lit(1), F.size("ns")).cast("array<bigint>")).alias("sequential"))
+    """Whether the numbers, in order, are 1..n: whether each is its place. Nothing is gathered."""
+    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return placed.groupBy(*keys).agg(F.min(F.coalesce(F.col(number) == F.col("__place"), F.lit(False))).alias("sequential"))
 
 
 def with_ordinals(rows: DataFrame, keys: list[str], number: str, order: Column) -> DataFrame:

@@ -449,6 +449,38 @@ def q66(spark, sf):
     return bank.violations(keyed, bank.content_rules() | bank.policy_rules(), "key").select("key.k", "key.id", "rule")
 
 
+@query(
+    "q71_generated_bank",
+    f"""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE {STRIPPED} <> '' GROUP BY conv_id)
+        SELECT conv_id, CASE WHEN conv_id % 6 IN (3, 4) THEN 'no_items' WHEN conv_id % 6 = 1 OR conv_id % 7 = 3 THEN 'verse_numbers' WHEN conv_id % 6 = 2 THEN 'option_count'
+                             WHEN conv_id % 6 = 5 THEN 'unknown_difficulty' END AS error, CASE WHEN conv_id % 6 = 0 AND conv_id % 7 <> 3 THEN n ELSE 0 END AS n_rows FROM c""",
+)
+def q71(spark, sf):
+    """Recorded model responses for passages made of the conversations: bank rows, or a chapter's first error.
+    By the conversation's number, responses lack an option, items or order, and passages failed."""
+    from attesta.plans import flows
+
+    c = F.col("conv_id")
+    rows = table(spark, sf, "conversations").filter(bank.filled(F.col("text"))).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text", "role")))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ts"))
+    number = lambda t: F.when((c % 6 == 1) & (t["n"] == 1), 99).otherwise(t["n"])
+    items = F.transform("ts", lambda t: F.struct(
+        number(t).alias("verse_number"), F.format_string("¿Qué dice el turno %d?", t["n"]).alias("question"),
+        F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), F.when((c % 6 == 2) & (t["n"] == F.size("ts")), 3).otherwise(4)).alias("options"), F.lit("a").alias("correct_answer"),
+        F.lit("porque sí").alias("explanation"), F.when((c % 6 == 5) & (t["n"] == 1), "hardest").otherwise("easy").alias("difficulty"), F.lit("eventos").alias("category"),
+    ))
+    text = F.when(c % 6 == 4, F.lit('{"other": []}')).otherwise(F.to_json(F.struct(items.alias("items"))))
+    answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(text.alias("text"))).alias("parts")).alias("content"))).alias("candidates")))
+    verses = F.transform("ts", lambda t: F.struct(t["n"].alias("verse"), t["text"].alias("text")))
+    book = F.lit("Libro")
+    given = turns.select(book.alias("book"), c.cast("int").alias("chapter"), F.to_json(F.struct((c % 7 != 3).alias("success"), verses.alias("verses"))).alias("payload"))
+    answers = turns.select(book.alias("book"), c.cast("int").alias("chapter"), F.when(c % 6 == 3, "{").otherwise(answer).alias("raw"))
+    made, errors = flows.generation_flow(given, answers)
+    counts = made.groupBy(F.regexp_extract("id", r"^LIBRO_(\d+)_", 1).cast("int").alias("chapter")).agg(F.count("*").alias("n"))
+    every = turns.select("conv_id", c.cast("int").alias("chapter")).join(errors.select("chapter", "error"), "chapter", "left").join(counts, "chapter", "left")
+    return every.select("conv_id", "error", F.coalesce("n", F.lit(0)).alias("n_rows"))
+
+
 @query(
     "q48_positional_join",
     """WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations WHERE role = 'user'),

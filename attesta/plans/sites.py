@@ -238,6 +238,30 @@ def q68(spark, sf):
     return mine.groupBy("path", "kind", "key", "value").agg(F.count("*").cast("int").alias("n"))
 
 
+@query(
+    "q70_text_scans",
+    r"""WITH d AS (SELECT doc_id, '/* ' || coalesce(text, '') || ' */' || chr(10) || 'a{background:URL( ''i' || doc_id || '.png'' )} b{src:url(data:1)} c{src:url(#p)} d{x:url(var(--q))} e{y:url("z.css")}' AS css,
+                       CASE doc_id % 3 WHEN 0 THEN 'x' || chr(10) || '<<<<<<< HEAD' WHEN 1 THEN 'x <<<<<<< HEAD' ELSE '>>>>>>> b' END AS merged,
+                       ' a' || doc_id || '.png 1x, ,b.png 2x,c' AS srcset, CASE doc_id % 4 WHEN 0 THEN 'Juan 3:16?' WHEN 1 THEN '3 : ' || doc_id WHEN 2 THEN 'a3:16' ELSE 'a las tres' END AS question FROM documents)
+        SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(css, '(?i)url\(\s*([^)]+?)\s*\)', 1), lambda u: trim(u, chr(34) || chr(39))),
+                                       lambda u: u <> '' AND NOT regexp_matches(u, '^(#|data:|var\()')), ' ') AS urls,
+               regexp_matches(merged, '(?m)^(<<<<<<< |>>>>>>> )') AS conflict, array_to_string(list_filter(list_transform(string_split(srcset, ','), lambda x: regexp_extract(x, '^\s*(\S+)', 1)), lambda x: x <> ''), ' ') AS sources,
+               regexp_matches(question, '\b\d+\s*:\s*\d+\b') AS cites FROM d""",
+)
+def q70(spark, sf):
+    """References of style sheets and srcset, conflict markers and citations in texts with such marks added."""
+    d = F.col("doc_id")
+    marks = F.format_string("a{background:URL( 'i%d.png' )} b{src:url(data:1)} c{src:url(#p)} d{x:url(var(--q))} e{y:url(\"z.css\")}", d)
+    css = F.concat(F.lit("/* "), F.coalesce("text", F.lit("")), F.lit(" */\n"), marks)
+    merged = F.when(d % 3 == 0, "x\n<<<<<<< HEAD").when(d % 3 == 1, "x <<<<<<< HEAD").otherwise(">>>>>>> b")
+    question = F.when(d % 4 == 0, "Juan 3:16?").when(d % 4 == 1, F.format_string("3 : %d", d)).when(d % 4 == 2, "a3:16").otherwise("a las tres")
+    urls = F.transform(tx.css_urls(css), lambda u: F.regexp_replace(u, "^[\"']+|[\"']+$", ""))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.array_join(F.filter(urls, tx.is_checked_css_url), " ").alias("urls"), tx.has_conflict_marker(merged).alias("conflict"),
+        F.array_join(tx.srcset_urls(F.format_string(" a%d.png 1x, ,b.png 2x,c", d)), " ").alias("sources"), tx.has_citation(question).alias("cites"),
+    )
+
+
 REFERENCE_CASES = ("a.html#top", "sub/../b.html", "../out.html", "sub/", "#here", "", "/root", "http://else.example/x", "mailto:x@y", "c%20d.html", "./e.html?q=1", "sub/../../../x")
 
 

@@ -43,17 +43,31 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("payload"))
 
 
-def listed_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(URI, path from root) of all files under root, hidden and empty ones included, which
-    Spark's own file sources pass over."""
+def listed_files(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """uri and path (from root) of all files under root, hidden and empty ones included, which
+    Spark's own file sources pass over, but for those with a skipped folder in their path. An
+    executor walks the folders one by one and passes the files on in batches."""
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top = fs.makeQualified(base).toString().rstrip("/") + "/"
-    files, found = fs.listFiles(base, True), []
-    while files.hasNext():
-        uri = files.next().getPath().toString()
-        found.append((uri, uri.removeprefix(top)))
-    return found
+    top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+
+    def walk(batches):
+        for b in batches:
+            for start in b.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(full_uri(start))
+                folders, prefix = [at], len(at.rstrip("/")) + 1
+                while folders:
+                    found = sorted(fs.get_file_info(pafs.FileSelector(folders.pop())), key=lambda x: x.path)
+                    kept = [x for x in found if x.base_name not in skip]
+                    folders += [x.path for x in reversed(kept) if x.type == pafs.FileType.Directory]
+                    paths = [x.path[prefix:] for x in kept if x.type == pafs.FileType.File]
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{start}/{p}" for p in paths], pa.string()), pa.array(paths, pa.string())], ["uri", "path"])
+
+    return spark.createDataFrame([(top,)], "uri string").mapInArrow(walk, "uri string, path string")
+
+
+def full_uri(uri: str) -> str:
+    """Arrow wants file:///path where Hadoop says file:/path."""
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def repository_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> DataFrame:
@@ -63,12 +77,12 @@ def repository_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> D
     def read(batches):
         for b in batches:
             for uri, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, name = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-                with fs.open_input_stream(name, compression=None) as f:
+                fs, folder = pafs.FileSystem.from_uri(full_uri(uri[: len(uri) - len(path)]))  # a file's own name may hold what URIs escape
+                with fs.open_input_stream(f"{folder.rstrip('/')}/{path}", compression=None) as f:
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
 
-    kept = [(u, p) for u, p in listed_files(spark, root) if not set(p.split("/")) & set(skip)]
-    rows = spark.createDataFrame(kept, "uri string, path string").mapInArrow(read, "path string, content binary")
+    rows = listed_files(spark, root, skip)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, "path string, content binary")
     return rows.select(
         "path",
         "content",

@@ -38,6 +38,13 @@ def write_json_document(row: DataFrame, path: str) -> None:
     json_document(row).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_report(header: DataFrame, results: DataFrame, path: str, order: str) -> None:
+    """A report of any size: the one-row header as a JSON document in path/header, and the results
+    as JSON lines in order, in as many files as they need, in path/results."""
+    write_json_document(header, f"{path}/header")
+    results.orderBy(order).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/results")
+
+
 def leaks(output: DataFrame, sources: DataFrame, text: str = "text") -> DataFrame:
     """(column, found): text columns of output that hold a source text of MIN_COPY characters
     or more, in normal form. An empty result lets the output pass.
