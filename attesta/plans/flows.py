@@ -185,6 +185,25 @@ def security_report(files: DataFrame) -> DataFrame:
     return scanned.crossJoin(rows)
 
 
+def connection_code(status: Column, error: Column, chapter: bool = False) -> Column:
+    """The code of a request's outcome (CODES), 0 if it was answered as it should be: refused, without
+    an answer, or answered with another status than 200 (which a chapter's request may be)."""
+    refused, lost = (CODES["chapter"], CODES["chapter_network"]) if chapter else (CODES["key"], CODES["network"])
+    other = F.lit(0) if chapter else F.when(status != 200, CODES["status"]).otherwise(0)
+    return F.when(status.isNull(), lost).when(error.isNotNull(), refused).otherwise(other)
+
+
+def measured(events: DataFrame, snapshot: DataFrame, origin: str) -> DataFrame:
+    """One row of metrics for scan.over_budget: bytes and number of the responses of the site's own
+    origin, and what was measured on the page; with the number of errors and whether the page can be used."""
+    own = (F.col("kind") == "response") & (F.col("origin") == origin)
+    counts = events.agg(
+        F.coalesce(F.sum(F.when(own, F.coalesce("bytes", F.lit(0)))), F.lit(0)).alias("bytes"), F.count_if(own).alias("requests"), F.count_if(F.col("kind") == "pageerror").alias("page_errors")
+    )
+    usable = bank.sure(F.col("main_visible") & (F.length(tx.strip(F.col("h1"))) > 0))
+    return counts.crossJoin(snapshot.select("dom_nodes", "dom_ready_ms", "load_ms", usable.alias("usable")).limit(1))  # one row by one row
+
+
 def consolidated_report(files: DataFrame, metrics: DataFrame | None = None, scenarios: DataFrame | None = None) -> DataFrame:
     """One row for a JSON document: security findings, metrics (one row of them) against their
     budgets, scenarios (scenario, success, error), and the failures by label in that order. A

@@ -21,6 +21,8 @@ AUDIT_SPEC = (
 GENERATED = (
     "items ARRAY<STRUCT<verse_number: INT, question: STRING, options: ARRAY<STRING>, correct_answer: STRING, explanation: STRING, difficulty: STRING, category: STRING>>"
 )
+PAGE_EVENT = "url STRING, kind STRING, origin STRING, status INT, bytes BIGINT, message STRING"
+SNAPSHOT = "dom_nodes BIGINT, dom_ready_ms BIGINT, load_ms BIGINT, h1 STRING, main_visible BOOLEAN"
 EVENT = "user_id bigint, ts timestamp, event_id bigint, event string, option string"
 TEXT_SUFFIXES = ("html", "css", "js", "json", "md", "xml", "yml", "yaml", "py", "txt", "svg")
 
@@ -91,6 +93,16 @@ def repository_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> D
     )
 
 
+def page_events(spark: SparkSession, path: str) -> DataFrame:
+    """What a browser logged, as JSON lines: responses, page errors, console errors, failed requests."""
+    return spark.read.schema(PAGE_EVENT).json(path)
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """What was measured on a page, as JSON lines."""
+    return spark.read.schema(SNAPSHOT).json(path)
+
+
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
     """A stream of UI events (EVENT) from JSON lines that arrive in a folder."""
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)

@@ -38,6 +38,11 @@ def write_json_document(row: DataFrame, path: str) -> None:
     json_document(row).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_findings(findings: DataFrame, path: str, by: str = "check_name") -> None:
+    """Findings as JSON lines, a folder for each check; folders of a former run go."""
+    findings.withColumn("__by", F.col(by)).write.mode("overwrite").partitionBy("__by").json(path)
+
+
 def write_report(header: DataFrame, results: DataFrame, path: str, order: str) -> None:
     """A report of any size: the one-row header as a JSON document in path/header, and the results
     as JSON lines in order, in as many files as they need, in path/results."""
