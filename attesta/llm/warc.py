@@ -46,7 +46,8 @@ from attesta.llm.common import Batches, filesystem, map_batches, prepare, shared
 
 MAGIC = b"\x1f\x8b\x08"
 CRLF = b"\r\n"
-CHUNK = 1 << 20
+#: Bytes read at once, and bytes inflated at once (what is left of those is copied).
+CHUNK, PIECE = 1 << 20, 16 << 10
 MANDATORY = (b"WARC-Type", b"WARC-Record-ID", b"WARC-Date", b"Content-Length")
 DATE = b"2024-01-01T00:00:00Z"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -140,17 +141,20 @@ class Blocks:
         return self.kept[k]
 
     def rest(self, at: int) -> memoryview:
-        """What the block of place `at` holds from there on; nothing at the archive's end."""
-        return memoryview(self.block(at // CHUNK))[at % CHUNK :]
+        """Up to PIECE bytes from a place on, of its block; nothing at the archive's end."""
+        return memoryview(self.block(at // CHUNK))[at % CHUNK : at % CHUNK + PIECE]
 
     def magic(self, at: int, end: int) -> int | None:
         """The first place of the magic in [at, end)."""
         while at < end:
             k = at // CHUNK
             data = self.block(k)
-            if len(data) == CHUNK:  # the magic may go on in the next block
-                data += self.block(k + 1)[: len(MAGIC) - 1]
-            if (found := data.find(MAGIC, at % CHUNK)) >= 0:
+            found = data.find(MAGIC, at % CHUNK)
+            if found < 0 and len(data) == CHUNK:  # it may go on in the next block
+                edge = max(at % CHUNK, CHUNK - len(MAGIC) + 1)
+                found = (data[edge:] + self.block(k + 1)[: len(MAGIC) - 1]).find(MAGIC)
+                found = found + edge if found >= 0 else found
+            if found >= 0:
                 return k * CHUNK + found if k * CHUNK + found < end else None
             at = (k + 1) * CHUNK
         return None
