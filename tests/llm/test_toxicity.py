@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 
@@ -94,3 +96,40 @@ def test_the_sample_is_bounded_by_rows(spark):
     finally:
         tox.fit_chain = keep
     assert [len(y) for y in seen] == [500, 3000]
+
+
+def plain_hash(data: bytes) -> int:
+    """The mixed polynomial hash of a word, in plain Python."""
+    base, h = 0x9E3779B97F4A7C15 | 1, 0
+    for i, b in enumerate(data):
+        h = (h + (b + 1) * pow(base, i, 2**64)) % 2**64
+    return h
+
+
+def mix(h: int) -> int:
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+    return h ^ (h >> 31)
+
+
+def test_query_against_a_plain_chain(spark, sf):
+    """op10 on the whole table: words by a pattern, features by plain integers, sums by a loop, category
+    after category; and a later model's input is the earlier probability."""
+    from attesta.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    models = tox.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), queries.CATEGORIES)
+    size = (1 << tox.BITS) // 4
+    for r in queries.op10_toxicity(spark, sf).collect():
+        seen = set()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", docs[r.doc_id].encode()):
+            w = w.lower()
+            seen.add(mix(plain_hash(w)) % size)
+            for kind, n in enumerate(sorted(tox.PREFIXES, reverse=True), 1):
+                seen.add(mix(plain_hash(w[:n]) ^ (0x5851F42D4C957F2D * n % 2**64)) % size + kind * size)
+        before = []
+        for m in models:
+            margin = m.bias + sum(float(m.weights[i]) for i in seen) + sum(c * p for c, p in zip(m.chain, before, strict=True))
+            before.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+        assert abs(before[0] - r.p_quality) < 1e-5 and abs(before[1] - r.p_toxic) < 1e-5
+        assert r.toxic == (r.p_toxic >= 0.5) or abs(before[1] - 0.5) < 1e-5
