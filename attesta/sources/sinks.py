@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a
     session with a local master has none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not base and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or f"file://{tempfile.mkdtemp(prefix='attesta-shared-')}").rstrip("/")
 
