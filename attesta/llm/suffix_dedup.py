@@ -308,11 +308,12 @@ def by_chunk(chunk_of: np.ndarray, chunks: list[int], kind: int, rows: np.ndarra
 
 
 def streamed(batches: Batches, key: str):
-    """(value of key, rows) of each run of rows, the input being sorted by key."""
+    """(value of key, rows) of each run of rows, the input being sorted by key; rows of no block
+    come in pieces, as they belong together in nothing."""
     value, rows = None, []
     for b in batches:
         for row in b.to_pylist():
-            if row[key] != value and rows:
+            if rows and (row[key] != value or (key == "block" and value < 0 and len(rows) >= 64)):
                 yield value, rows
                 rows = []
             value = row[key]
