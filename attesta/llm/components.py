@@ -1,9 +1,9 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Each round is an aggregate to the smallest neighbour and a join back; no neighbourhood
-is ever gathered. A node with over a thousandth of all link ends (there are fewer than
-a thousand such nodes) gets its smallest neighbour by a broadcast, so that its links
-stay where they are. A round's result is
+Each round is an aggregate to the smallest neighbour and a join back over one
+shuffle by node; no neighbourhood is ever gathered. A node with over a thousandth
+of all link ends (there are fewer than a thousand such nodes) gets its smallest
+neighbour by a broadcast, so that its links stay where they are. A round's result is
 written to the shared folder, which cuts the lineage. The graph shrinks to stars
 whose centres are the smallest ids in a number of rounds that grows like the
 logarithm of the longest path.
@@ -24,6 +24,16 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def with_least(rows: DataFrame, most: int) -> DataFrame:
+    """(u, v, m): m is the smallest v of u. Nodes in more than `most` rows are aggregated apart and
+    joined by a broadcast; with over a thousandth of all rows each, they are fewer than a thousand."""
+    common = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).filter(F.col("n") > most).select("u", "m").collect()
+    hubs = F.broadcast(rows.sparkSession.createDataFrame(common, "u bigint, m bigint")) if common else None
+    dealt = (rows.join(hubs, "u", "left_anti") if common else rows).repartition("u")
+    found = dealt.join(dealt.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return found.unionByName(rows.join(hubs, "u")) if common else found
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link.
 
@@ -33,24 +43,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "links")
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
+        most = max(1, 2 * state[0] // COMMON)
         # large star: each node's larger neighbours are linked to its smallest one
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        common = F.col("n") > max(1, 2 * state[0] // COMMON)
-        hubs = F.broadcast(least.filter(common).select("u", F.col("m").alias("hub")))  # fewer than COMMON rows
-        marked = both.join(hubs, "u", "left")
-        met = marked.filter("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m"))
-        met = met.unionByName(marked.filter("hub IS NULL").select("u", "v").join(least.filter(~common).select("u", "m"), "u"))
-        large = met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        both = with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), most)
+        large = both.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small star: each node and its smaller neighbours are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .filter("u <> v")
-            .distinct()
-        )
+        dealt = large.repartition("u")
+        small = dealt.join(dealt.groupBy("u").agg(F.min("v").alias("m")), "u")
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = small.select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         last, edges = edges, written(small, "links")
         dropped(last)
         before, state = state, _state(edges)

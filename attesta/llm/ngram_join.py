@@ -12,8 +12,9 @@ are not empty in one of them, they differ in at least U elements; so a pair
 within the limit shares a signature if either set has U > H (and shares at least
 U - H of them, by which candidates are filtered). Allocation by cost: an exact
 segment gives one unit for one signature, its one-deletion neighbourhood a second
-unit for as many as it has elements. M is the least that leaves nearly all sets
-of a band enough by exact segments; a set that falls short indexes the one-deletion
+unit for as many as it has elements. M is the number that costs a band the fewest
+signatures: with few segments many sets fall short of units, with many segments
+all have more than they need. A set that falls short indexes the one-deletion
 neighbourhoods of its segments, too, and if that is too little, the s - ceil(3/4 s)
 + 1 smallest of its elements, which two such sets within the limit must share.
 
@@ -45,6 +46,7 @@ from __future__ import annotations
 import hashlib
 import math
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +60,7 @@ from attesta.llm.words import mixed, shingle_sets
 
 N, THRESHOLD = 5, Fraction(3, 4)
 HOT = 32
-BAND, SEGMENTS = 2.0, 0.36
+BAND = 2.0
 BUCKET_SIGNATURES, BLOCK = 1_000_000, 256
 #: Buckets beyond this number share tasks, one after another.
 TASKS = 20_000
@@ -94,9 +96,27 @@ def linked(shared: int, a: int, b: int, t: Fraction) -> bool:
     return t.denominator * shared >= t.numerator * (a + b - shared)
 
 
-def segments_of(top: int, t: Fraction) -> int:
-    """Segments of a band whose largest sets have `top` elements."""
-    return max(1, math.ceil(top * float((1 - t) / (1 + t)) / (1 / 7) * SEGMENTS))
+@lru_cache(maxsize=4096)
+def segments_of(low: int, top: int, t: Fraction) -> int:
+    """Segments of the band of sizes low to top: the number that costs the fewest signatures."""
+    shares = {math.ceil(top * f / 100) for f in range(20, 100)}
+    return min(sorted(shares | set(range(1, min(2 * top, 40) + 1))), key=lambda m: expected_signatures(m, low, top, t))
+
+
+def expected_signatures(m: int, low: int, top: int, t: Fraction) -> float:
+    """Signatures of a set, on average over the sizes of a band: one for each of m segments that is
+    not empty, and one for each element where those are too few (about normally distributed) and
+    the neighbourhoods are needed, too."""
+    sizes = sorted({low + (top - low) * i // 8 for i in range(9)})
+    total = 0.0
+    for n in sizes:
+        empty = (1 - 1 / m) ** n
+        mean = m * (1 - empty)
+        spread = m * empty * (1 - empty) + (m * (m - 1) * ((1 - 2 / m) ** n - empty * empty) if m > 1 else 0)
+        most = limit(n, min(math.floor(n / t), top), t)
+        short = 0.5 * math.erfc((mean - most - 0.5) / math.sqrt(2 * max(spread, 1e-9)))
+        total += mean + short * n
+    return total / len(sizes)
 
 
 def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarray]]:
@@ -114,7 +134,7 @@ def signatures(s: np.ndarray, t: Fraction) -> list[tuple[int, int, int, np.ndarr
         low, top = int(EDGES[scheme]), int(EDGES[scheme + 1]) - 1
         if scheme > band and n < t * low:
             continue
-        m = segments_of(top, t)
+        m = segments_of(low, top, t)
         segment = (s >> np.uint64(20)) % np.uint64(m)
         order = np.argsort(segment, kind="stable")
         segment = segment[order]
@@ -426,10 +446,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = written(needed_sets(docs, needed, n), "elements")
     links = written(verified(pairs, sets, t), "verified")
     dropped(pairs)
-    if not low.isEmpty():
-        links = links.unionByName(_links_aside(low, star, links, sets, t))
-    dropped(sets, low, star)
     named = components(links)
+    if not low.isEmpty() and (more := _links_aside(low, star, named, sets, t)) is not None:
+        named = components(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    dropped(sets, low, star)
     by_node = classes.join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     by_root = by_node.groupBy("root").agg(F.min("least").alias("component"))
     by_node = by_node.join(by_root, "root").select("node", "root", "component")
@@ -470,29 +490,37 @@ def candidates(rows: DataFrame, read, sign, t: Fraction, expected: float) -> tup
     return pairs, low, star
 
 
-def _links_aside(low: DataFrame, star: DataFrame, links: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Links between sets that were set aside (low), beyond those to their centres."""
-    rest = written(_unsettled(low, star, components(links)), "unsettled")
+def _links_aside(low: DataFrame, star: DataFrame, named: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame | None:
+    """Links between sets that were set aside (low), beyond the components (named) that links to
+    their centres make; None where there can be none."""
+    rest = _in_parts(low, star, named)
     if rest.isEmpty():
-        return links.limit(0)
-    mine = written(sets.join(rest.select("node"), "node").select("node", "elements"), "elements")
+        return None
+    mine = written(sets.join(rest, "node").select("node", "elements"), "elements")
     size = mine.agg(F.sum(F.octet_length("elements") / 8)).first()[0]
     pairs, low, star = candidates(mine, sets_of_nodes, single_elements, t, size)
     more = written(verified(pairs, mine, t), "verified")
     dropped(pairs)
     if low.isEmpty():
         return more
-    stuck = _unsettled(low, star, components(links.unionByName(more)))
-    return more.unionByName(written(family_links(stuck, mine, t), "family"))
-
-
-def _unsettled(nodes: DataFrame, star: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, family, label) of those families that are not one component."""
-    family = components(star.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    marked = nodes.join(family, "node", "left").withColumn("family", F.coalesce("component", "node")).drop("component")
-    marked = marked.join(label, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
-    several = marked.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("family")
-    return join_small(marked, several, "family").select("node", "family", "label")
+    named = components(more.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    stuck = _in_parts(low, star, named)
+    if stuck.isEmpty():
+        return more
+    family = components(star.join(stuck, "node").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    marked = stuck.join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
+    marked = marked.join(named, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label"))
+    return more.unionByName(written(family_links(marked, mine, t), "family"))
+
+
+def _in_parts(low: DataFrame, star: DataFrame, named: DataFrame) -> DataFrame:
+    """The sets of those groups (of a hot signature's smallest member) that are in several components.
+    A missing link is one of two sets that are set aside and share a hot signature."""
+    label = F.coalesce("component", "node").alias("label")
+    group = star.select("node", "centre").unionByName(star.select(F.col("centre").alias("node"), "centre").distinct().join(low, "node"))
+    group = group.join(named, "node", "left").select("node", "centre", label)
+    several = group.groupBy("centre").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("centre")
+    return written(join_small(group, several, "centre").select("node").distinct(), "parts")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,6 +104,18 @@ def test_single_elements_guarantee_a_shared_one():
             assert units - most >= spare and (most < n or n == 0)
 
 
+def test_allocation_costs_least():
+    """The estimate is near what sets really take, and fewer or more segments take more."""
+    t, rng = Fraction(3, 4), np.random.default_rng(1)
+    low, top = 96, 191
+    m = nj.segments_of(low, top, t)
+    sets = [np.unique(rng.integers(0, 2**63, int(rng.integers(low, top + 1)), dtype=np.int64).astype(np.uint64)) for _ in range(300)]
+    band = int(np.searchsorted(nj.EDGES, low, side="right")) - 1
+    taken = np.mean([next(len(found) for scheme, _, _, found in nj.signatures(s, t) if scheme == band) for s in sets])
+    assert abs(taken / nj.expected_signatures(m, low, top, t) - 1) < 0.1
+    assert all(nj.expected_signatures(x, low, top, t) > nj.expected_signatures(m, low, top, t) for x in (m // 2, m * 3 // 2, m * 2))
+
+
 def test_odd_rows(odd):
     assert found(odd) == brute([(r.doc_id, r.text) for r in odd.collect()])
 
