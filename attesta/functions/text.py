@@ -52,11 +52,28 @@ def _longer(table: dict[str, str]) -> dict[str, str]:
     return {k: v for k, v in table.items() if len(v) > 1}
 
 
+#: Latin text without these characters takes the short way through lower().
+_BEYOND_LATIN = "[\u00b5\u0130\u0149\u017f-\\x{10FFFF}]"
+#: Lower-case Latin letters that have a bare letter.
+_LATIN = {c: x for c, x in _LETTERS.items() if "\x7f" < c < "\u0180" and c == c.lower() and len(x) == 1}
+
+
+def _ranges(characters: dict[str, str], gap: int = 64) -> str:
+    """A pattern of a few ranges that hold the characters (and others: it is a filter only)."""
+    out: list[list[str]] = []
+    for c in sorted(characters):
+        if out and ord(c) - ord(out[-1][1]) <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{a}-{z}" for a, z in out) + "]"
+
+
 def spelled_out(c: Column, longer: dict[str, str]) -> Column:
     """Characters replaced by several ones; texts without them are not touched."""
     known = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
     replaced = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
-    return F.when(F.rlike(c, F.lit("[" + "".join(longer) + "]")), replaced).otherwise(c)
+    return F.when(F.rlike(c, F.lit(_ranges(longer))), replaced).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -69,18 +86,18 @@ def collapse(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Full case folding."""
-    longer = _longer(_FOLDS)
-    plain = F.replace(c, F.lit("ß"), F.lit("ss"))  # the only common one
-    return F.translate(spelled_out(plain, {k: v for k, v in longer.items() if k != "ß"}), *_one_to_one(_FOLDS))
+    """Full case folding; Latin text by lower() alone, but for sharp s."""
+    short = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    full = F.translate(spelled_out(c, _longer(_FOLDS)), *_one_to_one(_FOLDS))
+    return F.when(F.rlike(c, F.lit(_BEYOND_LATIN)), full).otherwise(short)
 
 
 def normalize(c: Column) -> Column:
     """Fold, decompose, drop marks; runs of other characters than a-z and 0-9 become one space.
-    For text of any script, composed or decomposed."""
-    longer = _longer(_LETTERS)
-    plain = F.replace(c, F.lit("ß"), F.lit("ss"))
-    bare = F.translate(spelled_out(plain, {k: v for k, v in longer.items() if k != "ß"}), *_one_to_one(_LETTERS, _MARKS))
+    For text of any script, composed or decomposed; composed Latin text takes a short way."""
+    short = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), *_one_to_one(_LATIN))
+    full = F.translate(spelled_out(c, _longer(_LETTERS)), *_one_to_one(_LETTERS, _MARKS))
+    bare = F.when(F.rlike(c, F.lit(_BEYOND_LATIN)), full).otherwise(short)
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
