@@ -55,7 +55,7 @@ def security_findings(files: DataFrame, path: str = "path", text: str = "text")
     out = None
     for name, where, pattern in PATTERNS:
         mine = rows if where == "any" else rows.filter(F.col("__kind") == where)
-        hits = mine.select(path, text, F.explode(places(F.col(text), pattern)).alias("m"))
+        hits = mine.filter(F.rlike(text, F.lit(pattern))).select(path, text, F.explode(places(F.col(text), pattern)).alias("m"))
         at = F.col("m.at")
         if name == "blank-target":
             hits, at = hits.filter(lacks_rel(F.col("m.found"))), F.call_function("locate", F.col("m.found"), F.col(text), F.lit(1))

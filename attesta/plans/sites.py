@@ -97,7 +97,7 @@ def q37(spark, sf):
     """Every finding of each kind in a document, with its line."""
     out = None
     for kind, pattern in (("ipv4", IPV4), ("email", EMAIL)):
-        hits = table(spark, sf, "documents").select("doc_id", "text", F.explode(scan.places(F.col("text"), pattern)).alias("m"))
+        hits = table(spark, sf, "documents").filter(F.rlike("text", F.lit(pattern))).select("doc_id", "text", F.explode(scan.places(F.col("text"), pattern)).alias("m"))
         found = hits.select("doc_id", F.lit(kind).alias("kind"), tx.line_of(F.col("text"), F.col("m.at")).cast("bigint").alias("line"), F.col("m.found").alias("detail"))
         out = found if out is None else out.unionByName(found)
     return out
