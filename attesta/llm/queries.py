@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, embed_join, ngram_join, pii, secrets, suffix_dedup, toxicity, warc
+from attesta.llm import bpe, chat, decontam, embed_join, fim, ngram_join, pii, secrets, suffix_dedup, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -78,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secrets": op2_secrets,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op13_fim": op13_fim,
 }
 
 ORACLES: dict[str, str] = {
@@ -195,4 +200,24 @@ ORACLES: dict[str, str] = {
                CAST(sum(6 + length(head) + length(body) + 8) AS BIGINT) AS formatted_chars
         FROM safe GROUP BY conv_id
     """,
+    "op13_fim": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+            FROM documents
+        ), g AS (
+            SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y,
+                   CAST('0x' || h[17:24] AS BIGINT) % 100 AS a, CAST('0x' || h[25:32] AS BIGINT) % 100 AS b
+            FROM d
+        ), f AS (
+            SELECT doc_id, text, n, array_to_string(u[: least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS m,
+                   array_to_string(u[greatest(x, y) + 1 :], '') AS s,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR a >= 50 THEN 'plain' WHEN b < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM g
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM f
+    """,
 }
