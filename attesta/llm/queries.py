@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, embed_join, fim, ngram_join, pii, secrets, suffix_dedup, toxicity, warc
+from attesta.llm import bpe, chat, decontam, embed_join, fim, ngram_join, pii, recompress, secrets, suffix_dedup, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -78,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digest(recompress.remove_repeated_words(read_table(spark, sf_dir, "documents")))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_recompression": op11_recompression,
     "op13_fim": op13_fim,
 }
 
@@ -200,6 +205,21 @@ ORACLES: dict[str, str] = {
                CAST(sum(6 + length(head) + length(body) + 8) AS BIGINT) AS formatted_chars
         FROM safe GROUP BY conv_id
     """,
+    "op11_recompression": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT r, u.k AS k, array_to_string(w[u.k : u.k + 34], ' ') AS x FROM d, unnest(range(1, len(w) - 33)) AS u(k)
+        ), again AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY x) AS c FROM p) WHERE c > 1),
+        gone AS (SELECT DISTINCT r, k + u.j AS i FROM again, unnest(range(0, 35)) AS u(j)),
+        words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        t AS (
+            SELECT r, count(gone.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL), '') AS kept
+            FROM words LEFT JOIN gone USING (r, i) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN t USING (r)
+    """,
     "op13_fim": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
