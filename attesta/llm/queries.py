@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, chat, decontam, embed_join, fim, ngram_join, pii, recompress, secrets, suffix_dedup, toxicity, warc
+from attesta.llm import bpe, chat, collocations, decontam, embed_join, fim, ngram_join, pii, recompress, secrets, suffix_dedup, toxicity, warc
 from attesta.llm.common import read_table
 
 
@@ -82,6 +82,10 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digest(recompress.remove_repeated_words(read_table(spark, sf_dir, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op11_recompression": op11_recompression,
+    "op12_collocations": op12_collocations,
     "op13_fim": op13_fim,
 }
 
@@ -220,6 +225,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN t USING (r)
     """,
+    "op12_collocations": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+            FROM documents
+        ), p AS (SELECT lang, regexp_extract_all(u.piece, '[^\x20\x09]+') AS w FROM d, unnest(pieces) AS u(piece)),
+        f AS (
+            SELECT lang, s.size AS size, array_to_string(w[u.i : u.i + s.size - 1], ' ') AS phrase, count(*) AS f
+            FROM p, (VALUES (1), (2), (3), (4)) AS s(size), unnest(range(1, len(w) - s.size + 2)) AS u(i) GROUP BY ALL
+        ), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 30),
+        longer AS (
+            SELECT lang, array_to_string(w[u.i : u.i + s.size - 1], ' ') AS phrase, max(a) AS most
+            FROM c, (VALUES (2), (3)) AS s(size), unnest(range(1, c.size - s.size + 2)) AS u(i) WHERE s.size < c.size GROUP BY ALL
+        ), cut AS (
+            SELECT c.lang, c.phrase, c.a, u.k AS k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+            FROM c, unnest(range(1, c.size)) AS u(k)
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : u.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[u.k + 1 :], ' ')
+        ), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (
+            SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+            FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
     "op13_fim": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
