@@ -9,24 +9,30 @@ A pre-token that is itself in the vocabulary is that token, as in the public
 library. Decoding joins token-position rows to the vocabulary and concatenates by
 an ordered aggregate.
 
-A pre-token longer than LONG_PIECE bytes is first cut at barriers: pairs of bytes that
-stand side by side in no vocabulary entry, which no merge can cross, so that its parts
-go through the query by themselves. What has no barrier for more than LONG_PIECE bytes
-(a run of one letter, for instance) would take as many rounds as it has bytes; that
-alone is merged by a heap of pairs, which is the same order of merges.
+Long pre-tokens. The recursion keeps all its rounds, so a query goes on for so many rounds
+only that rounds times rows stay under STATE_ROWS; words that are done leave, and the rest is the
+next query's input. A pre-token longer than WINDOW bytes is first cut at barriers (pairs of bytes that stand
+side by side in no vocabulary entry, which no merge can cross), and parts that are still
+longer into windows of WINDOW bytes, which all go through the query by themselves, together. Two
+encoded neighbours are put together where that is the encoding of both: tokens are what
+merging gives if and only if each two neighbours by themselves are merged to just these two
+tokens (the first merge across a boundary in the whole would be one in the two tokens as
+well). So only the two tokens at a seam are looked at; where they are merged otherwise,
+two, four, eight ... tokens on both sides are merged anew, until the outer ones come out as
+they were. Neighbours are joined in pairs, then pairs of pairs, each step for all
+pre-tokens in a few queries.
 
 Edge cases: null or empty text has no tokens and decodes to nothing; repeated
 rows are encoded row by row; whole texts are encoded; special tokens do not
 exist, their strings are ordinary text; other columns are not read. Memory: a
-worker keeps about two times CACHE_WORDS words, and a query handles at most QUERY_BYTES
-of pre-tokens. There is no shuffle.
+worker keeps about two times CACHE_WORDS words, each of LONG_WORD bytes at most, and a query handles at most QUERY_BYTES
+of pre-tokens and about STATE_ROWS rows in all its rounds. There is no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -37,7 +43,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import Batches, holding, map_batches, slices, texts
 
-LONG_PIECE = 1024
+#: Bytes that are merged by themselves, longest word that is remembered, and rows of a recursion.
+WINDOW, LONG_WORD, STATE_ROWS = 24, 1024, 1_500_000
 CACHE_WORDS, QUERY_BYTES, DECODE_TOKENS, SLICE_BYTES = 400_000, 150_000, 250_000, 2 << 20
 
 #: Positions count on over all pieces of a query; a key holds a rank and a position.
@@ -59,11 +66,10 @@ WITH RECURSIVE state(word, pos, token, next_pos, next_token, round) AS (
             GROUP BY s.word
         ) f JOIN state p ON p.pos = f.best % 67108864 JOIN state q ON q.pos = p.next_pos
     ) b ON b.word = s.word
-    WHERE s.pos <> b.gone
+    WHERE s.pos <> b.gone AND s.round < {rounds}
 )
-SELECT s.word, s.pos, s.token
+SELECT s.word, s.pos, s.token, s.next_pos, s.next_token, s.round = {rounds} AS unfinished
 FROM state s JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) l ON l.word = s.word AND l.round = s.round
-ORDER BY s.pos
 """
 DECODE = """
 SELECT doc, string_agg(v.piece, '' ORDER BY pos) AS piece
@@ -76,6 +82,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def batches_of(pieces: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of pieces of about QUERY_BYTES; a longer one is a run by itself."""
+    some, size = [], 0
+    for p in pieces:
+        if some and size + len(p) > QUERY_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(p)
+        size += len(p)
+    if some:
+        yield some
+
+
 class Engine:
     """Vocabulary, merge table, a DuckDB connection and the words met so far."""
 
@@ -89,7 +108,6 @@ class Engine:
             for i in range(1, len(k))
             if k[:i] in self.ranks and k[i:] in self.ranks
         ]
-        self._pairs: dict[tuple[int, int], int] | None = None
         table = pa.table({n: pa.array([x[i] for x in pairs], pa.int32()) for i, n in enumerate(("left_token", "right_token", "merged"))})
         vocabulary = pa.table(
             {"token": pa.array(list(self.ranks.values()), pa.int32()), "piece": pa.array([k.decode("latin-1") for k in self.ranks])}
@@ -104,6 +122,8 @@ class Engine:
             b = np.frombuffer(k, np.uint8)
             self.side_by_side[b[:-1], b[1:]] = True
         self.whole = {k: np.int32(v).tobytes() for k, v in self.ranks.items()}
+        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.seams: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -115,42 +135,29 @@ class Engine:
         next_pos, next_token = pos + 1, np.append(token[1:], -1)
         for of in (next_pos, next_token):
             of[np.cumsum(lens) - 1] = -1
-        columns = (np.repeat(np.arange(len(pieces), dtype=np.int32), lens), pos, token, next_pos, next_token)
-        rows = pa.table(dict(zip(("word", "pos", "token", "next_pos", "next_token"), columns, strict=True)))
-        self.db.register("pieces", rows)
-        found = self.db.sql(MERGE).to_arrow_table()
-        self.db.unregister("pieces")
-        word, ids = found.column("word").to_numpy(), found.column("token").to_numpy().astype("<i4").tobytes()
+        names = ("word", "pos", "token", "next_pos", "next_token")
+        rows = pa.table(dict(zip(names, (np.repeat(np.arange(len(pieces), dtype=np.int32), lens), pos, token, next_pos, next_token), strict=True)))
+        done = []
+        while rows.num_rows:
+            self.db.register("pieces", rows)
+            found = self.db.sql(MERGE.format(rounds=max(2, STATE_ROWS // rows.num_rows))).to_arrow_table()
+            self.db.unregister("pieces")
+            on = found.column("unfinished").to_numpy()
+            columns = [found.column(n).to_numpy() for n in names]
+            done.append(np.stack([c[~on] for c in columns[:3]]))
+            rows = pa.table(dict(zip(names, (c[on].astype(np.int32) for c in columns), strict=True)))
+        word, pos, token = np.concatenate(done, axis=1) if done else np.zeros((3, 0), np.int64)
+        order = np.argsort(pos, kind="stable")
+        ids, word = token[order].astype("<i4").tobytes(), word[order]
         ends = np.searchsorted(word, np.arange(len(pieces)), side="right").tolist()
         return [ids[4 * a : 4 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
-    @property
-    def pairs(self) -> dict[tuple[int, int], int]:
-        """The merge table as a dictionary, made when a long piece first needs it."""
-        if self._pairs is None:
-            rows = self.db.execute("SELECT left_token, right_token, merged FROM merges").fetchall()
-            self._pairs = {(a, b): m for a, b, m in rows}
-        return self._pairs
-
-    def merge_long(self, piece: bytes) -> bytes:
-        """The same merges, for one very long piece, by a heap."""
-        tok: list[int | None] = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(tok)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, tok[i], tok[i + 1]) for i in range(n - 1) if (m := self.pairs.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            m, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if tok[i] != a or j >= n or tok[j] != b:
-                continue
-            tok[i], tok[j], right[i] = m, None, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            for p in (left[i], i):
-                if p >= 0 and right[p] < n and (k := self.pairs.get((tok[p], tok[right[p]]))) is not None:
-                    heapq.heappush(heap, (k, p, tok[p], tok[right[p]]))
-        return np.array([t for t in tok if t is not None], "<i4").tobytes()
+    def merged(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
+        """The ids of different pieces, in queries of about QUERY_BYTES."""
+        out: dict[bytes, list[int]] = {}
+        for some in batches_of(dict.fromkeys(pieces)):
+            out |= {p: np.frombuffer(x, "<i4").tolist() for p, x in zip(some, self.merge(some), strict=True)}
+        return out
 
     def parts(self, piece: bytes) -> list[bytes]:
         """A piece cut at its barriers."""
@@ -158,59 +165,64 @@ class Engine:
         cuts = (np.flatnonzero(~self.side_by_side[b[:-1], b[1:]]) + 1).tolist()
         return [piece[a:z] for a, z in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
-    def merge_parts(self, piece: bytes) -> bytes:
-        """The ids of a long piece, part by part."""
-        parts = self.parts(piece)
-        short = list(dict.fromkeys(p for p in parts if len(p) <= LONG_PIECE))
-        ids: dict[bytes, bytes] = {}
-        at = 0
-        while at < len(short):
-            size = np.cumsum([len(p) for p in short[at:]])
-            end = at + max(1, int(np.searchsorted(size, QUERY_BYTES, side="right")))
-            ids.update(zip(short[at:end], self.merge(short[at:end]), strict=True))
-            at = end
-        ids |= {p: self.merge_long(p) for p in set(parts) if len(p) > LONG_PIECE}
-        return b"".join(ids[p] for p in parts)
+    def merge_long(self, pieces: list[bytes]) -> list[bytes]:
+        """The same as merge, for pieces of any length: by windows that are joined."""
+        cut = [[[x[i : i + WINDOW] for i in range(0, len(x), WINDOW)] for x in self.parts(p)] for p in pieces]
+        known = self.merged(w for p in cut for x in p for w in x)
+        ids = [[[known[w] for w in x] for x in p] for p in cut]
+        while any(len(x) > 1 for p in ids for x in p):
+            pairs = iter(self.joined([(x[i], x[i + 1]) for p in ids for x in p for i in range(0, len(x) - 1, 2)]))
+            ids = [[[next(pairs) for _ in range(len(x) // 2)] + x[len(x) & ~1 :] for x in p] for p in ids]
+        return [np.array([t for x in p for t in x[0]], "<i4").tobytes() for p in ids]
+
+    def joined(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The encodings of neighbours put together."""
+        if len(self.seams) > CACHE_WORDS:
+            self.seams.clear()
+        unknown = {(a[-1], z[0]) for a, z in pairs} - self.seams.keys()
+        both = {s: self.bytes_of[s[0]] + self.bytes_of[s[1]] for s in unknown}
+        found = self.merged(both.values())
+        self.seams |= {s: found[both[s]] == list(s) for s in unknown}
+        out = [a + z if self.seams[a[-1], z[0]] else [] for a, z in pairs]
+        todo, k = [i for i, x in enumerate(out) if not x], 2
+        while todo:
+            inner = {i: b"".join(map(self.bytes_of.__getitem__, pairs[i][0][-k:] + pairs[i][1][:k])) for i in todo}
+            found, left = self.merged(inner.values()), []
+            for i in todo:
+                (a, z), m = pairs[i], found[inner[i]]
+                if (k >= len(a) or m[0] == a[-k]) and (k >= len(z) or m[-1] == z[k - 1]):
+                    out[i] = a[:-k] + m + z[k:]
+                else:
+                    left.append(i)
+            todo, k = left, 2 * k
+        return out
 
     def learn(self, found: Iterable[str]) -> dict[str, bytes]:
         """Ids of every piece in found. The cache has two generations: a full one becomes
         the old one, and words of the old one that are met again move to the new."""
         if len(self.words) > CACHE_WORDS:
             self.words, self.old = {}, self.words
-        out, old, fresh = self.words, self.old, []
+        out, old, short, long = self.words, self.old, {}, {}
         for w in found:
             if w not in out:
                 if (known := old.get(w)) is not None:
                     out[w] = known
+                elif (known := self.whole.get(b := w.encode())) is not None:
+                    out[w] = known
                 else:
-                    fresh.append(w)
-        todo: list[tuple[str, bytes]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal todo, size
-            if todo:
-                out.update(zip([w for w, _ in todo], self.merge([b for _, b in todo]), strict=True))
-            todo, size = [], 0
-
-        for w in fresh:
-            b = w.encode()
-            if (known := self.whole.get(b)) is not None:
-                out[w] = known
-            elif len(b) > LONG_PIECE:
-                out[w] = self.merge_parts(b)
-            else:
-                todo.append((w, b))
-                size += len(b)
-                if size >= QUERY_BYTES:
-                    flush()
-        flush()
+                    (short if len(b) <= WINDOW else long)[b] = w
+        for merge, fresh in ((self.merge, short), (self.merge_long, long)):
+            for some in batches_of(fresh):
+                out.update(zip(map(fresh.__getitem__, some), merge(some), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
         ids = self.learn({w for c in cut for w in c})
-        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+        out = [b"".join(map(ids.__getitem__, c)) for c in cut]
+        for w in [w for w in ids if len(w) > LONG_WORD]:
+            del ids[w]
+        return out
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """Bytes of each list of ids; offsets as in an Arrow list array."""
