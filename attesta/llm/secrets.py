@@ -132,7 +132,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVE
     least is in bytes a character for 64 characters, and less for narrower alphabets; width is
     what a token is compared with on both sides."""
     out = private_keys(text)
-    taken = sorted([(s, e) for s, e, _ in base] + [(s, e) for s, e, _ in out])
+    starts, reach = [], []  # where spans start, in order, and how far those up to each go
+    for s, e in sorted((s, e) for s, e, _ in [*base, *out]):
+        starts.append(s)
+        reach.append(max(e, reach[-1]) if reach else e)
     ends = blanks = None
     for m in TOKEN.finditer(text):
         a, z = m.span()
@@ -144,7 +147,8 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], least: float = NOVE
         last = bisect.bisect_right(ends, a)
         if not last or bisect.bisect_left(blanks, ends[last - 1]) < bisect.bisect_left(blanks, a):
             continue
-        if any(s < z and a < e for s, e in taken):
+        before = bisect.bisect_left(starts, z)
+        if before and reach[before - 1] > a:
             continue
         if novelty(token, around(text, token, a, z, width)) >= least * bits(token) / 6:
             out.append((a, z, "novel"))

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from attesta.llm import secrets
 
@@ -99,3 +100,26 @@ def test_tables(odd, empty, sf, spark):
     for r in docs.collect():
         assert found[r.doc_id].base_sha256 == secrets.digest_of(r.text)
         assert secrets.told(secrets.base_spans(r.text)) == brute(r.text)
+
+
+def test_time_is_linear_in_a_text():
+    """Logs with a base span and a candidate in every line: twice the lines take about twice as long."""
+    rnd = random.Random(5)
+    line = lambda: "bearer {0} token={0}\n".format("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30)))
+
+    def took(n):
+        text = "".join(line() for _ in range(n))
+        base = secrets.base_spans(text)
+        began = time.process_time()
+        secrets.novel_spans(text, base)
+        return time.process_time() - began
+
+    took(200)
+    assert took(12_000) < 4 * took(4000) + 0.5
+
+
+def test_spans_within_longer_ones_hide_candidates():
+    key = "q9Zr7Kp2Xw5Tn8Vb3Lm6"
+    text = f"password: {key}/{'a1' * 20}.zz bearer {key[::-1]}"
+    base = secrets.base_spans(text)
+    assert any(k == "hex" for *_, k in base) and [text[s:e] for s, e, _ in secrets.novel_spans(text, base)] == [key[::-1]]
