@@ -40,12 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attesta.llm.common import Batches, filesystem, map_batches, shared_path, texts, written
+from attesta.llm.common import Batches, filesystem, join_small, map_batches, shared_path, texts, written
 from attesta.llm.recompress import buffers, heads, names_of
 from attesta.llm.suffix_dedup import BLOCK_BYTES, FIELDS, ROWS, TASKS, by_block, cut_up, emitted, read_chunk, streamed, write_chunk
 from attesta.llm.words import mixed
 
 LEAST, SHARE, TOP, LONGEST, SCALE = 30, 80, 2000, 4, 2_000_000
+#: Parts in which the first phrases of a language are looked for.
+SPREAD = 64
 UNKNOWN = "und"
 #: A-Z become lower case, ends of pieces a full stop, tabs spaces.
 FOLD = bytes.maketrans(bytes([*range(65, 91), *b",;:!?", *range(10, 14), 9]), bytes([*range(97, 123), *b"." * 9, 32]))
@@ -425,14 +427,16 @@ def collocations(
     words = words_of(first)
     found = written(scored(phrases_of(two.unionByName(three).unionByName(four)), words, share), "candidates")
     # words are looked up for what can be among the first only: all that is no worse than the last of them
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    last = found.select("lang", "score", "a").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top)
-    last = last.groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
-    some = found.join(last, "lang").filter(F.struct("score", "a") >= F.col("last")).drop("last")
+    scores = found.select("lang", "score", "a", F.pmod(F.xxhash64(*WORD_KEYS), F.lit(SPREAD)).alias("s"))
+    for keys in (["lang", "s"], ["lang"]):  # a language's candidates are many, the first of each of its parts few
+        best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"))
+        scores = scores.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top).drop("k")
+    last = scores.groupBy("lang").agg(F.min(F.struct("score", "a")).alias("last"))
+    some = join_small(found, last, "lang").filter(F.struct("score", "a") >= F.col("last")).drop("last")
     for c in WORD_KEYS:
         some = some.join(words.select(F.col("w1").alias(c), F.col("word").alias(f"{c}_word")), c, "left" if c != "w1" else "inner")
     some = some.withColumn("phrase", F.concat_ws(" ", *[f"{c}_word" for c in WORD_KEYS]))
     totals = first.filter(F.col("kind") == TOTAL).groupBy(F.col("ids").cast("string").alias("lang")).agg(F.sum("chunk").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = some.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return join_small(ranked, totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
