@@ -108,8 +108,8 @@ def normalize_one(value: str) -> str:
 
 
 def normalize_spaces(c: Column) -> Column:
-    """Strip, collapse white space and fold; marks stay."""
-    return fold(collapse(c))
+    """Strip, collapse white space and fold; marks stay. The collapsed text is made once."""
+    return let(collapse(c), fold)
 
 
 def words(c: Column) -> Column:
@@ -146,12 +146,16 @@ def conflicts(passage_norm: Column, distractors: Column) -> Column:
 def trailing_int(c: Column, needs_separator: bool = False) -> Column:
     """The number at the end of a text, after a separator or alone (unless needs_separator);
     null if there is none or it is 0."""
-    pattern = r"[.:\s](\d+)\s*$" if needs_separator else r"(?:^|[.:\s])(\d+)$"
-    found = F.regexp_extract(c if needs_separator else strip(c), pattern, 1)
-    number = found.try_cast("bigint")
+    number = trailing_digits(c, needs_separator).try_cast("bigint")
     return F.when(number > 0, number)
 
 
+def trailing_digits(c: Column, needs_separator: bool = False) -> Column:
+    """The digits at the end of a text, after a separator or alone (unless needs_separator); empty if there are none."""
+    before = r"[.:\s]" if needs_separator else r"(?:^\s*|[.:\s])"
+    return F.regexp_extract(c, rf"(?U){before}([0-9]+)\s*$", 1)
+
+
 def has_citation(c: Column) -> Column:
     return F.rlike(c, F.lit(r"(?U)\b\d+\s*:\s*\d+\b"))
 
@@ -166,6 +170,7 @@ def item_id(book: Column, chapter: Column, number: Column) -> Column:
     return F.format_string("%s_%03d_%03d", F.replace(F.upper(book), F.lit(" "), F.lit("_")), chapter, number)
 
 
+# The patterns of references in style sheets, of conflict markers and (above) of citations.
 def css_urls(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?i)url\(\s*([^)]+?)\s*\)"), F.lit(1))
 
@@ -186,8 +191,3 @@ def label(c: Column, names: dict[str, str]) -> Column:
     """The name of a code, or the code itself."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.nullif(F.try_element_at(known, c), F.lit("")), c)
-
-
-def line_of(text: Column, position: Column) -> Column:
-    """The line of a 1-based position."""
-    return F.size(F.split(F.substring(text, F.lit(1), position - 1), "\n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,31 +51,50 @@ RULES = (
 )
 
 
-def validated(items: DataFrame, keys: list[str], order: str = "verse_number") -> DataFrame:
-    """items with the first rule that each breaks (error, null if none).
+def repeated(rows: DataFrame, keys: list[str], digest: str, order: str) -> DataFrame:
+    """keys, digest and first: the least order of each digest that occurs more than once under its
+    keys. A partial aggregate, so a digest in very many rows is one row a task."""
+    found = rows.groupBy(*keys, digest).agg(F.min(order).alias("first"), F.max(order).alias("__last"))
+    return found.filter(F.col("first") < F.col("__last")).drop("__last")
+
+
+def item_errors(items: DataFrame, keys: list[str], order: str = "verse_number") -> DataFrame:
+    """keys, order and error: the first rule that each item breaks, null if none.
 
     items: keys, order, question, explanation, category, difficulty, correct_answer,
-    options, source (the verse's text). A question counts as a duplicate if an
-    earlier item under the same keys has the same normal form.
+    options, source (the verse's text). A question counts as a duplicate if an item of
+    lesser order under the same keys has the same normal form; the forms are compared
+    by 256-bit digests, so no text leaves its row. Keys and order are not null.
     """
-    by_norm = Window.partitionBy(*keys, "__norm").orderBy(order)
-    rows = items.withColumn("__norm", tx.normalize_spaces(F.col("question")))
-    rows = rows.withColumn("__again", F.row_number().over(by_norm) > 1)
+    question = tx.normalize_spaces(F.col("question"))
     options = F.transform("options", tx.strip)
-    source = tx.normalize_spaces(F.coalesce("source", F.lit("")))
-    copied = (F.length(source) >= MIN_COPY) & (F.contains(F.col("__norm"), source) | F.contains(tx.normalize_spaces(F.col("explanation")), source))
-    checks = (
+    source = F.coalesce("source", F.lit(""))
+
+    def copied(norm: Column) -> Column:
+        explanation = tx.normalize_spaces(F.col("explanation"))
+        return tx.let(tx.normalize_spaces(source), lambda s: (F.length(s) >= MIN_COPY) & (F.contains(norm, s) | F.contains(explanation, s)))
+
+    before = (
         ~(filled(F.col("question")) & filled(F.col("explanation")) & filled(F.col("category"))),
         tx.has_citation(F.col("question")),
-        F.col("__again"),
+    )
+    after = (
         F.coalesce(F.size("options"), F.lit(-1)) != 4,
         F.size(F.array_distinct(F.transform(options, tx.normalize_spaces))) != 4,
         ~sure(F.array_contains(options, tx.strip(F.col("correct_answer")))),
         ~sure(tx.strip(F.col("difficulty")).isin(*DIFFICULTIES)),
-        copied,
+        copied(F.col("__norm")),
     )
-    error = F.coalesce(*[F.when(sure(c), F.lit(r)) for r, c in zip(RULES, checks, strict=True)])
-    return rows.withColumn("error", error).drop("__norm", "__again")
+
+    def broken(rules: tuple[str, ...], checks: tuple[Column, ...]) -> Column:
+        return F.coalesce(*[F.when(sure(c), F.lit(r)) for r, c in zip(rules, checks, strict=True)])
+
+    digest = F.sha2("__norm", 256).alias("__digest")
+    normal = items.withColumn("__norm", question)
+    rows = normal.select(*keys, order, digest, broken(RULES[:2], before).alias("__before"), broken(RULES[3:], after).alias("__after"))
+    firsts = repeated(items.withColumn("__norm", question).select(*keys, order, digest), keys, "__digest", order)
+    again = F.when(F.col(order) > F.col("first"), RULES[2])
+    return rows.join(firsts, [*keys, "__digest"], "left").select(*keys, order, F.coalesce("__before", again, "__after").alias("error"))
 
 
 def first_error(rows: DataFrame, keys: list[str], order: str = "verse_number") -> DataFrame:
@@ -195,11 +212,3 @@ def parameters_ok(chapter: int, version: str, allowed: str, key: str | None = No
         raise ValueError(f"version must be {allowed}")
     if key is not None and not key.strip():
         raise ValueError("a key is needed")
-
-
-def loads_object(text: str) -> dict | None:
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return None
-    return value if isinstance(value, dict) else None

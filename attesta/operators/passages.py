@@ -93,35 +93,19 @@ def candidates(verses: DataFrame) -> DataFrame:
     )
 
 
-def _trailing(value: str, alone: bool) -> int | None:
-    """Digits at the end of value, after one of `.`, `:` or a space, or alone."""
-    body = value.strip() if alone else value.rstrip()
-    head = body.rstrip("0123456789")
-    digits = body[len(head) :]
-    if not digits or not digits.isascii():
-        return None
-    if head:
-        return int(digits) if head[-1] in ".:" or head[-1].isspace() else None
-    return int(digits) if alone else None
-
-
-def number_of(node: dict[str, Any], strict_zero: bool = True) -> int | None:
-    """A node's number by the preferred keys, then by its references.
-
-    With strict_zero a 0 at the end of a reference is passed over for the next key;
+def number_of(numbers: Column, references: Column, strict_zero: bool = True) -> Column:
+    """A node's number: the first positive one that a number key holds or ends with, else the first
+    at the end of a reference.
+
+    With strict_zero a reference that ends with 0 is passed over for the next one;
     otherwise the search ends there without a number.
     """
-    for key in NUMBER_KEYS:
-        value = node.get(key)
-        n = int(value) if isinstance(value, int) and value > 0 else _trailing(value, True) if isinstance(value, str) else None
-        if n:
-            return n
-    for key in REFERENCE_KEYS:
-        if isinstance(node.get(key), str):
-            n = _trailing(node[key], False)
-            if n or (n is not None and not strict_zero):
-                return n or None
-    return None
+    direct = F.get(F.array_compact(F.transform(numbers, lambda x: tx.trailing_int(x))), F.lit(0))
+    ends = F.filter(F.transform(references, lambda r: tx.trailing_digits(r, needs_separator=True)), lambda x: x != "")
+    values = F.transform(ends, lambda x: x.try_cast("bigint"))
+    positive = F.filter(values, lambda x: x > 0) if strict_zero else values
+    cited = F.get(positive, F.lit(0))
+    return F.coalesce(direct, F.when(cited > 0, cited))
 
 
 def walk(tree: Any) -> Iterator[dict[str, Any]]:
@@ -136,15 +120,20 @@ def walk(tree: Any) -> Iterator[dict[str, Any]]:
             stack += node[::-1]
 
 
-def extract(payload: str, strict_zero: bool = True) -> list[dict[str, Any]]:
-    """The verses of a payload: pos, verse_number, text, reference_from_api."""
+def written_out(node: dict[str, Any], keys: tuple[str, ...]) -> list[str]:
+    """What the keys hold, as text, in order: whole numbers (true is 1) and texts; nothing else."""
+    return [str(int(v)) if isinstance(v, int) else v for k in keys if isinstance(v := node.get(k), int | str)]
+
+
+def verse_nodes(payload: str) -> list[dict[str, Any]]:
+    """The nodes of a payload with a text that isn't blank: text, reference_from_api, and what may number them."""
     out = []
     for node in walk(json.loads(payload)):
         text = node.get("text")
         if isinstance(text, str) and text.strip():
             given = node.get("reference") or node.get("ref")
-            number = number_of(node, strict_zero) or len(out) + 1
-            out.append({"pos": len(out) + 1, "verse_number": number, "text": text.strip(), "reference_from_api": given if isinstance(given, str) else None})
+            cited = [x for k in REFERENCE_KEYS if isinstance(x := node.get(k), str)]
+            out.append({"text": text.strip(), "reference_from_api": given if isinstance(given, str) else None, "numbers": written_out(node, NUMBER_KEYS), "references": cited})
     return out
 
 
@@ -172,31 +161,37 @@ def count_text_nodes(payloads: DataFrame, key: str, payload: str = "payload") ->
     return payloads.select(key, payload).mapInArrow(run, f"{key} {kind}, nodes bigint, chars bigint")
 
 
-VERSES = "pos bigint, verse_number bigint, text string, reference_from_api string"
+NODES = "pos bigint, text string, reference_from_api string, numbers array<string>, references array<string>"
 
 
 def extract_verses(payloads: DataFrame, key: str, payload: str = "payload", strict_zero: bool = True) -> DataFrame:
-    """A row per verse of each payload; payloads that are null or no JSON give none.
+    """key, pos, verse_number, text and reference_from_api: a row per verse of each payload; payloads
+    that are null or no JSON give none. A verse without a number has its place.
 
-    The tree has no fixed shape and its key order counts, so it is walked in Python,
-    by Arrow batches.
+    The tree has no fixed shape and its key order counts, so it is walked in Python, by
+    Arrow batches; what a verse's number is, expressions decide.
     """
+    names = [x.split()[0] for x in NODES.split(", ")]
 
     def run(batches):
+        strings = pa.list_(pa.string())
+        kinds = (pa.int64(), pa.string(), pa.string(), strings, strings)
         for b in batches:
             keys, rows = [], []
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    found = extract(p, strict_zero) if p is not None else []
+                    found = verse_nodes(p) if p is not None else []
                 except ValueError:
                     found = []
                 keys += [k] * len(found)
-                rows += found
-            columns = [pa.array([r[c] for r in rows], t) for c, t in (("pos", pa.int64()), ("verse_number", pa.int64()), ("text", pa.string()), ("reference_from_api", pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *columns], [key, "pos", "verse_number", "text", "reference_from_api"])
+                rows += [{"pos": i, **x} for i, x in enumerate(found, 1)]
+            columns = [pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), *columns], [key, *names])
 
     kind = payloads.schema[key].dataType.simpleString()
-    return payloads.select(key, payload).mapInArrow(run, f"{key} {kind}, {VERSES}")
+    nodes = payloads.select(key, payload).mapInArrow(run, f"{key} {kind}, {NODES}")
+    number = F.coalesce(number_of(F.col("numbers"), F.col("references"), strict_zero), F.col("pos"))
+    return nodes.select(key, "pos", number.alias("verse_number"), "text", "reference_from_api")
 
 
 def succeeded(payload: Column) -> Column:

@@ -34,12 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def audit_questions(turns: DataFrame) -> DataFrame:
-    """A question per turn: the range of three turns from it, two tokens of the turn as
-    support, two of the turn after the range as explanation, one of the next
-    conversation's first turn as distractor."""
+    """A question per turn: the range of three turns from it, the tokens of the turn as
+    support, those of the turn after the range as explanation, those of the next
+    conversation's first turn as distractors."""
     toks = turns.select("conv_id", "turn", tx.significant_tokens(F.col("text")).alias("k"))
-    after = toks.select("conv_id", (F.col("turn") - 3).alias("turn"), F.slice("k", 1, 2).alias("explanation_terms"))
-    first = toks.filter("turn = 0").select((F.col("conv_id") - 1).alias("conv_id"), F.slice("k", 1, 1).alias("distractors"))
+    after = toks.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("k").alias("explanation_terms"))
+    first = toks.filter("turn = 0").select((F.col("conv_id") - 1).alias("conv_id"), F.col("k").alias("distractors"))
     rows = toks.join(after, ["conv_id", "turn"], "left").join(first, "conv_id", "left")
     return rows.select(
         F.format_string("%d:%d", "conv_id", "turn").alias("id"),
@@ -47,7 +47,7 @@ def audit_questions(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("chapter"),
         F.col("turn").alias("verse_start"),
         (F.col("turn") + 2).alias("verse_end"),
-        F.slice("k", 1, 2).alias("support_terms"),
+        F.col("k").alias("support_terms"),
         "explanation_terms",
         "distractors",
     )
@@ -62,7 +62,7 @@ def audited(spark: SparkSession, sf: str) -> DataFrame:
 AUDIT_SQL = f"""
     t AS (SELECT conv_id, turn, text, {tokens(norm("text"))} AS k FROM conversations),
     q AS (
-        SELECT t.conv_id, t.turn, t.k[1:2] AS support, coalesce(e.k[1:2], []) AS expl, coalesce(d.k[1:1], []) AS dis
+        SELECT t.conv_id, t.turn, coalesce(t.k, []) AS support, coalesce(e.k, []) AS expl, coalesce(d.k, []) AS dis
         FROM t LEFT JOIN t e ON e.conv_id = t.conv_id AND e.turn = t.turn + 3 LEFT JOIN t d ON d.conv_id = t.conv_id + 1 AND d.turn = 0
     ), p AS (
         SELECT q.conv_id, q.turn, count(t.turn) = 3 AS found, string_agg(coalesce(t.text, ''), ' ' ORDER BY n.i) AS passage
@@ -248,15 +248,6 @@ def q15(spark, sf):
     return rows.filter(bank.is_playable()).select("o_orderkey")
 
 
-ITEMS_SQL = """
-    SELECT doc_id, lang, source, substr(text, 1, 60) AS question, substr(text, 61, 60) AS explanation, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS category,
-           [substr(text, 1, 4), substr(text, 5, 4), substr(text, 9, 4), substr(text, 13, 4)] AS options,
-           CASE WHEN doc_id % 7 = 0 THEN 'zz' ELSE substr(text, 1, 4) END AS correct, CASE doc_id % 5 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' WHEN 3 THEN ' easy ' ELSE 'x' END AS difficulty,
-           CASE WHEN doc_id % 3 = 0 THEN substr(text, 3, 45) ELSE 'short' END AS verse
-    FROM documents
-"""
-
-
 WHOLE_ITEMS_SQL = """
     SELECT doc_id, lang, source, left(text, half) AS question, substr(text, half + 1) AS explanation, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS category,
            [left(text, quarter), substr(text, quarter + 1, quarter), substr(text, 2 * quarter + 1, quarter), substr(text, 3 * quarter + 1)] AS options,
@@ -293,13 +284,13 @@ def q16(spark, sf):
         F.when(d % 5 == 0, "easy").when(d % 5 == 1, "medium").when(d % 5 == 2, "hard").when(d % 5 == 3, " easy ").otherwise("x").alias("difficulty"),
         F.when(d % 3 == 0, F.substring(t, quarter * 3 + 1, rest)).when(d % 3 == 1, F.substring(t, quarter + 1, quarter * 2)).otherwise(t).alias("source"),
     )
-    return bank.validated(items, ["bank"], "doc_id").select("doc_id", "error")
+    return bank.item_errors(items, ["bank"], "doc_id").select("doc_id", "error")
 
 
 @query("q17_duplicate_question", f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {norm_ws('text')} ORDER BY doc_id) > 1")
 def q17(spark, sf):
     keyed = table(spark, sf, "documents").select("doc_id", F.sha2(tx.normalize_spaces(F.col("text")), 256).alias("k"))
-    return keyed.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))).filter("n > 1").select("doc_id")
+    return keyed.join(bank.repeated(keyed, [], "k", "doc_id"), "k").filter(F.col("doc_id") > F.col("first")).select("doc_id")
 
 
 @query(

@@ -74,8 +74,7 @@ def generation_flow(payloads: DataFrame, responses: DataFrame) -> tuple[DataFram
     numbered = items.withColumn("verse_number", F.col("verse_number").cast("bigint"))
     same = bank.number_lists_equal(verses, numbered, keys)
     joined = numbered.join(verses.select(*keys, "pos", F.col("text").alias("source")), [*keys, "pos"])
-    checked = bank.validated(joined, keys, "pos")
-    first = bank.first_error(checked, keys, "pos")
+    first = bank.first_error(bank.item_errors(joined, keys, "pos"), keys, "pos")
     unreadable = F.when(F.col("items").isNull(), "no_items")
     errors = (
         decoded.select(*keys, unreadable.alias("e0"))
@@ -84,7 +83,7 @@ def generation_flow(payloads: DataFrame, responses: DataFrame) -> tuple[DataFram
         .select(*keys, F.coalesce("e0", F.when(~F.coalesce("equal", F.lit(False)), "verse_numbers"), "error").alias("error"))
     )
     good = errors.filter("error IS NULL").select(*keys)
-    return bank.bank_rows(checked.join(good, keys, "left_semi")), errors.filter("error IS NOT NULL")
+    return bank.bank_rows(joined.join(good, keys, "left_semi")), errors.filter("error IS NOT NULL")
 
 
 def restore(questions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -170,7 +169,9 @@ def site_findings(files: DataFrame) -> DataFrame:
     out.append(finding(checked.join(canonical, "path", "left_anti"), "seo", F.col("path"), F.lit("missing canonical")))
     out.append(finding(home.join(facts.filter("kind = 'icon'"), "path", "left_anti"), "seo", F.col("path"), F.lit("missing icon")))
 
-    locs = files.filter("path = 'sitemap.xml' AND text IS NOT NULL").select(F.explode(site.sitemap_locs(F.col("text"))).alias("loc"))
+    parsed = files.filter("path = 'sitemap.xml' AND text IS NOT NULL").select(site.parsed_sitemap(F.col("text")).alias("s"))
+    out.append(finding(parsed.filter("s.error IS NOT NULL"), "sitemap", F.lit("sitemap.xml"), F.col("s.error")))
+    locs = parsed.select(F.explode("s.locs").alias("loc"))
     out.append(finding(site.sitemap_findings(locs), "sitemap", F.lit("sitemap.xml"), F.concat_ws(" ", "check_name", "subject")))
     absent = checked.join(canonical, "path").join(locs.select(F.col("loc").alias("canonical")), "canonical", "left_anti")
     out.append(finding(absent, "sitemap", F.col("path"), F.concat(F.lit("canonical not listed: "), F.col("canonical"))))

@@ -127,7 +127,8 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """A row (xml, locs) for a sitemap file."""
-    from attesta.operators.site import sitemap_locs
+    """A row (xml, locs, error) for a sitemap file; error tells of one that is not well-formed."""
+    from attesta.operators.site import parsed_sitemap
 
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), sitemap_locs(F.col("value")).alias("locs"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), parsed_sitemap(F.col("value")).alias("s"))
+    return rows.select("xml", "s.locs", "s.error")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from attesta.functions import text as tx
+from attesta.operators.copies import verbatim_copies
 
 MIN_COPY = 40
 
@@ -54,11 +55,10 @@ def leaks(output: DataFrame, sources: DataFrame, text: str = "text") -> DataFram
     """(column, found): text columns of output that hold a source text of MIN_COPY characters
     or more, in normal form. An empty result lets the output pass.
 
-    Source texts are joined to the output by their first MIN_COPY characters, cut from the
-    output at every place, so that no pair is compared without a common start.
+    Texts are known by a digest while they are compared, and each different one is
+    compared once; see copies.verbatim_copies.
     """
-    # the normal form has no white space runs, so a key is exactly its first characters
-    source = sources.select(tx.normalize_spaces(F.col(text)).alias("s")).filter(F.length("s") >= MIN_COPY).distinct().withColumn("k", F.substring("s", 1, MIN_COPY))
+    source = sources.select(tx.normalize_spaces(F.col(text)).alias("s")).filter(F.length("s") >= MIN_COPY).distinct().withColumn("source_key", F.sha2("s", 256))
     texts = []
     for f in output.schema.fields:
         if isinstance(f.dataType, StringType):
@@ -70,9 +70,10 @@ def leaks(output: DataFrame, sources: DataFrame, text: str = "text") -> DataFram
     rows = texts[0]
     for t in texts[1:]:
         rows = rows.unionByName(t)
-    rows = rows.select("column", tx.normalize_spaces(F.col("t")).alias("t")).filter(F.length("t") >= MIN_COPY)
-    keyed = rows.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - MIN_COPY + 1), lambda i: F.substring(F.col("t"), i, F.lit(MIN_COPY))))))
-    return keyed.join(source, "k").filter(F.contains(F.col("t"), F.col("s"))).select("column", F.col("s").alias("found")).distinct()
+    rows = rows.filter("t IS NOT NULL").withColumn("text_key", F.sha2("t", 256)).distinct()
+    found = verbatim_copies(rows.select("text_key", "t").distinct(), source, "text_key", "source_key", "t", "s")
+    # the columns of a text are few and its copies one row, so what is long is joined last
+    return found.join(rows.select("column", "text_key"), "text_key").select("column", "source_key").distinct().join(source, "source_key").select("column", F.col("s").alias("found"))
 
 
 def redacted(df: DataFrame, *columns: str) -> DataFrame:

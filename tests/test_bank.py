@@ -59,13 +59,13 @@ def test_rules_in_order(spark):
         but(question="Juan 3:16 otra vez", options=[]), but(question="q12", source="corto"), but(question="q13", options=None),
     ]
     df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], ITEM)
-    got = [r.error for r in bank.validated(df, ["b"]).orderBy("verse_number").collect()]
+    got = [r.error for r in bank.item_errors(df, ["b"]).orderBy("verse_number").collect()]
     assert got == [
         None, "missing_field", "citation_in_question", "duplicate_question", "option_count", "duplicate_option", "answer_not_in_options", "unknown_difficulty",
         "source_copied", "source_copied", "citation_in_question", None, "option_count",
     ]
-    assert bank.first_error(bank.validated(df, ["b"]), ["b"]).first().error == "missing_field"
-    assert bank.first_error(bank.validated(df.limit(1), ["b"]), ["b"]).first().error is None
+    assert bank.first_error(bank.item_errors(df, ["b"]), ["b"]).first().error == "missing_field"
+    assert bank.first_error(bank.item_errors(df.limit(1), ["b"]), ["b"]).first().error is None
 
 
 def test_explicit_null_is_text(spark):

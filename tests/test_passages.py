@@ -3,25 +3,23 @@ import json
 from attesta.operators import passages as ps
 
 
-def verses(tree, **more):
-    return [(v["verse_number"], v["text"]) for v in ps.extract(json.dumps(tree), **more)]
+def verses(tree):
+    return [(0, v["text"]) for v in ps.verse_nodes(json.dumps(tree))]
 
 
-def test_numbers_under_each_key():
-    for key in ps.NUMBER_KEYS:
-        assert verses([{"text": "a", key: 7}, {"text": "b", key: "1:8"}]) == [(7, "a"), (8, "b")]
-    for key in ps.REFERENCE_KEYS:
-        assert verses({"text": "a", key: "Gen 1:9"}) == [(9, "a")]
-    assert verses({"text": "a", "ref": "9"}) == [(1, "a")]
-    assert verses({"text": "a", "verse": "9"}) == [(9, "a")]
-    assert verses({"text": "a", "verse": True}) == [(1, "a")]
-    assert verses({"text": "a", "verse": 2.0}) == [(1, "a")]
+def test_numbers_under_each_key(spark):
+    cases = [({"text": "a", key: value}, n) for key in ps.NUMBER_KEYS for value, n in ((7, 7), ("1:8", 8), (" 9 ", 9), ("x9", 1), (0, 1), (-3, 1), ("v.0", 1))]
+    cases += [({"text": "a", key: value}, n) for key in ps.REFERENCE_KEYS for value, n in (("Gen 1:9", 9), ("9", 1), ("g.12 ", 12), (4, 1), ("\u00a07", 7), ("a\u00a07", 7))]
+    cases += [({"text": "a", "verse": True}, 1), ({"text": "a", "verse": 2.0}, 1), ({"text": "a", "id": "x.2", "number": 5, "verse": "none"}, 5), ({"text": "a", "verse": "9" * 30, "ref": "r 3"}, 3)]
+    df = spark.createDataFrame([(i, json.dumps(tree)) for i, (tree, _) in enumerate(cases)], "k int, payload string")
+    assert {r.k: r.verse_number for r in ps.extract_verses(df, "k").collect()} == {i: n for i, (_, n) in enumerate(cases)}
 
 
-def test_zero_differs_between_the_two_walks():
+def test_zero_differs_between_the_two_walks(spark):
     tree = [{"text": "x"}, {"text": "a", "reference": "Gen 1:0", "id": "g.5"}]
-    assert verses(tree) == [(1, "x"), (5, "a")]
-    assert verses(tree, strict_zero=False) == [(1, "x"), (2, "a")]
+    df = spark.createDataFrame([(1, json.dumps(tree))], "k int, payload string")
+    assert [r.verse_number for r in ps.extract_verses(df, "k").orderBy("pos").collect()] == [1, 5]
+    assert [r.verse_number for r in ps.extract_verses(df, "k", strict_zero=False).orderBy("pos").collect()] == [1, 2]
 
 
 def test_parents_come_first_and_keys_keep_their_order():
@@ -31,13 +29,13 @@ def test_parents_come_first_and_keys_keep_their_order():
 
 def test_blank_texts():
     tree = [{"text": " "}, {"text": "ab"}, {"text": 5}, {"other": "x"}]
-    assert verses(tree) == [(1, "ab")]
+    assert verses(tree) == [(0, "ab")]
     assert ps.text_nodes(json.dumps(tree)) == (2, 3)
 
 
 def test_deep_trees_do_not_recurse():
     deep = '{"text":"a","x":' * 900 + "{}" + "}" * 900
-    assert len(ps.extract(deep)) == 900
+    assert len(ps.verse_nodes(deep)) == 900
 
 
 def test_table(spark):
