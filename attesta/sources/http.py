@@ -3,6 +3,7 @@
 Requests are a table, one row each; executors make them, one attempt each, and pass
 the responses on in batches, so that a chapter is a row and no response is held by the
 driver. A task that is run again asks again; write the responses before using them twice.
+Passages come from passage_source, too, which Spark plans and which asks for nothing twice.
 """
 
 from __future__ import annotations
@@ -20,6 +21,18 @@ RESPONSE = "id string, status int, payload string, error string"
 PASSAGE_SECONDS, MODEL_SECONDS = 30, 120
 
 
+def ask(url: str, body: str | None, headers: dict[str, str], timeout: float) -> tuple[int | None, str | None, str | None]:
+    """(status, payload, error) of one request; see responses."""
+    request = urllib.request.Request(url, headers=headers, data=None if body is None else body.encode())
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as r:
+            return r.status, r.read().decode("utf-8"), None
+    except urllib.error.HTTPError as e:
+        return e.code, None, str(e.reason)
+    except (OSError, ValueError) as e:
+        return None, None, str(e)
+
+
 def responses(requests: DataFrame, headers: dict[str, str], timeout: float = PASSAGE_SECONDS, tasks: int = 8) -> DataFrame:
     """id, status, payload and error for requests (id, url, body; a null body is a GET).
 
@@ -28,20 +41,10 @@ def responses(requests: DataFrame, headers: dict[str, str], timeout: float = PAS
     the closure, not into the plan.
     """
 
-    def ask(url: str, body: str | None) -> tuple[int | None, str | None, str | None]:
-        request = urllib.request.Request(url, headers=headers, data=None if body is None else body.encode())
-        try:
-            with urllib.request.urlopen(request, timeout=timeout) as r:
-                return r.status, r.read().decode("utf-8"), None
-        except urllib.error.HTTPError as e:
-            return e.code, None, str(e.reason)
-        except (OSError, ValueError) as e:
-            return None, None, str(e)
-
     def run(batches):
         for b in batches:
             for i, url, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                status, payload, error = ask(url, body)
+                status, payload, error = ask(url, body, headers, timeout)
                 columns = ((i, pa.string()), (status, pa.int32()), (payload, pa.string()), (error, pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], ["id", "status", "payload", "error"])
 
@@ -56,6 +59,7 @@ def passage_requests(chapters: DataFrame, base: str, version: str) -> DataFrame:
     return chapters.select(reference.alias("id"), url.alias("url"), F.lit(None).cast("string").alias("body"))
 
 
+# The fields of generated items and the shape of a request.
 def item_schema(difficulties: tuple[str, ...]) -> str:
     """The JSON schema of generated items, as JSON text."""
     text = {"type": "string"}
