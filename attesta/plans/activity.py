@@ -3,15 +3,21 @@ modulo 10 is the question, `signup` a restart."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
+from attesta.operators import page_log as logged
 from attesta.operators import progress, scan
 from attesta.plans.content import table
 from attesta.sources.readers import table_stream
+from attesta.sources.sinks import drop_at_exit, shared_folder
+from attesta.streaming import page_log
 from attesta.streaming.progress_stream import replay
+from attesta.streaming.runs import drained
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -168,6 +174,137 @@ def q45(spark, sf):
     return replay(spark, events, QUIZ)
 
 
+#: Views and clicks ask, errors and purchases answer within so long; the closing rows let all time pass.
+WITHIN, CLOSING = "6 hours", "2 days"
+
+
+def closed(spark, sf, df: DataFrame) -> DataFrame:
+    """The events as a stream, and one event of user -1 long after the last, by which every time before is over."""
+    moment = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))  # the table's times have no zone
+    last = table(spark, sf, "events").agg((F.max(moment) + F.expr(f"INTERVAL {CLOSING}")).alias("ts"))
+    folder = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    end = last.select(F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(-1).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("event_type"))
+    end.write.parquet(folder)
+    return df.select("event_id", moment.alias("ts"), "user_id", "event_type").unionByName(spark.readStream.schema(end.schema).parquet(folder))
+
+
+@query(
+    "q72_answered_requests",
+    f"""SELECT r.event_id AS request, a.event_id AS answer, a.event_type = 'error' AS failed
+        FROM events r LEFT JOIN events a ON a.user_id = r.user_id AND a.event_type IN ('error', 'purchase') AND a.ts >= r.ts AND a.ts <= r.ts + INTERVAL {WITHIN}
+        WHERE r.event_type IN ('view', 'click')""",
+)
+def q72(spark, sf):
+    """Two halves of the events as streams: requests with the answers that came in time, and those without."""
+    rows = closed(spark, sf, table_stream(spark, f"{sf}/events.parquet"))
+    requests = rows.filter("event_type IN ('view', 'click') OR user_id < 0").select("user_id", "ts", F.col("event_id").alias("request"))
+    answers = rows.filter("event_type IN ('error', 'purchase') OR user_id < 0").select("user_id", "ts", F.col("event_id").alias("answer"), (F.col("event_type") == "error").alias("failed"))
+    found = drained(page_log.answered(requests, answers, ["user_id"], WITHIN, "1 hour"))
+    return found.filter("user_id >= 0").select("request", "answer", "failed")
+
+
+@query(
+    "q73_failures_by_window",
+    """SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, user_id, event_type AS check_name, count(*) AS n FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL""",
+)
+def q73(spark, sf):
+    """The failures of each user by day of event time, as a stream gives them once a day is over."""
+    rows = closed(spark, sf, table_stream(spark, f"{sf}/events.parquet")).filter("event_type IN ('error', 'signup') OR user_id < 0")
+    found = drained(page_log.by_window(rows.withColumnRenamed("event_type", "check_name"), ["user_id", "check_name"], "1 day", "1 hour"))
+    start = F.to_utc_timestamp("start", F.current_timezone()).cast("timestamp_ntz")
+    return found.filter("user_id >= 0").select(start.alias("start"), "user_id", "check_name", "n")
+
+
+ORIGIN = "https://s.example"
+LOG_SQL = f"""
+    l AS (
+        SELECT event_id, user_id, event_type, CASE user_id % 3 WHEN 0 THEN '{ORIGIN}/p' || user_id WHEN 1 THEN 'https://o.example/' ELSE 'no url' END AS url, user_id % 3 = 0 AS own,
+               CAST(floor(value) AS INT) + 380 AS status, event_id % 2 = 0 AS is_error, event_id % 3 < 2 AS near, CASE WHEN event_id % 5 > 0 THEN 'm' || event_id ELSE 'unknown' END AS said FROM events
+    )
+"""
+
+
+@query(
+    "q74_log_findings",
+    f"""WITH {LOG_SQL}, c AS (
+            SELECT *, CASE WHEN event_type = 'error' THEN 'page_error' WHEN event_type = 'purchase' AND is_error AND near THEN 'console_error' WHEN event_type = 'click' AND own THEN 'request_failed'
+                           WHEN event_type = 'view' AND own AND status >= 400 THEN 'bad_status' END AS check_name FROM l
+        )
+        SELECT CAST(user_id AS VARCHAR) AS viewport, check_name, CASE check_name WHEN 'request_failed' THEN url || ' (' || said || ')' WHEN 'bad_status' THEN status || ' ' || url ELSE said END AS detail
+        FROM c WHERE check_name IS NOT NULL""",
+)
+def q74(spark, sf):
+    """Events as the log of a browser, by kind: the entries that are errors of the page."""
+    u, e = F.col("user_id"), F.col("event_id")
+    kinds = F.create_map(*[F.lit(x) for pair in {"view": "response", "click": "requestfailed", "error": "pageerror", "purchase": "console"}.items() for x in pair])
+    url = F.when(u % 3 == 0, F.concat(F.lit(f"{ORIGIN}/p"), u.cast("string"))).when(u % 3 == 1, "https://o.example/").otherwise("no url")
+    log = table(spark, sf, "events").select(
+        "ts", u.cast("string").alias("viewport"), F.try_element_at(kinds, F.col("event_type")).alias("kind"), url.alias("url"), (F.floor("value") + 380).cast("int").alias("status"),
+        F.when(e % 5 > 0, F.concat(F.lit("m"), e.cast("string"))).alias("message"), F.when(e % 2 == 0, "error").otherwise("log").alias("level"),
+        F.when(e % 3 == 1, f"{ORIGIN}/x.js").when(e % 3 == 2, "https://o.example/").alias("location"),
+    )
+    return logged.log_findings(log, ORIGIN).drop("ts")
+
+
+@query(
+    "q75_page_findings",
+    """WITH p AS (
+           SELECT o_orderkey AS k, 300 + o_custkey % 1200 AS w, CASE o_custkey % 10 WHEN 0 THEN NULL WHEN 1 THEN 404 ELSE 200 END AS status, o_orderpriority LIKE '5%' AS untitled, o_custkey % 5 AS scroll, o_custkey AS c FROM orders
+       ), f AS (
+           SELECT k, 'page_not_loaded' AS check_name, coalesce(status::VARCHAR, 'no answer') AS detail FROM p WHERE status IS NULL OR status >= 400
+           UNION ALL SELECT k, 'empty_title', '' FROM p WHERE untitled
+           UNION ALL SELECT k, 'scrolls_sideways', scroll::VARCHAR FROM p WHERE scroll > 2
+           UNION ALL SELECT k, CASE WHEN k % 3 = 0 THEN 'missing_element' ELSE 'hidden_element' END, 'main' FROM p WHERE k % 3 < 2
+           UNION ALL SELECT k, 'missing_element', 'footer' FROM p
+           UNION ALL SELECT k, 'menu_not_expanded', w::VARCHAR FROM p WHERE w <= 900 AND c % 2 = 0 AND c % 3 = 0
+           UNION ALL SELECT k, CASE WHEN c % 7 = 0 THEN 'menu_hidden' ELSE 'menu_outside' END, w::VARCHAR FROM p WHERE w <= 900 AND c % 2 = 0 AND (c % 7 = 0 OR c % 4 > 2)
+           UNION ALL SELECT l_orderkey, 'control_outside', l_returnflag || ' x [' || CAST(floor(l_linenumber - 4.5 + 0.5) AS BIGINT) || ', ' || CAST(floor(l_quantity * 20 + 0.5) AS BIGINT) || ']'
+                     FROM lineitem JOIN p ON k = l_orderkey WHERE floor(l_linenumber - 4.5 + 0.5) < -2 OR floor(l_quantity * 20 + 0.5) > w + 2
+       )
+       SELECT CAST(k AS VARCHAR) AS viewport, check_name, detail FROM f""",
+)
+def q75(spark, sf):
+    """Orders as viewports, their lines as controls: what each page lacks."""
+    k, c, w = F.col("o_orderkey"), F.col("o_custkey"), 300 + F.col("o_custkey") % 1200
+    control = F.struct(F.concat("l_returnflag", F.lit(" \n x ")).alias("label"), (F.col("l_linenumber") - 4.5).cast("double").alias("left"), (F.col("l_quantity") * 20).cast("double").alias("right"))
+    controls = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(control).alias("controls"))
+
+    def element(name: str, found, visible):
+        return F.struct(F.lit(name).alias("selector"), found.alias("found"), visible.alias("visible"))
+
+    yes = F.lit(True)
+    menu = F.struct(
+        (c % 2 == 0).alias("button"), yes.alias("nav"), (c % 3 != 0).alias("expanded"), (c % 7 != 0).alias("visible"), F.lit(0.0).alias("left"), (w + c % 4).cast("double").alias("right"),
+    )
+    pages = table(spark, sf, "orders").join(controls, k == F.col("l_orderkey"), "left").select(
+        k.cast("string").alias("viewport"), w.alias("width"), F.when(c % 10 == 1, 404).when(c % 10 != 0, 200).alias("status"), F.when(F.startswith("o_orderpriority", F.lit("5")), " ").otherwise(F.col("o_orderpriority")).alias("title"),
+        F.array(element("header", yes, yes), element("main", k % 3 != 0, k % 3 != 1), element("h1", yes, yes), element("footer", F.lit(None).cast("boolean"), yes)).alias("elements"),
+        (c % 5).alias("scroll_x"), "controls", menu.alias("menu"),
+    )
+    return logged.page_findings(pages)
+
+
+@query(
+    "q76_violation_summary",
+    """SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AS blocks,
+              '[{"id":"v' || o_orderkey || '","impact":"' || CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'serious' ELSE 'minor' END || '","help":"h","nodes":[' ||
+              string_agg('{"target":["' || l_returnflag || '"],"failureSummary":"s' || l_linenumber || '"}', ',' ORDER BY l_linenumber, l_returnflag) || ']}]' AS summary
+       FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority""",
+)
+def q76(spark, sf):
+    """Orders as violations of an accessibility check, their lines as nodes: the summary, and whether it blocks."""
+    node = F.struct("l_linenumber", F.array("l_returnflag").alias("target"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("failureSummary"), F.lit("<b>").alias("html"))
+    nodes = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    p = F.col("o_orderpriority")
+    violation = F.struct(
+        F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("id"), F.when(p == "1-URGENT", "critical").when(p == "2-HIGH", "serious").otherwise("minor").alias("impact"),
+        F.lit("h").alias("help"), F.lit(None).cast("string").alias("helpUrl"), F.lit("more").alias("description"), "nodes",
+    )
+    rows = table(spark, sf, "orders").join(nodes, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("vs", F.array(violation))
+    return rows.select("o_orderkey", (F.size(logged.blocking(F.col("vs"))) > 0).alias("blocks"), F.to_json(logged.violation_summary(F.col("vs"))).alias("summary"))
+
+
 @query(
     "q53_first_match",
     """SELECT l_orderkey, coalesce(min(pos) FILTER (WHERE l_returnflag = 'R') - 1, -1) AS idx, arg_min(l_partkey, pos) FILTER (WHERE l_returnflag = 'R') AS l_partkey

@@ -21,7 +21,7 @@ AUDIT_SPEC = (
 GENERATED = (
     "items ARRAY<STRUCT<verse_number: INT, question: STRING, options: ARRAY<STRING>, correct_answer: STRING, explanation: STRING, difficulty: STRING, category: STRING>>"
 )
-PAGE_EVENT = "url STRING, kind STRING, origin STRING, status INT, bytes BIGINT, message STRING"
+PAGE_EVENT = "ts TIMESTAMP, viewport STRING, request_id BIGINT, url STRING, kind STRING, origin STRING, status INT, bytes BIGINT, message STRING, level STRING, location STRING"
 SNAPSHOT = "dom_nodes BIGINT, dom_ready_ms BIGINT, load_ms BIGINT, h1 STRING, main_visible BOOLEAN"
 EVENT = "user_id bigint, ts timestamp, event_id bigint, event string, option string"
 TEXT_SUFFIXES = ("html", "css", "js", "json", "md", "xml", "yml", "yaml", "py", "txt", "svg")
@@ -98,6 +98,11 @@ def page_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_EVENT).json(path)
 
 
+def page_event_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
+    """The same log as a stream of the files that arrive in a folder."""
+    return spark.readStream.schema(PAGE_EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
+
+
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """What was measured on a page, as JSON lines."""
     return spark.read.schema(SNAPSHOT).json(path)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +18,37 @@ from attesta.operators.copies import verbatim_copies
 MIN_COPY = 40
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a
-    session with a local master has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where a session with a
+    local master has none a temporary one, which goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (base or f"file://{tempfile.mkdtemp(prefix='attesta-shared-')}").rstrip("/")
+    if "local" not in _own:
+        _own["local"] = tempfile.mkdtemp(prefix="attesta-shared-")
+        atexit.register(shutil.rmtree, _own["local"], ignore_errors=True)
+    return f"file://{_own['local']}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's interpreter ends, as long as the session is there."""
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete_folder(spark, path)
+
+    atexit.register(drop)
 
 
 def store_progress(states: DataFrame, path: str) -> None:

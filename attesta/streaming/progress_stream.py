@@ -21,7 +21,6 @@ another version or inconsistent is cut to its valid beginning, as by
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attesta.operators.progress import VERSION
-from attesta.sources.sinks import shared_folder
+from attesta.streaming.runs import drained, setting
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "run bigint, n_events bigint, idx bigint, selected string, answers string, completed boolean, stored string"
@@ -176,26 +175,11 @@ def progress(events: DataFrame, questions: list[Question], stored: DataFrame | N
     )
 
 
-def replay(spark: SparkSession, events: DataFrame, questions: list[Question], stored: DataFrame | None = None) -> DataFrame:
-    """Run the stream over all that a source (events, a stream) has; the last state of each user.
-    States go to a table in the shared folder, by batch; a batch that is run again replaces its own."""
-    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    try:
-
-        def keep(states: DataFrame, batch: int) -> None:
-            states.write.mode("overwrite").parquet(f"{folder}/states/batch={batch}")
-
-        found = progress(events, questions, stored)
-        query = found.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    states = spark.read.schema(f"{OUTPUT}, batch bigint").parquet(f"{folder}/states")
+def replay(spark: SparkSession, events: DataFrame, questions: list[Question], stored: DataFrame | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run the stream over all that a source (events, a stream) has; the last state of each user that
+    had events. A named checkpoint stays: the next run goes on from it."""
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", PROVIDER):
+        states = drained(progress(events, questions, stored), "update", checkpoint)
     names = [x.split()[0] for x in OUTPUT.split(", ")][1:]
     last = states.groupBy("user_id").agg(F.max_by(F.struct(*names), "batch").alias("s"))
     return last.select("user_id", *[f"s.{n}" for n in names])
