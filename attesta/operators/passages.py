@@ -9,44 +9,86 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
+from attesta.operators import ordered
 
 # Keys that may hold a number, in order of preference.
 NUMBER_KEYS = ("verse", "verseNumber", "verse_number", "number", "verseId", "verse_id")
 REFERENCE_KEYS = ("reference", "ref", "id")
 
 
-def ordered_text(number: Column, text: Column, separator: str = " ") -> Column:
-    """Texts of a group in order of number, joined; a missing text keeps its separator."""
-    rows = F.array_sort(F.collect_list(F.struct(number.alias("n"), F.coalesce(text, F.lit("")).alias("t"))))
-    return F.array_join(F.transform(rows, lambda x: x["t"]), separator)
-
-
 def numbers(start: Column, end: Column) -> Column:
     """start..end, empty if end < start (sequence would count down)."""
     return F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>"))
 
 
-def passages(ranges: DataFrame, verses: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+def blocks(start: Column, end: Column, short: int) -> Column:
+    """array<struct<level, i>>: the blocks of 2**level numbers, from i * 2**level on, that make up start..end,
+    in order. A range of up to `short` numbers is its numbers; a longer one has about two blocks for each
+    doubling of its length."""
+    kind = "array<struct<level:int,i:bigint>>"
+    none = F.array().cast(kind)
+
+    def block(level: Column, i: Column) -> Column:
+        return F.array(F.struct(level.cast("int").alias("level"), i.cast("bigint").alias("i"))).cast(kind)
+
+    def step(at: Column, level: Column) -> Column:
+        # what a block of the next level does not hold is taken off at both ends
+        left = (at["l"] <= at["r"]) & (F.pmod(at["l"], F.lit(2)) == 1)
+        low = F.when(left, at["l"] + 1).otherwise(at["l"])
+        right = (low <= at["r"]) & (F.pmod(at["r"], F.lit(2)) == 0)
+        high = F.when(right, at["r"] - 1).otherwise(at["r"])
+        return F.struct(
+            F.when(low <= high, F.shiftright(low, 1)).otherwise(1).alias("l"), F.when(low <= high, F.shiftright(high, 1)).otherwise(0).alias("r"),
+            F.when(left, F.concat(at["head"], block(level, at["l"]))).otherwise(at["head"]).alias("head"),
+            F.when(right, F.concat(block(level, at["r"]), at["tail"])).otherwise(at["tail"]).alias("tail"),
+        )
+
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((end - start + 2).cast("double"))).cast("int") + 1)
+    first = F.struct(start.cast("bigint").alias("l"), end.cast("bigint").alias("r"), none.alias("head"), none.alias("tail"))
+    long = F.aggregate(levels, first, step, lambda at: F.concat(at["head"], at["tail"]))
+    single = F.transform(F.sequence(start, end), lambda n: F.struct(F.lit(0).alias("level"), n.cast("bigint").alias("i"))).cast(kind)
+    return F.when(start > end, none).when(end - start < short, single).otherwise(long)
+
+
+def gap(n: Column) -> Column:
+    """n spaces."""
+    return F.repeat(F.lit(" "), n.cast("int"))
+
+
+def passages(ranges: DataFrame, verses: DataFrame, keys: list[str], id_col: str = "id", short: int = 32) -> DataFrame:
     """The range join: id, passage, found (all numbers exist), size and n_found, for ranges (id, keys,
-    verse_start, verse_end) over verses (keys, verse_number, text).
+    verse_start, verse_end) over verses (keys, verse_number, text). The texts are joined by spaces; a missing
+    number, or a null text, is empty between two of them.
 
-    Ranges are short, so each is laid out as its numbers and joined by equality on
-    keys and number; one aggregate by id brings them together again.
+    A range is cut into blocks (see blocks) and joined to them by equality, so that a long
+    one costs as many rows as its length has binary digits, twice. Only blocks that a range has are
+    put together, each once, however many ranges have it.
     """
-    laid = ranges.select(
-        id_col, *keys, F.explode_outer(numbers(F.col("verse_start").cast("bigint"), F.col("verse_end").cast("bigint"))).alias("n")
-    )
-    by = verses.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("verse_number").cast("bigint").alias("__n"), F.col("text").alias("__text"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("n") == F.col("__n")]
-    joined = laid.join(by, on, "left")
+    start, end = F.col("verse_start").cast("bigint"), F.col("verse_end").cast("bigint")
+    laid = ranges.select(id_col, *keys, F.explode_outer(blocks(start, end, short)).alias("b")).select(id_col, *keys, "b.level", "b.i")
+    by = verses.select(*keys, F.col("verse_number").cast("bigint").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    one = by.select(*keys, F.lit(0).alias("level"), F.col("n").alias("i"), "text", F.lit(1).cast("bigint").alias("found"))
+    wanted = laid.filter("level > 0").select(*keys, "level", "i").distinct()
+    levels = [r["level"] for r in wanted.select("level").distinct().collect()]  # 63 at most
+    made = one
+    for level in sorted(levels):
+        size = 1 << level
+        of = by.select(*keys, F.shiftright("n", level).alias("i"), "n", "text").join(wanted.filter(F.col("level") == level).drop("level"), [*keys, "i"], "left_semi")
+        rows = of.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ts"), F.count("*").alias("found"))
+        before = F.concat(F.array(F.col("i") * size), F.transform("ts", lambda t: t["n"]))
+        spaced = F.zip_with("ts", F.slice(before, F.lit(1), F.size("ts")), lambda t, b: F.concat(gap(t["n"] - b), t["text"]))
+        text = F.concat(F.array_join(spaced, ""), gap((F.col("i") + 1) * size - 1 - F.element_at(before, -1)))
+        made = made.unionByName(rows.select(*keys, F.lit(level).alias("level"), "i", text.alias("text"), "found"))
+    joined = laid.join(made, [*keys, "level", "i"], "left")
+    slots = F.expr("shiftleft(CAST(1 AS BIGINT), level)")
+    piece = F.struct((F.col("i") * slots).alias("at"), F.coalesce("text", gap(slots - 1)).alias("text"))
     return joined.groupBy(id_col).agg(
-        ordered_text(F.col("n"), F.col("__text")).alias("passage"),
-        (F.count("__n") == F.count("n")).alias("found"),
-        F.count("n").alias("size"),
-        F.count("__n").alias("n_found"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), piece))), lambda x: x["text"]), " ").alias("passage"),
+        (F.coalesce(F.sum("found"), F.lit(0)) == F.coalesce(F.sum(slots), F.lit(0))).alias("found"),
+        F.coalesce(F.sum(slots), F.lit(0)).alias("size"),
+        F.coalesce(F.sum("found"), F.lit(0)).alias("n_found"),
     )
 
 
@@ -61,16 +103,17 @@ def duplicate_numbers(rows: DataFrame, keys: list[str], number: str) -> DataFram
     return many.groupBy(*keys).agg(F.array_sort(F.collect_list(number)).alias("duplicates"))
 
 
-def sequential(rows: DataFrame, keys: list[str], number: str, order: Column) -> DataFrame:
-    """Whether the numbers, in order, are 1..n: whether each is its place. Nothing is gathered."""
-    placed = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return placed.groupBy(*keys).agg(F.min(F.coalesce(F.col(number) == F.col("__place"), F.lit(False))).alias("sequential"))
+def sequential(rows: DataFrame, keys: list[str], number: str, order: str, most: int = ordered.MOST) -> DataFrame:
+    """Whether the numbers, in order, are 1..n: whether each is its place. Nothing is gathered, and
+    a key of any size is spread."""
+    placed = ordered.place(rows.select(*keys, F.col(number).alias("__number"), F.col(order).alias("__order")), keys, ["__order", "__number"], "__place", most)
+    return placed.groupBy(*keys).agg(F.min(F.coalesce(F.col("__number") == F.col("__place"), F.lit(False))).alias("sequential"))
 
 
-def with_ordinals(rows: DataFrame, keys: list[str], number: str, order: Column) -> DataFrame:
+def with_ordinals(rows: DataFrame, keys: list[str], number: str, order: list[str], most: int = ordered.MOST) -> DataFrame:
     """number where it is positive, else the row's place under its key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn(number, F.when(F.col(number) > 0, F.col(number)).otherwise(place))
+    placed = ordered.place(rows, keys, order, "__place", most)
+    return placed.withColumn(number, F.when(F.col(number) > 0, F.col(number)).otherwise(F.col("__place"))).drop("__place")
 
 
 def reference(given: Column, book: Column, chapter: Column, number: Column) -> Column:

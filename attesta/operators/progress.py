@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from attesta.operators import ordered
 
 # Fixed values.
 CATEGORY_NAMES = {"eventos": "Eventos", "personajes": "Personajes", "lugares": "Lugares", "evangelios": "Evangelios"}
@@ -44,14 +45,16 @@ def resume(answered: Column, total: Column, stored: Column, completed: Column) -
 
 
 def first_answers(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first event of each key: later answers to a question change nothing."""
-    return events.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    """The first event of each key: later answers to a question change nothing. A partial aggregate."""
+    rest = [c for c in events.columns if c not in keys]
+    first = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("e"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"e.{c}").alias(c) for c in events.columns])
 
 
-def with_runs(events: DataFrame, user: str, order: list[str], restart: Column) -> DataFrame:
-    """events with run: the number of restarts up to and including each event."""
-    w = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("run", F.sum(F.when(restart, 1).otherwise(0)).over(w))
+def with_runs(events: DataFrame, user: str, order: list[str], restart: Column, most: int = ordered.MOST) -> DataFrame:
+    """events with run: the number of restarts up to and including each event. The events of one
+    user may be any number; see ordered.running."""
+    return ordered.running(events, [user], order, most, run=("sum", F.when(restart, 1).otherwise(0)))
 
 
 def option_state(option: Column, correct: Column, selected: Column) -> Column:
@@ -70,8 +73,3 @@ def stored_progress(raw: Column) -> Column:
     record = F.from_json(raw, "version int, currentQuestionId string, answers map<string,string>, completed boolean")
     is_object = F.startswith(F.ltrim(F.get_json_object(raw, "$.answers")), F.lit("{"))
     return F.when((record["version"] == VERSION) & is_object, record)
-
-
-def option_ids(questions: Column) -> Column:
-    """question id -> ids of its options, for arrays of questions (id, options)."""
-    return F.map_from_entries(F.transform(questions, lambda q: F.struct(q["id"], F.transform(q["options"], lambda o: o["id"]))))

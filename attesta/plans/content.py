@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
 from attesta.operators import audit as au
-from attesta.operators import bank, copies, passages
+from attesta.operators import bank, copies, ordered, passages
 from attesta.plans.sql import norm, norm_ws, tokens
 
 QUERIES: dict = {}
@@ -175,7 +175,7 @@ def q08(spark, sf):
        FROM lineitem GROUP BY l_orderkey""",
 )
 def q09(spark, sf):
-    return passages.sequential(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", F.col("l_linenumber"))
+    return passages.sequential(table(spark, sf, "lineitem"), ["l_orderkey"], "l_linenumber", "l_linenumber")
 
 
 @query(
@@ -208,7 +208,7 @@ def q11(spark, sf):
 )
 def q12(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("turn").alias("verse_number"))
-    return passages.with_ordinals(rows, ["conv_id"], "verse_number", F.col("turn")).withColumn("verse_number", F.col("verse_number").cast("bigint"))
+    return passages.with_ordinals(rows, ["conv_id"], "verse_number", ["turn"]).withColumn("verse_number", F.col("verse_number").cast("bigint"))
 
 
 @query(
@@ -224,6 +224,34 @@ def q13(spark, sf):
     return passages.candidates(verses).select("verse_number", "reference", "status", F.size("options").alias("n_options"), "source_text_persisted", "question")
 
 
+@query(
+    "q77_islands",
+    """SELECT k, min(n) AS first, max(n) AS last, count(*) AS size
+       FROM (SELECT *, n - row_number() OVER (PARTITION BY k ORDER BY n) AS run FROM (SELECT DISTINCT o_custkey % 50 AS k, o_orderkey // 3 AS n FROM orders)) GROUP BY k, run""",
+)
+def q77(spark, sf):
+    """Runs of consecutive numbers under a key."""
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("k"), F.floor(F.col("o_orderkey") / 3).alias("n"))
+    return ordered.islands(rows, ["k"], "n").select("k", "first", "last", "size")
+
+
+@query(
+    "q78_long_passages",
+    """WITH v AS (SELECT l_orderkey % 20 AS k, l_orderkey // 20 AS n, string_agg(l_linenumber || l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY ALL),
+            q AS (SELECT p_partkey AS id, p_partkey % 20 AS k, p_size AS a, p_size + p_partkey % 300 AS z FROM part)
+       SELECT id, count(v.n) = max(z - a + 1) AS found, CAST(max(z - a + 1) AS BIGINT) AS size, count(v.n) AS n_found, sha256(string_agg(coalesce(text, ''), ' ' ORDER BY u.n)) AS passage_sha256
+       FROM q, unnest(range(a, z + 1)) AS u(n) LEFT JOIN v ON v.k = q.k AND v.n = u.n GROUP BY id""",
+)
+def q78(spark, sf):
+    """Passages of up to 300 numbers over orders as verses, by blocks."""
+    line = F.concat(F.col("l_linenumber").cast("string"), "l_returnflag")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", line.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    verses = lines.select((F.col("l_orderkey") % 20).alias("k"), F.floor(F.col("l_orderkey") / 20).alias("verse_number"), "text")
+    p = F.col("p_partkey")
+    ranges = table(spark, sf, "part").select(p.alias("id"), (p % 20).alias("k"), F.col("p_size").alias("verse_start"), (F.col("p_size") + p % 300).alias("verse_end"))
+    return passages.passages(ranges, verses, ["k"]).select("id", "found", "size", "n_found", F.sha2("passage", 256).alias("passage_sha256"))
+
+
 @query("q14_text_node_count", "SELECT conv_id, count(text) AS nodes, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def q14(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("text").alias("nodes"), F.sum(F.length("text")).cast("bigint").alias("chars"))

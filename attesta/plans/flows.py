@@ -47,7 +47,7 @@ def extraction_report(payloads: DataFrame) -> DataFrame:
     tree = tree.select(key["book"].alias("book"), key["chapter"].alias("chapter"), "nodes", "chars", "failed")
     count = verses.groupBy(*keys).agg(F.count("*").alias("verse_count"), F.sum(F.length("text")).cast("bigint").alias("verse_chars"))
     twice = passages.duplicate_numbers(verses, keys, "verse_number")
-    ordered = passages.sequential(verses, keys, "verse_number", F.col("pos"))
+    ordered = passages.sequential(verses, keys, "verse_number", "pos")
     rows = payloads.select(*keys).distinct().join(count, keys, "left").join(twice, keys, "left").join(ordered, keys, "left").join(tree, keys, "left")
     code = F.when(F.col("failed"), CODES["response"]).when(F.col("verse_count").isNull(), CODES["verses"]).otherwise(0)
     return rows.select(

@@ -66,7 +66,7 @@ def test_last_wins_and_numbers(spark):
 
     assert sorted(map(tuple, passages.last_wins(rows, ["k", "n"], F.col("pos"), "text").collect())) == [(1, 1, "b"), (1, 3, "c"), (2, 1, "d"), (2, 2, "e")]
     assert [(r.k, r.duplicates) for r in passages.duplicate_numbers(rows, ["k"], "n").collect()] == [(1, [1])]
-    assert {r.k: r.sequential for r in passages.sequential(rows, ["k"], "n", F.col("pos")).collect()} == {1: False, 2: True}
+    assert {r.k: r.sequential for r in passages.sequential(rows, ["k"], "n", "pos").collect()} == {1: False, 2: True}
 
 
 def test_decomposed_and_other_scripts(spark):
