@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,14 +112,6 @@ def event_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> Data
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", per_trigger).json(path)
 
 
-def stored_progress(spark: SparkSession, path: str) -> DataFrame:
-    """The stored records (user_id, raw) that sinks.store_progress wrote; none before the first time."""
-    try:
-        return spark.read.schema("user_id bigint, raw string").parquet(path)
-    except AnalysisException:  # there is no table yet
-        return spark.createDataFrame([], "user_id bigint, raw string")
-
-
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream over a Parquet folder or one file of it."""
     schema = spark.read.parquet(path).schema

@@ -51,12 +51,6 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
-def store_progress(states: DataFrame, path: str) -> None:
-    """The stored records (user_id, raw) of users' last states, as a table that replaces the one
-    before; users whose record was cleared have none."""
-    states.filter("stored IS NOT NULL").select("user_id", F.col("stored").alias("raw")).write.mode("overwrite").parquet(path)
-
-
 def json_document(row: DataFrame) -> DataFrame:
     """A one-row frame as one pretty JSON text, explicit nulls kept."""
     return row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))

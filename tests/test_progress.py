@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import progress as pr
 from attesta.plans import flows
-from attesta.sources import readers, sinks
+from attesta.sources import readers
 from attesta.streaming.progress_stream import Quiz, bank, replay
 
 
@@ -124,12 +124,9 @@ def test_stream_in_batches_with_stored_progress(spark, tmp_path):
     stored = spark.createDataFrame(list(start.items()), "user_id long, raw string")
     states = replay(spark, readers.event_stream(spark, str(tmp_path / "in"), 1), QUIZ, stored)
     assert sorted(map(tuple, states.collect())) == rows_of(quizzes)
-    sinks.store_progress(states, str(tmp_path / "stored"))
-    assert {r.user_id: r.raw for r in readers.stored_progress(spark, str(tmp_path / "stored")).collect()} == {u: q.stored for u, q in quizzes.items() if q.stored}
-    assert readers.stored_progress(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_bank_of_the_quiz(spark):
     rows = spark.createDataFrame([(2, "b", [("x",)], "x"), (1, "a", [("x",), ("y",)], "y")], "pos int, id string, options array<struct<id:string>>, correctOptionId string")
-    assert bank(rows) == [("a", ["x", "y"], "y"), ("b", ["x"], "x")]
+    assert bank(rows).all == [("a", ["x", "y"], "y"), ("b", ["x"], "x")]
     assert Quiz([]).answered is False and not Quiz([]).apply("select", "a")
