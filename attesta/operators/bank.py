@@ -182,17 +182,44 @@ def policy_rules() -> dict[str, Column]:
     }
 
 
+def history(versions: DataFrame, content: list[str]) -> DataFrame:
+    """id, status, digest (of content), since and until: the intervals of versions in which a question
+    stayed the same. versions (version, id, status, ...) hold all banks published so far, each
+    with all its questions; until is the version in which the question changed or was gone, null if it still holds."""
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    order = versions.select("version").distinct()
+    order = order.withColumn("following", F.lead("version").over(Window.orderBy("version")))  # a row for each published bank
+    each = versions.select("version", "id", "status", digest.alias("digest")).join(order, "version")
+    by_id = Window.partitionBy("id").orderBy("version")  # as many rows as there are banks, at most
+    same = (F.lag("status").over(by_id) == F.col("status")) & (F.lag("digest").over(by_id) == F.col("digest")) & (F.lag("following").over(by_id) == F.col("version"))
+    runs = each.withColumn("new", F.when(sure(same), 0).otherwise(1)).withColumn("run", F.sum("new").over(by_id))
+    return runs.groupBy("id", "run", "status", "digest").agg(F.min("version").alias("since"), F.max_by("following", "version").alias("until")).drop("run")
+
+
+def reused_ids(former: DataFrame, rows: DataFrame, version: int | Column, content: list[str]) -> DataFrame:
+    """id, version and rule of the questions of a bank (id, status, content) of a version that take up an id that
+    was retired before (`retired_id_reused`, unless it is the retired question itself, still retired), or one
+    that was withdrawn, with another content (`withdrawn_id_reused`). former: the history; what began later is not looked at."""
+    version = F.lit(version) if isinstance(version, int) else version
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    mine = rows.select("id", F.col("status").alias("__status"), digest.alias("__digest"), version.alias("__version"))
+    before = mine.join(former, "id").filter(F.col("since") < F.col("__version"))
+    same = F.col("digest") == F.col("__digest")
+    retired = (F.col("status") == "retired") & ~(same & (F.col("__status") == "retired"))
+    last = before.groupBy("id", "__version").agg(
+        F.max(retired).alias("retired"), F.max_by(same, F.col("since")).alias("same"), F.max_by("until", F.col("since")).alias("gone")
+    )
+    # a question that a bank lacked has an end before the bank's own version; one that only changed ends with it
+    rule = F.when(F.col("retired"), "retired_id_reused").when(sure(F.col("gone") < F.col("__version")) & ~F.col("same"), "withdrawn_id_reused")
+    return last.select("id", F.col("__version").alias("version"), rule.alias("rule")).filter("rule IS NOT NULL")
+
+
 def violations(rows: DataFrame, rules: dict[str, Column], id_col: str = "id") -> DataFrame:
     """A row (id, rule) per broken rule."""
     broken = F.array_compact(F.array(*[F.when(~sure(c), F.lit(name)) for name, c in rules.items()]))
     return rows.select(id_col, F.explode(broken).alias("rule"))
 
 
-def closed_keys(raw: Column, allowed: list[str]) -> Column:
-    """Keys of a JSON object that are not allowed."""
-    return F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, allowed)))
-
-
 def decode_generated(raw: Column, schema: str) -> Column:
     """Items of a recorded model response: JSON text inside JSON; null if it cannot be read."""
     return F.from_json(F.get_json_object(raw, "$.candidates[0].content.parts[0].text"), schema)

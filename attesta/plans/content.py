@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
 from attesta.operators import audit as au
-from attesta.operators import bank, copies, ordered, passages
+from attesta.operators import bank, copies, json_schema, ordered, passages
+from attesta.plans import question_schema
 from attesta.plans.sql import norm, norm_ws, tokens
 
 QUERIES: dict = {}
@@ -425,21 +426,8 @@ QUESTIONS_SQL = """
 """
 
 
-@query(
-    "q66_published_rules",
-    f"""WITH {QUESTIONS_SQL}, r AS (SELECT id, k, unnest([
-            CASE WHEN NOT regexp_full_match(id, 'qb-[a-z0-9]+(-[a-z0-9]+)*') THEN 'id_pattern' END, CASE WHEN version <> 1 THEN 'version_is_1' END, CASE WHEN status = 'lost' THEN 'status_known' END,
-            CASE WHEN language <> 'es' THEN 'language_es' END, CASE WHEN category = 'a--b' THEN 'category_slug' END, CASE WHEN difficulty = 'expert' THEN 'difficulty_known' END,
-            CASE WHEN length(prompt) < 10 THEN 'prompt_length' END, CASE WHEN n_options NOT IN (3, 4) THEN 'options_count' END, CASE WHEN n_options = 5 THEN 'option_ids' END,
-            CASE WHEN correct = 'e' THEN 'correct_id' END, CASE WHEN length(explanation) < 20 THEN 'explanation_length' END, CASE WHEN n_references = 0 THEN 'has_reference' END,
-            CASE WHEN n_references > 0 AND chapter = 0 THEN 'reference_fields' END, CASE WHEN NOT checked OR sensitivity IS NULL THEN 'review_fields' END, CASE WHEN length(notes) > 500 THEN 'review_notes' END,
-            CASE WHEN k % 10 = 0 THEN 'tags' END, CASE WHEN k % 12 = 0 THEN 'content_type_known' END,
-            CASE WHEN strpos('abcde', correct) > n_options THEN 'one_correct_option' END, CASE WHEN sensitivity = 'possible' AND status = 'approved' OR sensitivity IS NULL AND status = 'approved' THEN 'sensitive_not_approved' END,
-            CASE WHEN n_options > 0 AND k % 14 = 0 THEN 'no_catch_all_option' END]) AS rule FROM c)
-        SELECT k, id, rule FROM r WHERE rule IS NOT NULL""",
-)
-def q66(spark, sf):
-    """The rules of the published schema and the editorial rules, on questions made of parts' numbers."""
+def published(spark, sf) -> DataFrame:
+    """Questions of the published format, by the numbers of the parts, which break one rule or another."""
     k = F.col("p_partkey")
 
     def nth(values: list, n: int):
@@ -452,7 +440,7 @@ def q66(spark, sf):
         F.lit("Génesis").alias("book"), (k % 4).cast("int").alias("chapter"), F.lit(1).alias("verseStart"), F.lit(None).cast("int").alias("verseEnd"),
         F.lit("Génesis 1:1").alias("display"), F.lit("RV").alias("translation"), F.lit(None).cast("string").alias("note"),
     )
-    rows = table(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         k.alias("k"), F.when(k % 7 == 0, "QB-1").otherwise(F.concat(F.lit("qb-"), k.cast("string"))).alias("id"), F.when(k % 11 == 0, 2).otherwise(1).alias("version"),
         nth([*bank.STATUSES, "lost"], 5).alias("status"), F.when(k % 13 == 0, "en").otherwise("es").alias("language"),
         F.when(k % 9 == 0, "a--b").otherwise(F.concat(F.lit("cat-"), (k % 3).cast("string"))).alias("category"), nth([*bank.LEVELS, "expert"], 4).alias("difficulty"),
@@ -464,10 +452,68 @@ def q66(spark, sf):
             F.repeat(F.lit("n"), (k % 700).cast("int")).alias("notes"),
         ).alias("review"),
     )
-    keyed = rows.withColumn("key", F.struct("k", "id"))
+
+
+@query(
+    "q66_published_rules",
+    f"""WITH {QUESTIONS_SQL}, r AS (SELECT id, k, unnest([
+            CASE WHEN NOT regexp_full_match(id, 'qb-[a-z0-9]+(-[a-z0-9]+)*') THEN 'id_pattern' END, CASE WHEN version <> 1 THEN 'version_is_1' END, CASE WHEN status = 'lost' THEN 'status_known' END,
+            CASE WHEN language <> 'es' THEN 'language_es' END, CASE WHEN category = 'a--b' THEN 'category_slug' END, CASE WHEN difficulty = 'expert' THEN 'difficulty_known' END,
+            CASE WHEN length(prompt) < 10 THEN 'prompt_length' END, CASE WHEN n_options NOT IN (3, 4) THEN 'options_count' END, CASE WHEN n_options = 5 THEN 'option_ids' END,
+            CASE WHEN correct = 'e' THEN 'correct_id' END, CASE WHEN length(explanation) < 20 THEN 'explanation_length' END, CASE WHEN n_references = 0 THEN 'has_reference' END,
+            CASE WHEN n_references > 0 AND chapter = 0 THEN 'reference_fields' END, CASE WHEN NOT checked OR sensitivity IS NULL THEN 'review_fields' END, CASE WHEN length(notes) > 500 THEN 'review_notes' END,
+            CASE WHEN k % 10 = 0 THEN 'tags' END, CASE WHEN k % 12 = 0 THEN 'content_type_known' END,
+            CASE WHEN strpos('abcde', correct) > n_options THEN 'one_correct_option' END, CASE WHEN sensitivity = 'possible' AND status = 'approved' OR sensitivity IS NULL AND status = 'approved' THEN 'sensitive_not_approved' END,
+            CASE WHEN n_options > 0 AND k % 14 = 0 THEN 'no_catch_all_option' END]) AS rule FROM c)
+        SELECT k, id, rule FROM r WHERE rule IS NOT NULL""",
+)
+def q66(spark, sf):
+    """The rules of the published schema and the editorial rules, on questions made of parts' numbers."""
+    keyed = published(spark, sf).withColumn("key", F.struct("k", "id"))
     return bank.violations(keyed, bank.content_rules() | bank.policy_rules(), "key").select("key.k", "key.id", "rule")
 
 
+@query(
+    "q79_schema_violations",
+    f"""WITH {QUESTIONS_SQL}, r AS (SELECT k, unnest([
+            CASE WHEN NOT regexp_full_match(id, 'qb-[a-z0-9]+(-[a-z0-9]+)*') THEN '/id pattern ' END, CASE WHEN k % 17 = 0 THEN ' required version' WHEN version <> 1 THEN '/version const ' END,
+            CASE WHEN status = 'lost' THEN '/status enum ' END, CASE WHEN language <> 'es' THEN '/language const ' END, CASE WHEN category = 'a--b' THEN '/category pattern ' END,
+            CASE WHEN difficulty = 'expert' THEN '/difficulty enum ' END, CASE WHEN length(prompt) < 10 THEN '/prompt minLength ' END,
+            CASE WHEN n_options < 3 THEN '/options minItems ' WHEN n_options > 4 THEN '/options maxItems ' END, CASE WHEN n_options = 5 THEN '/options/4/id pattern ' END,
+            CASE WHEN correct = 'e' THEN '/correctOptionId pattern ' END, CASE WHEN length(explanation) < 20 THEN '/explanation minLength ' END, CASE WHEN n_references = 0 THEN '/references minItems ' END,
+            CASE WHEN n_references > 0 AND chapter = 0 THEN '/references/0/chapter minimum ' END, CASE WHEN n_references > 1 AND chapter = 0 THEN '/references/1/chapter minimum ' END,
+            CASE WHEN NOT checked THEN '/review required referenceChecked' END, CASE WHEN sensitivity IS NULL THEN '/review required doctrinalSensitivity' END, CASE WHEN length(notes) > 500 THEN '/review/notes maxLength ' END,
+            CASE WHEN k % 10 = 0 THEN '/tags uniqueItems ' END, CASE WHEN k % 12 = 0 THEN '/contentType enum ' END, CASE WHEN k % 16 = 0 THEN '/review additionalProperties extra' END,
+            CASE WHEN k % 18 = 0 THEN ' additionalProperties zz' END, CASE WHEN k % 19 = 0 THEN '/tags/2 type integer' END]) AS v FROM c WHERE k % 23 <> 0 UNION ALL SELECT k, ' json ' FROM c WHERE k % 23 = 0)
+        SELECT k, string_split(v, ' ')[1] AS pointer, string_split(v, ' ')[2] AS keyword, string_split(v, ' ')[3] AS detail FROM r WHERE v IS NOT NULL""",
+)
+def q79(spark, sf):
+    """Questions as JSON texts against the schema as a document: what breaks it, and where. Nulls are missing keys; some
+    texts have unknown keys, a value of another type, or are cut off."""
+    rows, k = published(spark, sf), F.col("k")
+    review = F.struct("review.*", F.when(k % 16 == 0, "x").alias("extra"))
+    fields = [F.when(k % 17 != 0, F.col("version")).alias("version") if c == "version" else review.alias("review") if c == "review" else F.col(c) for c in rows.columns if c != "k"]
+    whole = F.to_json(F.struct(*fields, F.when(k % 18 == 0, "y").alias("zz")))
+    odd = F.when(k % 19 == 0, F.regexp_replace(whole, '("tags":\\[[^\\]]*)\\]', "$1,7]")).otherwise(whole)
+    raw = F.when(k % 23 == 0, F.substring(odd, F.lit(1), F.length(odd) - 1)).otherwise(odd)
+    return json_schema.violations(rows.select("k", raw.alias("raw")), question_schema.QUESTION, "k")
+
+
+@query(
+    "q80_reused_ids",
+    """WITH v AS (SELECT o_orderkey % 4 + 1 AS version, o_custkey AS id, min(o_orderkey) AS m FROM orders GROUP BY ALL),
+            b AS (SELECT version, id, CASE WHEN m % 3 = 0 THEN 'retired' ELSE 'approved' END AS status, m // 4000 AS content FROM v)
+       SELECT * FROM (SELECT n.id, n.version, CASE WHEN bool_or(f.status = 'retired' AND NOT (f.content = n.content AND n.status = 'retired')) THEN 'retired_id_reused'
+                                                   WHEN max(f.version) < n.version - 1 AND arg_max(f.content, f.version) <> n.content THEN 'withdrawn_id_reused' END AS rule
+                      FROM b n JOIN b f ON f.id = n.id AND f.version < n.version GROUP BY n.id, n.version, n.status, n.content) WHERE rule IS NOT NULL""",
+)
+def q80(spark, sf):
+    """Orders as four banks, customers as questions: ids that later banks take up again."""
+    rows = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 4 + 1).alias("version"), F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("m"))
+    banks = rows.select("version", "id", F.when(F.col("m") % 3 == 0, "retired").otherwise("approved").alias("status"), F.floor(F.col("m") / 4000).alias("content"))
+    return bank.reused_ids(bank.history(banks, ["content"]), banks, F.col("version"), ["content"])
+
+
 @query(
     "q71_generated_bank",
     f"""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE {STRIPPED} <> '' GROUP BY conv_id)

@@ -2,6 +2,8 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from attesta.operators import bank
 from attesta.plans import content
 from attesta.sources import readers
@@ -89,7 +91,6 @@ def test_recorded_response(spark):
     df = spark.createDataFrame([(outer,), ("{}",)], "raw string")
     rows = df.select(bank.decode_generated(F.col("raw"), readers.GENERATED).alias("g")).collect()
     assert rows[0].g["items"][0].question == "q" and rows[1].g is None
-    assert df.select(bank.closed_keys(F.lit('{"a":1,"z":2}'), ["a", "b"]).alias("k")).first().k == ["z"]
 
 
 def test_bank_rows_and_guards(spark):
@@ -116,3 +117,23 @@ def test_items_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s") for i, t in far.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.error for r in content.QUERIES["q16_validate_first_error"](spark, str(tmp_path)).collect()}
     assert got[2] == "citation_in_question" and got[16] == "duplicate_question" and got[1] is None
+
+
+def test_ids_are_not_taken_up_again(spark):
+    schema = "version int, id string, status string, text string"
+    banks = [
+        (1, "a", "approved", "x"), (1, "b", "approved", "x"), (1, "c", "retired", "x"), (1, "d", "approved", "x"), (1, "e", "draft", "x"),
+        (2, "a", "approved", "y"), (2, "b", "retired", "x"), (2, "c", "retired", "x"), (2, "e", "draft", "x"),
+        (4, "a", "approved", "y"), (4, "c", "retired", "x"), (4, "e", "approved", "x"),
+    ]
+    former = bank.history(spark.createDataFrame(banks, schema), ["text"])
+    got = {(r.id, r.status, r.since, r.until) for r in former.collect()}
+    assert got == {
+        ("a", "approved", 1, 2), ("a", "approved", 2, None), ("b", "approved", 1, 2), ("b", "retired", 2, 4), ("c", "retired", 1, None), ("d", "approved", 1, 2), ("e", "draft", 1, 4), ("e", "approved", 4, None),
+    }
+    new = [(5, "a", "approved", "z"), (5, "b", "retired", "x"), (5, "c", "approved", "x"), (5, "d", "approved", "other"), (5, "e", "approved", "x"), (5, "f", "approved", "x")]
+    rows = spark.createDataFrame(new, schema)
+    assert {(r.id, r.rule) for r in bank.reused_ids(former, rows, 5, ["text"]).collect()} == {("c", "retired_id_reused"), ("d", "withdrawn_id_reused")}
+    again = rows.withColumn("text", F.lit("x")).filter("id IN ('b', 'd')").withColumn("status", F.lit("draft"))
+    assert {(r.id, r.rule) for r in bank.reused_ids(former, again, 5, ["text"]).collect()} == {("b", "retired_id_reused")}
+    assert bank.reused_ids(former, rows, 1, ["text"]).count() == 0
