@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import text as tx
+from attesta.operators import json_schema
 
 # Fixed values.
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -40,13 +41,8 @@ def is_playable() -> Column:
     )
 
 
-def as_text(c: Column, present: Column) -> Column:
-    """Text of a value as generated: a missing key is empty, an explicit null is 'None'."""
-    return F.when(~present, F.lit("")).otherwise(tx.strip(F.coalesce(c, F.lit("None"))))
-
-
 RULES = (
-    "missing_field", "citation_in_question", "duplicate_question", "option_count", "duplicate_option", "answer_not_in_options",
+    "not_an_object", "missing_field", "citation_in_question", "duplicate_question", "option_count", "duplicate_option", "answer_not_in_options",
     "unknown_difficulty", "source_copied",
 )
 
@@ -62,7 +58,7 @@ def item_errors(items: DataFrame, keys: list[str], order: str = "verse_number")
     """keys, order and error: the first rule that each item breaks, null if none.
 
     items: keys, order, question, explanation, category, difficulty, correct_answer,
-    options, source (the verse's text). A question counts as a duplicate if an item of
+    options, source (the verse's text), and is_object if some are none. A question counts as a duplicate if an item of
     lesser order under the same keys has the same normal form; the forms are compared
     by 256-bit digests, so no text leaves its row. Keys and order are not null.
     """
@@ -75,6 +71,7 @@ def item_errors(items: DataFrame, keys: list[str], order: str = "verse_number")
         return tx.let(tx.normalize_spaces(source), lambda s: (F.length(s) >= MIN_COPY) & (F.contains(norm, s) | F.contains(explanation, s)))
 
     before = (
+        ~F.col("is_object") if "is_object" in items.columns else F.lit(False),
         ~(filled(F.col("question")) & filled(F.col("explanation")) & filled(F.col("category"))),
         tx.has_citation(F.col("question")),
     )
@@ -91,9 +88,9 @@ def item_errors(items: DataFrame, keys: list[str], order: str = "verse_number")
 
     digest = F.sha2("__norm", 256).alias("__digest")
     normal = items.withColumn("__norm", question)
-    rows = normal.select(*keys, order, digest, broken(RULES[:2], before).alias("__before"), broken(RULES[3:], after).alias("__after"))
+    rows = normal.select(*keys, order, digest, broken(RULES[:3], before).alias("__before"), broken(RULES[4:], after).alias("__after"))
     firsts = repeated(items.withColumn("__norm", question).select(*keys, order, digest), keys, "__digest", order)
-    again = F.when(F.col(order) > F.col("first"), RULES[2])
+    again = F.when(F.col(order) > F.col("first"), RULES[3])
     return rows.join(firsts, [*keys, "__digest"], "left").select(*keys, order, F.coalesce("__before", again, "__after").alias("error"))
 
 
@@ -220,9 +217,46 @@ def violations(rows: DataFrame, rules: dict[str, Column], id_col: str = "id") ->
     return rows.select(id_col, F.explode(broken).alias("rule"))
 
 
-def decode_generated(raw: Column, schema: str) -> Column:
-    """Items of a recorded model response: JSON text inside JSON; null if it cannot be read."""
-    return F.from_json(F.get_json_object(raw, "$.candidates[0].content.parts[0].text"), schema)
+def as_text(v: Column) -> Column:
+    """A JSON value as text, stripped: a missing one is empty, an explicit null is None, truth is True or False."""
+
+    def told(p: Column) -> Column:
+        of = json_schema.kind(p)
+        word = F.when(of == "null", "None").when(of == "boolean", F.initcap(F.to_json(p))).when(of == "string", F.try_variant_get(p, "$", "string")).otherwise(F.to_json(p))
+        return F.when(p.isNull(), "").otherwise(tx.strip(word))
+
+    return tx.let(v, told)
+
+
+def generated_items(raw: Column) -> Column:
+    """array<struct>: the items of a recorded model response (JSON text inside JSON): is_object, verse_number (if it
+    is a whole number), question, options (null if it is no list), correct_answer, explanation, difficulty and category as text.
+    Null if the response cannot be read, or its items are no list."""
+    text = F.get_json_object(raw, "$.candidates[0].content.parts[0].text")
+    items = F.try_variant_get(F.try_parse_json(text), "$.items", "array<variant>")
+
+    def item(v: Column) -> Column:
+        number = F.try_variant_get(v, "$.verse_number", "double")
+        given = F.try_variant_get(v, "$.verse_number", "variant")
+        whole = json_schema.kind(given) == "integer"
+        options = F.transform(F.try_variant_get(v, "$.options", "array<variant>"), as_text)
+        fields = [as_text(F.try_variant_get(v, f"$.{c}", "variant")).alias(c) for c in ("question", "correct_answer", "explanation", "difficulty", "category")]
+        return F.struct((json_schema.kind(v) == "object").alias("is_object"), F.when(whole, number.cast("bigint")).alias("verse_number"), options.alias("options"), *fields)
+
+    return F.transform(items, item)
+
+
+def envelope(rows: DataFrame, keys: list[str], order: str, count: str, fields: list[str], **header: str | bool) -> DataFrame:
+    """A row for each chapter (keys): the header, the number of items (under the name count) and the items in
+    order, as a document has them. A chapter is one cell by its meaning."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__order"), F.struct(*fields).alias("item")))), lambda x: x["item"])
+    made = rows.groupBy(*keys).agg(F.count("*").alias(count), items.alias("items"))
+    return made.select(*[F.lit(v).alias(k) for k, v in header.items()], *keys, count, "items")
+
+
+def reference_display(references: Column) -> Column:
+    """What the references of a question display, joined; those that display nothing are left out."""
+    return F.array_join(F.filter(F.transform(references, lambda r: r["display"]), lambda d: F.length(d) > 0), " · ")
 
 
 def prompt(verses: DataFrame, keys: list[str], rules: str) -> DataFrame:

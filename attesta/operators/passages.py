@@ -122,10 +122,19 @@ def reference(given: Column, book: Column, chapter: Column, number: Column) -> C
     return F.coalesce(F.nullif(tx.strip(given), F.lit("")), made)
 
 
-def candidates(verses: DataFrame) -> DataFrame:
-    """Empty question rows for verses (book, chapter, verse_number, reference_from_api); no text."""
+def prepared(book: Column, chapter: Column, default: str) -> tuple[Column, Column]:
+    """(book, chapter) as they were typed: the book trimmed and without angle brackets, the default if
+    nothing is left before that; the chapter as a number of 1 or more."""
+    name = F.coalesce(F.nullif(tx.strip(book), F.lit("")), F.lit(default))
+    number = F.coalesce(F.nullif(chapter.try_cast("double"), F.lit(0.0)), F.lit(1.0))
+    return F.translate(name, "<>", ""), F.greatest(F.lit(1.0), F.when(F.isnan(number), 1.0).otherwise(number))
+
+
+def candidates(verses: DataFrame, *keep: str) -> DataFrame:
+    """Empty question rows for verses (book, chapter, verse_number, reference_from_api), without text, after the columns to keep."""
     none = F.lit(None).cast("string")
     return verses.select(
+        *keep,
         "verse_number",
         reference(F.col("reference_from_api"), F.col("book"), F.col("chapter"), F.col("verse_number")).alias("reference"),
         none.alias("question"),

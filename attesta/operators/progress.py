@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions import text as tx
 from attesta.operators import ordered
 
 # Fixed values.
@@ -73,3 +74,26 @@ def stored_progress(raw: Column) -> Column:
     record = F.from_json(raw, "version int, currentQuestionId string, answers map<string,string>, completed boolean")
     is_object = F.startswith(F.ltrim(F.get_json_object(raw, "$.answers")), F.lit("{"))
     return F.when((record["version"] == VERSION) & is_object, record)
+
+
+# What a page says about where a user is.
+LAST, NEXT, LEVEL = "Ver resultado", "Siguiente pregunta", "Dificultad"
+
+
+def caption(category: Column, difficulty: Column) -> Column:
+    """The names of a question's category and difficulty; codes without a name stand for themselves."""
+    return F.concat(tx.label(category, CATEGORY_NAMES), F.lit(f" · {LEVEL} "), F.lower(tx.label(difficulty, DIFFICULTY_NAMES)))
+
+
+def place_text(index: Column, total: Column) -> Column:
+    """Which of the questions it is, from index 0 on."""
+    return F.format_string("Pregunta %d de %d", index.cast("bigint") + 1, total.cast("bigint"))
+
+
+def score_text(score: Column, total: Column) -> Column:
+    return F.format_string("%d/%d", score.cast("bigint"), total.cast("bigint"))
+
+
+def next_label(index: Column, total: Column) -> Column:
+    """What leads on from a question: to the next one, or from the last to the result."""
+    return F.when(index == total - 1, LAST).otherwise(NEXT)

@@ -56,7 +56,7 @@ class Rule:
     run: frozenset[str] = field(init=False, default=frozenset())
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "run", frozenset(c for c in map(chr, range(128)) if self.before and re.fullmatch(self.before, c)))
+        object.__setattr__(self, "run", frozenset(c for c in map(chr, range(128)) if self.before and re.match(rf"{self.before}\Z", c)))
 
 
 def within_a_tag(text: str) -> Callable[[int], int]:

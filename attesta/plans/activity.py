@@ -55,7 +55,7 @@ def q22(spark, sf):
     events = asked(spark, sf)
     answers = progress.first_answers(events, ["user_id", "question_id"], ["ts", "event_id"]).select("user_id", "question_id", F.col("event_type").alias("answer"))
     questions = spark.range(10).select(F.col("id").alias("question_id"), F.element_at(F.array(*map(F.lit, TYPES)), (F.col("id") % 5 + 1).cast("int")).alias("correct"))
-    return progress.score(questions, answers, events.select("user_id").distinct()).withColumn("label", F.format_string("%d/%d", "score", "total"))
+    return progress.score(questions, answers, events.select("user_id").distinct()).withColumn("label", progress.score_text(F.col("score"), F.col("total")))
 
 
 @query("q23_first_answer_wins", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -305,6 +305,37 @@ def q76(spark, sf):
     return rows.select("o_orderkey", (F.size(logged.blocking(F.col("vs"))) > 0).alias("blocks"), F.to_json(logged.violation_summary(F.col("vs"))).alias("summary"))
 
 
+@query(
+    "q81_place_texts",
+    """SELECT l_orderkey, l_linenumber, 'Pregunta ' || l_linenumber || ' de ' || n AS place, CASE WHEN l_linenumber = n THEN 'Ver resultado' ELSE 'Siguiente pregunta' END AS next,
+              CASE l_returnflag WHEN 'R' THEN 'Lugares' ELSE l_returnflag END || ' · Dificultad ' || CASE l_linestatus WHEN 'O' THEN 'avanzada' ELSE lower(l_linestatus) END AS caption
+       FROM lineitem JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS n FROM lineitem GROUP BY k) ON k = l_orderkey""",
+)
+def q81(spark, sf):
+    """Lines as questions of an order: which it is, what leads on, and its caption."""
+    rows = table(spark, sf, "lineitem")
+    total = rows.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("n"))
+    category = F.when(F.col("l_returnflag") == "R", "lugares").otherwise(F.col("l_returnflag"))
+    level = F.when(F.col("l_linestatus") == "O", "advanced").otherwise(F.col("l_linestatus"))
+    index = F.col("l_linenumber") - 1
+    return rows.join(total, "l_orderkey").select(
+        "l_orderkey", "l_linenumber", progress.place_text(index, F.col("n")).alias("place"), progress.next_label(index, F.col("n")).alias("next"), progress.caption(category, level).alias("caption")
+    )
+
+
+@query(
+    "q82_failures",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS viewport, len(e) AS n, array_to_string(e, '|') AS errors FROM (
+           SELECT o_orderkey, list_sort(list_concat(list_filter([CASE WHEN o_custkey % 5 > 2 THEN 'scrolls_sideways ' || o_custkey % 5 END, CASE WHEN o_orderpriority LIKE '5%' THEN 'empty_title ' END,
+                  CASE o_custkey % 10 WHEN 0 THEN 'page_not_loaded no answer' WHEN 1 THEN 'page_not_loaded 404' END], lambda x: x IS NOT NULL), CASE WHEN o_orderkey % 3 = 0 THEN ['missing_element main'] ELSE [] END)) AS e FROM orders) WHERE len(e) > 0""",
+)
+def q82(spark, sf):
+    """What each viewport failed, rolled up."""
+    found = q75(spark, sf).filter("check_name IN ('scrolls_sideways', 'empty_title', 'page_not_loaded') OR (check_name = 'missing_element' AND detail = 'main')")
+    rolled = scan.failures(found.select("viewport", F.concat_ws(" ", "check_name", "detail").alias("message")), "viewport")
+    return rolled.select("viewport", F.size("errors").cast("bigint").alias("n"), F.array_join("errors", "|").alias("errors"))
+
+
 @query(
     "q53_first_match",
     """SELECT l_orderkey, coalesce(min(pos) FILTER (WHERE l_returnflag = 'R') - 1, -1) AS idx, arg_min(l_partkey, pos) FILTER (WHERE l_returnflag = 'R') AS l_partkey

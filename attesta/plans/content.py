@@ -371,8 +371,8 @@ def q21(spark, sf):
 )
 def q43(spark, sf):
     shown = F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("role"))
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", shown.alias("d")))).alias("refs"))
-    return rows.select("conv_id", F.array_join(F.filter(F.transform("refs", lambda r: r["d"]), lambda d: d != ""), " · ").alias("display"))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", shown.alias("display")))).alias("references"))
+    return rows.select("conv_id", bank.reference_display(F.col("references")).alias("display"))
 
 
 @query(
@@ -514,6 +514,20 @@ def q80(spark, sf):
     return bank.reused_ids(bank.history(banks, ["content"]), banks, F.col("version"), ["content"])
 
 
+@query(
+    "q83_envelopes",
+    """SELECT chapter, '{"schema_version":"v1","requires_human_review":true,"book":"C","chapter":' || chapter || ',"verse_count":' || count(*) || ',"items":[' ||
+              string_agg('{"verse_number":' || turn || ',"reference":"C ' || chapter || ':' || turn || '","question":null,"options":[],"status":"pending_generation"}', ',' ORDER BY turn) || ']}' AS document
+       FROM (SELECT conv_id AS chapter, turn FROM conversations) GROUP BY chapter""",
+)
+def q83(spark, sf):
+    """The candidates of each conversation as one document."""
+    verses = table(spark, sf, "conversations").select(F.lit("C").alias("book"), F.col("conv_id").alias("chapter"), F.col("turn").alias("verse_number"), F.lit(None).cast("string").alias("reference_from_api"))
+    rows = passages.candidates(verses, "book", "chapter")
+    made = bank.envelope(rows, ["book", "chapter"], "verse_number", "verse_count", ["verse_number", "reference", "question", "options", "status"], schema_version="v1", requires_human_review=True)
+    return made.select("chapter", F.to_json(F.struct(*made.columns), {"ignoreNullFields": "false"}).alias("document"))
+
+
 @query(
     "q71_generated_bank",
     f"""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE {STRIPPED} <> '' GROUP BY conv_id)

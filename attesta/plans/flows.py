@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from attesta.functions import text as tx
 from attesta.operators import audit as au
 from attesta.operators import bank, passages, progress, scan, site
-from attesta.sources.readers import GENERATED, TEXT_SUFFIXES
+from attesta.sources.readers import TEXT_SUFFIXES
 
 # Files that a site must have.
 REQUIRED_FILES = ("index.html", "favicon.svg", "privacy/index.html", "sitemap.xml", "README.md", ".nojekyll")
@@ -69,11 +69,10 @@ def generation_flow(payloads: DataFrame, responses: DataFrame) -> tuple[DataFram
     (book, chapter, raw). A chapter with any error gives its first error and no rows."""
     keys = ["book", "chapter"]
     verses = chapter_verses(payloads, strict_zero=False)
-    decoded = responses.select(*keys, bank.decode_generated(F.col("raw"), GENERATED)["items"].alias("items"))
+    decoded = responses.select(*keys, bank.generated_items(F.col("raw")).alias("items"))
     items = decoded.select(*keys, F.posexplode("items").alias("p", "i")).select(*keys, (F.col("p") + 1).cast("bigint").alias("pos"), "i.*")
-    numbered = items.withColumn("verse_number", F.col("verse_number").cast("bigint"))
-    same = bank.number_lists_equal(verses, numbered, keys)
-    joined = numbered.join(verses.select(*keys, "pos", F.col("text").alias("source")), [*keys, "pos"])
+    same = bank.number_lists_equal(verses, items.filter("is_object"), keys)
+    joined = items.join(verses.select(*keys, "pos", F.col("text").alias("source")), [*keys, "pos"])
     first = bank.first_error(bank.item_errors(joined, keys, "pos"), keys, "pos")
     unreadable = F.when(F.col("items").isNull(), "no_items")
     errors = (
@@ -118,9 +117,11 @@ def progress_record(question_id: Column, answers: Column, completed: Column) ->
     return F.to_json(F.struct(F.lit(progress.VERSION).alias("version"), question_id.alias("currentQuestionId"), answers.alias("answers"), completed.alias("completed")))
 
 
-def site_findings(files: DataFrame) -> DataFrame:
+def site_findings(files: DataFrame, host: str | None = None, prefix: str = "/") -> DataFrame:
     """(seq, check_name, subject, detail) for the files of a site (path, text, suffix); text is
-    null where it is no UTF-8. seq orders the checks as they are listed in CHECKS."""
+    null where it is no UTF-8. seq orders the checks as they are listed in CHECKS. With the host and
+    the prefix that the site is published under, absolute links to it are checked, too, and
+    what the home page says of its own address."""
 
     def finding(df: DataFrame, check: str, subject: Column, detail: Column) -> DataFrame:
         return df.select(F.lit(CHECKS.index(check)).alias("seq"), F.lit(check).alias("check_name"), subject.alias("subject"), detail.alias("detail"))
@@ -154,8 +155,8 @@ def site_findings(files: DataFrame) -> DataFrame:
     }
     for check, e in edges.items():
         detail = F.concat_ws(" ", F.lit("broken"), "attribute", "reference")
-        out.append(finding(site.broken_links(e, files.select("path")), check, F.col("source"), detail))
-        known = site.missing_fragments(e, ids).join(files.select("path"), "path", "left_semi")
+        out.append(finding(site.broken_links(e, files.select("path"), host, prefix), check, F.col("source"), detail))
+        known = site.missing_fragments(e, ids, host, prefix).join(files.select("path"), "path", "left_semi")
         out.append(finding(known, check, F.col("source"), F.concat(F.lit("missing fragment #"), F.col("fragment"))))
 
     home = pages.filter("path = 'index.html'")
@@ -171,6 +172,14 @@ def site_findings(files: DataFrame) -> DataFrame:
 
     parsed = files.filter("path = 'sitemap.xml' AND text IS NOT NULL").select(site.parsed_sitemap(F.col("text")).alias("s"))
     out.append(finding(parsed.filter("s.error IS NOT NULL"), "sitemap", F.lit("sitemap.xml"), F.col("s.error")))
+    out.append(finding(parsed.filter("s.error IS NULL AND size(s.locs) = 0"), "sitemap", F.lit("sitemap.xml"), F.lit("no loc entries")))
+    if host is not None:
+        address = f"https://{host}{prefix}"
+        told = home.select("path").join(canonical, "path")
+        url = site.last_value(facts.filter("path = 'index.html'"), "path", "property").filter("key = 'og:url'").select("path", F.col("value").alias("url"))
+        told = told.join(url, "path", "left").withColumn("url", F.coalesce("url", F.lit("")))
+        for column, name in (("canonical", "canonical"), ("url", "og:url")):
+            out.append(finding(told.filter(F.col(column) != address), "seo", F.col("path"), F.concat(F.lit(f"{name} mismatch: "), F.col(column))))
     locs = parsed.select(F.explode("s.locs").alias("loc"))
     out.append(finding(site.sitemap_findings(locs), "sitemap", F.lit("sitemap.xml"), F.concat_ws(" ", "check_name", "subject")))
     absent = checked.join(canonical, "path").join(locs.select(F.col("loc").alias("canonical")), "canonical", "left_anti")
@@ -178,12 +187,16 @@ def site_findings(files: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def security_report(files: DataFrame) -> DataFrame:
-    """One row: files scanned, number of findings and the findings, for a JSON document."""
+def scanned(files: DataFrame) -> DataFrame:
+    """The files that are looked at for unsafe patterns."""
+    return files.filter(F.col("suffix").isin(*scan.SCANNED) & ~F.startswith("path", F.lit("scripts/")))
+
+
+def security_report(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row: files scanned and number of findings, the findings), for sinks.write_report."""
     found = scan.security_findings(files.filter("text IS NOT NULL"))
-    scanned = files.filter(F.col("suffix").isin(*scan.SCANNED) & ~F.startswith("path", F.lit("scripts/"))).agg(F.count("*").alias("files"))
-    rows = found.agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_list(F.struct("subject", "line", "check_name", "detail"))).alias("findings"))
-    return scanned.crossJoin(rows)
+    counted = scanned(files).agg(F.count("*").alias("files")).crossJoin(found.agg(F.count("*").alias("n_findings")))  # one row by one row
+    return counted, found
 
 
 def connection_code(status: Column, error: Column, chapter: bool = False) -> Column:
@@ -205,13 +218,12 @@ def measured(events: DataFrame, snapshot: DataFrame, origin: str) -> DataFrame:
     return counts.crossJoin(snapshot.select("dom_nodes", "dom_ready_ms", "load_ms", usable.alias("usable")).limit(1))  # one row by one row
 
 
-def consolidated_report(files: DataFrame, metrics: DataFrame | None = None, scenarios: DataFrame | None = None) -> DataFrame:
-    """One row for a JSON document: security findings, metrics (one row of them) against their
-    budgets, scenarios (scenario, success, error), and the failures by label in that order. A
-    document is one value, so its lists must fit in one task; the findings themselves are a
-    table of `site_findings` and `scan.security_findings`."""
+def consolidated_report(files: DataFrame, metrics: DataFrame | None = None, scenarios: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(header, findings) for sinks.write_report: one row with the number of findings, the metrics (one row of them)
+    against their budgets, the scenarios (scenario, success, error), which are as many as a run has, and the failures by
+    label in that order; and the security findings as a table of any size."""
     spark = files.sparkSession
-    security = security_report(files)
+    security, found = security_report(files)
     empty = spark.createDataFrame([], "metric string, value bigint, budget bigint, over boolean")
     measured = scan.over_budget(metrics) if metrics is not None else empty
     scenarios = scenarios if scenarios is not None else spark.createDataFrame([], "scenario string, success boolean, error string")
@@ -223,7 +235,7 @@ def consolidated_report(files: DataFrame, metrics: DataFrame | None = None, scen
         F.transform(F.filter("performance", lambda x: x["over"]), lambda x: F.struct(F.lit("performance").alias("label"), F.concat_ws(" ", x["metric"], x["value"].cast("string"), F.lit("over"), x["budget"].cast("string")).alias("message"))),
         F.transform(F.filter("resilience", lambda x: ~x["success"]), lambda x: F.struct(F.concat(F.lit("resilience-"), x["scenario"]).alias("label"), F.coalesce(x["error"], F.lit("")).alias("message"))),
     )
-    return report.withColumn("failures", failure.cast(FAILURES))
+    return report.withColumn("failures", failure.cast(FAILURES)), found
 
 
 FAILURES = "array<struct<label:string,message:string>>"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
-from attesta.operators import scan, site
+from attesta.operators import passages, scan, site
 from attesta.plans.content import table
 
 QUERIES: dict = {}
@@ -338,13 +338,12 @@ def q59(spark, sf):
 
 @query(
     "q60_clamp",
-    """SELECT p_partkey, translate(trim(CASE WHEN p_size % 5 = 0 THEN ' ' ELSE '<' || p_name || '> ' END), '<>', '') AS name,
+    """SELECT p_partkey, translate(trim(CASE WHEN p_size % 5 = 0 THEN 'Génesis' ELSE '<' || p_name || '> ' END), '<>', '') AS name,
               greatest(1.0, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE p_size - 10.0 END)::DOUBLE AS chapter FROM part""",
 )
 def q60(spark, sf):
     raw = F.when(F.col("p_size") % 3 == 0, "x").otherwise((F.col("p_size") - 10).cast("string"))
-    number = F.greatest(F.lit(1.0), F.coalesce(F.nullif(raw.try_cast("double"), F.lit(0.0)), F.lit(1.0)))
-    name = F.translate(tx.strip(F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.concat(F.lit("<"), "p_name", F.lit("> ")))), "<>", "")
+    name, number = passages.prepared(F.when(F.col("p_size") % 5 == 0, " ").otherwise(F.concat(F.lit("<"), "p_name", F.lit("> "))), raw, "Génesis")
     return table(spark, sf, "part").select("p_partkey", name.alias("name"), number.alias("chapter"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 RESPONSE = "id string, status int, payload string, error string"
 PASSAGE_SECONDS, MODEL_SECONDS = 30, 120
+#: Characters of a refusal's text that are told.
+EXCERPT = 600
 
 
 def ask(url: str, body: str | None, headers: dict[str, str], timeout: float) -> tuple[int | None, str | None, str | None]:
@@ -28,7 +30,8 @@ def ask(url: str, body: str | None, headers: dict[str, str], timeout: float) ->
         with urllib.request.urlopen(request, timeout=timeout) as r:
             return r.status, r.read().decode("utf-8"), None
     except urllib.error.HTTPError as e:
-        return e.code, None, str(e.reason)
+        said = e.read().decode("utf-8", errors="replace")[:EXCERPT]
+        return e.code, None, f"{e.reason}: {said}" if said else str(e.reason)
     except (OSError, ValueError) as e:
         return None, None, str(e)
 

@@ -70,7 +70,7 @@ class Folder:
 
 def listed(folder: Folder) -> tuple[int, dict]:
     """(number, content) of the latest list: a base table, and the batches that it holds."""
-    lists = [int(n[:-5]) for n in folder.names("lists") if re.fullmatch(r"\d+\.json", n)]
+    lists = [int(n[:-5]) for n in folder.names("lists") if re.match(r"\d+\.json$", n)]
     return (max(lists), json.loads(folder.read(f"lists/{max(lists):08d}.json"))) if lists else (0, {"base": None, "holds": [], "gone": []})
 
 
@@ -81,7 +81,7 @@ def batches(folder: Folder) -> list[str]:
 
 def append(states: DataFrame, path: str, writer: str, batch: int) -> bool:
     """Add the records (user_id, raw, version) of a writer's batch; False if they were there already."""
-    if not re.fullmatch(r"[A-Za-z0-9_]+", writer) or batch < 0:
+    if not re.match(r"[A-Za-z0-9_]+$", writer) or batch < 0:
         raise ValueError("a writer is named by letters and digits, a batch by a number from 0 on")
     folder, name = Folder(states.sparkSession, path), f"{writer}-{batch:012d}"
     if folder.there(f"log/{name}/_SUCCESS") or name in listed(folder)[1]["holds"]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.sources.sinks import drop_at_exit, shared_folder
+
 QUESTION = (
     "id STRING, version INT, status STRING, language STRING, category STRING, difficulty STRING, contentType STRING, prompt STRING, "
     "options ARRAY<STRUCT<id: STRING, text: STRING>>, correctOptionId STRING, explanation STRING, "
@@ -17,12 +21,11 @@ AUDIT_SPEC = (
     "source STRING, version STRING, book STRING, chapter INT, questions ARRAY<STRUCT<id: STRING, verse_start: INT, verse_end: INT, question: STRING, "
     "correct_answer: STRING, distractors: ARRAY<STRING>, support_terms: ARRAY<STRING>, explanation_terms: ARRAY<STRING>>>"
 )
-GENERATED = (
-    "items ARRAY<STRUCT<verse_number: INT, question: STRING, options: ARRAY<STRING>, correct_answer: STRING, explanation: STRING, difficulty: STRING, category: STRING>>"
-)
 PAGE_EVENT = "ts TIMESTAMP, viewport STRING, request_id BIGINT, url STRING, kind STRING, origin STRING, status INT, bytes BIGINT, message STRING, level STRING, location STRING"
 SNAPSHOT = "dom_nodes BIGINT, dom_ready_ms BIGINT, load_ms BIGINT, h1 STRING, main_visible BOOLEAN"
 EVENT = "user_id bigint, ts timestamp, event_id bigint, event string, option string"
+#: Tasks that list the folders of one level.
+LISTING_TASKS, LISTED = 2000, "path string, folder boolean"
 TEXT_SUFFIXES = ("html", "css", "js", "json", "md", "xml", "yml", "yaml", "py", "txt", "svg")
 
 
@@ -46,24 +49,32 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 
 def listed_files(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
     """uri and path (from root) of all files under root, hidden and empty ones included, which
-    Spark's own file sources pass over, but for those with a skipped folder in their path. An
-    executor walks the folders one by one and passes the files on in batches."""
+    Spark's own file sources pass over, but for those with a skipped folder in their path.
+
+    Folders are listed level by level, those of one level by as many tasks as there are (up to
+    LISTING_TASKS); each level is written, so that nothing is listed twice."""
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    work = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    drop_at_exit(spark, work)
 
-    def walk(batches):
+    def listing(batches):
         for b in batches:
-            for start in b.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(full_uri(start))
-                folders, prefix = [at], len(at.rstrip("/")) + 1
-                while folders:
-                    found = sorted(fs.get_file_info(pafs.FileSelector(folders.pop())), key=lambda x: x.path)
-                    kept = [x for x in found if x.base_name not in skip]
-                    folders += [x.path for x in reversed(kept) if x.type == pafs.FileType.Directory]
-                    paths = [x.path[prefix:] for x in kept if x.type == pafs.FileType.File]
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{start}/{p}" for p in paths], pa.string()), pa.array(paths, pa.string())], ["uri", "path"])
-
-    return spark.createDataFrame([(top,)], "uri string").mapInArrow(walk, "uri string, path string")
+            for path in b.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(full_uri(top))
+                start = at.rstrip("/")
+                found = [x for x in fs.get_file_info(pafs.FileSelector(f"{start}/{path}" if path else start)) if x.base_name not in skip]
+                paths = [x.path[len(start) + 1 :] for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x.type == pafs.FileType.Directory for x in found], pa.bool_())], ["path", "folder"])
+
+    folders, level, count = spark.createDataFrame([("",)], "path string"), 0, 1
+    while count:
+        dealt = folders.repartition(min(count, LISTING_TASKS), "path") if level else folders
+        dealt.mapInArrow(listing, LISTED).write.parquet(f"{work}/level={level}")
+        folders = spark.read.schema(LISTED).parquet(f"{work}/level={level}").filter("folder").select("path")
+        level, count = level + 1, folders.count()
+    files = spark.read.schema(LISTED).parquet(*[f"{work}/level={i}" for i in range(level)]).filter("NOT folder")
+    return files.select(F.concat(F.lit(f"{top}/"), "path").alias("uri"), "path")
 
 
 def full_uri(uri: str) -> str:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import bank
+from attesta.plans import flows
 from attesta.plans import content
 from attesta.sources import readers
 
@@ -70,11 +71,16 @@ def test_rules_in_order(spark):
     assert bank.first_error(bank.item_errors(df.limit(1), ["b"]), ["b"]).first().error is None
 
 
-def test_explicit_null_is_text(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(True, None), (False, None), (True, " a ")], "there boolean, v string")
-    assert [r.x for r in df.select(bank.as_text(F.col("v"), F.col("there")).alias("x")).collect()] == ["None", "", "a"]
+def test_items_that_are_no_objects(spark):
+    """They come before all other rules of the item; the numbers of the objects alone are compared."""
+    good = {"verse_number": 1, "question": "q", "options": list("abcd"), "correct_answer": "a", "explanation": "e", "difficulty": "easy", "category": "c"}
+    two = json.dumps([{"text": "uno"}, {"text": "dos"}])
+    raws = {1: [good, {**good, "verse_number": 2, "question": "r"}], 2: [good, "text", {**good, "verse_number": 2}], 3: [good, {**good, "verse_number": 2, "question": None}], 4: [good, {**good, "verse_number": 2, "question": "None"}]}
+    passages = spark.createDataFrame([("B", c, two) for c in raws], "book string, chapter int, payload string")
+    answers = spark.createDataFrame([("B", c, recorded(x)) for c, x in raws.items()], "book string, chapter int, raw string")
+    rows, errors = flows.generation_flow(passages, answers)
+    assert {(r.chapter, r.error) for r in errors.collect()} == {(2, "not_an_object")}
+    assert {(r.id, r.question) for r in rows.collect()} == {("B_001_001", "q"), ("B_001_002", "r"), ("B_003_001", "q"), ("B_003_002", "None"), ("B_004_001", "q"), ("B_004_002", "None")}
 
 
 def test_number_lists(spark):
@@ -83,14 +89,18 @@ def test_number_lists(spark):
     assert {r.k: r.equal for r in bank.number_lists_equal(a, b, ["k"]).collect()} == {1: True, 2: False, 3: False}
 
 
-def test_recorded_response(spark):
-    from pyspark.sql import functions as F
+def recorded(items):
+    return json.dumps({"candidates": [{"content": {"parts": [{"text": items if isinstance(items, str) else json.dumps({"items": items})}]}}]})
 
-    inner = json.dumps({"items": [{"verse_number": 1, "question": "q", "options": ["a"], "correct_answer": "a", "explanation": "e", "difficulty": "easy", "category": "c"}]})
-    outer = json.dumps({"candidates": [{"content": {"parts": [{"text": inner}]}}]})
-    df = spark.createDataFrame([(outer,), ("{}",)], "raw string")
-    rows = df.select(bank.decode_generated(F.col("raw"), readers.GENERATED).alias("g")).collect()
-    assert rows[0].g["items"][0].question == "q" and rows[1].g is None
+
+def test_recorded_response(spark):
+    item = {"verse_number": 1.0, "question": " q ", "options": ["a ", None, 3, True], "correct_answer": None, "explanation": 5, "difficulty": False, "category": ["x"]}
+    rows = [recorded([item, "text", None, {"verse_number": "1", "options": "no"}, [1]]), recorded('{"items": {}}'), recorded("{"), "{}", None]
+    got = [r.g for r in spark.createDataFrame([(x,) for x in rows], "raw string").select(bank.generated_items(F.col("raw")).alias("g")).collect()]
+    assert got[1:] == [None] * 4 and [x.is_object for x in got[0]] == [True, False, False, True, False]
+    first, odd = got[0][0], got[0][3]
+    assert (first.verse_number, first.question, first.options, first.correct_answer, first.explanation, first.difficulty, first.category) == (1, "q", ["a", "None", "3", "True"], "None", "5", "False", '["x"]')
+    assert (odd.verse_number, odd.options, odd.question) == (None, None, "")
 
 
 def test_bank_rows_and_guards(spark):

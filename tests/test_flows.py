@@ -36,10 +36,11 @@ def test_consolidated_report(spark):
     files = spark.createDataFrame([("a.js", "js", "x\neval (y)"), ("b.css", "css", "a{}")], "path string, suffix string, text string")
     metrics = spark.createDataFrame([(10, 200)], "bytes long, requests long")
     scenarios = spark.createDataFrame([("storage", False, "gone"), ("fine", True, None)], "scenario string, success boolean, error string")
-    row = flows.consolidated_report(files, metrics, scenarios).first()
-    assert (row.files, row.n_findings) == (2, 1) and [(f.subject, f.line) for f in row.findings] == [("a.js", 2)]
+    header, found = flows.consolidated_report(files, metrics, scenarios)
+    row = header.first()
+    assert (row.files, row.n_findings) == (2, 1) and [(f.subject, f.line) for f in found.collect()] == [("a.js", 2)]
     assert [(f.label, f.message) for f in row.failures] == [("security", "1 findings"), ("performance", "requests 200 over 100"), ("resilience-storage", "gone")]
-    assert flows.consolidated_report(files.filter("path = 'b.css'")).first().failures == []
+    assert flows.consolidated_report(files.filter("path = 'b.css'"))[0].first().failures == []
 
 
 def response(*items):
@@ -103,8 +104,8 @@ def test_a_good_site_has_no_findings(spark, tmp_path):
     assert site_of(spark, tmp_path) == []
     files = readers.repository_files(spark, str(tmp_path), (".git",))
     assert flows.exit_code(flows.site_findings(files)) == 0
-    r = flows.security_report(files).first()
-    assert (r.files, r.n_findings, r.findings) == (3, 0, [])
+    counts, found = flows.security_report(files)
+    assert tuple(counts.first()) == (3, 0) and found.count() == 0
 
 
 def test_findings(spark, tmp_path):
@@ -118,3 +119,18 @@ def test_findings(spark, tmp_path):
         ("html", "bad.html", "missing or empty <title>"), ("html", "index.html", "broken href favicon.svg"), ("required", "favicon.svg", "missing file"),
         ("sitemap", "privacy/index.html", "canonical not listed: https://s/privacy/"), ("sitemap", "sitemap.xml", "duplicate_loc https://s/"), ("sitemap", "sitemap.xml", "not_https http://s/"),
     ]
+
+
+def test_the_sites_own_address(spark, tmp_path):
+    """With a host: absolute links to the site are followed, and the home page's canonical and og:url must be its address."""
+    site_of(spark, tmp_path, **{"a.css": "a{background:url(https://s/gone.png)} b{background:url(https://else/gone.png)}"})
+    files = readers.repository_files(spark, str(tmp_path), (".git", "build"))
+    found = {(r.check_name, r.subject, r.detail) for r in flows.site_findings(files, "s").collect()}
+    plain = {(r.check_name, r.subject, r.detail) for r in flows.site_findings(files).collect()}
+    assert ("css", "a.css", "broken url() https://s/gone.png") in found - plain
+    other = {(r.check_name, r.detail) for r in flows.site_findings(files, "t", "/p/").collect()} - {(c, d) for c, _, d in plain}
+    assert {c for c, _ in other} == {"seo"} and all(" mismatch: " in d for _, d in other) and len(other) == 2
+
+
+def test_an_empty_sitemap(spark, tmp_path):
+    assert ("sitemap", "sitemap.xml", "no loc entries") in site_of(spark, tmp_path, **{"sitemap.xml": "<urlset/>"})

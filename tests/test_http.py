@@ -57,8 +57,8 @@ def test_passages(spark, base):
 
 def test_generated(spark, base):
     prompts = spark.createDataFrame([("a", 'with "quotes"\n')], "id string, prompt string")
-    (row,) = http.responses(http.model_requests(prompts, base, http.item_schema(bank.DIFFICULTIES)), {"X-Key": "k"}, http.MODEL_SECONDS, 1).select(bank.decode_generated(F.col("payload"), readers.GENERATED)["items"].alias("i")).collect()
-    assert row.i[0].question == 'with "quotes"\n'
+    (row,) = http.responses(http.model_requests(prompts, base, http.item_schema(bank.DIFFICULTIES)), {"X-Key": "k"}, http.MODEL_SECONDS, 1).select(bank.generated_items(F.col("payload")).alias("i")).collect()
+    assert row.i[0].question == 'with "quotes"'
 
 
 def test_measurements_and_findings(spark, tmp_path):

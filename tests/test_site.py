@@ -101,6 +101,20 @@ def test_repository_files(spark, tmp_path):
     assert {r.path: (r.suffix, r.text) for r in rows} == {"a.html": ("html", "<p>"), "c/build.css": ("css", "y"), "c/bad.js": ("js", None)}
 
 
+def test_folders_are_listed_by_levels(spark, tmp_path):
+    names = [f"d{i}/e{j}/f{k}.txt" for i in range(4) for j in range(3) for k in range(2)] + ["top.js", ".hidden", "artifacts/x.js", "d0/artifacts/y.js", "d0/artifacts.js", "a b/100%/ñ.css"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "empty/inner").mkdir(parents=True)
+    kept = lambda skip: {r.path for r in readers.listed_files(spark, str(tmp_path), skip).collect()}
+    assert kept(site.SKIPPED_FOLDERS) == set(names)
+    assert kept(site.SKIPPED_BY_SCAN) == {n for n in names if "artifacts/" not in n}
+    texts = {r.path: r.text for r in readers.repository_files(spark, str(tmp_path), site.SKIPPED_BY_SCAN).collect()}
+    assert texts["a b/100%/ñ.css"] == "a b/100%/ñ.css"
+    assert readers.listed_files(spark, str(tmp_path / "empty/inner")).count() == 0
+
+
 def test_security_scan(spark):
     html = 'l1\n<a href="http://evil.org/x">\n<img src="http://localhost/x" onclick = "y">\n<a target="_blank" rel="noopener">\n<a target="_blank" rel="noopener">\n<a target="_blank" rel="NoReferrer noopener">'
     js = "ok\neval (1)\nnew  Function('x'); document.write(1)\nmedieval(2)\n// ghp_" + "a1" * 12
