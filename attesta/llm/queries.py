@@ -74,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = toxicity.train(docs, labels, CATEGORIES)
     scored = toxicity.score(docs, models, CATEGORIES)
     return scored.select(
-        F.col("id").alias("doc_id"), F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= 0.5).alias("toxic")
+        F.col("id").alias("doc_id"), F.round("p_quality", 6).alias("p_quality"), F.round("p_toxic", 6).alias("p_toxic"), (F.col("p_toxic") >= models[1].threshold).alias("toxic")
     )
 
 

@@ -6,9 +6,11 @@ probabilities of the categories before it; only features that tell the classes
 apart beyond chance get a weight. In training those probabilities come
 from out-of-fold predictions: the labelled rows are dealt into FOLDS parts by a
 hash of their id, and a row's probability comes from a model that has not seen
-its part; in scoring they come from the model of all parts.
+its part; in scoring they come from the model of all parts. The out-of-fold probabilities
+also set each category's threshold: one half, or less where that finds too few of the
+positive rows (RECALL), as long as not too many others (FALSE) are found with them.
 
-Training takes a bounded sample of labelled rows, `max_labelled`, the first by a
+Training takes a bounded sample of labelled rows that are among the documents, `max_labelled`, the first by a
 hash of the id and then of the text, so that it behaves alike at every size; only
 their features come to the driver, at most `max_labelled` rows also where ids repeat. Scoring is a map over all rows with the weights (a fixed size) in
 the closure; nothing is shuffled.
@@ -24,6 +26,7 @@ throughout; an empty table gives an empty result; other columns are kept by
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,10 @@ from attesta.llm.words import NOT_ALNUM, buffers, word_hashes
 BITS = 19
 MAX_LABELLED = 8000
 FOLDS, STEPS, RATE, L2 = 3, 200, 0.1, 0.1
+#: Likelihood ratio (G) of a feature that gets a weight: by chance one in 600 has it.
+TELLING = 10.0
+#: Share of the positive rows that are to be found, share of the others that may be found with them.
+RECALL, FALSE = 0.9, 0.01
 PREFIXES = (5, 4)
 
 
@@ -61,6 +68,7 @@ class Linear:
     weights: np.ndarray
     chain: np.ndarray
     bias: float
+    threshold: float = 0.5
 
     def margins(self, indices: np.ndarray, offsets: np.ndarray, before: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -82,8 +90,7 @@ def rows_of(indices: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple
 
 
 def telling(indices: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features whose presence depends on the label beyond chance: their likelihood
-    ratio (G) exceeds twice the logarithm of the number of features seen."""
+    """The features whose presence depends on the label beyond chance: their likelihood ratio (G) exceeds TELLING."""
     n, pos = len(y), float(y.sum())
     df = np.bincount(indices, minlength=1 << BITS)
     hit = np.bincount(indices[np.repeat(y > 0, np.diff(offsets))], minlength=1 << BITS).astype(float)
@@ -93,7 +100,7 @@ def telling(indices: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarr
 
     share, off = pos / n, n - df
     g = 2 * (part(hit, df, share) + part(df - hit, df, 1 - share) + part(pos - hit, off, share) + part(off - (pos - hit), off, 1 - share))
-    return np.flatnonzero((df >= 3) & (g > 2 * np.log(max(2, int((df > 0).sum())))))
+    return np.flatnonzero((df >= 3) & (g > TELLING))
 
 
 def fit(indices: np.ndarray, offsets: np.ndarray, before: np.ndarray, y: np.ndarray) -> Linear:
@@ -122,6 +129,17 @@ def fit(indices: np.ndarray, offsets: np.ndarray, before: np.ndarray, y: np.ndar
     return Linear(w.astype(np.float32), v[len(kept) : -1], float(v[-1]))
 
 
+def threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The highest probability up to one half from which RECALL of the positive rows are found; at least
+    that from which no more than FALSE of the others are."""
+    pos, neg = np.sort(p[y > 0])[::-1], np.sort(p[y == 0])[::-1]
+    if not len(pos) or not len(neg):
+        return 0.5
+    wanted = pos[math.ceil(RECALL * len(pos)) - 1]
+    allowed = np.nextafter(neg[int(FALSE * len(neg))], 1)
+    return float(min(0.5, max(wanted, allowed)))
+
+
 def fit_chain(indices: np.ndarray, offsets: np.ndarray, fold: np.ndarray, labels: np.ndarray) -> list[Linear]:
     """labels: rows x categories, NaN where unknown. A model for each category, in order."""
     n, k = labels.shape
@@ -131,11 +149,13 @@ def fit_chain(indices: np.ndarray, offsets: np.ndarray, fold: np.ndarray, labels
         held_out = np.zeros(n)
         for f in range(FOLDS):
             train, test = np.flatnonzero(known & (fold != f)), np.flatnonzero(fold == f)
-            if j + 1 < k and len(test):
+            if len(test):
                 part = fit(*rows_of(indices, offsets, train), before[train], labels[train, j])
                 held_out[test] = sigmoid(part.margins(*rows_of(indices, offsets, test), before[test]))
         train = np.flatnonzero(known)
-        models.append(fit(*rows_of(indices, offsets, train), before[train], labels[train, j]))
+        model = fit(*rows_of(indices, offsets, train), before[train], labels[train, j])
+        model.threshold = threshold(held_out[train], labels[train, j])
+        models.append(model)
         before = np.column_stack([before, held_out])
     return models
 
@@ -143,7 +163,8 @@ def fit_chain(indices: np.ndarray, offsets: np.ndarray, fold: np.ndarray, labels
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> list[Linear]:
     """Fit the chain on the bounded sample of labelled rows."""
     sample = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"label_{i}") for i, c in enumerate(categories)])
-    sample = sample.filter(F.col("id").isNotNull()).orderBy(F.xxhash64("id"), *sample.columns).limit(max_labelled)
+    known = docs.select(F.col(id_col).alias("id"))  # ids only: the sample is taken of labels whose documents are there
+    sample = sample.join(known, "id", "left_semi").orderBy(F.xxhash64("id"), *sample.columns).limit(max_labelled)
     # at most max_labelled rows of a few numbers: a bounded broadcast
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample.distinct()), "id")
 
@@ -200,15 +221,16 @@ def score(docs: DataFrame, models: list[Linear], categories: list[str], id_col:
     return map_batches(rows, run, "id bigint, " + ", ".join(f"{n} double" for n in names))
 
 
-def reject_toxic(docs: DataFrame, models: list[Linear], toxic: int, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose probability of category number `toxic` is at least threshold;
-    rows without features stay."""
+def reject_toxic(docs: DataFrame, models: list[Linear], toxic: int, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """docs without the rows whose probability of category number `toxic` is at least `least`, by default
+    its threshold; rows without features stay."""
+    least = models[toxic].threshold if least is None else least
     names = docs.columns
     place = names.index(text_col)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
             p, known = scored(models, texts(b.column(place)))
-            yield b.filter(pa.array((p[:, toxic] < threshold) | ~known))
+            yield b.filter(pa.array((p[:, toxic] < least) | ~known))
 
     return map_batches(docs, run, docs.schema)

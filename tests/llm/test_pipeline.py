@@ -13,7 +13,7 @@ def test_against_plain_python(spark, sf):
     docs = read_table(spark, sf, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
     models = toxicity.train(docs, read_table(spark, sf, "labels"), CATEGORIES)
-    rows = {d: t for d, t in rows.items() if toxicity.probabilities(models, [t.encode()])[0, 1] < 0.5}
+    rows = {d: t for d, t in rows.items() if toxicity.probabilities(models, [t.encode()])[0, 1] < models[1].threshold}
     rows = {d: rows[d] for d, _, c in linked(sorted(rows.items())) if d == c}
     items = [(r.item_id, r.text) for r in read_table(spark, sf, "benchmark").collect()]
     rows = {d: rows[d] for d, _, _, bad in contaminated(sorted(rows.items()), items) if not bad}

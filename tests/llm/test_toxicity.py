@@ -7,6 +7,10 @@ import numpy as np
 from attesta.llm import toxicity as tox
 
 
+#: Share of the toxic rows of sf0.1 that are found by models of the other half.
+CAUGHT = 0.88
+
+
 def corpus(n=1200, seed=1):
     rnd = random.Random(seed)
     words = [f"word{i}" for i in range(400)]
@@ -34,20 +38,46 @@ def test_held_out_accuracy(spark):
     assert np.mean([(p[i].p_toxic >= 0.5) == bool(t) for i, _, t in held]) > 0.98
     assert np.mean([(p[i].p_quality >= 0.5) == bool(q) for i, q, _ in held]) > 0.95
     kept = {r.doc_id for r in tox.reject_toxic(docs, models, 1).collect()}
-    assert kept == {i for i, r in p.items() if r.p_toxic < 0.5}
+    assert kept == {i for i, r in p.items() if r.p_toxic < models[1].threshold}
+    assert {r.doc_id for r in tox.reject_toxic(docs, models, 1, least=0.9).collect()} == {i for i, r in p.items() if r.p_toxic < 0.9}
 
 
 def test_real_rows(spark):
     from tests.conftest import DATA
 
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    models = tox.train(docs, labels.filter("doc_id % 2 = 0"), ["quality", "toxic"])
-    rest = labels.filter("doc_id % 2 = 1 AND toxic IS NOT NULL").collect()
-    p = {r.id: r.p_toxic for r in tox.score(docs, models, ["quality", "toxic"]).collect()}
-    caught = [p[r.doc_id] >= 0.5 for r in rest if r.toxic]
-    clean = [p[r.doc_id] >= 0.5 for r in rest if not r.toxic]
-    # a part of the labels here has no ground in the text
-    assert np.mean(caught) > 0.8 and np.mean(clean) < 0.01
+    caught, clean = [], []
+    for part in (0, 1):  # each half by the other
+        models = tox.train(docs, labels.filter(f"doc_id % 2 = {part}"), ["quality", "toxic"])
+        rest = labels.filter(f"doc_id % 2 = {1 - part} AND toxic IS NOT NULL").collect()
+        p = {r.id: r.p_toxic for r in tox.score(docs, models, ["quality", "toxic"]).collect()}
+        caught += [p[r.doc_id] >= models[1].threshold for r in rest if r.toxic]
+        clean += [p[r.doc_id] >= models[1].threshold for r in rest if not r.toxic]
+    # a part of the labels here has no ground in the text: runs of one ordinary word, or nothing but prose
+    assert np.mean(caught) >= CAUGHT and np.mean(clean) <= 0.02, (np.mean(caught), np.mean(clean))
+
+
+def test_thresholds():
+    y = np.array([1.0] * 10 + [0.0] * 100)
+    low = np.array([0.9] * 8 + [0.3, 0.1] + [0.01] * 100)
+    assert tox.threshold(low, y) == 0.3
+    assert tox.threshold(np.where(low == 0.3, 0.6, low), y) == 0.5
+    crowded = np.concatenate([low[:10], np.linspace(0.4, 0.2, 100)])
+    assert crowded[10 + 1] < tox.threshold(crowded, y) <= crowded[10] and tox.threshold(low, np.zeros(110)) == tox.threshold(low, np.ones(110)) == 0.5
+
+
+def test_the_sample_is_of_labels_with_documents(spark):
+    """Labels of other corpora take no place in the sample."""
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    others = [(i, 1, 0) for i in range(10_000, 20_000)]
+    seen, keep = [], tox.fit_chain
+    tox.fit_chain = lambda indices, offsets, fold, y: seen.append(len(y)) or keep(indices, offsets, fold, y)
+    try:
+        tox.train(docs, spark.createDataFrame(labels + others, "doc_id long, quality int, toxic int"), ["quality", "toxic"], max_labelled=200)
+    finally:
+        tox.fit_chain = keep
+    assert seen == [200]
 
 
 def test_later_models_see_earlier_probabilities():
@@ -132,4 +162,4 @@ def test_query_against_a_plain_chain(spark, sf):
             margin = m.bias + sum(float(m.weights[i]) for i in seen) + sum(c * p for c, p in zip(m.chain, before, strict=True))
             before.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
         assert abs(before[0] - r.p_quality) < 1e-5 and abs(before[1] - r.p_toxic) < 1e-5
-        assert r.toxic == (r.p_toxic >= 0.5) or abs(before[1] - 0.5) < 1e-5
+        assert r.toxic == (r.p_toxic >= models[1].threshold) or abs(before[1] - models[1].threshold) < 1e-5
