@@ -15,7 +15,8 @@ which is looked for among the document's sequences of that length.
 
 The index is broadcast where its size is proven to be at most MAX_INDEX hashes;
 beyond that, documents' shingles are joined to the index by a shuffle
-(`_by_shuffle`), with the same results.
+(`_by_shuffle`), with the same results. Then a bitmap of FILTER_BITS bits, of a fixed size however
+large the index is, keeps shingles that are in no item out of the shuffle; texts never enter it.
 
 Edge cases: null and empty texts match nothing; an item without words is held by
 no document; an id with several texts is held if one of them is, and counts once; repeated rows are searched row by row;
@@ -37,6 +38,8 @@ from attesta.llm.words import _COMBINE, buffers, mixed, word_hashes
 N, THRESHOLD = 5, 0.75
 #: Hashes of an index that is broadcast: 16 bytes each, 32 MB in all.
 MAX_INDEX = 2_000_000
+#: Bits of the filter before the shuffle: 16 MB, in pieces of 32,768 bits.
+FILTER_BITS, PIECE = 1 << 27, 1 << 15
 FOUND = "id bigint, items array<struct<item_id:bigint,shared:bigint,size:bigint>>"
 ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("size", pa.int64())]))
 
@@ -159,6 +162,12 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
     index = map_batches(items.select("item_id", "text", F.xxhash64("text").alias("item_key")), sets, "item_id bigint, item_key bigint, hash bigint, size bigint, sketch boolean, length int").distinct()
 
     lengths = sorted(r["length"] for r in index.select("length").distinct().collect())  # N at most
+    place = F.pmod("hash", F.lit(FILTER_BITS)) + 1
+    pieces = index.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    known = np.zeros((FILTER_BITS // PIECE, PIECE // 8), np.uint8)
+    for r in pieces.collect():  # FILTER_BITS / PIECE rows at most
+        known[r["piece"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    known = known.reshape(-1)
 
     def shingles(batches: Batches) -> Batches:
         for b in batches:
@@ -167,15 +176,20 @@ def _by_shuffle(rows: DataFrame, items: DataFrame, threshold: float) -> DataFram
                 ends = np.cumsum(counts).tolist()
                 for i, (e, c) in enumerate(zip(ends, counts.tolist(), strict=True)):
                     h = np.concatenate([np.zeros(0, np.uint64), *(np.unique(ngrams(words[e - c : e], n)) for n in lengths if n)])
+                    bit = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    h = h[(known[bit >> 3] >> (bit & 7)) & 1 > 0]
                     for s in range(0, len(h), 1 << 16):
                         some = h[s : s + (1 << 16)]
                         owner = pa.array(np.full(len(some), at + i))
                         yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(some.view(np.int64))], ["id", "key", "hash"])
 
     keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    # a row has each hash once; repeated rows must not count twice
-    mine = map_batches(keyed.groupBy("id", "key").agg(F.any_value("text").alias("text")), shingles, "id bigint, key bigint, hash bigint")
-    shared = mine.join(index, "hash").groupBy("id", "key", "item_id", "item_key", "size").agg(F.count("*").alias("shared"), F.max("sketch").alias("candidate"))
+    mine = map_batches(keyed, shingles, "id bigint, key bigint, hash bigint")
+    shared = mine.join(index, "hash").groupBy("id", "key", "item_id", "item_key", "size").agg(F.count("*").alias("counted"), F.max("sketch").alias("candidate"))
+    # a row has each hash once; rows that repeat count as often as they do
+    repeats = keyed.groupBy(F.col("id").alias("r_id"), F.col("key").alias("r_key")).agg(F.count("*").alias("times")).filter("times > 1")
+    same = F.col("id").eqNullSafe(F.col("r_id")) & F.col("key").eqNullSafe(F.col("r_key"))
+    shared = shared.join(repeats, same, "left").withColumn("shared", F.expr("counted div coalesce(times, 1)")).drop("r_id", "r_key", "counted", "times")
     held = shared.filter(F.col("candidate") & (F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * threshold, 9)))))
     held = held.groupBy("id", "key", "item_id").agg(F.max(F.struct("shared", "size")).alias("most")).select("id", "key", "item_id", "most.*")
     by_row = held.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("item_id", F.col("shared"), "size"))).alias("items"))

@@ -46,7 +46,8 @@ from attesta.llm.common import Batches, map_batches, written
 from attesta.llm.components import components
 
 THRESHOLD = 0.95
-BLOCK, MAX_PIVOTS = 8192, 16_384
+#: Pivots go to every task: so many at most, and of so many bytes.
+BLOCK, MAX_PIVOTS, PIVOT_BYTES = 8192, 16_384, 8 << 20
 #: Blocks beyond this number share tasks, one after another.
 TASKS = 20_000
 #: Single precision errs by less than this in a product of unit vectors.
@@ -124,7 +125,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = classes.groupBy(F.octet_length("v").alias("size")).agg(F.count("*").alias("n")).collect()
     counted = None
     for size in sizes:  # vectors of different length never link; one length is the rule
-        part = _link_classes(classes.filter(F.octet_length("v") == size["size"]), kind, size["n"], threshold, block)
+        most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * size["size"] // int(kind[-1]))))
+        part = _link_classes(classes.filter(F.octet_length("v") == size["size"]), kind, size["n"], threshold, block, most)
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = spark.createDataFrame([], "node bigint, links bigint, root bigint")
@@ -140,12 +142,12 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return fit.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _link_classes(classes: DataFrame, kind: str, n: int, threshold: float, block: int) -> DataFrame:
+def _link_classes(classes: DataFrame, kind: str, n: int, threshold: float, block: int, most: int) -> DataFrame:
     """node, links (a count in one block) or root (a link of a block's forest)."""
     r = math.acos(min(1.0, max(-1.0, threshold)))
-    k = max(1, min(MAX_PIVOTS, math.ceil(n / block)))
+    k = max(1, min(most, math.ceil(n / block)))
     chosen = classes.orderBy(F.xxhash64("v"), "node").limit(k).select("v").toArrow().column("v").combine_chunks()
-    pivots = unpacked(chosen, kind)  # at most MAX_PIVOTS rows: bounded
+    pivots = unpacked(chosen, kind)  # at most MAX_PIVOTS rows and PIVOT_BYTES: bounded
     heads = pivots[: math.isqrt(len(pivots) - 1) + 1]
     group_of = angles(pivots, heads).argmin(axis=1)
     groups = [np.flatnonzero(group_of == g) for g in range(len(heads))]

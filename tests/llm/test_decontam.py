@@ -81,3 +81,16 @@ def test_either_side_is_looked_up_in_the_longer(spark):
     for d, t in docs:
         got = index.search(dc.word_hashes([t.encode()])[0])
         assert (len(got), ",".join(str(x["item_id"]) for x in got)) == want[d]
+
+
+def test_the_shuffle_gets_no_more_than_what_items_have(spark, sf, monkeypatch):
+    """Repeated rows in many copies, a filter that is almost full, and one that lets hardly anything pass: all give the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.filter("doc_id % 10 = 0")).unionByName(docs.filter("doc_id % 10 = 0"))
+    items = table(spark, sf)
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert found(docs, items, max_index=0) == want
+    monkeypatch.setattr(dc, "FILTER_BITS", dc.PIECE)
+    assert found(docs, items, max_index=0) == want
+    plan = dc.find_items(docs, items, max_index=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "any_value" not in plan

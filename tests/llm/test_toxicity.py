@@ -8,7 +8,7 @@ from attesta.llm import toxicity as tox
 
 
 #: Share of the toxic rows of sf0.1 that are found by models of the other half.
-CAUGHT = 0.88
+CAUGHT = 0.9
 
 
 def corpus(n=1200, seed=1):
