@@ -131,6 +131,7 @@ def lean(keep: str | None = None) -> None:
     for name, drop in _held.items():
         if name != keep:
             drop()
+    pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL(None)
         for option, value in ((-3, 16 << 20), (-1, 16 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX

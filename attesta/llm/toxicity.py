@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import Batches, map_batches, texts
+from attesta.llm.common import Batches, lean, map_batches, texts
 from attesta.llm.words import NOT_ALNUM, buffers, word_hashes
 
 BITS = 19
@@ -113,8 +113,10 @@ def fit(indices: np.ndarray, offsets: np.ndarray, before: np.ndarray, y: np.ndar
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     local = place[indices]
-    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[local >= 0]
-    local = local[local >= 0]
+    on = local >= 0
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[on]
+    local = local[on]
+    del on, place
     v = np.zeros(len(kept) + before.shape[1] + 1)
     v[-1] = np.log(share / (1 - share))
     m, s = np.zeros_like(v), np.zeros_like(v)
@@ -191,7 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     ids, y = ids[order], y[order]
     del rows, table, lists
     fold = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(indices, offsets, fold, y)
+    lean()  # the driver lives on after training: what it took goes back to the system, before and after
+    models = fit_chain(indices, offsets, fold, y)
+    del indices, offsets
+    lean()
+    return models
 
 
 def probabilities(models: list[Linear], documents: list[bytes]) -> np.ndarray:
